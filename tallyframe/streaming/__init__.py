@@ -1,0 +1,6 @@
+"""Nothing is built here: every input of the covered work is a bounded table.
+
+The row-wise operators (`with_target`, `sentinel_to_null`, `normalize_strings`,
+`select_features`, `coerce_numeric`, `fill_nulls`, `score_customers`) are plain projections,
+so they also run unchanged on a streaming DataFrame (see tests/test_streaming.py).
+"""
