@@ -23,6 +23,21 @@ def number(df: DataFrame, name: str) -> Column:
     return value.cast("double")
 
 
+def numbers(df: DataFrame, cols: list[str], *also: Column) -> DataFrame:
+    """The columns as doubles named x0, x1, ..., so that wide aggregates can be written as SQL text."""
+    return df.select(*also, *[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)])
+
+
+def sql_text(value: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double_text(value: float | None) -> str:
+    """A double literal in SQL text."""
+    return "cast(NULL AS double)" if value is None else f"{float(value)!r}D"
+
+
 def low_class_flag(label: Column, pattern: str = LOW_LABEL_PATTERN) -> Column:
     """0 where the label matches `pattern`, otherwise 1; a null label counts as 1."""
     return F.when(F.coalesce(label.rlike(pattern), F.lit(False)), 0).otherwise(1)

@@ -7,6 +7,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _gamma_upper(a: float, x: float) -> float:
@@ -74,12 +75,12 @@ def f_tail(score: float, df1: float, df2: float) -> float:
     return _beta_regularised(df2 / 2, df1 / 2, df2 / (df2 + df1 * score))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(score: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(s) else chi2_tail(s, d) for s, d in zip(score, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(score: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(s) else f_tail(s, a, b) for s, a, b in zip(score, df1, df2)], dtype="float64"

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.expressions import SENTINEL, number, percentage
+from tallyframe.functions.expressions import SENTINEL, double_text, number, numbers, percentage, sql_text
 from tallyframe.operators.quantiles import quantile_values
 from tallyframe.session import quoted
 
@@ -103,37 +103,30 @@ def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
     quartiles = quantile_values(df, cols, [0.25, 0.5, 0.75])
-
-    def stats(c):
-        x = number(df, c)
-        return F.struct(
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            *[F.lit(q).cast("double").alias(name) for q, name in zip(quartiles[c], ("q25", "q50", "q75"))],
-            F.max(x).alias("max"),
-        )
-
-    return _per_column(df, cols, "s", stats).select("column", "s.*")
+    rows = [
+        f"struct({sql_text(c)} AS column, count(x{i}) AS count, avg(x{i}) AS mean, stddev_samp(x{i}) AS std, "
+        f"min(x{i}) AS min, {double_text(q25)} AS q25, {double_text(q50)} AS q50, {double_text(q75)} AS q75, "
+        f"max(x{i}) AS max)"
+        for i, (c, (q25, q50, q75)) in enumerate((c, quartiles[c]) for c in cols)
+    ]
+    return numbers(df, cols).agg(F.expr(f"array({', '.join(rows)}) AS rows")).select(F.inline("rows"))
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5, flag_above: float = 5.0) -> DataFrame:
     """Rows strictly outside [q25 - k*IQR, q75 + k*IQR]; the percentage is of all rows."""
-    bounds = {}
-    for c, (q1, q3) in quantile_values(df, cols, [0.25, 0.75]).items():
-        bounds[c] = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
-
-    def stats(c):
-        lower, upper = (F.lit(b).cast("double") for b in bounds[c])
-        x = number(df, c)
-        return F.struct(
-            lower.alias("lower_bound"), upper.alias("upper_bound"),
-            F.count_if((x < lower) | (x > upper)).alias("cnt"), F.count("*").alias("n"),
-        )
-
-    pct = percentage(F.col("s.cnt"), F.col("s.n"))
-    return _per_column(df, cols, "s", stats).select(
-        "column", "s.lower_bound", "s.upper_bound", "s.cnt", pct.alias("pct"), (pct > flag_above).alias("flagged")
-    )
+    rows = []
+    quartiles = quantile_values(df, cols, [0.25, 0.75])
+    for i, c in enumerate(cols):
+        q1, q3 = quartiles[c]
+        lower = double_text(None if q1 is None else q1 - k * (q3 - q1))
+        upper = double_text(None if q1 is None else q3 + k * (q3 - q1))
+        rows.append(
+            f"struct({sql_text(c)} AS column, {lower} AS lower_bound, {upper} AS upper_bound, "
+            f"count_if(x{i} < {lower} OR x{i} > {upper}) AS cnt, count(*) AS n)")
+    found = numbers(df, cols).agg(F.expr(f"array({', '.join(rows)}) AS rows")).select(F.inline("rows"))
+    pct = percentage(F.col("cnt"), F.col("n"))
+    return found.select(
+        "column", "lower_bound", "upper_bound", "cnt", pct.alias("pct"), (pct > flag_above).alias("flagged"))
 
 
 def crosstab_rate(df: DataFrame, cat: str, target: str = "target", classes: tuple = (0, 1)) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expressions import n_log_n, number
+from tallyframe.functions.expressions import n_log_n, number, numbers, sql_text
 from tallyframe.functions.tails import chi2_p_value, f_p_value
 from tallyframe.operators.groups import running_number
 from tallyframe.operators.quantiles import quantile_values
@@ -52,23 +52,34 @@ def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> Data
     return out.select(*[quoted(c) for c in df.columns])
 
 
-def _moments_in_spark(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete covariances by Spark's own stable aggregates: one row (i, j, corr) per i < j."""
-    x = [number(df, c) for c in cols]
-    aggregates = []
+def _sums_in_spark(df: DataFrame, cols: list[str], known: list[int], rows: int) -> DataFrame:
+    """Sums per pair of centred columns in one aggregate; columns without nulls share their own sums."""
+    full = [n == rows for n in known]
+    sums = {}
+
+    def own_sums(i, j):
+        """Names of the sums of x_i and of its square over the rows where x_j is known."""
+        names = (f"s{i}", f"q{i}") if full[j] else (f"s{i}_{j}", f"q{i}_{j}")
+        only = "" if full[j] else f" FILTER (WHERE x{j} IS NOT NULL)"
+        sums[names[0]] = f"coalesce(sum(x{i}){only}, 0D)"
+        sums[names[1]] = f"coalesce(sum(x{i} * x{i}){only}, 0D)"
+        return names
+
+    pairs = []
     for i, j in combinations(range(len(cols)), 2):
-        a, b = F.when(x[j].isNotNull(), x[i]), F.when(x[i].isNotNull(), x[j])
-        spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
-        aggregates.append(F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.try_divide(F.covar_pop(a, b), spread).alias("corr")
-        ))
-    return df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows"))
-
-
-def _moments_in_arrow(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The same for wide tables: each Arrow batch adds its cross products, Spark sums them per pair."""
-    means = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    centre = [means[f"m{i}"] or 0.0 for i in range(len(cols))]
+        (sx, sxx), (sy, syy), sxy = own_sums(i, j), own_sums(j, i), f"p{i}_{j}"
+        sums[sxy] = f"coalesce(sum(x{i} * x{j}), 0D)"
+        if full[i] or full[j]:
+            n = f"{known[j] if full[i] else known[i]}D"
+        else:
+            n = f"n{i}_{j}"
+            sums[n] = f"cast(count(x{i} + x{j}) AS double)"
+        pairs.append(f"struct({i} AS i, {j} AS j, {n} AS n, {sx} AS sx, {sy} AS sy, {sxx} AS sxx, {syy} AS syy, {sxy} AS sxy)")
+    return df.agg(*[F.expr(f"{e} AS {name}") for name, e in sums.items()]).selectExpr(f"inline(array({', '.join(pairs)}))")
+
+
+def _sums_in_arrow(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same sums for wide tables: every task adds up the cross products of its Arrow batches."""
     upper = np.triu_indices(len(cols), 1)
 
     def cross_products(batches):
@@ -84,26 +95,37 @@ def _moments_in_arrow(df: DataFrame, cols: list[str]) -> DataFrame:
             sums = total[:, upper[0], upper[1]]
             yield pd.DataFrame({"i": upper[0], "j": upper[1], **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), sums))})
 
-    centred = df.select(*[(number(df, c) - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(cols, centre))])
-    sums = centred.mapInPandas(
+    return df.mapInPandas(
         cross_products, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
     ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def correlation_pairs(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
+    """Pearson correlation of every pair i < j over the rows where both are known; null if one is constant.
+
+    The columns are centred on their means first, so that the products do not cancel.
+    """
+    x = numbers(df, cols)
+    seen = x.agg(F.count("*").alias("rows"), *[
+        F.expr(f"struct(avg(x{i}) AS mean, count(x{i}) AS n) AS c{i}") for i in range(len(cols))
+    ]).first()
+    centred = x.select(*[
+        (F.col(f"x{i}") - F.lit(seen[f"c{i}"]["mean"]).cast("double")).alias(f"x{i}") for i in range(len(cols))
+    ])
+    if len(cols) * (len(cols) - 1) // 2 <= max_pairs:
+        sums = _sums_in_spark(centred, cols, [seen[f"c{i}"]["n"] for i in range(len(cols))], seen["rows"])
+    else:
+        sums = _sums_in_arrow(centred, cols)
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     noise = F.lit(1e-14) * F.col("n")  # a constant column leaves only rounding noise
     flat = (vx <= noise * F.col("sxx")) | (vy <= noise * F.col("syy"))
     corr = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
-    return sums.select("i", "j", corr.alias("corr"))
-
-
-def correlation_pairs(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
-    """Pearson correlation of every pair i < j over the rows where both are known; null if one is constant."""
-    n_pairs = len(cols) * (len(cols) - 1) // 2
-    pairs = (_moments_in_spark if n_pairs <= max_pairs else _moments_in_arrow)(df, cols)
     names = F.array(*[F.lit(c) for c in cols])
-    return pairs.select(
-        "i", "j", F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"), "corr"
+    return sums.select(
+        "i", "j", F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"),
+        corr.alias("corr"),
     )
 
 
@@ -136,16 +158,14 @@ def corr_lower_triangle(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def target_correlation(df: DataFrame, cols: list[str], target: str = "target", k: int | None = 15) -> DataFrame:
     """|corr| of every column with the target, largest first: `feature`, `abs_corr`."""
-    y = number(df, target)
-    wide = []
+    x = numbers(df, cols, number(df, target).alias("y"))
+    rows = []
     for i, c in enumerate(cols):
-        x = number(df, c)
-        a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        r = F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
-        wide.append(F.struct(F.lit(c).alias("feature"), F.abs(r).alias("abs_corr")))
-    out = df.agg(F.array(*wide).alias("rows")).select(F.inline("rows"))
-    out = out.orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
-    return out if k is None else out.limit(k)
+        known = f"FILTER (WHERE x{i} IS NOT NULL AND y IS NOT NULL)"
+        spread = f"(stddev_pop(x{i}) {known} * stddev_pop(y) {known})"
+        rows.append(f"struct({sql_text(c)} AS feature, abs(try_divide(covar_pop(x{i}, y), {spread})) AS abs_corr)")
+    out = x.agg(F.expr(f"array({', '.join(rows)}) AS rows")).select(F.inline("rows"))
+    return _top(out, "abs_corr", k)
 
 
 def _top(scores: DataFrame, score: str, k: int | None) -> DataFrame:
@@ -153,13 +173,15 @@ def _top(scores: DataFrame, score: str, k: int | None) -> DataFrame:
     return scores if k is None else scores.limit(k)
 
 
-def _per_class(df: DataFrame, cols: list[str], target: str, stats) -> DataFrame:
-    """Aggregates of every column within every class: one row per class and feature."""
+def _per_class(df: DataFrame, cols: list[str], target: str, stats: str) -> DataFrame:
+    """Aggregates of every column within every class, `{x}` standing for the column: one row per class and feature."""
     t = quoted(target)
+    structs = [
+        F.expr(f"struct({sql_text(c)} AS feature, {stats.format(x=f'x{i}')}) AS v{i}") for i, c in enumerate(cols)
+    ]
     return (
-        df.where(t.isNotNull()).groupBy(t.alias("class"))
-        .agg(*[F.struct(F.lit(c).alias("feature"), *stats(number(df, c))).alias(f"v{i}") for i, c in enumerate(cols)])
-        .select("class", F.inline(F.array(*[F.col(f"v{i}") for i in range(len(cols))])))
+        numbers(df.where(t.isNotNull()), cols, t.alias("class")).groupBy("class").agg(*structs)
+        .selectExpr("class", f"inline(array({', '.join(f'v{i}' for i in range(len(cols)))}))")
     )
 
 
@@ -168,9 +190,8 @@ def chi2_scores(df: DataFrame, cols: list[str], target: str = "target", k: int |
 
     Defined for non-negative columns; a negative value is an error.
     """
-    sums = _per_class(df, cols, target, lambda x: (
-        F.count("*").cast("double").alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("observed"),
-        F.min(x).alias("least")))
+    sums = _per_class(
+        df, cols, target, "cast(count(*) AS double) AS n, coalesce(sum({x}), 0D) AS observed, min({x}) AS least")
     total = F.struct(F.sum("n").alias("n"), F.sum("observed").alias("observed"), F.min("least").alias("least"),
                      F.collect_list(F.struct("n", "observed")).alias("classes"), F.count("*").alias("k"))
     t = F.col("t")
@@ -188,8 +209,8 @@ def chi2_scores(df: DataFrame, cols: list[str], target: str = "target", k: int |
 
 def f_scores(df: DataFrame, cols: list[str], target: str = "target", k: int | None = 15) -> DataFrame:
     """One-way analysis of variance: `feature`, `f_score`, `f_pval`."""
-    moments = _per_class(df, cols, target, lambda x: (
-        F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))).where("n > 0")
+    moments = _per_class(
+        df, cols, target, "cast(count({x}) AS double) AS n, avg({x}) AS mean, var_pop({x}) AS var").where("n > 0")
     sums = moments.groupBy("feature").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
         F.sum(F.col("n") * F.col("var")).alias("within"),
@@ -213,18 +234,17 @@ def mutual_info(
     """
     cuts = quantile_values(df, cols, [i / bins for i in range(1, bins)]) if bins else {}
 
-    def level(c):
-        x = number(df, c)
+    def level(i, c):
         if not bins:
-            return x
-        return F.when(x.isNotNull(), sum(
-            (F.when(x > F.lit(cut), 1.0).otherwise(0.0) for cut in sorted(set(cuts[c]) - {None})), F.lit(0.0)))
+            return f"x{i}"
+        steps = [f"CASE WHEN x{i} > {cut!r}D THEN 1D ELSE 0D END" for cut in sorted(set(cuts[c]) - {None})]
+        return f"CASE WHEN x{i} IS NOT NULL THEN {' + '.join(steps) or '0D'} END"
 
     t = quoted(target)
-    long = df.where(t.isin(*classes)).select(
-        *[F.when(t == v, 1).otherwise(0).alias(f"_is{i}") for i, v in enumerate(classes)],
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), level(c).alias("value")) for c in cols])),
-    ).where("value IS NOT NULL")
+    is_class = [F.when(t == v, 1).otherwise(0).alias(f"_is{i}") for i, v in enumerate(classes)]
+    levels = [f"struct({sql_text(c)} AS feature, {level(i, c)} AS value)" for i, c in enumerate(cols)]
+    long = numbers(df.where(t.isin(*classes)), cols, *is_class).selectExpr(
+        *[f"_is{i}" for i in range(len(classes))], f"inline(array({', '.join(levels)}))").where("value IS NOT NULL")
     flags = [f"_is{i}" for i in range(len(classes))]
     joint = long.groupBy("feature", "value").agg(F.count("*").alias("n"), *[F.sum(f).alias(f) for f in flags])
     # with g(n) = n ln n:  N * I = sum g(n_value_class) - sum g(n_value) - sum g(n_class) + g(N)

@@ -1,6 +1,7 @@
 """Size checks and lineage cuts shared by the operators."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +20,25 @@ def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_B
     return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
+def _shared_root(spark) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyframe-")
+    return folder
+
+
+def shared_folder(spark) -> str:
+    """A new subfolder name under the cluster's shared folder, for tables a job writes and reads again."""
+    return f"{_shared_root(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Store `df` once in the cluster's shared checkpoint folder and return the stored copy."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tallyframe-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint()
 
 
