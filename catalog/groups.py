@@ -6,6 +6,7 @@ from catalog.registry import query, rounded, table
 from tallyframe.operators import cluster, groups
 from tallyframe.operators.clean import with_target
 from tallyframe.plans import segmentation
+from tallyframe.session import checkpointed
 
 # The segmentation job on line items: suppliers play the groups, returned lines the positive class.
 SUPPLIER_STATS = {
@@ -36,8 +37,9 @@ def supplier_lines(spark, d):
 
 
 def supplier_features(spark, d):
-    return segmentation.group_features(
-        supplier_lines(spark, d), "l_suppkey", SUPPLIER_STATS, SUPPLIER_FEATURES, "target_count", 100)
+    """The group table, stored once as in the segmentation job, since the operators below read it several times."""
+    return checkpointed(segmentation.group_features(
+        supplier_lines(spark, d), "l_suppkey", SUPPLIER_STATS, SUPPLIER_FEATURES, "target_count", 100))
 
 
 @query(PROFILE_SQL)
@@ -53,7 +55,8 @@ def min_group_size_lineitem(spark, d):
 
 @query(FEATURES_SQL)
 def segment_features_lineitem(spark, d):
-    return supplier_features(spark, d)
+    return segmentation.group_features(
+        supplier_lines(spark, d), "l_suppkey", SUPPLIER_STATS, SUPPLIER_FEATURES, "target_count", 100)
 
 
 @query("""SELECT p_brand, round_even(avg(p_size), 3) AS p_size_mean, count(p_size) AS p_size_count,
@@ -170,11 +173,11 @@ def silhouette_lineitem(spark, d):
 @query()
 def choose_k_part(spark, d):
     """Inertia and silhouette for k = 2..6 over the brands' scaled features."""
-    features = segmentation.group_features(
+    features = checkpointed(segmentation.group_features(
         with_target(table(spark, d, "part"), "p_type", "PROMO"), "p_brand",
         {"p_size": ["mean"], "p_retailprice": ["mean"], "target": ["mean", "count"]},
         {"avg_age": "p_size_mean", "avg_weeks_worked": "p_retailprice_mean", "high_income_rate": "target_mean",
-         "sample_size": "target_count"}, "target_count", 1)
+         "sample_size": "target_count"}, "target_count", 1))
     return segmentation.cluster_groups(features, "p_brand", n_init=3)[1]
 
 

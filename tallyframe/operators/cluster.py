@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import number
 from tallyframe.operators.groups import best_by
-from tallyframe.session import is_small, quoted
+from tallyframe.session import checkpointed, is_small, quoted
 
 BLOCK_ROWS = 2_000
 PARALLEL_FITS = 8
@@ -42,11 +42,11 @@ def _best_fits(points: DataFrame, ks: list[int], n_init: int, seed: int, max_ite
 
 
 def _arranged(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Points in a repeatable layout: one sorted partition when the table is measured to be small."""
-    points = _points(df, cols)
-    if is_small(df):
-        points = points.repartition(1)
-    return points.sortWithinPartitions(quoted(key)).persist()
+    """Points stored in a repeatable layout: one sorted partition when the table is measured to be small."""
+    points = checkpointed(_points(df, cols))
+    if is_small(points.drop("_point")):
+        points = checkpointed(points.repartition(1).sortWithinPartitions(quoted(key)))
+    return points
 
 
 def kmeans(
@@ -73,25 +73,28 @@ def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], blo
     The points are hashed into blocks of about `block_rows`. Every pair of blocks is one task that turns its
     distances into sums per point and cluster at once, so distances are never stored and memory stays bounded.
     """
+    table = df.select(
+        quoted(key).alias("key"), F.array(*[number(df, c) for c in cols]).alias("x"),
+        *[quoted(label).alias(f"l{i}") for i, label in enumerate(labels)],
+    ).persist()
     clusters = {
-        label: {r["c"]: r["n"] for r in df.groupBy(quoted(label).alias("c")).agg(F.count("*").alias("n")).collect()}
-        for label in labels
+        label: {r["c"]: r["n"] for r in table.groupBy(F.col(f"l{i}").alias("c")).agg(F.count("*").alias("n")).collect()}
+        for i, label in enumerate(labels)
     }
-    blocks = max(1, math.ceil(df.count() / block_rows))
+    blocks = max(1, math.ceil(table.count() / block_rows))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    points = df.select(
-        quoted(key).alias("key"), F.array(*[number(df, c) for c in cols]).alias("x"),
-        *[quoted(label).alias(f"l{i}") for i, label in enumerate(labels)],
-        F.pmod(F.xxhash64(quoted(key)), F.lit(blocks)).cast("int").alias("mine"),
-    )
+    points = table.withColumn("mine", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     left = points.select("key", "x", "mine", every_block.alias("theirs"))
-    right = points.select("x", *[f"l{i}" for i in range(len(labels))], F.col("mine").alias("theirs"), every_block.alias("mine"))
-    wanted = [(f"s{i}_{j}", f"l{i}", c) for i, label in enumerate(labels) for j, c in enumerate(clusters[label])]
+    right = points.select(
+        F.col("x").alias("other_x"), *[F.col(f"l{i}").alias(f"other_l{i}") for i in range(len(labels))],
+        F.col("mine").alias("their_block"), every_block.alias("my_block"),
+    )
+    wanted = [(f"s{i}_{j}", f"other_l{i}", c) for i, label in enumerate(labels) for j, c in enumerate(clusters[label])]
 
     def distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"key": a["key"][:0], **{s: np.empty(0) for s, _, _ in wanted}})
-        xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["other_x"].to_numpy())
         square = np.zeros((len(xa), len(xb)))
         for d in range(xa.shape[1]):
             square += (xa[:, d][:, None] - xb[:, d][None, :]) ** 2
@@ -102,7 +105,7 @@ def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], blo
     key_type = df.schema[key].dataType.simpleString()
     schema = f"key {key_type}, " + ", ".join(f"{s} double" for s, _, _ in wanted)
     sums = (
-        left.groupBy("mine", "theirs").cogroup(right.groupBy("mine", "theirs"))
+        left.groupBy("mine", "theirs").cogroup(right.groupBy("my_block", "their_block"))
         .applyInPandas(distance_sums, schema)
         .groupBy("key").agg(*[F.sum(s).alias(s) for s, _, _ in wanted])
     )
@@ -121,6 +124,7 @@ def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], blo
         s = F.when(n == 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
         means.append(F.avg(s).alias(f"m{i}"))
     row = scored.agg(*means).first()
+    table.unpersist()
     return {label: row[f"m{i}"] for i, label in enumerate(labels)}
 
 

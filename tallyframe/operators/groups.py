@@ -17,13 +17,18 @@ def group_profile(
 ) -> DataFrame:
     """One row per non-null key with a `<column>_<stat>` column per wanted statistic.
 
-    Statistics: mean, std (sample), count, min, max, sum, median. Results are rounded half-even. Medians of
-    columns with many distinct values are found range by range, so that a dominant key is not held by one task.
+    Statistics: mean, std (sample), count, min, max, sum, median. Results are rounded half-even. Where some
+    group has very many distinct values, the medians of that column are found range by range, so that a dominant
+    key is not held by one task.
     """
     rows = df.where(quoted(key).isNotNull())
     medians = [c for c, wanted in stats.items() if "median" in wanted]
-    estimate = distinct_estimate(rows, medians) if medians else {}
-    spread = [c for c in medians if estimate[c] > max_distinct]
+    spread = []
+    if medians:
+        sizes = rows.groupBy(quoted(key).alias("key")).agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) > max_distinct:
+            estimate = distinct_estimate(rows, medians, key)
+            spread = [c for c in medians if estimate[c] > max_distinct]
 
     def expression(c, stat):
         x = number(df, c)

@@ -102,14 +102,17 @@ def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    quartiles = quantile_values(df, cols, [0.25, 0.5, 0.75])
-    rows = [
-        f"struct({sql_text(c)} AS column, count(x{i}) AS count, avg(x{i}) AS mean, stddev_samp(x{i}) AS std, "
-        f"min(x{i}) AS min, {double_text(q25)} AS q25, {double_text(q50)} AS q50, {double_text(q75)} AS q75, "
-        f"max(x{i}) AS max)"
-        for i, (c, (q25, q50, q75)) in enumerate((c, quartiles[c]) for c in cols)
-    ]
-    return numbers(df, cols).agg(F.expr(f"array({', '.join(rows)}) AS rows")).select(F.inline("rows"))
+    moments = numbers(df, cols).agg(*[
+        F.expr(f"struct(count(x{i}) AS count, avg(x{i}) AS mean, stddev_samp(x{i}) AS std, min(x{i}) AS min, "
+               f"max(x{i}) AS max, approx_count_distinct(x{i}) AS n_distinct) AS s{i}") for i in range(len(cols))
+    ]).first()
+    estimate = {c: moments[f"s{i}"]["n_distinct"] for i, c in enumerate(cols)}
+    quartiles = quantile_values(df, cols, [0.25, 0.5, 0.75], estimate=estimate)
+    rows = [(c, *[moments[f"s{i}"][m] for m in ("count", "mean", "std", "min")], *quartiles[c], moments[f"s{i}"]["max"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, "
+              "max double")
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5, flag_above: float = 5.0) -> DataFrame:

@@ -12,17 +12,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expressions import number
+from tallyframe.functions.expressions import double_text, number, numbers
 from tallyframe.session import quoted
 
 MAX_DISTINCT = 200_000
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 50_000
+FEW_PROBS = 20
 
 
-def distinct_estimate(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.approx_count_distinct(number(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(cols)}
+def distinct_estimate(df: DataFrame, cols: list[str], key: str | None = None) -> dict[str, int]:
+    """Distinct values per column; with a key, those of the group that has the most."""
+    x = numbers(df, cols, *([] if key is None else [quoted(key).alias("key")]))
+    found = x.groupBy(*([] if key is None else ["key"])).agg(*[
+        F.approx_count_distinct(f"x{i}").alias(f"d{i}") for i in range(len(cols))])
+    row = found.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(cols))]).first()
+    return {c: row[f"d{i}"] or 0 for i, c in enumerate(cols)}
+
+
+def _list(values: list[float]) -> str:
+    return f"array({', '.join(double_text(v) for v in values)})"
 
 
 def range_cuts(df: DataFrame, value: str, n_rows: int, range_rows: int = RANGE_ROWS) -> list[float]:
@@ -31,7 +40,8 @@ def range_cuts(df: DataFrame, value: str, n_rows: int, range_rows: int = RANGE_R
     if n_ranges <= 1:
         return []
     grid = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = df.agg(F.percentile_approx(value, grid, max(10_000, 10 * n_ranges)).alias("cuts")).first()["cuts"]
+    accuracy = max(10_000, 10 * n_ranges)
+    cuts = df.agg(F.expr(f"percentile_approx({value}, {_list(grid)}, {accuracy}) AS cuts")).first()["cuts"]
     return sorted(set(cuts or []))
 
 
@@ -99,17 +109,44 @@ def grouped_quantiles(
     )
 
 
+def _many_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Hundreds of quantiles per column from its value counts; the number of values was measured to be small."""
+    wanted = np.array(probs)
+
+    def from_counts(counts: pd.DataFrame) -> pd.DataFrame:
+        counts = counts.sort_values("x")
+        values, upto = counts["x"].to_numpy(), counts["cnt"].cumsum().to_numpy()
+        position = (upto[-1] - 1) * wanted
+        low, high = np.floor(position), np.ceil(position)
+        at_low, at_high = (values[np.searchsorted(upto, rank, side="right")] for rank in (low, high))
+        result = at_low * (1 - (position - low)) + at_high * (position - low)
+        return pd.DataFrame({"column": counts["column"].iloc[:1], "found": [result]})
+
+    x = numbers(df, cols)
+    counts = x.unpivot([], x.columns, "column", "x").where("x IS NOT NULL").groupBy("column", "x").agg(
+        F.count("*").alias("cnt"))
+    rows = counts.groupBy("column").applyInPandas(from_counts, "column string, found array<double>").collect()
+    found = {r["column"]: r["found"] for r in rows}
+    return {c: found.get(f"x{i}", [None] * len(probs)) for i, c in enumerate(cols)}
+
+
 def quantile_values(
     df: DataFrame, cols: list[str], probs: list[float],
-    max_distinct: int = MAX_DISTINCT, range_rows: int = RANGE_ROWS,
+    max_distinct: int = MAX_DISTINCT, range_rows: int = RANGE_ROWS, estimate: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of every column as plain numbers, ready to be used as literals."""
+    """Quantiles of every column as plain numbers, ready to be used as literals.
+
+    `estimate` may carry the distinct counts if the caller has them already; otherwise they take one pass.
+    """
     probs = [float(p) for p in probs]
-    estimate = distinct_estimate(df, cols)
+    estimate = estimate or distinct_estimate(df, cols)
     narrow = [c for c in cols if estimate[c] <= max_distinct]
     found = {}
-    if narrow:
-        row = df.agg(*[F.percentile(number(df, c), probs).alias(f"q{i}") for i, c in enumerate(narrow)]).first()
+    if narrow and len(probs) > FEW_PROBS:
+        found = _many_quantiles(df, narrow, probs)
+    elif narrow:
+        row = numbers(df, narrow).agg(*[
+            F.expr(f"percentile(x{i}, {_list(probs)}) AS q{i}") for i in range(len(narrow))]).first()
         found = {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(narrow)}
     for c in cols:
         if c not in found:
@@ -124,8 +161,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
     if exact:
         values = quantile_values(df, cols, probs)
     else:
-        row = df.agg(*[F.percentile_approx(number(df, c), list(probs)).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
+        row = numbers(df, cols).agg(*[
+            F.expr(f"percentile_approx(x{i}, {_list(probs)}) AS q{i}") for i in range(len(cols))]).first()
         values = {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
     rows = [(c, float(p), v) for c in cols for p, v in zip(probs, values[c])]
     return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")

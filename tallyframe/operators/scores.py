@@ -27,7 +27,7 @@ def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> Data
         return df
     filled = df.withColumns({c: F.coalesce(quoted(c), F.lit(unknown)) for c in cols})
     values = filled.select(*[quoted(c) for c in cols]).unpivot(
-        [], [quoted(c) for c in cols], "column", "value").distinct()
+        [], [quoted(c) for c in cols], "column", "value").distinct().persist()
     if is_small(values):
         code = F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1
         codes = {c: {} for c in cols}
@@ -38,6 +38,7 @@ def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> Data
             c: F.broadcast(spark.createDataFrame(list(m.items()), "_value string, _code int"))
             for c, m in codes.items() if m
         }
+        values.unpersist()
     else:
         dictionary = {
             c: running_number(
@@ -100,20 +101,22 @@ def _sums_in_arrow(df: DataFrame, cols: list[str]) -> DataFrame:
     ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
-def correlation_pairs(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
-    """Pearson correlation of every pair i < j over the rows where both are known; null if one is constant.
-
-    The columns are centred on their means first, so that the products do not cancel.
-    """
+def _centres(df: DataFrame, cols: list[str]) -> list[dict]:
+    """Per column its mean, its known rows, whether it varies, and the rows of the table."""
     x = numbers(df, cols)
     seen = x.agg(F.count("*").alias("rows"), *[
-        F.expr(f"struct(avg(x{i}) AS mean, count(x{i}) AS n) AS c{i}") for i in range(len(cols))
+        F.expr(f"struct(avg(x{i}) AS mean, count(x{i}) AS known, min(x{i}) < max(x{i}) AS varies) AS c{i}")
+        for i in range(len(cols))
     ]).first()
-    centred = x.select(*[
-        (F.col(f"x{i}") - F.lit(seen[f"c{i}"]["mean"]).cast("double")).alias(f"x{i}") for i in range(len(cols))
+    return [{**seen[f"c{i}"].asDict(), "rows": seen["rows"]} for i in range(len(cols))]
+
+
+def _pairs(df: DataFrame, cols: list[str], centres: list[dict], max_pairs: int) -> DataFrame:
+    centred = numbers(df, cols).select(*[
+        (F.col(f"x{i}") - F.lit(c["mean"]).cast("double")).alias(f"x{i}") for i, c in enumerate(centres)
     ])
     if len(cols) * (len(cols) - 1) // 2 <= max_pairs:
-        sums = _sums_in_spark(centred, cols, [seen[f"c{i}"]["n"] for i in range(len(cols))], seen["rows"])
+        sums = _sums_in_spark(centred, cols, [c["known"] for c in centres], centres[0]["rows"])
     else:
         sums = _sums_in_arrow(centred, cols)
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
@@ -129,20 +132,24 @@ def correlation_pairs(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS
     )
 
 
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+def correlation_pairs(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
+    """Pearson correlation of every pair i < j over the rows where both are known; null if one is constant.
+
+    The columns are centred on their means first, so that the products do not cancel.
+    """
+    return _pairs(df, cols, _centres(df, cols), max_pairs)
+
+
+def correlation_matrix(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
     """The full matrix in long form: `i`, `j`, `feature1`, `feature2`, `corr`."""
-    pairs = correlation_pairs(df, cols)
-    both = F.array(
-        F.struct("i", "j", "feature1", "feature2", "corr"),
-        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("feature2").alias("feature1"),
-                 F.col("feature1").alias("feature2"), "corr"),
-    )
-    diagonal = df.agg(*[
-        F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(c).alias("feature1"), F.lit(c).alias("feature2"),
-                 F.when(F.min(number(df, c)) < F.max(number(df, c)), F.lit(1.0)).alias("corr")).alias(f"d{i}")
-        for i, c in enumerate(cols)
-    ]).select(F.inline(F.array(*[F.col(f"d{i}") for i in range(len(cols))])))
-    return pairs.select(F.inline(both)).unionByName(diagonal)
+    centres = _centres(df, cols)
+    mirrored = F.expr(
+        "inline(array(struct(i, j, feature1, feature2, corr), "
+        "struct(j AS i, i AS j, feature2 AS feature1, feature1 AS feature2, corr)))")
+    diagonal = df.sparkSession.createDataFrame(
+        [(i, i, c, c, 1.0 if centres[i]["varies"] else None) for i, c in enumerate(cols)],
+        "i int, j int, feature1 string, feature2 string, corr double")
+    return _pairs(df, cols, centres, max_pairs).select(mirrored).unionByName(diagonal)
 
 
 def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float = 0.7) -> DataFrame:
