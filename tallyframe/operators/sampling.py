@@ -94,7 +94,7 @@ def downsample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFram
     return df.where(first_in_hash_order(df, target, key, wanted, sizes, seed))
 
 
-def test_sizes(sizes: dict, test: float) -> dict:
+def split_sizes(sizes: dict, test: float) -> dict:
     """Test rows per class: ceil(test * n) in total, shared by largest remainder, ties to the smaller class."""
     total = math.ceil(round(test * sum(sizes.values()), 9))
     share = {c: n * total / sum(sizes.values()) for c, n in sizes.items()}
@@ -110,5 +110,5 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with equal class shares; both are filters on the input and cover it without overlap."""
     sizes = class_sizes(df, target)
-    in_test = first_in_hash_order(df, target, key, test_sizes(sizes, test), sizes, seed)
+    in_test = first_in_hash_order(df, target, key, split_sizes(sizes, test), sizes, seed)
     return df.where(~in_test), df.where(in_test)
