@@ -26,9 +26,10 @@ def group_profile(
     spread = []
     if medians:
         sizes = rows.groupBy(quoted(key).alias("key")).agg(F.count("*").alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) > max_distinct:
+        share = max_distinct // len(medians)
+        if (sizes.agg(F.max("n")).first()[0] or 0) > share:
             estimate = distinct_estimate(rows, medians, key)
-            spread = [c for c in medians if estimate[c] > max_distinct]
+            spread = [c for c in medians if estimate[c] > share]
 
     def expression(c, stat):
         x = number(df, c)

@@ -89,14 +89,15 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
 
 def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
     """`target`, `cnt`, `pct` of all rows and the class 0 : class 1 ratio (null without class 1)."""
-    t = quoted(target)
-    totals = df.agg(
-        F.struct(F.count("*").alias("n"), F.count_if(t == 0).alias("n0"), F.count_if(t == 1).alias("n1")).alias("s")
-    ).scalar()
-    return df.groupBy(t.alias("target")).agg(F.count("*").alias("cnt")).select(
+    counts = df.groupBy(quoted(target).alias("target")).agg(F.count("*").alias("cnt"))
+    # the totals come from the same class counts, so the table is read once
+    totals = counts.agg(F.expr(
+        "struct(sum(cnt) AS n, sum(cnt) FILTER (WHERE target = 0) AS n0, sum(cnt) FILTER (WHERE target = 1) AS n1) AS s"
+    )).scalar()
+    return counts.select(
         "target", "cnt",
         percentage(F.col("cnt"), totals["n"]).alias("pct"),
-        F.try_divide(totals["n0"].cast("double"), totals["n1"].cast("double")).alias("imbalance_ratio"),
+        F.try_divide(F.coalesce(totals["n0"], F.lit(0)).cast("double"), totals["n1"].cast("double")).alias("imbalance_ratio"),
     )
 
 

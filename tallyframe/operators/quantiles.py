@@ -1,8 +1,8 @@
 """Exact, linearly interpolated quantiles.
 
-`F.percentile` keeps one entry per distinct value in a single task, so it is used only for columns
-whose distinct count was measured to be small. Other columns are cut into value ranges; counting
-per range shows which ranges hold the wanted ranks, and only those are sorted, one range per task.
+`F.percentile` keeps one entry per distinct value in a single task, so it is used only for as many columns
+as fit a budget of distinct values, by measurement. Other columns are cut into value ranges; counting per
+range shows which ranges hold the wanted ranks, and only those are sorted, one range per task.
 """
 
 import math
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import double_text, number, numbers
-from tallyframe.session import quoted
+from tallyframe.session import checkpointed, is_small, quoted
 
-MAX_DISTINCT = 200_000
+MAX_DISTINCT = 2_000_000  # values that one task may hold, over all columns of an aggregate
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 50_000
 FEW_PROBS = 20
@@ -95,14 +95,16 @@ def grouped_quantiles(
         .select(*names, "part", F.col("t.prob").alias("prob"), F.col("t.weight").alias("weight"),
                 (F.col("t.rank") - F.col("upto") + F.col("n")).alias("offset"))
     )
+    wanted = checkpointed(wanted)  # at most two rows per key and probability
+    hint = F.broadcast if is_small(wanted) else (lambda t: t)
     on = names + ["part"]
     counted = (
-        ranged.join(wanted.select(*on).distinct(), on, "left_semi")
+        ranged.join(hint(wanted.select(*on).distinct()), on, "left_semi")
         .groupBy(*on, "x").agg(F.count("*").alias("cnt"))
         .withColumn("last", F.sum("cnt").over(Window.partitionBy(*on).orderBy("x")))
     )
     return (
-        counted.join(wanted, on)
+        counted.join(hint(wanted), on)
         .where("offset < last AND offset >= last - cnt")
         .groupBy(*names, "prob").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
         .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "prob", "value")
@@ -140,7 +142,11 @@ def quantile_values(
     """
     probs = [float(p) for p in probs]
     estimate = estimate or distinct_estimate(df, cols)
-    narrow = [c for c in cols if estimate[c] <= max_distinct]
+    narrow, held = [], 0
+    for c in sorted(cols, key=lambda c: estimate[c]):
+        held += estimate[c]
+        if held <= max_distinct:
+            narrow.append(c)
     found = {}
     if narrow and len(probs) > FEW_PROBS:
         found = _many_quantiles(df, narrow, probs)

@@ -81,7 +81,7 @@ def first_in_hash_order(
     for value in whole:
         keep = keep | t.eqNullSafe(F.lit(value))
     for value, (last_h, last_k) in (_last_kept(df, target, key, part, seed) if part else {}).items():
-        upto = (h < last_h) | ((h == last_h) & (k <= F.lit(last_k)))
+        upto = F.struct(h.alias("h"), k.alias("k")) <= F.struct(F.lit(last_h).alias("h"), F.lit(last_k).alias("k"))
         keep = keep | (t.eqNullSafe(F.lit(value)) & upto)
     return keep
 

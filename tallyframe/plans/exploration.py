@@ -9,10 +9,17 @@ from tallyframe.functions.expressions import LOW_LABEL_PATTERN_ONE_SPACE
 from tallyframe.session import quoted
 
 
-def insights(df: DataFrame, target: str = "target", label: str = "label", threshold: float = 0.7) -> DataFrame:
-    """One row: rows, features, class sizes, categoricals, correlated pairs and the top five features."""
+def insights(
+    df: DataFrame, target: str = "target", label: str = "label", threshold: float = 0.7,
+    encoded: DataFrame | None = None,
+) -> DataFrame:
+    """One row: rows, features, class sizes, categoricals, correlated pairs and the top five features.
+
+    `encoded` may carry the label-encoded table if the caller has it already.
+    """
     roles = profile.columns_by_role(df, (label, target))
-    encoded = scores.label_encode(df, roles["categorical"])
+    if encoded is None:
+        encoded = scores.label_encode(df, roles["categorical"])
     features = [c for c in df.columns if c in roles["categorical"] or c in roles["numeric"]]
     pairs = scores.high_corr_pairs(encoded, [*features, target], threshold).agg(F.count("*")).scalar()
     best = scores.target_correlation(encoded, features, target, 5).agg(F.transform(
@@ -59,5 +66,5 @@ def explore(
     out["chi2"] = scores.chi2_scores(encoded, features)
     out["f"] = scores.f_scores(encoded, features)
     out["mutual_info"] = scores.mutual_info(encoded, features, bins=mi_bins)
-    out["insights"] = insights(df, label=label)
+    out["insights"] = insights(df, label=label, encoded=encoded)
     return out

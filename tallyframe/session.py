@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A dictionary or group table up to these sizes may be broadcast or ranked in one task.
 SMALL_ROWS = 100_000
@@ -13,10 +14,15 @@ SMALL_BYTES = 32 * 1024 * 1024
 
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
     """Measure whether the whole of `df` stays within both bounds (one aggregation job)."""
-    text = F.to_json(F.struct(*[quoted(c) for c in df.columns]))
-    size = df.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")
-    ).first()
+    width = F.lit(0)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(quoted(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+            width = width + F.octet_length(F.to_json(F.struct(quoted(field.name))))
+        else:
+            width = width + 16
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
     return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
