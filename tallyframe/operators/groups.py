@@ -48,9 +48,10 @@ def group_profile(
 
 
 def round_stats(df: DataFrame, digits: int) -> DataFrame:
-    """Round every floating-point column half-even."""
+    """Round every floating-point column half-even, on the scaled double (as array libraries do)."""
     names = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
-    return df.withColumns({c: F.bround(quoted(c), digits) for c in names})
+    unit = F.lit(10.0 ** digits)
+    return df.withColumns({c: F.rint(quoted(c) * unit) / unit for c in names})
 
 
 def min_group_size(df: DataFrame, size: str, n: int = 100) -> DataFrame:

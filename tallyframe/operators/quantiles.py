@@ -1,8 +1,9 @@
 """Exact, linearly interpolated quantiles.
 
 `F.percentile` keeps one entry per distinct value in a single task, so it is used only for as many columns
-as fit a budget of distinct values, by measurement. Other columns are cut into value ranges; counting per
-range shows which ranges hold the wanted ranks, and only those are sorted, one range per task.
+as fit a budget of distinct values, by measurement. For other columns an approximate quantile gives a narrow
+bracket around each wanted rank, and only the rows inside are counted and sorted. Many quantiles at once, and
+quantiles per group, cut the values into ranges and sort only the ranges that hold a wanted rank.
 """
 
 import math
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from tallyframe.functions.expressions import double_text, number, numbers
 from tallyframe.session import checkpointed, is_small, quoted
 
-MAX_DISTINCT = 2_000_000  # values that one task may hold, over all columns of an aggregate
+MAX_DISTINCT = 300_000  # values that one task may hold, over all columns of an aggregate
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 50_000
 FEW_PROBS = 20
+BRACKET_ACCURACY = 100_000
+MAX_BRACKET_ROWS = 50_000_000
 
 
 def distinct_estimate(df: DataFrame, cols: list[str], key: str | None = None) -> dict[str, int]:
@@ -111,6 +114,56 @@ def grouped_quantiles(
     )
 
 
+def _bracketed_quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], accuracy: int = BRACKET_ACCURACY
+) -> dict[str, list[float | None]]:
+    """Exact quantiles from the rows near the approximate ones; columns without a safe bracket are left out."""
+    x = numbers(df, cols)
+    slack = 2 / accuracy
+    grid = _list([min(1.0, max(0.0, p + side)) for p in probs for side in (-slack, slack)])
+    approximate = x.agg(*[
+        F.expr(f"struct(count(x{i}) AS n, percentile_approx(x{i}, {grid}, {accuracy}) AS cuts) AS c{i}")
+        for i in range(len(cols))
+    ]).first()
+    found, brackets = {}, []
+    for i, c in enumerate(cols):
+        n, cuts = approximate[f"c{i}"]
+        if not n:
+            found[c] = [None] * len(probs)
+            continue
+        for j, p in enumerate(probs):
+            brackets.append((i, j, double_text(cuts[2 * j]), double_text(cuts[2 * j + 1]), (n - 1) * p))
+    if not brackets:
+        return found
+    counts = x.agg(*[
+        F.expr(f"struct(count_if(x{i} < {lo}) AS below, count_if(x{i} BETWEEN {lo} AND {hi}) AS inside) AS b{k}")
+        for k, (i, _, lo, hi, _) in enumerate(brackets)
+    ]).first()
+    wanted, unsafe = [], set()
+    for k, (i, _, _, _, position) in enumerate(brackets):
+        below, inside = counts[f"b{k}"]
+        low, high = math.floor(position), math.ceil(position)
+        if not (below <= low and high < below + inside and inside <= MAX_BRACKET_ROWS):
+            unsafe.add(i)
+        wanted += [(k, low - below, 1 - (position - low)), (k, high - below, position - low)]
+    rows = [f"struct({k} AS spot, CASE WHEN x{i} BETWEEN {lo} AND {hi} THEN x{i} END AS x)"
+            for k, (i, _, lo, hi, _) in enumerate(brackets) if i not in unsafe]
+    if rows:
+        inside = x.selectExpr(f"inline(array({', '.join(rows)}))").where("x IS NOT NULL")
+        targets = df.sparkSession.createDataFrame(
+            [w for w in wanted if w[2] > 0 and brackets[w[0]][0] not in unsafe], "spot int, offset long, weight double")
+        counted = inside.groupBy("spot", "x").agg(F.count("*").alias("cnt")).withColumn(
+            "last", F.sum("cnt").over(Window.partitionBy("spot").orderBy("x")))
+        values = (
+            counted.join(F.broadcast(targets), "spot").where("offset < last AND offset >= last - cnt")
+            .groupBy("spot").agg(F.sum(F.col("x") * F.col("weight")).alias("value")).collect()
+        )
+        for r in values:
+            i, j = brackets[r["spot"]][:2]
+            found.setdefault(cols[i], [None] * len(probs))[j] = r["value"]
+    return found
+
+
 def _many_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Hundreds of quantiles per column from its value counts; the number of values was measured to be small."""
     wanted = np.array(probs)
@@ -154,6 +207,9 @@ def quantile_values(
         row = numbers(df, narrow).agg(*[
             F.expr(f"percentile(x{i}, {_list(probs)}) AS q{i}") for i in range(len(narrow))]).first()
         found = {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(narrow)}
+    wide = [c for c in cols if c not in found]
+    if wide and len(probs) <= FEW_PROBS:
+        found.update(_bracketed_quantiles(df, wide, probs))
     for c in cols:
         if c not in found:
             rows = grouped_quantiles(df, [], c, probs, range_rows).collect()

@@ -52,6 +52,17 @@ def test_quantiles_interpolate_and_skip_missing(spark):
     assert rows(approximate) == [("x", 0.5, 51.0)]
 
 
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_bracketed_quantiles_are_exact(spark, accuracy):
+    rng = np.random.default_rng(7)
+    data = np.column_stack([rng.exponential(size=5000), np.where(rng.random(5000) < 0.4, 2.5, rng.normal(size=5000))])
+    df = spark.createDataFrame(data.tolist(), "a double, b double").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.753, 0.99, 1.0]
+    found = quantiles._bracketed_quantiles(df, ["a", "b"], probs, accuracy)
+    for i, c in enumerate("ab"):
+        assert np.allclose(found[c], np.quantile(data[:, i], probs), rtol=1e-14)
+
+
 @pytest.mark.parametrize("range_rows", [50, 700, 10 ** 6])
 def test_quantiles_by_ranges_match_numpy(spark, range_rows):
     values = np.concatenate([np.full(700, 3.25), np.random.default_rng(1).normal(size=1301)])
@@ -59,7 +70,10 @@ def test_quantiles_by_ranges_match_numpy(spark, range_rows):
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     found = quantiles.quantile_values(df, ["x"], probs, max_distinct=0, range_rows=range_rows)["x"]
     assert np.allclose(found, np.quantile(values, probs))
+    by_ranges = quantiles.grouped_quantiles(df, [], "x", probs, range_rows)
+    assert np.allclose([r["value"] for r in by_ranges.orderBy("prob").collect()], np.quantile(values, probs))
     many = np.linspace(0, 1, 101)
+    assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist(), 0, range_rows)["x"], np.quantile(values, many))
     assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist())["x"], np.quantile(values, many))
 
 

@@ -65,6 +65,11 @@ def test_golden_files(golden, tmp_path):
     assert rows[0] == ["Executive admin and managerial", "42.04", "49.04", "0.29", "1834.18", "12495", "1"]
 
 
+def test_rounding_is_half_even(spark):
+    df = spark.createDataFrame([(0.125, 1), (0.375, 2), (-0.125, 3), (None, 4)], "x double, n int")
+    assert [r["x"] for r in groups.round_stats(df, 2).collect()] == [0.12, 0.38, -0.12, None]
+
+
 def test_a_row_may_fall_into_both_outer_bands(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "k string, x double")
     assert sorted(tuple(r)[::2] for r in groups.quartile_bands(df, "x").collect()) == [
