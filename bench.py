@@ -11,6 +11,7 @@ import time
 from pyspark.sql import SparkSession
 
 from catalog import QUERIES
+from tallyframe.session import RECOMMENDED_SETTINGS
 
 HEADLINE = [
     "shape_lineitem", "null_counts_lineitem", "value_counts_documents", "top_values_part", "distinct_counts_orders",
@@ -32,7 +33,7 @@ def main():
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config(map=RECOMMENDED_SETTINGS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

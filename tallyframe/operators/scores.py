@@ -4,10 +4,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expressions import n_log_n, number, numbers, sql_text
+from tallyframe.functions.expressions import n_log_n, numbers, sql_text
 from tallyframe.functions.tails import chi2_p_value, f_p_value
 from tallyframe.operators.groups import running_number
 from tallyframe.operators.quantiles import quantile_values
@@ -15,45 +15,49 @@ from tallyframe.session import is_small, quoted
 
 UNKNOWN = "Unknown"
 MAX_PAIRS_IN_ONE_AGGREGATE = 120
+MAX_LITERAL_VALUES = 100
 
 
 def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> DataFrame:
     """Replace every value by its 0-based rank among the column's sorted values; nulls count as `unknown`.
 
-    The value dictionaries are broadcast when their measured size allows; otherwise the codes come from a
-    distributed sort and a regular join, in which adaptive execution splits hot values.
+    A short list of values becomes a literal array, a longer one of measured size a broadcast join. Otherwise the
+    codes come from a distributed sort and a regular join, in which adaptive execution splits hot values.
     """
     if not cols:
         return df
-    filled = df.withColumns({c: F.coalesce(quoted(c), F.lit(unknown)) for c in cols})
-    values = filled.select(*[quoted(c) for c in cols]).unpivot(
+    spark = df.sparkSession
+    out = df.withColumns({c: F.coalesce(quoted(c), F.lit(unknown)) for c in cols})
+    values = out.select(*[quoted(c) for c in cols]).unpivot(
         [], [quoted(c) for c in cols], "column", "value").distinct().persist()
     if is_small(values):
-        code = F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1
-        codes = {c: {} for c in cols}
-        for r in values.withColumn("code", code).collect():  # measured above
-            codes[r["column"]][r["value"]] = r["code"]
-        spark = df.sparkSession
-        dictionary = {
-            c: F.broadcast(spark.createDataFrame(list(m.items()), "_value string, _code int"))
-            for c, m in codes.items() if m
-        }
+        words = {c: [] for c in cols}
+        for r in values.collect():
+            words[r["column"]].append(r["value"])
+        words = {c: sorted(w, key=lambda v: v.encode()) for c, w in words.items()}
         values.unpersist()
+        short = [c for c in cols if len(words[c]) <= MAX_LITERAL_VALUES]
+        joins = {
+            c: F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(words[c])], "_value string, _code int"))
+            for c in cols if c not in short
+        }
+        out = out.withColumns({
+            c: (F.array_position(F.array(*[F.lit(v) for v in words[c]]), quoted(c)) - 1).cast("int") for c in short
+        })
     else:
-        dictionary = {
+        joins = {
             c: running_number(
                 values.where(F.col("column") == c).select(F.col("value").alias("_value")),
                 [F.col("_value")], "_code", start=0,
             ) for c in cols
         }
-    out = filled
-    for c, codes in dictionary.items():
+    for c, codes in joins.items():
         out = out.join(codes, quoted(c) == F.col("_value"), "left")
         out = out.withColumn(c, F.col("_code").cast("int")).drop("_value", "_code")
     return out.select(*[quoted(c) for c in df.columns])
 
 
-def _sums_in_spark(df: DataFrame, cols: list[str], known: list[int], rows: int) -> DataFrame:
+def _sums_in_spark(df: DataFrame, wanted: list[tuple[int, int]], known: list[int], rows: int) -> DataFrame:
     """Sums per pair of centred columns in one aggregate; columns without nulls share their own sums."""
     full = [n == rows for n in known]
     sums = {}
@@ -67,7 +71,7 @@ def _sums_in_spark(df: DataFrame, cols: list[str], known: list[int], rows: int)
         return names
 
     pairs = []
-    for i, j in combinations(range(len(cols)), 2):
+    for i, j in wanted:
         (sx, sxx), (sy, syy), sxy = own_sums(i, j), own_sums(j, i), f"p{i}_{j}"
         sums[sxy] = f"coalesce(sum(x{i} * x{j}), 0D)"
         if full[i] or full[j]:
@@ -111,14 +115,21 @@ def _centres(df: DataFrame, cols: list[str]) -> list[dict]:
     return [{**seen[f"c{i}"].asDict(), "rows": seen["rows"]} for i in range(len(cols))]
 
 
-def _pairs(df: DataFrame, cols: list[str], centres: list[dict], max_pairs: int) -> DataFrame:
+def _pairs(
+    df: DataFrame, cols: list[str], centres: list[dict], max_pairs: int, with_last: bool = False
+) -> DataFrame:
+    """Correlations of all pairs of columns, or of every column with the last one."""
+    last = len(cols) - 1
+    wanted = [(i, j) for i, j in combinations(range(len(cols)), 2) if j == last or not with_last]
     centred = numbers(df, cols).select(*[
         (F.col(f"x{i}") - F.lit(c["mean"]).cast("double")).alias(f"x{i}") for i, c in enumerate(centres)
     ])
-    if len(cols) * (len(cols) - 1) // 2 <= max_pairs:
-        sums = _sums_in_spark(centred, cols, [c["known"] for c in centres], centres[0]["rows"])
+    if len(wanted) <= max_pairs:
+        sums = _sums_in_spark(centred, wanted, [c["known"] for c in centres], centres[0]["rows"])
     else:
         sums = _sums_in_arrow(centred, cols)
+        if with_last:
+            sums = sums.where(F.col("j") == last)
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
@@ -165,13 +176,9 @@ def corr_lower_triangle(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def target_correlation(df: DataFrame, cols: list[str], target: str = "target", k: int | None = 15) -> DataFrame:
     """|corr| of every column with the target, largest first: `feature`, `abs_corr`."""
-    x = numbers(df, cols, number(df, target).alias("y"))
-    rows = []
-    for i, c in enumerate(cols):
-        known = f"FILTER (WHERE x{i} IS NOT NULL AND y IS NOT NULL)"
-        spread = f"(stddev_pop(x{i}) {known} * stddev_pop(y) {known})"
-        rows.append(f"struct({sql_text(c)} AS feature, abs(try_divide(covar_pop(x{i}, y), {spread})) AS abs_corr)")
-    out = x.agg(F.expr(f"array({', '.join(rows)}) AS rows")).select(F.inline("rows"))
+    both = [*cols, target]
+    pairs = _pairs(df, both, _centres(df, both), MAX_PAIRS_IN_ONE_AGGREGATE, with_last=True)
+    out = pairs.select(F.col("feature1").alias("feature"), F.abs("corr").alias("abs_corr"))
     return _top(out, "abs_corr", k)
 
 

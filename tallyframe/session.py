@@ -12,6 +12,14 @@ SMALL_ROWS = 100_000
 SMALL_BYTES = 32 * 1024 * 1024
 
 
+# Session settings that pay off here: tables of many columns make generated methods that the JVM refuses to
+# compile above 8000 bytes, and call-site capture slows down building large expressions.
+RECOMMENDED_SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
     """Measure whether the whole of `df` stays within both bounds (one aggregation job)."""
     width = F.lit(0)

@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -12,6 +15,8 @@ def test_label_codes_follow_sorted_values(spark, monkeypatch):
     df = spark.createDataFrame([(1, "b", "x"), (2, None, "y"), (3, "a", "x"), (4, "Z", None)], "id int, s string, t string")
     expected = [(1, 3, 1), (2, 0, 2), (3, 2, 1), (4, 1, 0)]  # Unknown < Z < a < b
     assert sorted(tuple(r) for r in scores.label_encode(df, ["s", "t"]).collect()) == expected
+    monkeypatch.setattr(scores, "MAX_LITERAL_VALUES", 3)  # one column by literal, one by broadcast join
+    assert sorted(tuple(r) for r in scores.label_encode(df, ["s", "t"]).collect()) == expected
     monkeypatch.setattr(scores, "is_small", lambda df: False)
     monkeypatch.setattr("tallyframe.operators.groups.is_small", lambda df: False)
     assert sorted(tuple(r) for r in scores.label_encode(df, ["s", "t"]).collect()) == expected
@@ -84,3 +89,22 @@ def test_mutual_information(spark):
     assert out["same"] == pytest.approx(math.log(2)) and out["flat"] == pytest.approx(0) and out["x"] == pytest.approx(math.log(2))
     binned = scores.mutual_info(df, ["x"], bins=2).first()["mutual_info"]
     assert binned == pytest.approx(math.log(2))
+
+
+def test_udfs_need_no_installed_package(tmp_path):
+    """Executors get the code of the UDFs with the tasks: the package is only on the driver's path here."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from tallyframe.operators import features, scores
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.createDataFrame([(1.0, 0), (2.0, 0), (4.0, 1), (7.0, 1)], "x double, target int")
+print(len(scores.f_scores(df, ["x"]).collect()), len(scores.chi2_scores(df, ["x"]).collect()),
+      features.scale(df, ["x"], "quantile").count(), "done")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "1 1 4 done" in run.stdout, run.stderr[-2000:]
