@@ -178,12 +178,12 @@ def choose_k_part(spark, d):
         {"p_size": ["mean"], "p_retailprice": ["mean"], "target": ["mean", "count"]},
         {"avg_age": "p_size_mean", "avg_weeks_worked": "p_retailprice_mean", "high_income_rate": "target_mean",
          "sample_size": "target_count"}, "target_count", 1))
-    return segmentation.cluster_groups(features, "p_brand", n_init=3)[1]
+    return segmentation.cluster_groups(features, "p_brand")[1]
 
 
 @query()
 def segment_lineitem(spark, d):
     """The whole segmentation job: every supplier with its cluster."""
     return segmentation.segment(
-        supplier_lines(spark, d), "l_suppkey", SUPPLIER_STATS, SUPPLIER_FEATURES, "target_count", 100, n_init=3
+        supplier_lines(spark, d), "l_suppkey", SUPPLIER_STATS, SUPPLIER_FEATURES, "target_count", 100
     )["features"]

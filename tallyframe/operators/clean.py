@@ -36,6 +36,16 @@ def normalize_strings(df: DataFrame, null_token: str | None = None, sentinel: st
     return df.withColumns({c: clean(c) for c in columns_by_role(df)["categorical"]})
 
 
+def clean_text(df: DataFrame, null_token: str | None = None, padded_sentinel: str = "null") -> DataFrame:
+    """Sentinels to nulls and trimmed text, as both jobs need it.
+
+    `padded_sentinel="keep"` with `null_token="nan"` treats text as the classic scripts do: a sentinel with blanks
+    around it survives as a category of its own, and missing text becomes the category `nan`.
+    """
+    sentinel = SENTINEL if padded_sentinel == "null" else None
+    return normalize_strings(sentinel_to_null(df), null_token, sentinel)
+
+
 def select_features(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ("target",)) -> DataFrame:
     """The wanted columns that exist, followed by the columns to keep."""
     return df.select(*[quoted(c) for c in [*available(df, cols), *keep]])

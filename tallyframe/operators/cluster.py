@@ -70,6 +70,8 @@ def stable_cluster_numbers(df: DataFrame, key: str, cluster: str) -> DataFrame:
 def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], block_rows: int = BLOCK_ROWS) -> dict[str, float]:
     """Exact mean Euclidean silhouette of each label column; members of one-row clusters count 0.
 
+    With a single cluster the silhouette is undefined (null).
+
     The points are hashed into blocks of about `block_rows`. Every pair of blocks is one task that turns its
     distances into sums per point and cluster at once, so distances are never stored and memory stays bounded.
     """
@@ -121,7 +123,7 @@ def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], blo
         n = F.coalesce(*size)
         a = F.try_divide(F.coalesce(*own), n - 1)
         b = F.array_min(F.array_compact(F.array(*others)))
-        s = F.when(n == 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+        s = F.when(n == 1, F.lit(0.0)).when(b.isNotNull(), F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
         means.append(F.avg(s).alias(f"m{i}"))
     row = scored.agg(*means).first()
     table.unpersist()

@@ -20,11 +20,14 @@ NO_ZERO = "age"
 
 def prepare(
     df: DataFrame, key: str, label: str = "label", features: list[str] = FEATURES, money: list[str] = MONEY,
-    no_zero: str | None = NO_ZERO, null_token: str | None = None, pattern: str = clean.LOW_LABEL_PATTERN,
+    no_zero: str | None = NO_ZERO, pattern: str = clean.LOW_LABEL_PATTERN, **text,
 ) -> DataFrame:
-    """Target, cleaned text, selected columns, filled money columns and replaced outliers; all rows kept."""
+    """Target, cleaned text, selected columns, filled money columns and replaced outliers; all rows kept.
+
+    Cutoffs and modes come from the whole table, before the split. `text` holds the options of `clean.clean_text`.
+    """
     df = clean.with_target(df, label, pattern)
-    df = clean.normalize_strings(clean.sentinel_to_null(df), null_token=null_token, sentinel=clean.SENTINEL)
+    df = clean.clean_text(df, **text)
     df = clean.select_features(df, features, keep=("target", key))
     money = [c for c in money if c in df.columns]
     df = clean.fill_nulls(df, {c: 0 for c in money})
@@ -70,6 +73,8 @@ def train_classifiers(
         confusion[name] = metrics.confusion_matrix(scored, target)
         if name != models.LOGISTIC:
             importance[name] = models.feature_importance(spark, fitted[name], names)
+    train_x.unpersist()
+    test_x.unpersist()
     table, best = metrics.compare_models(spark, results)
     meta = {
         "model_name": best, "selected_features": chosen, "performance": results[best],

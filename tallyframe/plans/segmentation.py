@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame
 
-from tallyframe.operators import cluster, groups
+from tallyframe.operators import clean, cluster, groups
 from tallyframe.operators.features import scale
+from tallyframe.plans.classifier import FEATURES as COLUMNS
 from tallyframe.session import checkpointed, quoted
 
 # The group key, the statistics per column and the feature table made from them.
@@ -23,6 +24,11 @@ FEATURES = {
 CLUSTER_ON = ["avg_age", "avg_weeks_worked", "high_income_rate"]
 
 
+def prepare(df: DataFrame, label: str = "label", features: list[str] = COLUMNS, **text) -> DataFrame:
+    """Target, cleaned text and the feature columns. `text` holds the options of `clean.clean_text`."""
+    return clean.select_features(clean.clean_text(clean.with_target(df, label), **text), features)
+
+
 def group_features(
     df: DataFrame, key: str = KEY, stats: dict = STATS, features: dict = FEATURES, size: str = "target_count",
     min_rows: int = 100,

@@ -21,7 +21,9 @@ def test_preparation_keeps_all_rows(census, trained):
     assert prepared.agg(F.max("capital gains")).first()[0] <= cut
     assert prepared.where(F.col("id") == 17).first()["target"] == 1  # null label
     assert prepared.where(F.col("class of worker") == "?").count() == 0
-    nan = classifier.prepare(census, "id", null_token="nan")
+    assert prepared.where(F.col("class of worker").isNull()).count() == census.where("trim(`class of worker`) = '?'").count()
+    nan = classifier.prepare(census, "id", null_token="nan", padded_sentinel="keep")
+    assert nan.where(F.col("class of worker") == "?").count() == census.where("trim(`class of worker`) = '?'").count()
     assert nan.where(F.col("marital stat") == "nan").count() == census.where(F.col("marital stat") == "?").count()
 
 

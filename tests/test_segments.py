@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import cluster, features, groups
-from tallyframe.operators.clean import normalize_strings, sentinel_to_null, with_target
 from tallyframe.plans import segmentation
 from tallyframe.sources.tables import write_segments
 
@@ -131,7 +130,7 @@ def test_fewer_groups_than_clusters(spark):
 
 
 def test_segmentation_job_on_raw_rows(census):
-    df = normalize_strings(sentinel_to_null(with_target(census)), null_token="nan")
+    df = segmentation.prepare(census, null_token="nan")
     out = segmentation.segment(df, n_init=2, ks=range(2, 4))
     keys = {r[KEY] for r in out["features"].collect()}
     assert keys == {"Sales", "Professional specialty", "Other service", "Not in universe"}  # Armed Forces: 50 rows
