@@ -1,6 +1,6 @@
 """All queries of the subpackage: importing the operators registers them."""
 
-from tallyframe.llm import bpe, language, packing, pii, quality, sharding, simhash, token_files  # noqa: F401
+from tallyframe.llm import bpe, fingerprint, language, packing, pii, quality, sharding, simhash, token_files  # noqa: F401
 from tallyframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
