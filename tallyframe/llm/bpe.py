@@ -6,7 +6,6 @@ position at a time, the leftmost of its lowest rank, which is what an encoder do
 """
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import documents, worker_state
 from tallyframe.llm.registry import query
-from tallyframe.llm.words import WordIds, byte_words, ids_column, rank_file
+from tallyframe.llm.words import WordIds, byte_words, id_blocks, rank_file
 
+# Positions whose pairs are looked up at a time before the first merge.
+FIRST_LOOK = 1 << 18
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -28,15 +29,15 @@ class Merges:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.rank = {t: r for r, t in enumerate(tokens)}
-        self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a << 32 | b, r) for t, r in self.rank.items() for i in range(1, len(t))
                  if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.pairs, self.joined = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+        self.pairs, self.joined = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int32)
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, -1 where it makes none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.joined[at], -1)
 
@@ -45,13 +46,13 @@ class Merges:
         sizes = np.array([len(w) for w in words], np.int64)
         n = int(sizes.sum())
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(sizes)[sizes > 0]
         after[ends - 1] = n
         before[np.r_[0, ends[:-1]]] = -1
         there = np.ones(n, bool)
-        pair = np.full(n, -1, np.int64)  # rank of the pair that starts here
+        pair = np.full(n, -1, np.int32)  # rank of the pair that starts here
         index, ranks = {}, []
 
         def look(at):
@@ -71,7 +72,8 @@ class Merges:
                     index[r] = [part]
                     heapq.heappush(ranks, r)
 
-        look(np.arange(n))
+        for part in np.array_split(np.arange(n, dtype=np.int32), n // FIRST_LOOK + 1):
+            look(part)
         while ranks:
             r = heapq.heappop(ranks)
             at = index.pop(r)
@@ -134,27 +136,37 @@ def _encoder(path: str, pattern: str) -> WordIds:
     return worker_state(("replay", path, pattern), make)
 
 
-def encode(df: DataFrame, text: str, ids: str, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Add (or replace) column `ids`: array<int> of the whole text's token ids; a null or empty text has none."""
-    return df.withColumn(ids, ids_column(F.col(text), lambda: _encoder(path, pattern)))
+def encode(df: DataFrame, keys: list[str], text: str, path: str = RANKS,
+           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(keys, ids: array<int>) with the ids of the whole text of every row; a null or empty text has none.
+
+    Keys may be null or repeated. A task replays the merges over the distinct pieces of blocks of its texts.
+    """
+    def run(batches):
+        for b in batches:
+            for at, ids in id_blocks(_encoder(path, pattern), b.column(len(keys))):
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(ids)) for c in b.columns[:len(keys)]], ids],
+                                                 names=[*keys, "ids"])
+
+    own = df.select(*keys, F.col(text).alias("_text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
+    return own.mapInArrow(run, f"{schema}, ids array<int>")
 
 
 def decode(df: DataFrame, ids: str, data: str, path: str = RANKS) -> DataFrame:
-    """Add (or replace) binary column `data`: the bytes the ids stand for; null ids give no bytes."""
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = worker_state(("tokens", path), lambda: rank_file(path)).__getitem__
-        for lists in batches:
-            yield pa.array([b"".join(map(token, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in lists],
-                           pa.binary())
+    """Add (or replace) binary column `data`: the bytes the ids stand for, looked up in the vocabulary as a constant array.
 
-    return df.withColumn(data, run(F.col(ids)))
+    Null ids give null. An id outside the vocabulary is an error.
+    """
+    digits = F.split(F.lit(",".join(t.hex() for t in rank_file(path))), ",")  # folded into a constant by the optimizer
+    # As strings, since only those are joined; joining takes the bytes as they are.
+    joined = F.array_join(F.transform(ids, lambda i: F.unhex(F.element_at(digits, i + 1)).cast("string")), "")
+    return df.withColumn(data, joined.cast("binary"))
 
 
 @query()
 def op2_byte_bpe(spark, folder):
-    coded = encode(documents(spark, folder).select("doc_id", "text"), "text", "ids").drop("text")
-    back = decode(coded, "ids", "decoded")
+    back = decode(encode(documents(spark, folder), ["doc_id"], "text"), "ids", "decoded")
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import documents, numbered, stored
 from tallyframe.llm.registry import query
-from tallyframe.llm.token_files import ids_crc32
-from tallyframe.llm.words import id_lists, library_ids
+from tallyframe.llm.words import id_blocks, library_ids
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
@@ -29,31 +28,31 @@ def pieces(df: DataFrame, keys: list[str], text: str, path: str = BYTES, end_id:
            capacity: int = CAPACITY) -> DataFrame:
     """(keys, piece, start, length, ids) of all documents: ids of the whole text and `end_id`, longer ones cut.
 
+    Ids are little-endian unsigned 32-bit integers in a binary column.
+
     Pieces of a cut document have `capacity` ids but for the first, which takes the rest. A null text is empty, so its one
     piece is the end id. Rows with the same keys each give their own pieces.
     """
     def run(batches):
         for b in batches:
-            source, piece, start, length, out = [], [], [], [], []
-            for i, x in enumerate(id_lists(library_ids(path), b.column(len(keys)))):
-                ids = np.append(x.values.to_numpy(), np.int32(end_id))
-                cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                for p, (a, z) in enumerate(zip(cuts, cuts[1:])):
-                    source.append(i)
-                    piece.append(p)
-                    start.append(a)
-                    length.append(z - a)
-                out.append(ids)
-            offsets = pa.array(np.cumsum([0, *length]), pa.int32())
-            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *out]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(pa.array(source, pa.int64())) for c in b.columns[:len(keys)]], pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                names=[*keys, "piece", "start", "length", "ids"])
+            for at, lists in id_blocks(library_ids(path), b.column(len(keys))):
+                source, piece, start, data = [], [], [], []
+                for i, x in enumerate(lists):
+                    ids = np.append(x.values.to_numpy(), np.int32(end_id)).astype("<u4")
+                    cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+                    for p, (first, end) in enumerate(zip(cuts, cuts[1:])):
+                        source.append(at + i)
+                        piece.append(p)
+                        start.append(first)
+                        data.append(ids[first:end].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(pa.array(source, pa.int64())) for c in b.columns[:len(keys)]], pa.array(piece, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())],
+                    names=[*keys, "piece", "start", "length", "ids"])
 
     own = df.select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
-    return own.mapInArrow(run, f"{schema}, piece int, start long, length long, ids array<int>")
+    return own.mapInArrow(run, f"{schema}, piece int, start long, length long, ids binary")
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
@@ -177,14 +176,15 @@ def pack(df: DataFrame, length: str, spread: list[str], capacity: int = CAPACITY
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids) from packed pieces (sequence_id, offset, ids); a group never exceeds the capacity in ids."""
+    """(sequence_id, ids: binary) from packed pieces (sequence_id, offset, ids); no group exceeds the capacity in ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    joined = F.aggregate(parts, F.lit(b""), lambda ids, p: F.concat(ids, p["ids"]))
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
     """Pieces of `docs` (doc_id, text) with the CRC-32 of their ids, packed."""
-    cut = pieces(docs, ["doc_id"], "text").withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
+    cut = pieces(docs, ["doc_id"], "text").withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(stored(cut), "length", ["doc_id", "piece", "ids_crc32"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

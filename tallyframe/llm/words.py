@@ -11,36 +11,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.common import worker_state
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 KEPT_CHARS = 32 << 20
+# Text that is cut into words at a time.
+BLOCK_BYTES = 8 << 20
 
-# A space with white space before and white space or the end after it: the run it stands in can't be cut there.
-_INSIDE_RUN = re.compile(r" (?=\s|\Z)(?<=\s )")
+# White space, a space, white space or the end: the run that such a space stands in can't be cut there.
+_INSIDE_RUN = r"[\s\v\x1c-\x1f\x85\pZ] (?:[\s\v\x1c-\x1f\x85\pZ]|\z)"
 # Characters that every Unicode version and normal form treats alike.
 _PLAIN = re.compile("[\t\n\r -~À-įı-ſ]*")
 _CUT = "\x01"
 
 
-def byte_words(text: str) -> list[str] | None:
-    """Parts of a text between which byte-level patterns always break; None where only the whole text will do."""
-    if _CUT in text or _INSIDE_RUN.search(text):
-        return None
-    return text.replace(" ", _CUT + " ").split(_CUT)
+def byte_words(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Parts of each text between which byte-level patterns always break, and which texts can only be taken whole."""
+    whole = pc.or_(pc.match_substring(texts, _CUT), pc.match_substring_regex(texts, _INSIDE_RUN))
+    marked = pc.replace_substring(pc.if_else(whole, "", texts), " ", _CUT + " ")
+    return pc.split_pattern(marked, _CUT), whole.to_numpy(zero_copy_only=False)
 
 
-def space_words(text: str) -> list[str]:
-    """Parts of a text for tokenizers that drop white space."""
-    return text.replace("\n", " ").split(" ")
+def space_words(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Parts of each text for tokenizers that drop white space; no text has to be taken whole."""
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), np.zeros(len(texts), bool)
 
 
 class WordIds:
-    """Ids of texts. `cut` gives a text's words (None: encode it whole), `resolve` the ids of each of a list of texts."""
+    """Ids of texts. `cut` gives the words of an array of texts, `resolve` the ids of each of a list of words."""
 
     def __init__(self, cut: Callable, resolve: Callable, kept_words: int = KEPT_WORDS, kept_chars: int = KEPT_CHARS):
         self.cut, self.resolve, self.kept_words, self.kept_chars = cut, resolve, kept_words, kept_chars
@@ -50,33 +52,36 @@ class WordIds:
         self.number, self.chars = {}, 0
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and where each text's ids start and the last ones end."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts (no nulls) one after the other, and where each text's ids start and the last ones end."""
         if len(self.number) > self.kept_words or self.chars > self.kept_chars:
             self.clear()
-        rows, fresh, number = [], [], self.number
-        for text in texts:
-            words = self.cut(text) if text else []
-            if words is None:
-                words = [text]
-            for w in set(words).difference(number):
+        words, whole = self.cut(texts)
+        offsets = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode()
+        distinct = self._numbers(coded.dictionary.to_pylist())
+        flat = distinct[coded.indices.to_numpy()]
+        if whole.any():
+            flat[offsets[:-1][whole]] = self._numbers(texts.filter(pa.array(whole)).to_pylist())
+        lengths = self.lengths[flat]
+        first = np.cumsum(lengths) - lengths
+        ids = self.pool[np.arange(lengths.sum()) + np.repeat(self.starts[flat] - first, lengths)]
+        return ids, np.r_[0, np.cumsum(lengths)][offsets]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Number of each word; those not met before are resolved together."""
+        number, fresh = self.number, []
+        for w in words:
+            if w not in number:
                 number[w] = len(number)
                 fresh.append(w)
-            rows.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
         if fresh:
             self.chars += sum(map(len, fresh))
             found, lengths = self.resolve(fresh)
-            starts = np.cumsum(lengths) - lengths + len(self.pool)
-            self.starts, self.lengths = np.r_[self.starts, starts], np.r_[self.lengths, lengths]
+            self.starts = np.r_[self.starts, np.cumsum(lengths) - lengths + len(self.pool)]
+            self.lengths = np.r_[self.lengths, lengths]
             self.pool = np.r_[self.pool, found.astype(np.int32)]
-        ids = [self._ids(r) for r in rows]
-        ends = np.cumsum([0, *map(len, ids)])
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), ends
-
-    def _ids(self, words: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[words]
-        first = np.cumsum(lengths) - lengths
-        return self.pool[np.arange(lengths.sum()) + np.repeat(self.starts[words] - first, lengths)]
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -106,22 +111,27 @@ class LibraryWords:
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > KEPT_WORDS:
             self.parts.clear()
-        plain, find, parts = _PLAIN.fullmatch, self.pattern.findall, self.parts
-        model, letters, ids, lengths = self.tokenizer.model, self.letters, [], []
+        ids, lengths = [], []
         for w in words:
             before = len(ids)
-            if plain(w) is None or (not self.lower and byte_words(w) is None):
+            if w.isascii() and w.isalpha():
+                ids += self._part(w.lower() if self.lower else w)
+            elif _PLAIN.fullmatch(w) is None:
                 ids += self.tokenizer.encode(w, add_special_tokens=False).ids
             else:
-                for part in find(w.lower() if self.lower else w):
-                    got = parts.get(part)
-                    if got is None:
-                        got = [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(letters))]
-                        parts[part] = got
-                    ids += got
+                for part in self.pattern.findall(w.lower() if self.lower else w):
+                    ids += self._part(part)
             lengths.append(len(ids) - before)
         return np.array(ids, np.int32), np.array(lengths, np.int64)
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of one match of the split pattern."""
+        got = self.parts.get(part)
+        if got is None:
+            letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+            self.parts[part] = got = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return got
+
 
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -134,37 +144,28 @@ def library_ids(path: str) -> WordIds:
     return worker_state(("library", path), make)
 
 
-def text_blocks(texts: pa.Array, most_bytes: int = 16 << 20) -> Iterator[list[str]]:
-    """The texts in order, in lists of bounded size (a longer text is alone); nulls as empty."""
-    block, size = [], 0
-    for scalar in texts:
-        text = scalar.as_py() or ""
-        if block and size + len(text) > most_bytes:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
+def text_blocks(texts: pa.Array, most_bytes: int = BLOCK_BYTES) -> Iterator[pa.Array]:
+    """The texts in order, in slices of bounded size (a longer text is alone); nulls as empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def id_blocks(encoder: WordIds, texts: pa.Array) -> Iterator[tuple[int, pa.ListArray]]:
+    """Ids of the texts (null: none) block by block, with the place of the block's first text."""
+    at = 0
+    for block in text_blocks(texts):
+        ids, ends = encoder.encode(block)
+        yield at, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        at += len(block)
 
 
 def id_lists(encoder: WordIds, texts: pa.Array) -> pa.ListArray:
-    ids, ends = zip(*(encoder.encode(b) for b in text_blocks(texts))) if len(texts) else ((), ())
-    offsets, base = [np.zeros(1, np.int64)], 0
-    for e in ends:
-        offsets.append(e[1:] + base)
-        base += e[-1]
-    flat = np.concatenate([np.zeros(0, np.int32), *ids])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.array(flat, pa.int32()))
-
-
-def ids_column(text, encoder: Callable[[], WordIds]):
-    """Column array<int> with the ids of the texts in `text` (null: no ids)."""
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield id_lists(encoder(), texts)
-    return encode(text)
+    return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(ids for _, ids in id_blocks(encoder, texts))])
 
 
 def rank_file(path: str) -> list[bytes]:
