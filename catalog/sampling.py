@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from tallyframe.operators import sampling
 from tallyframe.operators.clean import with_target
+from tallyframe.operators.groups import running_number
 
 
 def _hash(key):
@@ -51,13 +52,30 @@ def stratified_split_orders(spark, d):
             .select("o_orderkey", "target", "part"))
 
 
-@query(f"SELECT event_id, event_type FROM events ORDER BY {_hash('event_id')}, event_id LIMIT 15")
+@query(f"""SELECT event_id, event_type, row_number() OVER (ORDER BY {_hash('event_id')}, event_id) AS position FROM events""")
 def shuffle_events(spark, d):
-    """The first 15 rows of the repeatable random order."""
-    return sampling.shuffle(table(spark, d, "events").select("event_id", "event_type"), "event_id").limit(15)
+    """All rows with their place in the repeatable random order."""
+    order = [sampling.row_hash("event_id", 42), F.col("event_id")]
+    return running_number(table(spark, d, "events").select("event_id", "event_type"), order, "position")
 
 
-@query(f"{URGENT_SQL} WHERE o_orderpriority <> '3-MEDIUM'")
+@query(URGENT_SQL)
 def union_classes_orders(spark, d):
-    o = urgent_orders(spark, d).where("o_orderpriority <> '3-MEDIUM'")
+    o = urgent_orders(spark, d)
     return o.where("target = 0").unionByName(o.where("target = 1"))
+
+
+@query(f"""
+WITH c AS (SELECT o_custkey, count(*) AS n_c FROM orders GROUP BY 1),
+s AS (SELECT *, ceil(sum(n_c) OVER () * 3 / 10::DOUBLE) AS total, sum(n_c) OVER () AS n FROM c),
+f AS (SELECT *, floor(n_c * total / n) AS base, n_c * total / n - floor(n_c * total / n) AS frac FROM s),
+k AS (SELECT o_custkey, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, o_custkey)
+        <= total - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM f),
+r AS (SELECT o_orderkey, o_custkey, k, row_number() OVER (PARTITION BY o_custkey ORDER BY {_hash('o_orderkey')}, o_orderkey) AS rn
+      FROM orders JOIN k USING (o_custkey))
+SELECT o_orderkey, o_custkey, CASE WHEN rn <= k THEN 'test' ELSE 'train' END AS part FROM r""")
+def stratified_split_customers(spark, d):
+    """As many classes as there are customers."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    train, test = sampling.stratified_split(orders, "o_custkey", "o_orderkey")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

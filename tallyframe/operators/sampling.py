@@ -1,7 +1,8 @@
 """Exact, repeatable sampling without a shuffle of the rows.
 
-Rows are ordered by a hash of their unique key. The n-th smallest hash of a class is located by counting
-rows per hash prefix, and the sample is then a plain filter on the input.
+Rows are ordered by a hash of their unique key. The last row to keep of every class is located by counting rows per
+class and hash prefix; the sample is then a comparison with that row. Quotas and last rows are tables with a row per
+class, so there may be any number of classes.
 """
 
 import math
@@ -9,12 +10,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.session import quoted
+from tallyframe.session import checkpointed, is_small, quoted
 
-HASH_HEX = 32
-PREFIX_STEP = 4
-SORT_ROWS = 10_000
-MAX_CLASSES = 1_000
+PREFIX_ROWS = 1_000
 
 
 def row_hash(key: str, seed: int) -> Column:
@@ -26,89 +24,76 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(row_hash(key, seed), quoted(key))
 
 
-def class_sizes(df: DataFrame, target: str) -> dict:
-    rows = df.groupBy(quoted(target).alias("t")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    return {r["t"]: r["n"] for r in rows}
-
-
-def _last_kept(df: DataFrame, target: str, key: str, wanted: dict, seed: int) -> dict:
-    """Per class the hash and key of its `wanted[class]`-th row (1-based) in hash order."""
-    rows = df.select(quoted(target).alias("t"), row_hash(key, seed).alias("h"), quoted(key).alias("k"))
-
-    def in_prefix(spots):
-        test = F.lit(False)
-        for value, (prefix, _) in spots.items():
-            test = test | (F.col("t").eqNullSafe(F.lit(value)) & F.col("h").startswith(prefix))
-        return test
-
-    def left(spots):
-        return F.coalesce(*[
-            F.when(F.col("t").eqNullSafe(F.lit(value)), F.lit(n)) for value, (_, n) in spots.items()
-        ])
-
-    todo, found = {value: ("", n) for value, n in wanted.items()}, {}
-    width = 0
-    while todo:
-        width += PREFIX_STEP
-        counts = (
-            rows.where(in_prefix(todo))
-            .groupBy("t", F.substring("h", 1, width).alias("prefix")).agg(F.count("*").alias("cnt"))
-        )
-        upto = F.sum("cnt").over(Window.partitionBy("t").orderBy("prefix"))  # at most 16 ** PREFIX_STEP rows
-        hits = counts.withColumn("upto", upto).withColumn("left", left(todo)).where(
-            (F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("cnt"))
-        ).collect()
-        todo = {}
-        for r in hits:
-            spot = (r["prefix"], r["left"] - (r["upto"] - r["cnt"]))
-            done = r["cnt"] <= SORT_ROWS or width >= HASH_HEX
-            (found if done else todo)[r["t"]] = spot
-    position = F.row_number().over(Window.partitionBy("t").orderBy("h", "k"))
-    last = rows.where(in_prefix(found)).withColumn("position", position).where(F.col("position") == left(found))
-    return {r["t"]: (r["h"], r["k"]) for r in last.collect()}
-
-
-def first_in_hash_order(
-    df: DataFrame, target: str, key: str, wanted: dict, sizes: dict, seed: int = 42
-) -> Column:
-    """Condition that keeps exactly `wanted[class]` rows of each class."""
-    whole = [c for c, n in wanted.items() if n >= sizes[c]]
-    part = {c: n for c, n in wanted.items() if 0 < n < sizes[c]}
-    h, k, t = row_hash(key, seed), quoted(key), quoted(target)
-    keep = F.lit(False)
-    for value in whole:
-        keep = keep | t.eqNullSafe(F.lit(value))
-    for value, (last_h, last_k) in (_last_kept(df, target, key, part, seed) if part else {}).items():
-        upto = F.struct(h.alias("h"), k.alias("k")) <= F.struct(F.lit(last_h).alias("h"), F.lit(last_k).alias("k"))
-        keep = keep | (t.eqNullSafe(F.lit(value)) & upto)
-    return keep
+def class_sizes(df: DataFrame, target: str) -> DataFrame:
+    """`t`, `n`: one row per class, null included."""
+    return df.groupBy(quoted(target).alias("t")).agg(F.count("*").alias("n"))
 
 
-def downsample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
-    """Reduce class 0 to exactly min(n0, n1) rows; class 1 keeps all its rows."""
-    sizes = class_sizes(df, target)
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    wanted = {c: n for c, n in ((0, min(n0, n1)), (1, n1)) if c in sizes}
-    return df.where(first_in_hash_order(df, target, key, wanted, sizes, seed))
+def _hinted(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df) else df
+
+
+def _last_kept(df: DataFrame, target: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
+    """`t`, `h`, `k`: hash and key of the `quota`-th row (1-based) of every class in hash order.
+
+    A key that occurs more than once around that row has no definite order and is an error.
+    """
+    total = quotas.agg(F.sum("n")).first()[0] or 0
+    width = max(1, math.ceil(math.log(max(1.0, total / PREFIX_ROWS), 16)))
+    rows = df.select(quoted(target).alias("t"), row_hash(key, seed).alias("h"), quoted(key).alias("k")) \
+        .withColumn("prefix", F.substring("h", 1, width))
+    counts = rows.groupBy("t", "prefix").agg(F.count("*").alias("cnt"))
+    upto = F.sum("cnt").over(Window.partitionBy("t").orderBy("prefix"))
+    some = quotas.where("quota > 0 AND quota < n").select(F.col("t").alias("class"), "quota")
+    spots = counts.withColumn("upto", upto).join(_hinted(some), F.col("t").eqNullSafe(F.col("class"))).where(
+        "quota <= upto AND quota > upto - cnt").select("class", F.col("prefix").alias("at"), (F.expr("quota - upto + cnt")).alias("left"))
+    spots = checkpointed(spots)  # one row per class
+    near = rows.join(_hinted(spots), F.col("t").eqNullSafe(F.col("class")) & (F.col("prefix") == F.col("at")))
+    order = Window.partitionBy("t").orderBy("h", "k")
+    near = near.withColumn("position", F.row_number().over(order)).withColumn("next", F.lead(F.struct("h", "k")).over(order))
+    unclear = F.col("next").eqNullSafe(F.struct("h", "k"))
+    return near.where("position = left").select(
+        "t", F.when(unclear, F.raise_error(F.concat(F.lit("the key is not unique: "), F.col("k").cast("string")))).otherwise(F.col("h")).alias("h"), "k")
 
 
-def split_sizes(sizes: dict, test: float) -> dict:
-    """Test rows per class: ceil(test * n) in total, shared by largest remainder, ties to the smaller class."""
-    total = math.ceil(round(test * sum(sizes.values()), 9))
-    share = {c: n * total / sum(sizes.values()) for c, n in sizes.items()}
-    out = {c: math.floor(s) for c, s in share.items()}
-    by_remainder = sorted(sizes, key=lambda c: (-(share[c] - out[c]), c is None, c))
-    for c in by_remainder[: total - sum(out.values())]:
-        out[c] += 1
-    return out
+def first_in_hash_order(df: DataFrame, target: str, key: str, quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """Add `_first`: whether a row is among the first `quota` rows of its class; quotas: (t, n, quota) per class."""
+    quotas = checkpointed(quotas)
+    last = _last_kept(df, target, key, quotas, seed).select(F.col("t").alias("lt"), F.col("h").alias("_h"), F.col("k").alias("_k"))
+    marks = checkpointed(quotas.join(last, F.col("t").eqNullSafe(F.col("lt")), "left").select(
+        F.col("t").alias("_t"), (F.col("quota") >= F.col("n")).alias("_all"), "_h", "_k"))
+    upto = F.struct(row_hash(key, seed).alias("h"), quoted(key).alias("k")) <= F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"))
+    joined = df.join(_hinted(marks), quoted(target).eqNullSafe(F.col("_t")))
+    first = F.col("_all") | F.coalesce(F.col("_h").isNotNull() & upto, F.lit(False))
+    return joined.select(*[quoted(c) for c in df.columns], first.alias("_first"))
+
+
+def downsample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
+    """Reduce class 0 to exactly min(n0, n1) rows; class 1 keeps all its rows. Other classes, null too, are an error."""
+    sizes = class_sizes(df, target)
+    others = sizes.where("t IS NULL OR t NOT IN (0, 1)").limit(1).collect()
+    if others:
+        raise ValueError(f"{target} has a class other than 0 and 1: {others[0]['t']}")
+    n1 = F.sum(F.when(F.col("t") == 1, F.col("n")).otherwise(0)).over(Window.partitionBy())  # two rows
+    quotas = sizes.withColumn("quota", F.least("n", n1))
+    return first_in_hash_order(df, target, key, quotas, seed).where("_first").drop("_first")
+
+
+def split_sizes(sizes: DataFrame, test: float) -> DataFrame:
+    """`t`, `n`, `quota`: test rows per class, ceil(test * n) in total, shared by largest remainder, ties to the smaller class."""
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
+    total = math.ceil(round(test * rows, 9))
+    share = F.col("n") * F.lit(float(total)) / F.lit(float(max(rows, 1)))
+    shared = checkpointed(sizes.withColumn("base", F.floor(share)).withColumn("rest", share - F.floor(share)))
+    missing = total - (shared.agg(F.sum("base")).first()[0] or 0)
+    lucky = shared.orderBy(F.desc("rest"), F.col("t").asc_nulls_last()).limit(missing).select(F.col("t").alias("lt"), F.lit(1).alias("more"))
+    return shared.join(lucky, F.col("t").eqNullSafe(F.col("lt")), "left").select(
+        "t", "n", (F.col("base") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
 def stratified_split(
     df: DataFrame, target: str, key: str, test: float = 0.3, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with equal class shares; both are filters on the input and cover it without overlap."""
-    sizes = class_sizes(df, target)
-    in_test = first_in_hash_order(df, target, key, split_sizes(sizes, test), sizes, seed)
-    return df.where(~in_test), df.where(in_test)
+    """(train, test) with equal class shares; the two cover the input without overlap, whatever the number of classes."""
+    marked = first_in_hash_order(df, target, key, split_sizes(class_sizes(df, target), test), seed)
+    return marked.where("NOT _first").drop("_first"), marked.where("_first").drop("_first")

@@ -1,6 +1,7 @@
 import hashlib
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import sampling
@@ -34,8 +35,7 @@ def test_class_one_is_never_reduced(spark):
 def test_deep_prefixes_give_the_same_sample(spark, monkeypatch):
     df = labelled(spark)
     expected = sorted(r["id"] for r in sampling.downsample(df, "target", "id").collect())
-    monkeypatch.setattr(sampling, "PREFIX_STEP", 1)
-    monkeypatch.setattr(sampling, "SORT_ROWS", 3)
+    monkeypatch.setattr(sampling, "PREFIX_ROWS", 1)
     assert sorted(r["id"] for r in sampling.downsample(df, "target", "id").collect()) == expected
 
 
@@ -47,16 +47,38 @@ def test_split_is_disjoint_complete_and_stratified(spark):
     assert test.where("target = 1").count() == 43  # 143 * 301 / 1001 = 43.0
 
 
-def test_split_sizes_share_the_remainder():
-    assert sampling.split_sizes({0: 5, 1: 5}, 0.3) == {0: 2, 1: 1}
-    assert sampling.split_sizes({0: 10, 1: 10}, 0.3) == {0: 3, 1: 3}
-    assert sum(sampling.split_sizes({0: 348, 1: 51}, 0.3).values()) == 120
+def quotas(spark, sizes):
+    rows = sampling.split_sizes(spark.createDataFrame(list(sizes.items()), "t int, n long"), 0.3).collect()
+    return {r["t"]: r["quota"] for r in rows}
+
+
+def test_split_sizes_share_the_remainder(spark):
+    assert quotas(spark, {0: 5, 1: 5}) == {0: 2, 1: 1}
+    assert quotas(spark, {0: 10, 1: 10}) == {0: 3, 1: 3}
+    assert sum(quotas(spark, {0: 348, 1: 51}).values()) == 120
+
+
+def test_any_number_of_classes(spark):
+    df = spark.range(6000).withColumn("target", F.when(F.col("id") % 1500 > 0, F.col("id") % 1500))
+    train, test = sampling.stratified_split(df, "target", "id")
+    got = {r["target"]: r["count"] for r in test.groupBy("target").count().collect()}
+    assert sum(got.values()) == 1800 and set(got.values()) == {1, 2} and None in got
+    assert train.count() == 4200 and train.intersect(test).count() == 0
+
+
+def test_other_classes_and_repeated_keys_are_errors(spark):
+    three = spark.range(30).withColumn("target", F.col("id") % 3)
+    with pytest.raises(ValueError):
+        sampling.downsample(three, "target", "id")
+    twice = spark.range(40).select((F.col("id") % 4).alias("id"), F.when(F.col("id") < 5, 1).otherwise(0).alias("target"))
+    with pytest.raises(Exception, match="not unique"):
+        sampling.downsample(twice, "target", "id").collect()
 
 
 def test_split_plan_has_no_shuffle(spark):
     df = labelled(spark)
     train, _ = sampling.stratified_split(df, "target", "id")
-    assert "Exchange" not in train._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in train._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shuffle(spark):
