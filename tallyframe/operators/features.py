@@ -5,7 +5,6 @@ loaded like any other, and its transform is a projection.
 """
 
 import json
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -144,11 +143,36 @@ class QuantileNormalScalerModel(Model, _Columns):
         })
 
 
+# Coefficients of the rational approximations (AS 241), highest power first.
+_MIDDLE = ([2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4,
+            1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0],
+           [5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4,
+            5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0])
+_SIDE = ([7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0,
+          3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0],
+         [1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+          6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0])
+_TAIL = ([2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2,
+          2.96560571828504891230e-1, 1.78482653991729133580e0, 5.46378491116411436990e0, 6.65790464350110377720e0],
+         [2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+          1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0])
+
+
+def inverse_normal(p: np.ndarray) -> np.ndarray:
+    """Normal quantiles of shares from 0 to 1, by rational approximation over whole arrays."""
+    q = p - 0.5
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.sqrt(-np.log(np.where(q < 0, p, 1 - p)))
+        ratio = lambda parts, r: np.polyval(parts[0], r) / np.polyval(parts[1], r)
+        outer = np.sign(q) * np.where(far <= 5, ratio(_SIDE, far - 1.6), ratio(_TAIL, far - 5))
+        outer = np.where(np.isinf(far), np.sign(q) * np.inf, outer)
+        return np.where(np.abs(q) <= 0.425, q * ratio(_MIDDLE, 0.180625 - q * q), outer)
+
+
 def normal_score(landmarks: list[float]):
     """Arrow-batched UDF from a value to the normal score of its position between the landmarks."""
     marks = np.array(landmarks)
     shares = np.linspace(0, 1, len(marks))
-    inverse = NormalDist().inv_cdf
 
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
@@ -158,7 +182,7 @@ def normal_score(landmarks: list[float]):
         share = (np.interp(distinct, marks, shares) + 1 - np.interp(-distinct, -marks[::-1], 1 - shares[::-1])) / 2
         share = np.where(distinct + EDGE_DISTANCE > marks[-1], 1.0, share)
         share = np.where(distinct - EDGE_DISTANCE < marks[0], 0.0, share)
-        z = np.array([inverse(p) if 0 < p < 1 else np.inf * np.sign(p - 0.5) for p in share.tolist()])
+        z = inverse_normal(share)
         z = np.where(np.isnan(distinct), np.nan, np.clip(z, -EDGE_SCORE, EDGE_SCORE))
         return pd.Series(z[back]).astype(object).where(~np.isnan(x), None)
 

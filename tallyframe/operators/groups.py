@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import ellipsize, marker_size, number
-from tallyframe.operators.quantiles import MAX_DISTINCT, distinct_estimate, grouped_quantiles, quantile_values
+from tallyframe.operators.quantiles import grouped_quantiles, quantile_values
 from tallyframe.session import checkpointed, is_small, quoted
 
 SIMPLE_STATS = {
@@ -12,36 +12,22 @@ SIMPLE_STATS = {
 }
 
 
-def group_profile(
-    df: DataFrame, key: str, stats: dict[str, list[str]], digits: int | None = 2, max_distinct: int = MAX_DISTINCT
-) -> DataFrame:
+def group_profile(df: DataFrame, key: str, stats: dict[str, list[str]], digits: int | None = 2) -> DataFrame:
     """One row per non-null key with a `<column>_<stat>` column per wanted statistic.
 
-    Statistics: mean, std (sample), count, min, max, sum, median. Results are rounded half-even. Where some
-    group has very many distinct values, the medians of that column are found range by range, so that a dominant
-    key is not held by one task.
+    Statistics: mean, std (sample), count, min, max, sum, median. Results are rounded half-even. Medians come from the
+    value counts of the groups, so that a dominant key is not held by one task.
     """
     rows = df.where(quoted(key).isNotNull())
     medians = [c for c, wanted in stats.items() if "median" in wanted]
-    spread = []
-    if medians:
-        sizes = rows.groupBy(quoted(key).alias("key")).agg(F.count("*").alias("n"))
-        share = max_distinct // len(medians)
-        if (sizes.agg(F.max("n")).first()[0] or 0) > share:
-            estimate = distinct_estimate(rows, medians, key)
-            spread = [c for c in medians if estimate[c] > share]
-
-    def expression(c, stat):
-        x = number(df, c)
-        return F.percentile(x, 0.5) if stat == "median" else SIMPLE_STATS[stat](x)
-
     out = rows.groupBy(quoted(key).alias(key)).agg(*[
-        expression(c, s).alias(f"{c}_{s}")
-        for c, wanted in stats.items() for s in wanted if not (s == "median" and c in spread)
-    ])
-    for c in spread:
-        median = grouped_quantiles(rows, [key], c, [0.5]).select(quoted(key), F.col("value").alias(f"{c}_median"))
-        out = out.join(median, key, "left")
+        SIMPLE_STATS[s](number(df, c)).alias(f"{c}_{s}") for c, wanted in stats.items() for s in wanted if s != "median"
+    ]) if any(s != "median" for wanted in stats.values() for s in wanted) else rows.select(quoted(key)).distinct()
+    if medians:
+        found = grouped_quantiles(rows, [key], medians, [0.5])
+        found = found.groupBy(quoted(key)).agg(*[
+            F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"{c}_median") for c in medians])
+        out = out.join(found, key, "left")
     order = [f"{c}_{s}" for c, wanted in stats.items() for s in wanted]
     out = out.select(quoted(key), *[quoted(c) for c in order])
     return out if digits is None else round_stats(out, digits)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import number
-from tallyframe.operators.quantiles import RANGE_ROWS, range_cuts, range_number
-from tallyframe.session import quoted
+from tallyframe.operators.quantiles import RANGE_ROWS, in_ranges
+from tallyframe.session import checkpointed, quoted
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -58,32 +58,28 @@ def score_steps(df: DataFrame, label: str, score: str, range_rows: int = RANGE_R
     about `range_rows` distinct scores and shifted by the totals of the ranges above.
     """
     scored = df.select(number(df, score).alias("score"), quoted(label).alias("y")).where("score IS NOT NULL")
-    steps = scored.groupBy("score").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    n_scores = scored.agg(F.approx_count_distinct("score")).first()[0]
-    cuts = range_cuts(steps, "score", n_scores, range_rows) if n_scores > range_rows else []
-    steps = steps.withColumn("part", range_number(F.col("score"), cuts))
+    steps = checkpointed(scored.groupBy("score").agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")))
+    ranged = in_ranges(steps, "score", steps.count(), range_rows)
     inside = Window.partitionBy("part").orderBy(F.desc("score"))
-    steps = steps.select(
+    ranged = ranged.select(
         "part", "score", "pos", "neg", F.sum("pos").over(inside).alias("tp"), F.sum("neg").over(inside).alias("fp"))
-    if cuts:
-        above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-        shift = steps.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-            "part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p"),
-            F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n"))
-        steps = steps.join(F.broadcast(shift), "part").select(
-            "score", "pos", "neg", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("n")).alias("fp"))
-    return steps.select("score", "pos", "neg", "tp", "fp")
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shift = ranged.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
+        "part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n"))
+    return ranged.join(F.broadcast(shift), "part").select(
+        "score", "pos", "neg", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("n")).alias("fp"))
 
 
 def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", range_rows: int = RANGE_ROWS) -> DataFrame:
     """`roc_auc` (ties count half) and `pr_auc` (average precision by steps) in one pass."""
     steps = score_steps(df, label, score, range_rows)
     p, n = F.sum("pos"), F.sum("neg")
-    beaten = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    beaten = F.sum(F.col("neg").cast("double") * (F.col("tp").cast("double") - F.col("pos") / 2))
+    precision = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp").cast("double") + F.col("fp")))
     return steps.agg(
-        F.try_divide(beaten, (p * n).cast("double")).alias("roc_auc"),
+        F.try_divide(beaten, p.cast("double") * n.cast("double")).alias("roc_auc"),
         F.try_divide(precision, p.cast("double")).alias("pr_auc"),
     )
 

@@ -6,9 +6,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.expressions import SENTINEL, double_text, number, numbers, percentage, sql_text
 from tallyframe.operators.quantiles import quantile_values
-from tallyframe.session import quoted
-
-MAX_CLASSES = 1_000
+from tallyframe.session import checkpointed, is_small, quoted
 
 
 def available(df: DataFrame, wanted: list[str]) -> list[str]:
@@ -105,10 +103,9 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
     moments = numbers(df, cols).agg(*[
         F.expr(f"struct(count(x{i}) AS count, avg(x{i}) AS mean, stddev_samp(x{i}) AS std, min(x{i}) AS min, "
-               f"max(x{i}) AS max, approx_count_distinct(x{i}) AS n_distinct) AS s{i}") for i in range(len(cols))
+               f"max(x{i}) AS max) AS s{i}") for i in range(len(cols))
     ]).first()
-    estimate = {c: moments[f"s{i}"]["n_distinct"] for i, c in enumerate(cols)}
-    quartiles = quantile_values(df, cols, [0.25, 0.5, 0.75], estimate=estimate)
+    quartiles = quantile_values(df, cols, [0.25, 0.5, 0.75])
     rows = [(c, *[moments[f"s{i}"][m] for m in ("count", "mean", "std", "min")], *quartiles[c], moments[f"s{i}"]["max"])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
@@ -133,63 +130,36 @@ def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5, flag_above: flo
         "column", "lower_bound", "upper_bound", "cnt", pct.alias("pct"), (pct > flag_above).alias("flagged"))
 
 
-def crosstab_rate(df: DataFrame, cat: str, target: str = "target", classes: tuple = (0, 1)) -> DataFrame:
-    """Share of each class within every category: the category and one `share_<class>` column per class."""
-    t = quoted(target)
-    counts = (
-        df.where(quoted(cat).isNotNull() & t.isNotNull())
-        .groupBy(quoted(cat).alias(cat))
-        .agg(F.count("*").alias("_n"), *[F.count_if(t == v).alias(f"_c{i}") for i, v in enumerate(classes)])
-    )
-    return counts.select(
-        quoted(cat),
-        *[F.try_divide(F.col(f"_c{i}").cast("double"), F.col("_n").cast("double")).alias(f"share_{v}")
-          for i, v in enumerate(classes)],
-    )
+def crosstab_rate(df: DataFrame, cat: str, target: str = "target") -> DataFrame:
+    """Share of each class within every category: the category and one `share_<class>` column per class of the target."""
+    counts = df.where(quoted(cat).isNotNull() & quoted(target).isNotNull()).groupBy(quoted(cat).alias(cat), quoted(target).alias("_t")) \
+        .agg(F.count("*").alias("_n"))
+    classes = sorted(r["_t"] for r in counts.select("_t").distinct().collect())  # they become columns
+    total = F.sum("_n")
+    return counts.groupBy(quoted(cat)).agg(*[
+        F.try_divide(F.coalesce(F.sum(F.when(F.col("_t") == v, F.col("_n"))), F.lit(0)).cast("double"), total.cast("double"))
+        .alias(f"share_{v}") for v in classes])
 
 
 def density_histogram(df: DataFrame, cols: list[str], by: str = "target", bins: int = 50) -> DataFrame:
-    """Equal-width density histogram of every column within every class.
+    """Equal-width density histogram of every column within every class, however many classes there are.
 
     The bins span the class's own minimum and maximum, and the last bin includes the maximum. Returns
     `column`, `by`, `bin`, `lower_edge`, `upper_edge`, `cnt`, `density`, empty bins included.
     """
-    limits = df.where(quoted(by).isNotNull()).groupBy(quoted(by).alias("by")).agg(
-        *[F.struct(F.min(number(df, c)).alias("lo"), F.max(number(df, c)).alias("hi"),
-                   F.count(number(df, c)).alias("n")).alias(f"v{i}") for i, c in enumerate(cols)]
-    ).limit(MAX_CLASSES + 1).collect()
-    if len(limits) > MAX_CLASSES:
-        raise ValueError(f"{by} has more than {MAX_CLASSES} classes")
-
-    grid, bin_of = [], []
-    for i, c in enumerate(cols):
-        x, bin_expr = number(df, c), None
-        for row in limits:
-            lo, hi, n = row[f"v{i}"]["lo"], row[f"v{i}"]["hi"], row[f"v{i}"]["n"]
-            if not n:
-                continue
-            if lo == hi:
-                lo, hi = lo - 0.5, hi + 0.5
-            width = (hi - lo) / bins
-            grid.append((c, row["by"], lo, width, n))
-            position = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-            matches = (quoted(by) == F.lit(row["by"])) & x.isNotNull()
-            bin_expr = F.when(matches, position) if bin_expr is None else bin_expr.when(matches, position)
-        if bin_expr is not None:
-            bin_of.append(F.struct(F.lit(c).alias("column"), bin_expr.cast("int").alias("bin")))
-    by_type = df.schema[by].dataType.simpleString()
-    out = df.sparkSession.createDataFrame(
-        grid, f"column string, by {by_type}, lo double, width double, n long"
-    ).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    if not bin_of:
-        return out.select("column", "by", "bin", F.col("lo").alias("lower_edge"), F.col("lo").alias("upper_edge"),
-                          F.col("n").alias("cnt"), F.col("width").alias("density"))
-    counts = (
-        df.select(quoted(by).alias("by"), F.inline(F.array(*bin_of)))
-        .where("bin IS NOT NULL").groupBy("column", "by", "bin").agg(F.count("*").alias("found"))
-    )
+    values = df.where(quoted(by).isNotNull()).select(quoted(by).alias("by"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), number(df, c).alias("x")) for c in cols]))).where("x IS NOT NULL")
+    limits = values.groupBy("column", "by").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    flat = F.col("lo") == F.col("hi")
+    limits = checkpointed(limits.select(
+        "column", "by", "n", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        (F.when(flat, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")) / bins).alias("width")))
+    side = F.broadcast(limits) if is_small(limits) else limits
+    place = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    counts = values.join(side, ["column", "by"]).groupBy("column", "by", place.alias("bin")).agg(F.count("*").alias("found"))
+    grid = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     cnt = F.coalesce(F.col("found"), F.lit(0))
-    return out.join(counts, ["column", "by", "bin"], "left").select(
+    return grid.join(counts, ["column", "by", "bin"], "left").select(
         "column", "by", "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("lower_edge"),
         (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("upper_edge"),

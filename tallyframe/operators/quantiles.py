@@ -1,221 +1,117 @@
 """Exact, linearly interpolated quantiles.
 
-`F.percentile` keeps one entry per distinct value in a single task, so it is used only for as many columns
-as fit a budget of distinct values, by measurement. For other columns an approximate quantile gives a narrow
-bracket around each wanted rank, and only the rows inside are counted and sorted. Many quantiles at once, and
-quantiles per group, cut the values into ranges and sort only the ranges that hold a wanted rank.
+Equal values are counted first, so a value that fills most of a column costs one row. The distinct values are numbered in
+order by running counts: cut into ranges where there are many, so that no task holds a column or a dominant group, and a
+wanted rank is then a comparison with the running count.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import double_text, number, numbers
-from tallyframe.session import checkpointed, is_small, quoted
+from tallyframe.session import checkpointed, quoted
 
-MAX_DISTINCT = 300_000  # values that one task may hold, over all columns of an aggregate
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 50_000
-FEW_PROBS = 20
-BRACKET_ACCURACY = 100_000
-MAX_BRACKET_ROWS = 50_000_000
 
 
-def distinct_estimate(df: DataFrame, cols: list[str], key: str | None = None) -> dict[str, int]:
-    """Distinct values per column; with a key, those of the group that has the most."""
-    x = numbers(df, cols, *([] if key is None else [quoted(key).alias("key")]))
-    found = x.groupBy(*([] if key is None else ["key"])).agg(*[
-        F.approx_count_distinct(f"x{i}").alias(f"d{i}") for i in range(len(cols))])
-    row = found.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(cols))]).first()
-    return {c: row[f"d{i}"] or 0 for i, c in enumerate(cols)}
-
-
-def _list(values: list[float]) -> str:
-    return f"array({', '.join(double_text(v) for v in values)})"
-
+def in_ranges(df: DataFrame, value: str, rows: int, range_rows: int, out: str = "part") -> DataFrame:
+    """Add the number of the range of about `range_rows` rows that the double `value` (null and NaN: range 0) falls into."""
+    n = math.ceil(rows / range_rows)
+    finite = F.abs(F.col(value)) < F.lit(float("inf"))
+    cuts = sorted(set(df.where(finite).approxQuantile(value, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    edges = [-math.inf, *cuts, math.inf]
+    cut = Bucketizer(splits=edges, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
+    return cut.withColumn(out, F.coalesce(F.col(out), F.lit(0.0)).cast("int"))
 
-def range_cuts(df: DataFrame, value: str, n_rows: int, range_rows: int = RANGE_ROWS) -> list[float]:
-    """Cut points that split the values of a numeric column into ranges of about `range_rows` rows."""
-    n_ranges = min(MAX_RANGES, math.ceil(n_rows / range_rows))
-    if n_ranges <= 1:
-        return []
-    grid = [i / n_ranges for i in range(1, n_ranges)]
-    accuracy = max(10_000, 10 * n_ranges)
-    cuts = df.agg(F.expr(f"percentile_approx({value}, {_list(grid)}, {accuracy}) AS cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
 
+def numbered_in_ranges(
+    df: DataFrame, by: list[str], value: str, out: str, range_rows: int = RANGE_ROWS, also: str | None = None,
+    weight: Column | None = None, descending: bool = False,
+) -> DataFrame:
+    """Add the running sum of `weight` (default: of rows) within each group in the order of `value`, then of `also`.
 
-def range_number(value, cuts: list[float]):
-    """Number of cut points below the value; one constant range when there are no cut points."""
-    if not cuts:
-        return F.lit(0)
-    edges = np.array(cuts)
+    The sum includes the row itself. `df` should be stored: it is read more than once.
+    """
+    ranged = in_ranges(df, value, df.count(), range_rows, "_part").withColumn("_weight", F.lit(1) if weight is None else weight)
+    sort = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    inside = Window.partitionBy(*by, "_part").orderBy(sort(value), *([also] if also else [])).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(sort("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy(*by, "_part").agg(F.sum("_weight").alias("_n")).select(
+        *by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    summed = ranged.withColumn("_own", F.sum("_weight").over(inside))
+    joined = summed.join(shift, [*by, "_part"])
+    return joined.withColumn(out, F.col("_own") + F.col("_shift")).drop("_part", "_weight", "_own", "_shift")
 
-    @F.pandas_udf("int")
-    def locate(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x.to_numpy(), side="left").astype("int32"))
 
-    return locate(value)
+def _counted(values: DataFrame, by: list[str], range_rows: int) -> DataFrame:
+    """Distinct values `x` with their rows `cnt` and the rows up to them, `upto`."""
+    counts = checkpointed(values.where("x IS NOT NULL").groupBy(*by, "x").agg(F.count("*").alias("cnt")))
+    return numbered_in_ranges(counts, by, "x", "upto", range_rows, weight=F.col("cnt"))
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: list[str], col: str, probs: list[float], range_rows: int = RANGE_ROWS
+    df: DataFrame, keys: list[str], cols: list[str], probs: list[float], range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Exact quantiles per key for columns with any number of distinct values.
-
-    Returns one row per key and probability: keys, `prob`, `value`. A key that holds most of the rows
-    is spread over the value ranges, so no task receives more than one range of it.
-    """
+    """Exact quantiles per key: one row per key, column and probability: keys, `column`, `prob`, `value`."""
     names = [f"key{i}" for i in range(len(keys))]
-    values = df.select(
-        *[quoted(k).alias(n) for k, n in zip(keys, names)], number(df, col).alias("x")
-    ).where("x IS NOT NULL")
-    cuts = range_cuts(values, "x", values.count(), range_rows)
-    ranged = values.withColumn("part", range_number(F.col("x"), cuts))
-
-    per_range = ranged.groupBy(*names, "part").agg(F.count("*").alias("n"))
-    by_key = Window.partitionBy(*(names or [F.lit(0)]))
-    # position = (n - 1) * prob; its floor and its ceiling are the two ranks to look up
-    ranks = F.explode(F.flatten(F.transform(
-        F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("total") - 1) * F.lit(float(p))).alias("pos"))
-                  for p in probs]),
-        lambda t: F.array(
-            F.struct(t["prob"].alias("prob"), F.floor(t["pos"]).alias("rank"),
-                     (F.lit(1.0) - (t["pos"] - F.floor(t["pos"]))).alias("weight")),
-            F.struct(t["prob"].alias("prob"), F.ceil(t["pos"]).alias("rank"),
-                     (t["pos"] - F.floor(t["pos"])).alias("weight")),
-        ),
-    ))).alias("t")
-    wanted = (
-        per_range
-        .withColumn("upto", F.sum("n").over(by_key.orderBy("part")))
-        .withColumn("total", F.sum("n").over(by_key))
-        .select(*names, "part", "n", "upto", ranks)
-        .where("t.weight > 0 AND t.rank < upto AND t.rank >= upto - n")
-        .select(*names, "part", F.col("t.prob").alias("prob"), F.col("t.weight").alias("weight"),
-                (F.col("t.rank") - F.col("upto") + F.col("n")).alias("offset"))
-    )
-    wanted = checkpointed(wanted)  # at most two rows per key and probability
-    hint = F.broadcast if is_small(wanted) else (lambda t: t)
-    on = names + ["part"]
-    counted = (
-        ranged.join(hint(wanted.select(*on).distinct()), on, "left_semi")
-        .groupBy(*on, "x").agg(F.count("*").alias("cnt"))
-        .withColumn("last", F.sum("cnt").over(Window.partitionBy(*on).orderBy("x")))
-    )
-    return (
-        counted.join(hint(wanted), on)
-        .where("offset < last AND offset >= last - cnt")
-        .groupBy(*names, "prob").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
-        .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "prob", "value")
-    )
-
-
-def _bracketed_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], accuracy: int = BRACKET_ACCURACY
+    values = df.select(*[quoted(k).alias(n) for k, n in zip(keys, names)], *[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)])
+    values = values.unpivot(names, [f"x{i}" for i in range(len(cols))], "column", "x")
+    by = [*names, "column"]
+    counted = _counted(values, by, range_rows)
+    totals = counted.groupBy(*by).agg(F.max("upto").alias("total"))
+    position = lambda p: (F.col("total") - 1) * F.lit(float(p))  # noqa: E731  its floor and its ceiling are the ranks to look up
+    wanted = F.flatten(F.array(*[F.array(
+        F.struct(F.lit(float(p)).alias("prob"), F.floor(position(p)).alias("rank"), (1 - (position(p) - F.floor(position(p)))).alias("w")),
+        F.struct(F.lit(float(p)).alias("prob"), F.ceil(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")))
+        for p in probs]))
+    here = F.filter("wanted", lambda t: (t["w"] > 0) & (t["rank"] < F.col("upto")) & (t["rank"] >= F.col("upto") - F.col("cnt")))
+    # A join with one row per group; in which adaptive execution splits a dominant one.
+    hits = counted.join(totals, by).withColumn("wanted", wanted).select(*by, "x", F.explode(here).alias("t"))
+    original = F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("column", 2, 9).cast("int") + 1)
+    return hits.groupBy(*by, F.col("t.prob").alias("prob")).agg(F.sum(F.col("x") * F.col("t.w")).alias("value")).select(
+        *[F.col(n).alias(k) for k, n in zip(keys, names)], original.alias("column"), "prob", "value")
+
+
+def quantile_values(
+    df: DataFrame, cols: list[str], probs: list[float], range_rows: int = RANGE_ROWS
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles from the rows near the approximate ones; columns without a safe bracket are left out."""
+    """Quantiles of every column as plain numbers, ready to be used as literals."""
+    if not cols:
+        return {}
+    probs = np.array([float(p) for p in probs])
     x = numbers(df, cols)
-    slack = 2 / accuracy
-    grid = _list([min(1.0, max(0.0, p + side)) for p in probs for side in (-slack, slack)])
-    approximate = x.agg(*[
-        F.expr(f"struct(count(x{i}) AS n, percentile_approx(x{i}, {grid}, {accuracy}) AS cuts) AS c{i}")
-        for i in range(len(cols))
-    ]).first()
-    found, brackets = {}, []
-    for i, c in enumerate(cols):
-        n, cuts = approximate[f"c{i}"]
-        if not n:
-            found[c] = [None] * len(probs)
-            continue
-        for j, p in enumerate(probs):
-            brackets.append((i, j, double_text(cuts[2 * j]), double_text(cuts[2 * j + 1]), (n - 1) * p))
-    if not brackets:
-        return found
-    counts = x.agg(*[
-        F.expr(f"struct(count_if(x{i} < {lo}) AS below, count_if(x{i} BETWEEN {lo} AND {hi}) AS inside) AS b{k}")
-        for k, (i, _, lo, hi, _) in enumerate(brackets)
-    ]).first()
-    wanted, unsafe = [], set()
-    for k, (i, _, _, _, position) in enumerate(brackets):
-        below, inside = counts[f"b{k}"]
-        low, high = math.floor(position), math.ceil(position)
-        if not (below <= low and high < below + inside and inside <= MAX_BRACKET_ROWS):
-            unsafe.add(i)
-        wanted += [(k, low - below, 1 - (position - low)), (k, high - below, position - low)]
-    rows = [f"struct({k} AS spot, CASE WHEN x{i} BETWEEN {lo} AND {hi} THEN x{i} END AS x)"
-            for k, (i, _, lo, hi, _) in enumerate(brackets) if i not in unsafe]
-    if rows:
-        inside = x.selectExpr(f"inline(array({', '.join(rows)}))").where("x IS NOT NULL")
-        targets = df.sparkSession.createDataFrame(
-            [w for w in wanted if w[2] > 0 and brackets[w[0]][0] not in unsafe], "spot int, offset long, weight double")
-        counted = inside.groupBy("spot", "x").agg(F.count("*").alias("cnt")).withColumn(
-            "last", F.sum("cnt").over(Window.partitionBy("spot").orderBy("x")))
-        values = (
-            counted.join(F.broadcast(targets), "spot").where("offset < last AND offset >= last - cnt")
-            .groupBy("spot").agg(F.sum(F.col("x") * F.col("weight")).alias("value")).collect()
-        )
-        for r in values:
-            i, j = brackets[r["spot"]][:2]
-            found.setdefault(cols[i], [None] * len(probs))[j] = r["value"]
-    return found
-
-
-def _many_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Hundreds of quantiles per column from its value counts; the number of values was measured to be small."""
-    wanted = np.array(probs)
-
-    def from_counts(counts: pd.DataFrame) -> pd.DataFrame:
-        counts = counts.sort_values("x")
-        values, upto = counts["x"].to_numpy(), counts["cnt"].cumsum().to_numpy()
-        position = (upto[-1] - 1) * wanted
-        low, high = np.floor(position), np.ceil(position)
-        at_low, at_high = (values[np.searchsorted(upto, rank, side="right")] for rank in (low, high))
-        result = at_low * (1 - (position - low)) + at_high * (position - low)
-        return pd.DataFrame({"column": counts["column"].iloc[:1], "found": [result]})
+    counted = checkpointed(_counted(x.unpivot([], x.columns, "column", "x"), ["column"], range_rows))
+    totals = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.max("upto").alias("n")).collect()}
+    position = {c: (n - 1) * probs for c, n in totals.items()}
+    ranks = {c: np.unique(np.r_[np.floor(p), np.ceil(p)]) for c, p in position.items()}
 
-    x = numbers(df, cols)
-    counts = x.unpivot([], x.columns, "column", "x").where("x IS NOT NULL").groupBy("column", "x").agg(
-        F.count("*").alias("cnt"))
-    rows = counts.groupBy("column").applyInPandas(from_counts, "column string, found array<double>").collect()
-    found = {r["column"]: r["found"] for r in rows}
-    return {c: found.get(f"x{i}", [None] * len(probs)) for i, c in enumerate(cols)}
+    def look(batches):
+        for b in batches:
+            for c, part in b.groupby("column"):
+                first, last = (np.searchsorted(ranks[c], part["upto"] - part["cnt"]), np.searchsorted(ranks[c], part["upto"]))
+                n = last - first
+                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"column": c, "rank": ranks[c][at], "x": np.repeat(part["x"].to_numpy(), n)})
 
+    at_rank = {c: {} for c in totals}
+    for r in counted.select("column", "x", "cnt", "upto").mapInPandas(look, "column string, rank double, x double").collect():
+        at_rank[r["column"]][r["rank"]] = r["x"]  # at most two rows per column and probability
 
-def quantile_values(
-    df: DataFrame, cols: list[str], probs: list[float],
-    max_distinct: int = MAX_DISTINCT, range_rows: int = RANGE_ROWS, estimate: dict[str, int] | None = None,
-) -> dict[str, list[float | None]]:
-    """Quantiles of every column as plain numbers, ready to be used as literals.
+    def value(c, p):
+        low, high = np.floor(p), np.ceil(p)
+        if low == high:
+            return at_rank[c][low]
+        return float(at_rank[c][low] * (1 - (p - low)) + at_rank[c][high] * (p - low))
 
-    `estimate` may carry the distinct counts if the caller has them already; otherwise they take one pass.
-    """
-    probs = [float(p) for p in probs]
-    estimate = estimate or distinct_estimate(df, cols)
-    narrow, held = [], 0
-    for c in sorted(cols, key=lambda c: estimate[c]):
-        held += estimate[c]
-        if held <= max_distinct:
-            narrow.append(c)
-    found = {}
-    if narrow and len(probs) > FEW_PROBS:
-        found = _many_quantiles(df, narrow, probs)
-    elif narrow:
-        row = numbers(df, narrow).agg(*[
-            F.expr(f"percentile(x{i}, {_list(probs)}) AS q{i}") for i in range(len(narrow))]).first()
-        found = {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(narrow)}
-    wide = [c for c in cols if c not in found]
-    if wide and len(probs) <= FEW_PROBS:
-        found.update(_bracketed_quantiles(df, wide, probs))
-    for c in cols:
-        if c not in found:
-            rows = grouped_quantiles(df, [], c, probs, range_rows).collect()
-            by_prob = {r["prob"]: r["value"] for r in rows}
-            found[c] = [by_prob.get(p) for p in probs]
-    return found
+    return {c: [value(f"x{i}", p) for p in position[f"x{i}"]] if f"x{i}" in totals else [None] * len(probs)
+            for i, c in enumerate(cols)}
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> DataFrame:
@@ -223,8 +119,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
     if exact:
         values = quantile_values(df, cols, probs)
     else:
+        grid = f"array({', '.join(double_text(p) for p in probs)})"
         row = numbers(df, cols).agg(*[
-            F.expr(f"percentile_approx(x{i}, {_list(probs)}) AS q{i}") for i in range(len(cols))]).first()
+            F.expr(f"percentile_approx(x{i}, {grid}) AS q{i}") for i in range(len(cols))]).first()
         values = {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
     rows = [(c, float(p), v) for c in cols for p, v in zip(probs, values[c])]
     return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")

@@ -47,33 +47,21 @@ def test_quantiles_interpolate_and_skip_missing(spark):
     assert quantiles.quantile_values(df, ["x"], [0.25, 0.5])["x"] == [1.75, 2.5]
     empty = df.where("x > 99 AND NOT isnan(x)")
     assert quantiles.quantile_values(empty, ["x"], [0.5])["x"] == [None]
-    assert quantiles.quantile_values(empty, ["x"], [0.5], max_distinct=-1)["x"] == [None]
     approximate = quantiles.quantiles(spark.range(1, 102).withColumn("x", F.col("id").cast("double")), ["x"], [0.5], exact=False)
     assert rows(approximate) == [("x", 0.5, 51.0)]
 
 
-@pytest.mark.parametrize("accuracy", [20, 1000])
-def test_bracketed_quantiles_are_exact(spark, accuracy):
-    rng = np.random.default_rng(7)
-    data = np.column_stack([rng.exponential(size=5000), np.where(rng.random(5000) < 0.4, 2.5, rng.normal(size=5000))])
-    df = spark.createDataFrame(data.tolist(), "a double, b double").repartition(6)
-    probs = [0.0, 0.25, 0.5, 0.753, 0.99, 1.0]
-    found = quantiles._bracketed_quantiles(df, ["a", "b"], probs, accuracy)
-    for i, c in enumerate("ab"):
-        assert np.allclose(found[c], np.quantile(data[:, i], probs), rtol=1e-14)
-
-
 @pytest.mark.parametrize("range_rows", [50, 700, 10 ** 6])
 def test_quantiles_by_ranges_match_numpy(spark, range_rows):
     values = np.concatenate([np.full(700, 3.25), np.random.default_rng(1).normal(size=1301)])
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = quantiles.quantile_values(df, ["x"], probs, max_distinct=0, range_rows=range_rows)["x"]
+    found = quantiles.quantile_values(df, ["x"], probs, range_rows=range_rows)["x"]
     assert np.allclose(found, np.quantile(values, probs))
-    by_ranges = quantiles.grouped_quantiles(df, [], "x", probs, range_rows)
+    by_ranges = quantiles.grouped_quantiles(df, [], ["x"], probs, range_rows)
     assert np.allclose([r["value"] for r in by_ranges.orderBy("prob").collect()], np.quantile(values, probs))
     many = np.linspace(0, 1, 101)
-    assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist(), 0, range_rows)["x"], np.quantile(values, many))
+    assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist(), range_rows)["x"], np.quantile(values, many))
     assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist())["x"], np.quantile(values, many))
 
 
@@ -82,9 +70,9 @@ def test_group_median_of_a_dominant_key(spark):
     data = [("hot", float(v)) for v in rng.normal(size=900)] + [(k, float(v)) for k in "abc" for v in rng.normal(size=7)]
     df = spark.createDataFrame([*data, (None, 1.0)], "k string, x double")
     expected = {k: np.median([v for kk, v in data if kk == k]) for k in ("hot", "a", "b", "c")}
-    found = quantiles.grouped_quantiles(df.where("k IS NOT NULL"), ["k"], "x", [0.5], range_rows=40)
+    found = quantiles.grouped_quantiles(df.where("k IS NOT NULL"), ["k"], ["x"], [0.5], range_rows=40)
     assert {r["k"]: r["value"] for r in found.collect()} == pytest.approx(expected)
-    table = groups.group_profile(df, "k", {"x": ["mean", "median", "count"]}, digits=None, max_distinct=0)
+    table = groups.group_profile(df, "k", {"x": ["mean", "median", "count"]}, digits=None)
     assert {r["k"]: r["x_median"] for r in table.collect()} == pytest.approx(expected)
 
 
