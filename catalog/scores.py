@@ -126,7 +126,7 @@ def mutual_info_binned_lineitem(spark, d):
     return rounded(scores.mutual_info(coded_lines(spark, d), NUMBERS, bins=10))
 
 
-@query(f"""{WITH_PAIRS.replace(CODED_SQL, CODED_SQL)}, n AS (SELECT count(*) AS rows, count(*) FILTER (target = 0) AS class_0,
+@query(f"""{WITH_PAIRS}, n AS (SELECT count(*) AS rows, count(*) FILTER (target = 0) AS class_0,
 count(*) FILTER (target = 1) AS class_1 FROM t)
 SELECT rows, 9 AS features, class_0, class_1, 2 AS categoricals,
   (SELECT count(*) FROM p WHERE abs(corr) > 0.7) AS correlated_pairs,

@@ -1,16 +1,19 @@
 """Column expressions used across the operators."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.session import quoted
 
-# The two label patterns for the low class, the sentinel for "missing",
+# The two label patterns for the low class, the sentinel for "missing", what counts as a number,
 # and the texts shown for a prediction.
 LOW_LABEL_PATTERN = r"-\s*50000"
 LOW_LABEL_PATTERN_ONE_SPACE = "- 50000"
 SENTINEL = "?"
+NUMBER_PATTERN = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\s*$"
 PREDICTION_TEXT = {0: "≤$50K", 1: ">$50K"}
 
 
@@ -35,7 +38,17 @@ def sql_text(value: str) -> str:
 
 def double_text(value: float | None) -> str:
     """A double literal in SQL text."""
-    return "cast(NULL AS double)" if value is None else f"{float(value)!r}D"
+    if value is None:
+        return "cast(NULL AS double)"
+    value = float(value)
+    if math.isfinite(value):
+        return f"{value!r}D"
+    return f"cast('{'NaN' if math.isnan(value) else 'Infinity' if value > 0 else '-Infinity'}' AS double)"
+
+
+def strict_number(text: Column) -> Column:
+    """Text as a double, null unless all of it is a number; type suffixes such as `12d` are not."""
+    return F.when(text.rlike(NUMBER_PATTERN), F.btrim(text, F.lit(" \t\n\r\x0b\x0c")).try_cast("double"))
 
 
 def low_class_flag(label: Column, pattern: str = LOW_LABEL_PATTERN) -> Column:

@@ -85,3 +85,13 @@ def f_p_value(score: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(s) else f_tail(s, a, b) for s, a, b in zip(score, df1, df2)], dtype="float64"
     )
+
+
+def digamma(x):
+    """Digamma function of positive values: six steps of its recurrence, then the asymptotic series."""
+    x = x.cast("double")
+    shift = sum((1 / (x + i) for i in range(1, 6)), 1 / x)
+    y = x + 6
+    square = 1 / (y * y)
+    series = F.ln(y) - 0.5 / y - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square * (1 / 240 - square / 132))))
+    return series - shift

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.expressions import LOW_LABEL_PATTERN, SENTINEL, low_class_flag, number
+from tallyframe.functions.expressions import LOW_LABEL_PATTERN, SENTINEL, low_class_flag, number, strict_number
 from tallyframe.operators.profile import available, columns_by_role
 from tallyframe.operators.quantiles import quantile_values
 from tallyframe.session import quoted
@@ -54,7 +54,8 @@ def select_features(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ("ta
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text that is not a number becomes null; numeric columns stay as they are."""
     return df.withColumns({
-        c: quoted(c).try_cast("double") for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)
+        c: strict_number(quoted(c)) if isinstance(df.schema[c].dataType, T.StringType) else quoted(c).try_cast("double")
+        for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)
     })
 
 

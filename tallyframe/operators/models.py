@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions.expressions import ellipsize, prediction_text
 from tallyframe.session import quoted
 
+# Split points per feature that trees may choose from.
+MAX_BINS = 256
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosted Trees"
 
 
@@ -19,19 +21,19 @@ def logistic(n_train: int, label: str = "target", max_iter: int = 1000) -> Logis
     )
 
 
-def forest(label: str = "target", num_trees: int = 200, max_depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+def forest(label: str = "target", num_trees: int = 200, max_depth: int = 30, seed: int = 42, max_bins: int = MAX_BINS) -> RandomForestClassifier:
     """Trees grow until Spark's depth limit of 30 or pure leaves."""
     return RandomForestClassifier(
         labelCol=label, numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=1,
-        featureSubsetStrategy="sqrt", seed=seed,
+        featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,
     )
 
 
-def boosted(label: str = "target", rounds: int = 200, max_depth: int = 6, seed: int = 42) -> GBTClassifier:
+def boosted(label: str = "target", rounds: int = 200, max_depth: int = 6, seed: int = 42, max_bins: int = MAX_BINS) -> GBTClassifier:
     """Row and column sampling of 0.8; Spark draws the columns per node."""
     return GBTClassifier(
         labelCol=label, maxIter=rounds, maxDepth=max_depth, stepSize=0.1, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", lossType="logistic", seed=seed,
+        featureSubsetStrategy="0.8", lossType="logistic", seed=seed, maxBins=max_bins,
     )
 
 

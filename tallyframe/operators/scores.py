@@ -4,14 +4,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expressions import n_log_n, numbers, sql_text
-from tallyframe.functions.tails import chi2_p_value, f_p_value
+from tallyframe.functions.expressions import double_text, n_log_n, number, numbers, sql_text
+from tallyframe.functions.tails import chi2_p_value, digamma, f_p_value
 from tallyframe.operators.groups import running_number
-from tallyframe.operators.quantiles import quantile_values
-from tallyframe.session import is_small, quoted
+from tallyframe.operators.quantiles import numbered_in_ranges, quantile_values
+from tallyframe.session import checkpointed, is_small, quoted
 
 UNKNOWN = "Unknown"
 MAX_PAIRS_IN_ONE_AGGREGATE = 120
@@ -174,7 +174,7 @@ def corr_lower_triangle(df: DataFrame, cols: list[str]) -> DataFrame:
         F.col("feature2").alias("row"), F.col("feature1").alias("col"), "corr")
 
 
-def target_correlation(df: DataFrame, cols: list[str], target: str = "target", k: int | None = 15) -> DataFrame:
+def target_correlation(df: DataFrame, cols: list[str], target: str = "target", k: int | None = None) -> DataFrame:
     """|corr| of every column with the target, largest first: `feature`, `abs_corr`."""
     both = [*cols, target]
     pairs = _pairs(df, both, _centres(df, both), MAX_PAIRS_IN_ONE_AGGREGATE, with_last=True)
@@ -199,7 +199,7 @@ def _per_class(df: DataFrame, cols: list[str], target: str, stats: str) -> DataF
     )
 
 
-def chi2_scores(df: DataFrame, cols: list[str], target: str = "target", k: int | None = 15) -> DataFrame:
+def chi2_scores(df: DataFrame, cols: list[str], target: str = "target", k: int | None = None) -> DataFrame:
     """Per-class sums against sums expected from the class shares: `feature`, `chi2_score`, `chi2_pval`.
 
     Defined for non-negative columns; a negative value is an error.
@@ -221,7 +221,7 @@ def chi2_scores(df: DataFrame, cols: list[str], target: str = "target", k: int |
     return _top(scores, "chi2_score", k).select("feature", "chi2_score", chi2_p_value("chi2_score", "df").alias("chi2_pval"))
 
 
-def f_scores(df: DataFrame, cols: list[str], target: str = "target", k: int | None = 15) -> DataFrame:
+def f_scores(df: DataFrame, cols: list[str], target: str = "target", k: int | None = None) -> DataFrame:
     """One-way analysis of variance: `feature`, `f_score`, `f_pval`."""
     moments = _per_class(
         df, cols, target, "cast(count({x}) AS double) AS n, avg({x}) AS mean, var_pop({x}) AS var").where("n > 0")
@@ -237,36 +237,84 @@ def f_scores(df: DataFrame, cols: list[str], target: str = "target", k: int | No
     return _top(scores, "f_score", k).select("feature", "f_score", f_p_value("f_score", "df1", "df2").alias("f_pval"))
 
 
-def mutual_info(
-    df: DataFrame, cols: list[str], target: str = "target", bins: int | None = None, k: int | None = 15,
-    classes: tuple = (0, 1),
-) -> DataFrame:
-    """Plug-in mutual information with the target in nats: `feature`, `mutual_info`.
+def mutual_info(df: DataFrame, cols: list[str], target: str = "target", bins: int | None = None, k: int | None = None) -> DataFrame:
+    """Plug-in mutual information with the target, whatever its classes, in nats: `feature`, `mutual_info`.
 
-    Columns are taken value by value; with `bins` they are first cut at their quantiles. This replaces the
-    nearest-neighbour estimator, whose random jitter cannot be repeated.
+    For coded columns, which are taken value by value; with `bins` the columns are first cut at their quantiles. For
+    continuous columns use `nearest_mutual_info`: by single values a near-unique column knows every target.
     """
     cuts = quantile_values(df, cols, [i / bins for i in range(1, bins)]) if bins else {}
 
     def level(i, c):
         if not bins:
             return f"x{i}"
-        steps = [f"CASE WHEN x{i} > {cut!r}D THEN 1D ELSE 0D END" for cut in sorted(set(cuts[c]) - {None})]
+        steps = [f"CASE WHEN x{i} > {double_text(cut)} THEN 1D ELSE 0D END" for cut in sorted(set(cuts[c]) - {None})]
         return f"CASE WHEN x{i} IS NOT NULL THEN {' + '.join(steps) or '0D'} END"
 
     t = quoted(target)
-    is_class = [F.when(t == v, 1).otherwise(0).alias(f"_is{i}") for i, v in enumerate(classes)]
     levels = [f"struct({sql_text(c)} AS feature, {level(i, c)} AS value)" for i, c in enumerate(cols)]
-    long = numbers(df.where(t.isin(*classes)), cols, *is_class).selectExpr(
-        *[f"_is{i}" for i in range(len(classes))], f"inline(array({', '.join(levels)}))").where("value IS NOT NULL")
-    flags = [f"_is{i}" for i in range(len(classes))]
-    joint = long.groupBy("feature", "value").agg(F.count("*").alias("n"), *[F.sum(f).alias(f) for f in flags])
+    long = numbers(df.where(t.isNotNull()), cols, t.alias("_class")).selectExpr(
+        "_class", f"inline(array({', '.join(levels)}))").where("value IS NOT NULL")
+    joint = long.groupBy("feature", "value", "_class").agg(F.count("*").alias("n"))
     # with g(n) = n ln n:  N * I = sum g(n_value_class) - sum g(n_value) - sum g(n_class) + g(N)
-    sums = joint.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum(n_log_n(F.col("n"))).alias("value_term"),
-        F.sum(sum((n_log_n(F.col(f)) for f in flags), F.lit(0.0))).alias("joint_term"),
-        *[F.sum(f).alias(f) for f in flags],
-    )
-    class_term = sum((n_log_n(F.col(f)) for f in flags), F.lit(0.0))
-    info = (F.col("joint_term") - F.col("value_term") - class_term + n_log_n(F.col("n"))) / F.col("n")
+
+    def term(counts, name):
+        return counts.groupBy("feature").agg(F.sum(n_log_n(F.col("n"))).alias(name), F.sum("n").alias(f"{name}_n"))
+
+    by_value = term(joint.groupBy("feature", "value").agg(F.sum("n").alias("n")), "value_term")
+    by_class = term(joint.groupBy("feature", "_class").agg(F.sum("n").alias("n")), "class_term")
+    sums = term(joint, "joint_term").join(by_value, "feature").join(by_class, "feature")
+    n = F.col("joint_term_n")
+    info = (F.col("joint_term") - F.col("value_term") - F.col("class_term") + n_log_n(n)) / n
     return _top(sums.select("feature", info.alias("mutual_info")), "mutual_info", k)
+
+
+def jittered(value: Column, key: Column, column: str, seed: int = 42) -> Column:
+    """The value moved by a tiny repeatable amount, so that equal values have an order."""
+    draw = F.pmod(F.xxhash64(key, F.lit(f"{column}|{seed}")), F.lit(1 << 40)) / float(1 << 40)
+    return value + (draw - 0.5) * 1e-10 * F.greatest(F.abs(value), F.lit(1.0))
+
+
+def nearest_mutual_info(
+    df: DataFrame, cols: list[str], key: str, target: str = "target", neighbours: int = 3, k: int | None = None,
+    range_rows: int = 100_000,
+) -> DataFrame:
+    """Nearest-neighbour mutual information of continuous columns with a class, in nats: `feature`, `mutual_info`.
+
+    For every row: the distance to its `neighbours`-th neighbour within its class, then the rows of any class nearer than
+    that. With psi the digamma function, I = psi(N) + mean(psi(k) - psi(n_class) - psi(m)), not below 0; classes of one row
+    are left out, smaller classes use all the neighbours they have. Ties are broken by a jitter that follows `key`. Values
+    are cut into ranges; counts inside a radius are differences of running numbers, found by a merge of interval ends
+    with values, so no task holds a column.
+    """
+    t = quoted(target)
+    spread = [F.struct(F.lit(c).alias("feature"), jittered(number(df, c), quoted(key).cast("string"), c).alias("x")) for c in cols]
+    rows = df.where(t.isNotNull()).select(t.alias("c"), quoted(key).cast("string").alias("id"), F.inline(F.array(*spread))) \
+        .where("x IS NOT NULL")
+    sizes = rows.groupBy("feature", "c").agg(F.count("*").alias("n_c")).where("n_c > 1")
+    rows = checkpointed(rows.join(sizes, ["feature", "c"]))
+    ranked = numbered_in_ranges(rows, ["feature", "c"], "x", "place", range_rows)
+    # The k-th neighbour of the i-th of the sorted values lies within i - k .. i + k.
+    within = ranked.select("feature", "c", "id", "x", "n_c", "place", F.least(F.lit(neighbours), F.col("n_c") - 1).alias("k"))
+    steps = F.array(*[F.lit(s) for s in range(-neighbours, neighbours + 1) if s])
+    seen = within.select("feature", "c", "x", F.explode(steps).alias("s"), "place").select(
+        "feature", "c", (F.col("place") + F.col("s")).alias("place"), F.col("x").alias("other"))
+    radius = within.join(seen, ["feature", "c", "place"]).groupBy("feature", "c", "id", "x", "n_c", "k").agg(
+        F.array_sort(F.collect_list(F.abs(F.col("x") - F.col("other")))).alias("d")).withColumn("r", F.element_at("d", F.col("k").cast("int")))
+    radius = checkpointed(radius.drop("d"))
+    # Interval ends count the values at or before them: strictly inside is below x + r and above x - r. The radius is
+    # shortened by the rounding of x + r, which would else let the neighbour at its end in or out at random.
+    radius = radius.withColumn("r", F.col("r") - 1e-15 * (F.abs("x") + F.col("r")))
+    ends = radius.select("feature", "id", "k", "n_c", F.inline(F.array(
+        F.struct((F.col("x") + F.col("r")).alias("x"), F.lit(0).alias("kind")),
+        F.struct((F.col("x") - F.col("r")).alias("x"), F.lit(2).alias("kind")))))
+    values = rows.select("feature", F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("k"),
+                         F.lit(None).cast("long").alias("n_c"), "x", F.lit(1).alias("kind"))
+    merged = checkpointed(ends.withColumn("k", F.col("k").cast("long")).unionByName(values))
+    counted = numbered_in_ranges(merged, ["feature"], "x", "before", range_rows, also="kind", weight=(F.col("kind") == 1).cast("long"))
+    m = counted.where("kind <> 1").groupBy("feature", "id", "k", "n_c").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("before")).otherwise(-F.col("before"))).alias("m"))
+    total = rows.groupBy("feature").agg(F.count("*").alias("n"))
+    found = m.groupBy("feature").agg(F.avg(digamma(F.col("k")) - digamma(F.col("n_c")) - digamma(F.greatest("m", F.lit(1)))).alias("mean"))
+    info = found.join(total, "feature").select("feature", F.greatest(F.lit(0.0), F.col("mean") + digamma(F.col("n"))).alias("mutual_info"))
+    return _top(info, "mutual_info", k)

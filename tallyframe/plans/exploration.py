@@ -37,7 +37,7 @@ def insights(
 
 def explore(
     df: DataFrame, label: str = "label", shares_by: tuple[str, ...] = ("education", "marital stat", "race", "sex"),
-    pattern: str = LOW_LABEL_PATTERN_ONE_SPACE, mi_bins: int | None = None,
+    pattern: str = LOW_LABEL_PATTERN_ONE_SPACE, mi_bins: int | None = None, histogram_columns: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """All exploration tables of a labelled table, by name."""
     out = {
@@ -57,7 +57,7 @@ def explore(
     if numeric:
         out["describe"] = profile.describe_numeric(df, numeric)
         out["outliers"] = profile.iqr_outliers(df, numeric)
-        out["histograms"] = profile.density_histogram(df, numeric[:9])
+        out["histograms"] = profile.density_histogram(df, histogram_columns or numeric)
     encoded = scores.label_encode(df, text)
     features = [c for c in df.columns if c in text or c in numeric]
     out["high_correlations"] = scores.high_corr_pairs(encoded, [*features, "target"])

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 
 from tallyframe.operators import clean, cluster, groups
 from tallyframe.operators.features import scale
+from tallyframe.operators.profile import describe_numeric
 from tallyframe.plans.classifier import FEATURES as COLUMNS
 from tallyframe.session import checkpointed, quoted
 
@@ -58,5 +59,7 @@ def segment(df: DataFrame, key: str = KEY, stats: dict = STATS, features: dict =
         "clusters": groups.cluster_summary(clustered, cols),
         "members": groups.cluster_members(clustered, key),
         "ranked": groups.rank_groups(clustered, rate, key),
-        "bands": groups.quartile_bands(clustered, rate),
+        "bands": groups.quartile_bands(clustered, rate).orderBy(quoted(rate).desc_nulls_last(), quoted(key)),
+        "summary": groups.round_stats(describe_numeric(clustered, [*cols, *[c for c in features if c not in cols and c != "sample_size"]]), 3),
+        "plot": groups.segment_plot_data(clustered, key, *cols[:3]),
     }

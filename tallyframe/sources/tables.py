@@ -1,9 +1,11 @@
 """Table readers and writers."""
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.expressions import strict_number
 from tallyframe.session import quoted
 
 # The white space a line is stripped of, and the texts a headed CSV uses for "missing".
@@ -30,6 +32,11 @@ def read_column_names(spark: SparkSession, path: str) -> list[str]:
     return [r["line"] for r in numbered.orderBy("n").collect()]
 
 
+def _typed(text, kind: str):
+    """Text as the wanted type, null where it does not fit; real numbers by the strict rule."""
+    return strict_number(text).cast(kind) if kind.lower() in ("double", "float") else text.try_cast(kind)
+
+
 def read_headerless(
     spark: SparkSession, path: str, names: list[str], types: dict[str, str] | None = None
 ) -> DataFrame:
@@ -45,7 +52,7 @@ def read_headerless(
     def column(i, name):
         value = F.get(fields, F.lit(i))
         wanted = (types or {}).get(name)
-        return (value if wanted is None else value.try_cast(wanted)).alias(name)
+        return (value if wanted is None else _typed(value, wanted)).alias(name)
 
     rows = _lines(spark, path, "data file")
     return rows.select(*[column(i, n) for i, n in enumerate(names)], ragged.alias("_ragged"))
@@ -61,11 +68,29 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.format(fmt).save(path)
 
 
+def _with_header(batches, header: str):
+    first = True
+    for batch in batches:
+        if first and batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([header])], names=["line"])
+            first = False
+        yield batch
+
+
 def convert_headerless(spark: SparkSession, columns_path: str, data_path: str, out_path: str, fmt: str = "csv") -> DataFrame:
-    """Give a headerless file its header; returns one row with `rows`, `columns` and `ragged_rows`."""
+    """Give a headerless file its header; returns one row with `rows`, `columns` and `ragged_rows`.
+
+    No field is lost: CSV lines are written as they are, other formats keep a ragged line in `_ragged`.
+    """
     names = read_column_names(spark, columns_path)
     rows = read_headerless(spark, data_path, names)
-    write_table(rows.drop("_ragged"), out_path, fmt)
+    if fmt == "csv":
+        lines = _lines(spark, data_path, "data file").select("line")
+        header = ",".join(f'"{n.replace(chr(34), chr(34) * 2)}"' if set(n) & set(',"') else n for n in names)
+        # Lines pass on unchanged, surplus fields included; every part file starts with the header.
+        lines.mapInArrow(lambda batches: _with_header(batches, header), "line string").write.mode("overwrite").text(out_path)
+    else:
+        write_table(rows, out_path, fmt)
     return rows.agg(
         F.count("*").alias("rows"), F.lit(len(names)).cast("long").alias("columns"),
         F.count("_ragged").alias("ragged_rows"),
@@ -76,14 +101,14 @@ def infer_types(df: DataFrame, cols: list[str]) -> DataFrame:
     """Cast text columns whose every known value is a whole number to LONG, or a number to DOUBLE."""
     checks = df.agg(*[
         F.struct(F.count(quoted(c)).alias("n"), F.count(quoted(c).try_cast("long")).alias("whole"),
-                 F.count(quoted(c).try_cast("double")).alias("real")).alias(f"c{i}")
+                 F.count(strict_number(quoted(c))).alias("real")).alias(f"c{i}")
         for i, c in enumerate(cols)
     ]).first()
 
     def typed(c, seen):
         if seen["whole"] == seen["n"]:
             return quoted(c).try_cast("long" if seen["n"] else "double")
-        return quoted(c).try_cast("double") if seen["real"] == seen["n"] else quoted(c)
+        return strict_number(quoted(c)) if seen["real"] == seen["n"] else quoted(c)
 
     return df.withColumns({c: typed(c, checks[f"c{i}"]) for i, c in enumerate(cols)})
 
@@ -102,7 +127,7 @@ def read_table(
     if schema is None:
         return infer_types(text, text.columns)
     wanted = spark.createDataFrame([], schema).dtypes
-    return text.select(*[quoted(c).try_cast(t).alias(c) for c, t in wanted])
+    return text.select(*[_typed(quoted(c), t).alias(c) for c, t in wanted])
 
 
 def write_segments(df: DataFrame, path: str, key: str, rate: str = "high_income_rate") -> None:
