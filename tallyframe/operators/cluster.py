@@ -1,62 +1,112 @@
 """k-means over a group table, its quality measures and the choice of k."""
 
 import math
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import number
 from tallyframe.operators.groups import best_by
-from tallyframe.session import checkpointed, is_small, quoted
+from tallyframe.session import checkpointed, quoted
 
 BLOCK_ROWS = 2_000
-PARALLEL_FITS = 8
+# Points that the restarts start from, and how often their centres move within this sample.
+SAMPLE_ROWS = 1_000
+SAMPLE_ROUNDS = 30
 
 
-def _points(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="_point").transform(df)
+def _points(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """All columns and `_point`, the measures as an array; stored, since every iteration reads it."""
+    return checkpointed(df.withColumn("_point", F.array(*[number(df, c) for c in cols])))
 
 
-def _best_fits(points: DataFrame, ks: list[int], n_init: int, seed: int, max_iter: int) -> dict[int, KMeansModel]:
-    """For every k the restart with the lowest cost; the restarts run as concurrent Spark jobs."""
-    spark = points.sparkSession
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    square = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    return square.argmin(axis=1), square.min(axis=1)
 
-    def fit(task):
-        k, i = task
-        return KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="_point", predictionCol="_cluster").fit(points)
 
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centres drawn from the sample with chances that grow with the squared distance, then moved within the sample."""
+    rng = np.random.default_rng(seed)
+    centres = sample[[rng.integers(len(sample))]]
+    while len(centres) < k:
+        far = _nearest(sample, centres)[1]
+        total = far.sum()
+        pick = rng.choice(len(sample), p=far / total) if total > 0 else rng.integers(len(sample))
+        centres = np.vstack([centres, sample[pick]])
+    for _ in range(SAMPLE_ROUNDS):
+        label = _nearest(sample, centres)[0]
+        moved = np.array([sample[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)])
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def _best_fits(points: DataFrame, key: str, ks: list[int], n_init: int, seed: int, max_iter: int) -> dict[int, tuple[np.ndarray, float]]:
+    """For every k the centres and the cost of the best restart.
+
+    All restarts of all k move on together: an iteration is one aggregate over the points, from which every task sends a
+    few sums per centre. The start comes from SAMPLE_ROWS points in the order of a hash of their key, so neither the
+    layout of the table nor its size changes the way it works.
+    """
+    order = F.md5(F.concat_ws("|", quoted(key).cast("string"), F.lit(str(seed))))
+    sample = points.select("_point", order.alias("_h"), quoted(key).alias("_key")).orderBy("_h", "_key").limit(SAMPLE_ROWS).collect()
+    sample = np.array([r["_point"] for r in sample], dtype=float)
     tasks = [(k, i) for k in ks for i in range(n_init)]
-    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-        models = pool.map(inheritable_thread_target(spark)(fit), tasks, chunksize=1)
+    centres = {t: _first_centres(sample, k, seed + i) for t, (k, i) in enumerate(tasks)}
+    cost, moving, width = {}, set(centres), sample.shape[1]
+    schema = "task int, centre int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(width))
+    for _ in range(max_iter + 1):
+        now = {t: centres[t] for t in moving}
+
+        def sums(batches, now=now):
+            total = {t: np.zeros((len(c), 2 + width)) for t, c in now.items()}
+            for b in batches:
+                if len(b):
+                    x = np.stack(b["_point"].to_numpy())
+                    for t, c in now.items():
+                        label, far = _nearest(x, c)
+                        for column, weight in enumerate([np.ones(len(x)), far, *x.T]):
+                            total[t][:, column] += np.bincount(label, weights=weight, minlength=len(c))
+            for t, rows in total.items():
+                yield pd.DataFrame({"task": t, "centre": np.arange(len(rows)), "n": rows[:, 0], "cost": rows[:, 1],
+                                    **{f"s{j}": rows[:, 2 + j] for j in range(width)}})
+
+        names = ["n", "cost", *[f"s{j}" for j in range(width)]]
+        found = points.select("_point").mapInPandas(sums, schema).groupBy("task", "centre").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+        for t, rows in found.groupby("task"):
+            rows = rows.sort_values("centre")
+            n = rows["n"].to_numpy()
+            moved = np.where(n[:, None] > 0, rows[names[2:]].to_numpy() / np.maximum(n, 1)[:, None], centres[t])
+            cost[t] = float(rows["cost"].sum())
+            if np.allclose(moved, centres[t], rtol=1e-12, atol=1e-12):
+                moving.discard(t)
+            centres[t] = moved
+        if not moving:
+            break
     best = {}
-    for (k, _), model in zip(tasks, models):
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
+    for t, (k, _) in enumerate(tasks):
+        if k not in best or cost[t] < best[k][1]:
+            best[k] = (centres[t], cost[t])
     return best
 
 
-def _arranged(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Points stored in a repeatable layout: one sorted partition when the table is measured to be small."""
-    points = checkpointed(_points(df, cols))
-    if is_small(points.drop("_point")):
-        points = checkpointed(points.repartition(1).sortWithinPartitions(quoted(key)))
-    return points
+def _label(df: DataFrame, centres: np.ndarray, out: str) -> DataFrame:
+    """Add the number of the nearest centre, the first one on ties."""
+    far = F.array(*[sum(((F.get("_point", F.lit(j)) - F.lit(float(v))) ** 2 for j, v in enumerate(c)), F.lit(0.0)) for c in centres])
+    return df.withColumn(out, (F.array_position(far, F.array_min(far)) - 1).cast("int"))
 
 
 def kmeans(
     df: DataFrame, key: str, cols: list[str], k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300
 ) -> tuple[DataFrame, float]:
     """(rows with a `cluster` column, inertia) of the best of `n_init` restarts."""
-    points = _arranged(df, key, cols)
-    model = _best_fits(points, [k], n_init, seed, max_iter)[k]
-    labelled = model.transform(points).drop("_point")
-    return stable_cluster_numbers(labelled, key, "_cluster"), model.summary.trainingCost
+    points = _points(df, key, cols)
+    centres, cost = _best_fits(points, key, [k], n_init, seed, max_iter)[k]
+    return stable_cluster_numbers(_label(points, centres, "_cluster").drop("_point"), key, "_cluster"), cost
 
 
 def stable_cluster_numbers(df: DataFrame, key: str, cluster: str) -> DataFrame:
@@ -142,19 +192,19 @@ def choose_k(
 
     Values of k that are not below the number of rows are left out.
     """
-    points = _arranged(df, key, cols)
+    points = _points(df, key, cols)
     n = points.count()
     ks = [k for k in ks if k < n]
     if not ks:
         raise ValueError("too few rows to cluster")
-    fits = _best_fits(points, ks, n_init, seed, max_iter)
+    fits = _best_fits(points, key, ks, n_init, seed, max_iter)
     labelled = points
-    for k, model in fits.items():
-        labelled = model.setPredictionCol(f"_k{k}").transform(labelled)
-    labelled = labelled.drop("_point").persist()
+    for k, (centres, _) in fits.items():
+        labelled = _label(labelled, centres, f"_k{k}")
+    labelled = checkpointed(labelled.drop("_point"))
     quality = silhouettes(labelled, key, cols, [f"_k{k}" for k in ks])
     table = df.sparkSession.createDataFrame(
-        [(k, fits[k].summary.trainingCost, quality[f"_k{k}"]) for k in ks], "k int, inertia double, silhouette double"
+        [(k, fits[k][1], quality[f"_k{k}"]) for k in ks], "k int, inertia double, silhouette double"
     )
     best = best_by(table, "silhouette", "k").first()["k"]
     chosen = stable_cluster_numbers(
