@@ -1,5 +1,7 @@
 """Size checks and lineage cuts shared by the operators."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,9 @@ def _shared_root(spark) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tallyframe-")
+        folder = tempfile.mkdtemp(prefix="tallyframe-")  # one JVM: its own folder is shared; one per session
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
