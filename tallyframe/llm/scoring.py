@@ -25,6 +25,8 @@ from tallyframe.llm.registry import query
 
 SHARE = 2e-6
 DISCOUNT = 0.75
+# Tokens that the trie is asked about at a time.
+SLICE_TOKENS = 1 << 19
 # The end of a document as a word; no word holds white space.
 END = "\n"
 
@@ -40,16 +42,18 @@ def _unpacked(data) -> np.ndarray:
 def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, most frequent first, the texts as their numbers one after the other, tokens of each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    offsets, coded = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
-    names, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+    del lists
+    names, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    del coded
     end = len(names)
     names.append(END)
     keep = flat != (names.index("") if "" in names else -1)
-    ends = np.r_[0, np.cumsum(keep)][offsets]
+    ends = np.r_[0, np.cumsum(keep, dtype=np.int32)][offsets]
     flat = np.insert(flat[keep], ends[1:], end)
-    order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
-    order = order[: len(np.unique(flat))]
-    place = np.zeros(len(names), np.int64)
+    times = np.bincount(flat, minlength=len(names))
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    place = np.zeros(len(names), np.int32)
     place[order] = np.arange(len(order))
     return [names[i] for i in order], place[flat], np.diff(ends) + 1
 
@@ -98,8 +102,21 @@ def _documents_of(b: pa.RecordBatch):
     """(ids of frequent words, first token of each document, tokens of each, held out) of each chunk."""
     for i in range(b.num_rows):
         sizes = np.array(b.column("sizes")[i].as_py(), np.int64)
-        yield (_unpacked(b.column("tokens")[i]).astype(np.int64), np.cumsum(sizes) - sizes, sizes,
-               np.array(b.column("held")[i].as_py(), bool))
+        yield (_unpacked(b.column("tokens")[i]), np.cumsum(sizes) - sizes, sizes, np.array(b.column("held")[i].as_py(), bool))
+
+
+def _slices(sizes: np.ndarray):
+    """Ranges of whole documents of about SLICE_TOKENS tokens; a longer document is alone."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        done = ends[a - 1] if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, done + SLICE_TOKENS, "right")))
+        yield a, z, int(done), int(ends[z - 1])
+        a = z
+
+
+def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 32 | second
 
 
 def _pairs(tokens, starts, sizes, held):
@@ -165,7 +182,9 @@ def score_texts(df: DataFrame, key: str, text: str, held_out, share: float = SHA
         for b in batches:
             for i, (tokens, starts, sizes, held) in enumerate(_documents_of(b)):
                 base = np.array(b.column("base")[i].as_py())
-                gain = np.add.reduceat(model.gains(tokens, starts), starts)
+                gain = np.concatenate([
+                    np.add.reduceat(model.gains(tokens[first:end].astype(np.int64), starts[a:z] - first), starts[a:z] - first)
+                    for a, z, first, end in _slices(sizes)])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("ids")[i].values, pa.array(held), pa.array(sizes), b.column("known")[i].values, pa.array(base),
                      pa.array(base + gain)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -184,7 +203,7 @@ def _trie(scored: DataFrame, heads: DataFrame, n: int, v: int, least: int, disco
         for b in batches:
             for tokens, starts, sizes, held in _documents_of(b):
                 at = np.flatnonzero(_pairs(tokens, starts, sizes, held))
-                yield _counted(tokens[at - 1] << 32 | tokens[at])
+                yield _counted(_key(tokens[at - 1], tokens[at]))
 
     two = _frequent(rows, pairs, least)
     known = two[:, 0]
@@ -193,12 +212,12 @@ def _trie(scored: DataFrame, heads: DataFrame, n: int, v: int, least: int, disco
         for b in batches:
             for tokens, starts, sizes, held in _documents_of(b):
                 at = np.flatnonzero(_pairs(tokens, starts, sizes, held))
-                node = np.full(len(tokens), -1, np.int64)
-                key = tokens[at - 1] << 32 | tokens[at]
+                node = np.full(len(tokens), -1, np.int32)
+                key = _key(tokens[at - 1], tokens[at])
                 place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
                 node[at] = np.where(known[place] == key, place, -1) if len(known) else -1
                 at = np.flatnonzero((node >= 0) & (np.r_[-1, node[:-1]] >= 0))
-                yield _counted(node[at - 1] << 32 | node[at])
+                yield _counted(_key(node[at - 1], node[at]))
 
     three = _frequent(rows, triples, least)
     first, second = known[three[:, 0] >> 32], known[three[:, 0] & 0xFFFFFFFF]
