@@ -55,3 +55,13 @@ def test_best_model_by_pr_auc_first_on_ties(spark):
     table, best = metrics.compare_models(spark, results)
     assert best == "a" and table.count() == 2
     assert metrics.compare_models(spark, results, by="accuracy")[1] == "b"
+
+
+def test_ranking_metrics_of_very_large_classes(spark, monkeypatch):
+    """5e9 rows per class in two steps: products of counts exceed 64 bits."""
+    n = 5 * 10 ** 9
+    steps = spark.createDataFrame([(0.9, 2 * n // 3, n // 3, 2 * n // 3, n // 3), (0.1, n - 2 * n // 3, n - n // 3, n, n)],
+                                  "score double, pos long, neg long, tp long, fp long")
+    monkeypatch.setattr(metrics, "score_steps", lambda *a: steps)
+    row = metrics.ranking_metrics(steps).first()
+    assert abs(row["roc_auc"] - 2 / 3) < 1e-6 and abs(row["pr_auc"] - (2 / 3 * 2 / 3 + 1 / 3 / 2)) < 1e-6

@@ -103,3 +103,17 @@ def test_crosstab_and_histogram(spark, census):
     assert np.allclose([r["density"] for r in got], expected) and np.allclose([r["lower_edge"] for r in got], edges[:-1])
     flat = hist.where("column = 'year' AND cnt > 0").collect()
     assert {r["bin"] for r in flat} == {25}
+
+
+def test_histogram_and_shares_of_many_classes(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("target"), F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("cat"))
+    out = profile.density_histogram(df, ["x"], bins=4)
+    assert out.count() == 6000 and out.agg(F.sum("cnt")).first()[0] == 6000
+    shares = profile.crosstab_rate(df.withColumn("target", F.col("x") % 3), "cat").collect()
+    assert all(abs(sum(r[f"share_{c}"] for c in ("0.0", "1.0", "2.0")) - 1) < 1e-12 for r in shares)
+
+
+def test_infinite_quantiles(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("inf"),)], "x double")
+    row = profile.iqr_outliers(df, ["x"]).first()
+    assert row["upper_bound"] is None or row["upper_bound"] != row["upper_bound"] or row["upper_bound"] == float("inf")

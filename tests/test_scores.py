@@ -108,3 +108,37 @@ print(len(scores.f_scores(df, ["x"]).collect()), len(scores.chi2_scores(df, ["x"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "1 1 4 done" in run.stdout, run.stderr[-2000:]
+
+
+def test_mutual_info_counts_every_class(spark):
+    df = spark.range(300).select((F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 3).alias("target"))
+    assert abs(scores.mutual_info(df, ["x"]).first()["mutual_info"] - np.log(3)) < 1e-12
+
+
+def test_nearest_mutual_info_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 300)
+    x = {"signal": y + rng.normal(0, 0.5, 300), "noise": rng.normal(size=300)}
+    df = spark.createDataFrame([(i, int(t), float(a), float(b)) for i, (t, a, b) in enumerate(zip(y, x["signal"], x["noise"]))],
+                               "id int, target int, signal double, noise double")
+
+    def psi(n):
+        return sum(1 / i for i in range(1, n)) - 0.5772156649015329
+
+    def brute(v):
+        found = []
+        for i in range(len(v)):
+            radius = np.sort(np.abs(v[y == y[i]] - v[i]))[3]
+            found.append(psi(3) - psi(int((y == y[i]).sum())) - psi(int((np.abs(v - v[i]) < radius).sum())))
+        return max(0.0, psi(len(v)) + np.mean(found))
+
+    for rows in (50, 10 ** 6):
+        got = {r["feature"]: r["mutual_info"] for r in scores.nearest_mutual_info(df, ["signal", "noise"], "id", range_rows=rows).collect()}
+        assert all(abs(got[c] - brute(x[c])) < 1e-9 for c in x) and got["noise"] < 0.1
+
+
+def test_score_tables_are_complete(spark):
+    df = spark.range(50).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(18)], (F.col("id") % 2).alias("target"))
+    cols = [f"c{i}" for i in range(18)]
+    for table in (scores.chi2_scores, scores.f_scores, scores.mutual_info, scores.target_correlation):
+        assert table(df, cols).count() == 18
