@@ -11,7 +11,7 @@ from tallyframe.functions.expressions import double_text, n_log_n, number, numbe
 from tallyframe.functions.tails import chi2_p_value, digamma, f_p_value
 from tallyframe.operators.groups import running_number
 from tallyframe.operators.quantiles import numbered_in_ranges, quantile_values
-from tallyframe.session import checkpointed, is_small, quoted
+from tallyframe.session import SMALL_BYTES, SMALL_ROWS, checkpointed, quoted
 
 UNKNOWN = "Unknown"
 MAX_PAIRS_IN_ONE_AGGREGATE = 120
@@ -21,8 +21,9 @@ MAX_LITERAL_VALUES = 100
 def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> DataFrame:
     """Replace every value by its 0-based rank among the column's sorted values; nulls count as `unknown`.
 
-    A short list of values becomes a literal array, a longer one of measured size a broadcast join. Otherwise the
-    codes come from a distributed sort and a regular join, in which adaptive execution splits hot values.
+    Every column goes its own way by the measured number and size of its values: a short list becomes a literal array, a
+    longer one a broadcast join. The codes of other columns come from a distributed sort and a regular join, in which
+    adaptive execution splits hot values.
     """
     if not cols:
         return df
@@ -30,27 +31,32 @@ def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> Data
     out = df.withColumns({c: F.coalesce(quoted(c), F.lit(unknown)) for c in cols})
     values = out.select(*[quoted(c) for c in cols]).unpivot(
         [], [quoted(c) for c in cols], "column", "value").distinct().persist()
-    if is_small(values):
-        words = {c: [] for c in cols}
-        for r in values.collect():
-            words[r["column"]].append(r["value"])
-        words = {c: sorted(w, key=lambda v: v.encode()) for c, w in words.items()}
-        values.unpersist()
-        short = [c for c in cols if len(words[c]) <= MAX_LITERAL_VALUES]
-        joins = {
-            c: F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(words[c])], "_value string, _code int"))
-            for c in cols if c not in short
-        }
-        out = out.withColumns({
-            c: (F.array_position(F.array(*[F.lit(v) for v in words[c]]), quoted(c)) - 1).cast("int") for c in short
-        })
-    else:
-        joins = {
-            c: running_number(
-                values.where(F.col("column") == c).select(F.col("value").alias("_value")),
-                [F.col("_value")], "_code", start=0,
-            ) for c in cols
-        }
+    sizes = values.groupBy("column").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).collect()
+    short, rows, size = [], 0, 0  # the columns whose values fit the bounds together, fewest first
+    for r in sorted(sizes, key=lambda r: (r["n"], r["column"])):
+        rows, size = rows + r["n"], size + r["bytes"]
+        if rows <= SMALL_ROWS and size <= SMALL_BYTES:
+            short.append(r["column"])
+    words = {c: [] for c in short}
+    for r in values.where(F.col("column").isin(short)).collect():
+        words[r["column"]].append(r["value"])
+    words = {c: sorted(w, key=lambda v: v.encode()) for c, w in words.items()}
+    out = out.withColumns({
+        c: (F.array_position(F.array(*[F.lit(v) for v in w]), quoted(c)) - 1).cast("int")
+        for c, w in words.items() if len(w) <= MAX_LITERAL_VALUES
+    })
+    joins = {
+        c: F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(w)], "_value string, _code int"))
+        for c, w in words.items() if len(w) > MAX_LITERAL_VALUES
+    }
+    joins |= {
+        c: checkpointed(running_number(
+            values.where(F.col("column") == c).select(F.col("value").alias("_value")), [F.col("_value")], "_code", start=0,
+        )) for c in (r["column"] for r in sizes) if c not in words
+    }
+    seen = {r["column"] for r in sizes}
+    out = out.withColumns({c: F.lit(None).cast("int") for c in cols if c not in seen})  # an empty table
+    values.unpersist()
     for c, codes in joins.items():
         out = out.join(codes, quoted(c) == F.col("_value"), "left")
         out = out.withColumn(c, F.col("_code").cast("int")).drop("_value", "_code")

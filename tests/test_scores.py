@@ -17,7 +17,7 @@ def test_label_codes_follow_sorted_values(spark, monkeypatch):
     assert sorted(tuple(r) for r in scores.label_encode(df, ["s", "t"]).collect()) == expected
     monkeypatch.setattr(scores, "MAX_LITERAL_VALUES", 3)  # one column by literal, one by broadcast join
     assert sorted(tuple(r) for r in scores.label_encode(df, ["s", "t"]).collect()) == expected
-    monkeypatch.setattr(scores, "is_small", lambda df: False)
+    monkeypatch.setattr(scores, "SMALL_ROWS", 0)
     monkeypatch.setattr("tallyframe.operators.groups.is_small", lambda df: False)
     assert sorted(tuple(r) for r in scores.label_encode(df, ["s", "t"]).collect()) == expected
 
