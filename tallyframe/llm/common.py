@@ -1,6 +1,7 @@
 """What several operators share: stored tables, gapless numbers, cells that follow an order, per-worker state."""
 
 import math
+import re
 import sys
 import tempfile
 import types
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 # Tables up to this many rows and bytes may be broadcast; callers measure first or have a proof.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
+# An Arrow batch of texts.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2_000
 # Rows of a cell, a bucket or a tile: enough to amortise a task, few enough for its memory.
 CELL_ROWS = 500
 MAX_CELLS = 65_536
@@ -38,6 +42,19 @@ def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, after holding its session's Arrow batches to BATCH_BYTES and BATCH_ROWS: texts are long, and a task has several
+    batches in memory at once. Smaller settings stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?[0-9]+)([kmgt]?)b?", conf.get(key).strip().lower()).groups()
+        now = int(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit]
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df
+
+
 def small(df: DataFrame) -> bool:
     """Measure whether a table of numbers and short strings may be broadcast (one aggregate)."""
     width = F.lit(0)
@@ -52,6 +69,12 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df) else df
 
 
+def sampled(df: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` rows of `df`, spread by a hash of all columns; only about as many leave the executors."""
+    share = min(1.0, 1.5 * rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, rows: int) -> DataFrame:
     """Gapless numbers from 0 within each group of `by`, also where one group holds most rows.
 

@@ -11,7 +11,6 @@ The dictionary is a table of its own beside the containers. All numbers are litt
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +19,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyframe.llm.common import documents, ordered_cells, shared_folder
+from tallyframe.llm.common import bounded_batches, documents, ordered_cells, sampled, shared_folder, sized
 from tallyframe.llm.registry import query
-from tallyframe.llm.words import id_lists, library_ids
+from tallyframe.llm.words import id_blocks, library_ids
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-# The dictionary is trained on so many documents (the ones of the least hashes) and holds so many bytes.
+# The dictionary is trained on so many documents and holds so many bytes.
 TRAIN_DOCS = 1000
 DICTIONARY_BYTES = 64 << 10
 CONTAINER_BYTES = 32 << 20
@@ -94,8 +92,8 @@ def _serial(ids: np.ndarray, id_bytes: int) -> bytes:
     return ids.astype(f"<u{id_bytes}").tobytes()
 
 
-def _documents_ids(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
-    for x in id_lists(library_ids(path), texts):
+def _documents_ids(lists: pa.ListArray, end_id: int) -> Iterator[np.ndarray]:
+    for x in lists:
         yield np.append(x.values.to_numpy(), np.int32(end_id))
 
 
@@ -108,21 +106,22 @@ def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS
     in one. An empty table gives no containers. Ids must be below 256 ** id_bytes. Other columns of `df` are not read.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = bounded_batches(df).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     mark = F.xxhash64("text")
-    sample = docs.orderBy(F.xxhash64("key"), mark).limit(train_docs).select("text").toArrow().column("text")
+    sample = sampled(docs, train_docs).select("text").toArrow().column("text")
     sample = sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0)
-    dictionary = train_dictionary([_serial(ids, id_bytes) for ids in _documents_ids(sample, path, end_id)])
+    dictionary = train_dictionary([_serial(ids, id_bytes) for _, lists in id_blocks(library_ids(path), sample)
+                                   for ids in _documents_ids(lists, end_id)])
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     cell, _ = ordered_cells(docs, "key")
 
     def compress(batches):
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_compression(dictionary), write_content_size=True).compress
         for b in batches:
-            rows = [(len(ids), pack(_serial(ids, id_bytes))) for ids in _documents_ids(b.column(3), path, end_id)]
-            n, frames = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(frames, pa.binary())],
-                                             names=["cell", "key", "mark", "n", "frame"])
+            for at, lists in id_blocks(library_ids(path), b.column(3)):
+                n, frames = zip(*[(len(ids), pack(_serial(ids, id_bytes))) for ids in _documents_ids(lists, end_id)])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(lists)) for c in b.columns[:3]], pa.array(n, pa.int64()),
+                                                  pa.array(frames, pa.binary())], names=["cell", "key", "mark", "n", "frame"])
 
     def assemble(batches):
         waiting, size, at, part = [], 0, None, 0
@@ -151,7 +150,7 @@ def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS
 
 
 def read_ids(spark, folder: str) -> DataFrame:
-    """Documents of the containers below `folder`: key, start (ids of all documents before it), ids array<int>."""
+    """Documents of the containers below `folder`: key, start (ids of all documents before it), ids (binary, 32-bit)."""
     dictionary = spark.read.schema("dictionary binary").parquet(f"{folder}/dictionary").first()["dictionary"]
     files = spark.read.schema("cell long, part long, n_ids long, data binary").parquet(f"{folder}/containers")
     # At most MAX_CELLS sums meet in one task; the parts of a cell are added up on their own.
@@ -166,27 +165,18 @@ def read_ids(spark, folder: str) -> DataFrame:
         for b in batches:
             for cell, part, data in zip(*(b.column(i) for i in range(3))):
                 box = Container(data.as_buffer().to_pybytes(), dictionary)
-                step = max(1, (4 << 20) // max(1, int(box.entries["ids"].mean())))
+                step = max(1, (2 << 20) // max(1, int(box.entries["ids"].mean())))
                 at = np.r_[0, np.cumsum(box.entries["ids"].astype(np.int64))]
                 for a in range(0, len(box), step):
                     rows = range(a, min(a + step, len(box)))
-                    ids = [box.ids(i).astype(np.int32) for i in rows]
-                    offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                    ids = [box.ids(i).tobytes() for i in rows]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([cell.as_py()] * len(rows), pa.int64()), pa.array([part.as_py()] * len(rows), pa.int64()),
                          pa.array([box.key(i) for i in rows], pa.int64()), pa.array(at[rows.start:rows.stop], pa.int64()),
-                         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))],
-                        names=["cell", "part", "key", "own", "ids"])
+                         pa.array(ids, pa.binary())], names=["cell", "part", "key", "own", "ids"])
 
-    docs = files.select("cell", "part", "data").mapInArrow(run, "cell long, part long, key long, own long, ids array<int>")
-    return docs.join(starts, ["cell", "part"]).select("key", (F.col("own") + F.col("first")).alias("start"), "ids")
-
-
-@F.arrow_udf(T.LongType())
-def ids_crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    for lists in batches:
-        yield pa.array([zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in lists], pa.int64())
+    docs = files.select("cell", "part", "data").mapInArrow(run, "cell long, part long, key long, own long, ids binary")
+    return docs.join(sized(starts), ["cell", "part"]).select("key", (F.col("own") + F.col("first")).alias("start"), "ids")
 
 
 @query()
@@ -194,5 +184,5 @@ def op9_token_id_output(spark, folder):
     target = shared_folder(spark)
     write_ids(documents(spark, folder), "doc_id", "text", target)
     back = read_ids(spark, target)
-    return back.select(F.col("key").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"),
-                       ids_crc32("ids").alias("ids_crc32"))
+    return back.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
