@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, worker_state
+from tallyframe.llm.common import bounded_batches, documents, worker_state
 from tallyframe.llm.registry import query
 from tallyframe.llm.words import WordIds, byte_words, id_blocks, rank_file
 
@@ -148,7 +148,7 @@ def encode(df: DataFrame, keys: list[str], text: str, path: str = RANKS,
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, len(ids)) for c in b.columns[:len(keys)]], ids],
                                                  names=[*keys, "ids"])
 
-    own = df.select(*keys, F.col(text).alias("_text"))
+    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
     return own.mapInArrow(run, f"{schema}, ids array<int>")
 

@@ -123,6 +123,13 @@ def worker_state(key, make):
     return home.kept[key]
 
 
+def forget_worker_state() -> None:
+    """Drop what earlier operators left in this Python worker; idle workers keep their memory between stages."""
+    home = sys.modules.get("_tallyframe_worker_state")
+    if home is not None:
+        home.kept = {}
+
+
 def utf8(column) -> list[bytes]:
     """The bytes of an Arrow string column, nulls as empty."""
     return [x or b"" for x in column.cast("large_binary").to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import documents, stored, utf8
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, stored, utf8
 from tallyframe.llm.registry import query
 
 UND = "und"
@@ -102,6 +102,7 @@ def text_scores(model: TextModel, text):
     """Column array<double> of the classes' log likelihoods, null for texts without letters."""
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_worker_state()
         for texts in batches:
             rows = [model.scores(t) for t in utf8(texts)]
             yield pa.array([None if r is None else r.tolist() for r in rows], pa.list_(pa.float64()))
@@ -158,7 +159,7 @@ def identify(df: DataFrame, text, declared=None, host=None, min_confidence: floa
     suffix = F.when(F.size(labels) > 1, F.element_at(labels, -1))
     domain = F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host)
     evidence = {"text": F.coalesce(text, F.lit("")), "declared": declared, "host": host, "domain": domain, "suffix": suffix}
-    model = train(df.select(*df.columns, *[c.alias(f"_lid_{n}") for n, c in evidence.items()]).select(
+    model = train(bounded_batches(df).select(*df.columns, *[c.alias(f"_lid_{n}") for n, c in evidence.items()]).select(
         F.col("_lid_text").alias("text"), F.col("_lid_declared").alias("declared"),
         F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), train_rows)
     guess = df.select(*[c.alias(n) for n, c in evidence.items()]).withColumn("scores", text_scores(model, F.col("text")))

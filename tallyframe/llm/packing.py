@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, numbered, stored
+from tallyframe.llm.common import bounded_batches, documents, numbered, stored
 from tallyframe.llm.registry import query
 from tallyframe.llm.words import id_blocks, library_ids
 
@@ -50,7 +50,7 @@ def pieces(df: DataFrame, keys: list[str], text: str, path: str = BYTES, end_id:
                      pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())],
                     names=[*keys, "piece", "start", "length", "ids"])
 
-    own = df.select(*keys, F.col(text).alias("_text"))
+    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
     return own.mapInArrow(run, f"{schema}, piece int, start long, length long, ids binary")
 

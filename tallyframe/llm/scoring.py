@@ -1,6 +1,6 @@
 """Language-model scores of whole texts, from word counts of all training documents and an n-gram trie.
 
-1. Documents are coded in chunks, one per Arrow batch: the chunk's distinct words and the texts as numbers of these.
+1. Documents are coded in chunks of some Arrow batches: the chunk's distinct words and the texts as numbers of these.
 2. Counts of the distinct words of all chunks are summed per word and go back to the chunks.
 3. Every chunk gets the unigram score of its documents, exact for all words, and the ids of its frequent words.
 4. Pairs of frequent words are counted, then triples whose pairs are frequent; frequent is what stands at least
@@ -8,6 +8,7 @@
 5. The trie of these n-grams is broadcast and adds what it knows to the unigram scores.
 """
 
+import itertools
 import math
 import uuid
 
@@ -19,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, numbered, stored, worker_state
+from tallyframe.llm.common import bounded_batches, documents, numbered, stored, worker_state
 from tallyframe.llm.ngrams import Trie
 from tallyframe.llm.registry import query
 
 SHARE = 2e-6
 DISCOUNT = 0.75
+# Text of a chunk.
+CHUNK_BYTES = 24 << 20
 # Tokens that the trie is asked about at a time.
 SLICE_TOKENS = 1 << 19
 # The end of a document as a word; no word holds white space.
@@ -58,11 +61,21 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [names[i] for i in order], place[flat], np.diff(ends) + 1
 
 
+def _joined(batches):
+    """Batches put together until they hold CHUNK_BYTES of text."""
+    waiting, size = [], 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None and b.num_rows:
+            waiting.append(b)
+            size += b.column(2).nbytes
+        if waiting and (b is None or size >= CHUNK_BYTES):
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+
+
 def _coded(batches):
     """Chunks from batches (id, held out, text)."""
-    for seq, b in enumerate(batches):
-        if not b.num_rows:
-            continue
+    for seq, b in enumerate(_joined(batches)):
         names, flat, sizes = _words(b.column(2))
         held = b.column(1).to_numpy(zero_copy_only=False)
         seen = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(names))
@@ -147,7 +160,7 @@ def score_texts(df: DataFrame, key: str, text: str, held_out, share: float = SHA
     words are equally unknown; an empty table stays empty. Numbers that reach the driver: N, V, and at most 1 / share
     n-grams of each order.
     """
-    coded = stored(df.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"),
+    coded = stored(bounded_batches(df).select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"),
                              F.col(text).alias("text"))
                    .mapInArrow(_coded, "chunk long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, "
                                        "words array<string>, seen array<long>"))

@@ -17,10 +17,10 @@ from tokenizers import Tokenizer
 
 from tallyframe.llm.common import worker_state
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 KEPT_CHARS = 32 << 20
 # Text that is cut into words at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 # White space, a space, white space or the end: the run that such a space stands in can't be cut there.
 _INSIDE_RUN = r"[\s\v\x1c-\x1f\x85\pZ] (?:[\s\v\x1c-\x1f\x85\pZ]|\z)"
