@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, sampled
 from tallyframe.llm.registry import query
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-# The order of the rules is estimated on so many documents, the ones of the least hashes.
+# The order of the rules is estimated on so many documents.
 SAMPLE_DOCS = 512
 
 
@@ -98,8 +98,7 @@ def order_rules(texts: list[str | None], rules: dict[str, Callable[[Text], bool]
 
 def cascade_order(df: DataFrame, text: str, rules=None, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     """The order of the rules, estimated on `sample_docs` rows; the order changes the cost and never the verdict."""
-    sample = df.select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(sample_docs).collect()
-    return order_rules([r["text"] for r in sample], rules or RULES)
+    return order_rules([r[text] for r in sampled(df, sample_docs).select(text).collect()], rules or RULES)
 
 
 def first_rejection(text: Text, order: list[str], rules=None) -> str | None:
@@ -113,10 +112,11 @@ def keep_good(df: DataFrame, text: str) -> DataFrame:
     order, at = cascade_order(df, text), df.columns.index(text)
 
     def run(batches):
+        forget_worker_state()
         for b in batches:
             yield b.filter(pa.array([first_rejection(Text(t.as_py()), order) is None for t in b.column(at)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)
 
 
 def measured(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -137,7 +137,7 @@ def measured(df: DataFrame, keys: list[str], text: str) -> DataFrame:
                 [*b.columns[:len(keys)], *[pa.array(c, pa.int64()) for c in columns[:5]],
                  *[pa.array(c, pa.bool_()) for c in columns[5:]]], names=[*keys, *names, "base_failed", "kept"])
 
-    own = df.select(*keys, F.col(text).alias("_text"))
+    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in own.dtypes[:-1]], *[f"{c} long" for c in names],
                         "base_failed boolean, kept boolean"])
     return own.mapInArrow(run, schema)
