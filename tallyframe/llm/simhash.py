@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, sized, stored, utf8
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, sized, stored, utf8
 from tallyframe.llm.components import components
 from tallyframe.llm.registry import query
 
@@ -54,12 +54,13 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, keys: list[str], text: str, shingle: int = SHINGLE) -> DataFrame:
     """(keys, fp: long) for every row; a null text counts as empty, keys may be null or repeated."""
     def run(batches):
+        forget_worker_state()
         for b in batches:
             fps = [simhash(t, shingle) for t in utf8(b.column(len(keys)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], pa.array(np.array(fps, np.uint64).view(np.int64))],
                                              names=[*keys, "fp"])
 
-    own = df.select(*keys, F.col(text).alias("_text"))
+    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
     return own.mapInArrow(run, f"{schema}, fp long")
 
@@ -224,10 +225,12 @@ def near_duplicates(fps: DataFrame, key: str, radius: int = RADIUS, blocks: int
     component with no other key has a null id. An empty table stays empty. `fps` should be stored.
     """
     distinct = stored(fps.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(distinct.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
-    own = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(own.select("fp", "root"), "fp").join(named, "root").drop("root")
+    roots = stored(components(links(distinct.select("fp"), radius, blocks)).withColumnRenamed("node", "fp"))
+    linked = distinct.join(sized(roots), "fp")
+    named = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = stored(roots.join(sized(named), "root").select("fp", "component_id"))
+    alone = distinct.join(sized(named.select("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return fps.join(stored(alone.union(named)), "fp")
 
 
 def drop_near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
