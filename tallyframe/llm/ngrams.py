@@ -143,17 +143,20 @@ class Trie:
         return cls(np.memmap(path, np.uint8, "r"))
 
     @staticmethod
-    def build(single: np.ndarray, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, discount: float) -> bytes:
+    def build(single: np.ndarray, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, discount: float,
+              rest: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
         """Block of bytes from the log10 unigram probability and the count of each frequent word, rows (u, w, count) and
         (u, v, w, count). For every triple the pairs (u, v) and (v, w) must be there.
 
         Absolute discounting, interpolated: p(w | u) = (c(uw) - d) / c(u) + rest(u) p(w), where rest(u) is what the kept
-        successors leave, and the same one word further.
+        successors leave, and the same one word further. A part of a larger model brings `rest`, of its words and of its
+        pairs in order, since it doesn't hold all successors.
         """
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        if not rest:
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         u, w, c = pairs.T
         share = (c - discount) / words[u]
-        rest1 = np.maximum(1 - np.bincount(u, weights=share, minlength=len(words)), 1e-12)
+        rest1 = rest[0] if rest else np.maximum(1 - np.bincount(u, weights=share, minlength=len(words)), 1e-12)
         prob2 = share + rest1[u] * 10.0 ** single[w]
         code = u.astype(np.int64) << 32 | w.astype(np.int64)
         node = lambda a, b: np.searchsorted(code, a.astype(np.int64) << 32 | b.astype(np.int64))
@@ -162,7 +165,7 @@ class Trie:
         order = np.lexsort((relative, first))
         first, second, relative, c3 = first[order], second[order], relative[order], triples[order, 3]
         share3 = (c3 - discount) / c[first]
-        rest2 = np.maximum(1 - np.bincount(first, weights=share3, minlength=len(pairs)), 1e-12)
+        rest2 = rest[1] if rest else np.maximum(1 - np.bincount(first, weights=share3, minlength=len(pairs)), 1e-12)
         prob3 = share3 + rest2[first] * prob2[second]
         arrays = {"single": single.astype("<f8"), "weight1": quantised(np.log10(rest1)), "weight2": quantised(np.log10(rest2)),
                   "prob2": quantised(np.log10(prob2)), "prob3": quantised(np.log10(prob3)),

@@ -172,6 +172,35 @@ def test_the_model_beats_single_words_on_held_out_texts(spark):
     assert rows["score"].sum() > 0.96 * rows["base_score"].sum()
 
 
+def test_rare_pairs_stay_in_the_model_of_a_large_input(spark):
+    """Two standings are kept, however many other tokens there are."""
+    rows = [(i, "x y " * 250_000, False) for i in range(4)] + [(i, "seldom pair", False) for i in (4, 5)] + [(6, "seldom pair", True)]
+    df = spark.createDataFrame(rows, "k long, t string, h boolean")
+    r = scoring.score_texts(df, "k", "t", F.col("h")).where("k = 6").first()
+    n, v, d = 2_000_010, 5, scoring.DISCOUNT
+    p1 = lambda c: (c + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda c: (2 - d) / 2 + d / 2 * p1(c)
+    full = math.log10(p1(2)) + math.log10(p2(2)) + math.log10((2 - d) / 2 + d / 2 * p2(6))
+    assert r.train_tokens == n and r.score == pytest.approx(full, abs=1e-3) and r.score > r.base_score + 5
+
+
+def test_shards_of_the_model_agree_with_one(spark, folder):
+    docs_ = documents(spark, folder).select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    one, many = (sorted((r.doc_id or 0, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scoring.score_texts(
+        docs_, "doc_id", "text", held, shard_tokens=size).collect()) for size in (1 << 21, 4000))
+    assert len(one) == docs_.count() and one == many
+
+
+def test_chunks_of_very_many_words_ask_the_same():
+    rng = np.random.default_rng(1)
+    tokens, starts, heads = rng.integers(-1, 30, 3000).astype(np.int32), np.array([0, 1, 2, 700, 701]), np.arange(30) * 7
+    for level in (2, 3):
+        short, long = (scoring._Asked(level, tokens, starts, np.arange(3000) % 3 > 0, heads, np.array([14, 21]), 5, bits)
+                       for bits in (63, 8))
+        assert all(np.array_equal(getattr(short, name), getattr(long, name)) for name in vars(short)) and short.n.sum() > 1500
+
+
 # Languages
 
 
