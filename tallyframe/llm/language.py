@@ -1,6 +1,6 @@
 """Language ID by Bayesian evidence: text, declared language, address suffix, and priors of hosts.
 
-A class per language that is declared often enough, and one more, `und`, for texts without language, under which all
+A class per declared language, and one more, `und`, for texts without language, under which all
 letter triples are equally likely. Each evidence adds the logarithm of its likelihood:
 
 * text: hashed triples of bytes, smoothed, worth EFFECTIVE triples at most since neighbours depend on each other;
@@ -28,11 +28,10 @@ EFFECTIVE = 100
 STRENGTH = 100.0
 UND_PRIOR = 1e-3
 MIN_CONFIDENCE = 0.5
-# The text model learns from about so many rows per declared language, of the so many most frequent languages that have
-# at least MIN_ROWS rows.
+# The text model learns from about so many rows per declared language.
 TRAIN_ROWS = 1000
-MAX_LANGUAGES = 64
-MIN_ROWS = 5
+# With more classes than these the text model keeps only the buckets that a class has seen.
+DENSE_CLASSES = 128
 
 _LETTERS = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 
@@ -50,17 +49,35 @@ def triples(text: bytes) -> np.ndarray:
 class TextModel:
     """Log likelihood of triples per class, `und` last."""
 
-    def __init__(self, names: list[str], counts: np.ndarray):
-        rows = [np.log((c + 0.1) / (c.sum() + 0.1 * BUCKETS)) for c in counts]
+    def __init__(self, names: list[str], place: np.ndarray, bucket: np.ndarray, n: np.ndarray, dense_classes: int = DENSE_CLASSES):
+        """From how often (n) the triples of a bucket stand in the sample of the language at a place of `names`."""
         self.names = [*names, UND]
-        self.table = np.stack([*rows, np.full(BUCKETS, -3 * math.log(27))], axis=1).astype(np.float32)
+        sums = np.bincount(place, weights=n, minlength=len(names))
+        unseen = np.r_[np.log(0.1 / (sums + 0.1 * BUCKETS)), -3 * math.log(27)]
+        more = np.log((n + 0.1) / 0.1)
+        if len(self.names) <= dense_classes:
+            self.table = np.repeat(unseen[None, :], BUCKETS, axis=0)
+            self.table[bucket, place] += more
+            self.table = self.table.astype(np.float32)
+            return
+        order = np.argsort(bucket, kind="stable")
+        self.table, self.unseen = None, unseen
+        self.place, self.more = place[order].astype(np.int32), more[order].astype(np.float32)
+        self.starts = np.r_[0, np.cumsum(np.bincount(bucket, minlength=BUCKETS))]
 
     def scores(self, text: bytes) -> np.ndarray | None:
         """Weighted sums for each class, None for a text without letters."""
         at = triples(text)
         if not len(at):
             return None
-        return self.table[at].sum(axis=0, dtype=np.float64) * min(1.0, EFFECTIVE / len(at))
+        weight = min(1.0, EFFECTIVE / len(at))
+        if self.table is not None:
+            return self.table[at].sum(axis=0, dtype=np.float64) * weight
+        bucket, times = np.unique(at, return_counts=True)
+        sizes = self.starts[bucket + 1] - self.starts[bucket]
+        here = np.repeat(self.starts[bucket] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        more = np.bincount(self.place[here], weights=self.more[here] * np.repeat(times, sizes), minlength=len(self.names))
+        return (self.unseen * len(at) + more) * weight
 
 
 def primary(declared):
@@ -71,15 +88,17 @@ def primary(declared):
 
 def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
     """Fit the text model on rows (text, declared): a sample of about `train_rows` rows per language, by hash."""
-    common = rows.where("declared IS NOT NULL").groupBy("declared").count().where(F.col("count") >= MIN_ROWS) \
-        .orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["declared"] for r in common)
+    sizes = rows.where("declared IS NOT NULL").groupBy("declared").count().collect()  # a row per language
+    names = sorted(r["declared"] for r in sizes)
     if not names:
-        return TextModel([], np.zeros((0, BUCKETS)))
-    share = F.create_map(*[x for r in common for x in (F.lit(r["declared"]), F.lit(min(1.0, train_rows / r["count"])))])
+        return TextModel([], *[np.zeros(0, np.int64)] * 3)
     draw = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.col("declared").isin(names) & (draw < F.element_at(share, F.col("declared")))) \
-        .select("declared", "text").limit(4 * train_rows * len(names))
+    large = [r for r in sizes if r["count"] > train_rows]
+    kept = F.lit(True)
+    if large:
+        share = F.create_map(*[x for r in large for x in (F.lit(r["declared"]), F.lit(train_rows / r["count"]))])
+        kept = draw < F.coalesce(F.try_element_at(share, F.col("declared")), F.lit(1.0))
+    sample = rows.where(F.col("declared").isNotNull() & kept).select("declared", "text")
 
     def run(batches):
         found = Counter()
@@ -91,11 +110,12 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
                                           pa.array(found.values(), pa.int64())], names=["name", "bucket", "n"])
 
-    counts = np.zeros((len(names), BUCKETS))
     summed = sample.mapInArrow(run, "name string, bucket int, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # at most MAX_LANGUAGES * BUCKETS numbers
-        counts[names.index(r["name"]), r["bucket"]] = r["n"]
-    return TextModel(names, counts)
+    found = summed.toArrow()  # at most BUCKETS numbers for each language
+    coded = found.column("name").combine_chunks().dictionary_encode()
+    places = {name: i for i, name in enumerate(names)}
+    place = np.array([places[name] for name in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+    return TextModel(names, place, found.column("bucket").to_numpy(), found.column("n").to_numpy())
 
 
 def text_scores(model: TextModel, text):
@@ -115,31 +135,31 @@ def _best(scores):
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
-def _per_class(classes: int):
-    return F.array(*[F.coalesce(F.sum(F.when(F.col("guess") == i, F.col("n"))), F.lit(0)).cast("double")
-                     for i in range(classes)]).alias("by")
+def _per_class(seen: DataFrame, keys: list[str], classes: int) -> DataFrame:
+    """(keys, by, all): rows of each class, in an array, and of all."""
+    found = seen.groupBy(*keys, "guess").agg(F.sum("n").cast("double").alias("n")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("found"), F.sum("n").alias("all"))
+    return found.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.coalesce(
+        F.try_element_at("found", i), F.lit(0.0))).alias("by"), "all")
 
 
 def _lift(seen: DataFrame, value: str, totals: list[float]) -> DataFrame:
     """(value, lift): log of how much more often `value` goes with each class than with any row."""
-    n = sum(totals)
-    share = F.col("all") / n
-    by = seen.where(F.col(value).isNotNull()).groupBy(value).agg(_per_class(len(totals)), F.sum("n").alias("all"))
-    lift = [F.log((F.element_at("by", i + 1) + STRENGTH * share) / ((t + STRENGTH) * share)) for i, t in enumerate(totals)]
-    return by.select(value, F.array(*lift).alias(f"{value}_lift"))
+    share = F.col("all") / sum(totals)
+    by = _per_class(seen.where(F.col(value).isNotNull()), [value], len(totals))
+    return by.select(value, F.zip_with("by", F.lit(totals), lambda b, t: F.log(
+        (b + STRENGTH * share) / ((t + STRENGTH) * share))).alias(f"{value}_lift"))
 
 
 def _priors(seen: DataFrame, totals: list[float]) -> DataFrame:
     """(host, host_prior): log shares of the classes, smoothed from the host to its domain to all rows."""
     n, classes = sum(totals), len(totals)
-    overall = [(t + 1) / (n + classes) for t in totals]
-    domains = seen.where("domain IS NOT NULL").groupBy("domain").agg(_per_class(classes), F.sum("n").alias("all")).select(
-        "domain", F.array(*[(F.element_at("by", i + 1) + STRENGTH * p) / (F.col("all") + STRENGTH)
-                            for i, p in enumerate(overall)]).alias("parent"))
-    hosts = seen.where("host IS NOT NULL").groupBy("host", "domain").agg(_per_class(classes), F.sum("n").alias("all"))
-    return hosts.join(domains, "domain").select("host", F.array(*[
-        F.log((F.element_at("by", i + 1) + STRENGTH * F.element_at("parent", i + 1)) / (F.col("all") + STRENGTH))
-        for i in range(classes)]).alias("host_prior"))
+    overall = F.lit([(t + 1) / (n + classes) for t in totals])
+    domains = _per_class(seen.where("domain IS NOT NULL"), ["domain"], classes).select(
+        "domain", F.zip_with("by", overall, lambda b, p: (b + STRENGTH * p) / (F.col("all") + STRENGTH)).alias("parent"))
+    hosts = _per_class(seen.where("host IS NOT NULL"), ["host", "domain"], classes)
+    return hosts.join(domains, "domain").select("host", F.zip_with("by", "parent", lambda b, p: F.log(
+        (b + STRENGTH * p) / (F.col("all") + STRENGTH))).alias("host_prior"))
 
 
 def identify(df: DataFrame, text, declared=None, host=None, min_confidence: float = MIN_CONFIDENCE,

@@ -209,6 +209,29 @@ def test_languages(spark):
     assert len(rows) == 1000 and (rows.language == rows.lang).mean() > 0.99 and rows.kept.mean() > 0.99
 
 
+def test_every_declared_language_is_a_class(spark):
+    """Eighty languages of eight rows, and one of two rows."""
+    rng = np.random.default_rng(3)
+    names = [a + b for a in "abcdefghij" for b in "klmnopqr"] + ["zz"]
+    vocabulary = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)] for n in names}
+    rows = [(n, " ".join(rng.choice(vocabulary[n], 40))) for n in names for _ in range(2 if n == "zz" else 8)]
+    df = spark.createDataFrame(rows, "declared string, text string")
+    found = language.identify(df, F.col("text"), F.col("declared")).toPandas()
+    told = found["_language"].map(lambda r: r["language"])
+    assert (told == found.declared).all() and found["_language"].map(lambda r: r["accepted"]).all()
+
+
+def test_sparse_text_model_agrees_with_the_table():
+    rng = np.random.default_rng(2)
+    bucket, place = np.unique(rng.integers(0, [language.BUCKETS, 9], (20_000, 2)), axis=0).T
+    n = rng.integers(1, 50, len(place))
+    table, sparse = (language.TextModel(list("abcdefghi"), place, bucket, n, most) for most in (10, 9))
+    assert sparse.table is None
+    for text in (b"one two three", b"x" * 3000, "Straße und Weg".encode()):
+        assert sparse.scores(text) == pytest.approx(table.scores(text), rel=1e-5)
+    assert sparse.scores(b" 1 ") is None
+
+
 def test_held_out_texts_without_a_declaration(spark):
     """Rows that declare nothing, on an unknown host, are told by their text alone."""
     docs = documents(spark, GENERATED).withColumn("declared", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
