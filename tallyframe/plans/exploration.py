@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 from tallyframe.operators import profile, scores
 from tallyframe.operators.clean import with_target
 from tallyframe.functions.expressions import LOW_LABEL_PATTERN_ONE_SPACE
-from tallyframe.session import quoted
+from tallyframe.session import checkpointed, quoted
 
 
 def insights(
     df: DataFrame, target: str = "target", label: str = "label", threshold: float = 0.7,
-    encoded: DataFrame | None = None,
+    encoded: DataFrame | None = None, key: str | None = None,
 ) -> DataFrame:
     """One row: rows, features, class sizes, categoricals, correlated pairs and the top five features.
 
     `encoded` may carry the label-encoded table if the caller has it already.
     """
-    roles = profile.columns_by_role(df, (label, target))
+    roles = profile.columns_by_role(df, (label, target, *([key] if key else [])))
     if encoded is None:
         encoded = scores.label_encode(df, roles["categorical"])
     features = [c for c in df.columns if c in roles["categorical"] or c in roles["numeric"]]
@@ -35,17 +35,37 @@ def insights(
     )
 
 
+def _mutual_info(encoded: DataFrame, text: list[str], numeric: list[str], key: str | None, bins: int | None) -> DataFrame:
+    """Plug-in scores of the coded columns, nearest-neighbour scores of the numeric ones, largest first."""
+    if bins or not numeric:
+        return scores.mutual_info(encoded, [c for c in encoded.columns if c in text or c in numeric], bins=bins)
+    if key is None:
+        key = "_row"
+        while key in encoded.columns:
+            key += "_"
+        encoded = checkpointed(encoded.withColumn(key, F.monotonically_increasing_id()))
+    found = scores.nearest_mutual_info(encoded, numeric, key)
+    if text:
+        found = found.unionByName(scores.mutual_info(encoded, text))
+    return found.orderBy(F.desc_nulls_last("mutual_info"), "feature")
+
+
 def explore(
     df: DataFrame, label: str = "label", shares_by: tuple[str, ...] = ("education", "marital stat", "race", "sex"),
     pattern: str = LOW_LABEL_PATTERN_ONE_SPACE, mi_bins: int | None = None, histogram_columns: list[str] | None = None,
+    key: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All exploration tables of a labelled table, by name."""
+    """All exploration tables of a labelled table, by name.
+
+    `key`, a unique column, is no feature; it breaks the ties of the nearest-neighbour mutual information, which numeric
+    columns get unless `mi_bins` asks for quantile bins. Without a key the rows are numbered as they lie.
+    """
     out = {
         "shape": profile.shape(df), "types": profile.dtype_counts(df),
         "nulls": profile.null_counts(df), "sentinels": profile.sentinel_counts(df),
     }
     df = with_target(df, label, pattern)
-    roles = profile.columns_by_role(df, (label, "target"))
+    roles = profile.columns_by_role(df, (label, "target", *([key] if key else [])))
     text, numeric = roles["categorical"], roles["numeric"]
     out["classes"] = profile.class_balance(df)
     if text:
@@ -65,6 +85,6 @@ def explore(
     out["target_correlation"] = scores.target_correlation(encoded, features)
     out["chi2"] = scores.chi2_scores(encoded, features)
     out["f"] = scores.f_scores(encoded, features)
-    out["mutual_info"] = scores.mutual_info(encoded, features, bins=mi_bins)
-    out["insights"] = insights(df, label=label, encoded=encoded)
+    out["mutual_info"] = _mutual_info(encoded, text, numeric, key, mi_bins)
+    out["insights"] = insights(df, label=label, encoded=encoded, key=key)
     return out

@@ -67,6 +67,15 @@ def test_exploration_tables(census):
     assert summary["top_features"][0] == "weeks worked in year"
 
 
+def test_near_unique_noise_does_not_lead_the_ranking(census):
+    noise = F.pmod(F.xxhash64("id", F.lit("noise")), F.lit(1 << 40)) / float(1 << 40)
+    df = census.select("id", "education", "weeks worked in year", "label", noise.alias("noise"))
+    for key in ("id", None):
+        found = {r["feature"]: r["mutual_info"] for r in exploration.explore(df if key else df.drop("id"), key=key)["mutual_info"].collect()}
+        assert set(found) == {"education", "weeks worked in year", "noise"}
+        assert found["noise"] < 0.02 < found["weeks worked in year"] and max(found, key=found.get) == "weeks worked in year"
+
+
 def test_cleaning_and_scoring_run_on_streams(spark, census, trained, tmp_path):
     prepared, out = trained
     write_table(prepared.limit(200), str(tmp_path / "rows"))
