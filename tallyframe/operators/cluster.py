@@ -12,9 +12,9 @@ from tallyframe.operators.groups import best_by
 from tallyframe.session import checkpointed, quoted
 
 BLOCK_ROWS = 2_000
-# Points that the restarts start from, and how often their centres move within this sample.
-SAMPLE_ROWS = 1_000
-SAMPLE_ROUNDS = 30
+# A table of no more points draws its starts on the driver, and moves them so often there.
+FEW_POINTS = 1_000
+FEW_ROUNDS = 30
 
 
 def _points(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -27,37 +27,97 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return square.argmin(axis=1), square.min(axis=1)
 
 
-def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Centres drawn from the sample with chances that grow with the squared distance, then moved within the sample."""
+def _few_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centres drawn from all points of a small table with chances that grow with the squared distance, then moved."""
     rng = np.random.default_rng(seed)
-    centres = sample[[rng.integers(len(sample))]]
+    centres = points[[rng.integers(len(points))]]
     while len(centres) < k:
-        far = _nearest(sample, centres)[1]
+        far = _nearest(points, centres)[1]
         total = far.sum()
-        pick = rng.choice(len(sample), p=far / total) if total > 0 else rng.integers(len(sample))
-        centres = np.vstack([centres, sample[pick]])
-    for _ in range(SAMPLE_ROUNDS):
-        label = _nearest(sample, centres)[0]
-        moved = np.array([sample[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)])
+        pick = rng.choice(len(points), p=far / total) if total > 0 else rng.integers(len(points))
+        centres = np.vstack([centres, points[pick]])
+    for _ in range(FEW_ROUNDS):
+        label = _nearest(points, centres)[0]
+        moved = np.array([points[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)])
         if np.array_equal(moved, centres):
             break
         centres = moved
     return centres
 
 
+def _draws(h: np.ndarray, salt: int) -> np.ndarray:
+    """Exponential draws that follow the hashes and the salt."""
+    x = h.view(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return -np.log(((x ^ x >> np.uint64(31)) >> np.uint64(11)) / 2.0**53 + 2.0**-54)
+
+
+def _first_centres(points: DataFrame, key: str, tasks: list[tuple[int, int]], seed: int) -> dict[int, np.ndarray]:
+    """For every task (k, restart) k of all points, drawn one after the other with chances that grow with the squared distance
+    to those before; of 2 + ln k draws the one that leaves the least distances is taken.
+
+    A round is two aggregates for all tasks: the point with the least exponential draw divided by its chance is such a draw,
+    and the second one adds up the distances. Draws follow a hash of the key, the restart and the round, so every restart has its own and the table's layout doesn't matter.
+    """
+    rows = points.select("_point", F.xxhash64(quoted(key).cast("string"), F.lit(seed)).alias("_h"))
+    centres: dict[int, np.ndarray] = {}
+    for done in range(max(k for k, _ in tasks)):
+        now = {(t, trial): (k << 32 | i << 16 | done << 8 | trial, centres.get(t)) for t, (k, i) in enumerate(tasks) if k > done
+               for trial in range(2 + int(math.log(k)) if done else 1)}
+
+        def least(batches, now=now):
+            found = {}
+            for b in batches:
+                if len(b):
+                    x, h = np.stack(b["_point"].to_numpy()), b["_h"].to_numpy()
+                    for t, (salt, before) in now.items():
+                        with np.errstate(divide="ignore"):
+                            score = _draws(h, salt) / (1.0 if before is None else _nearest(x, before)[1])
+                        i = np.lexsort((h, score))[0] if np.isinf(score).all() else score.argmin()
+                        found[t] = min(found.get(t, (math.inf, math.inf, None)), (float(score[i]), int(h[i]), x[i].tolist()),
+                                       key=lambda r: r[:2])
+            if found:
+                yield pd.DataFrame([(*t, *r) for t, r in found.items()], columns=["task", "trial", "score", "h", "point"])
+
+        drawn = rows.mapInPandas(least, "task int, trial int, score double, h long, point array<double>").groupBy("task", "trial").agg(
+            F.min_by("point", F.struct("score", "h")).alias("point")).collect()
+        drawn = {(r["task"], r["trial"]): np.array([r["point"]], dtype=float) for r in drawn}
+        if not done:
+            centres = {t: point for (t, _), point in drawn.items()}
+            continue
+        tried = {(t, trial): np.vstack([centres[t], point]) for (t, trial), point in drawn.items()}
+
+        def left(batches, tried=tried):
+            total = dict.fromkeys(tried, 0.0)
+            for b in batches:
+                if len(b):
+                    x = np.stack(b["_point"].to_numpy())
+                    for t, c in tried.items():
+                        total[t] += _nearest(x, c)[1].sum()
+            yield pd.DataFrame([(*t, s) for t, s in total.items()], columns=["task", "trial", "s"])
+
+        sums = rows.mapInPandas(left, "task int, trial int, s double").groupBy("task", "trial").agg(F.sum("s").alias("s")).collect()
+        for r in sorted(sums, key=lambda r: (-r["s"], -r["trial"])):
+            centres[r["task"]] = tried[r["task"], r["trial"]]
+    return centres
+
+
 def _best_fits(points: DataFrame, key: str, ks: list[int], n_init: int, seed: int, max_iter: int) -> dict[int, tuple[np.ndarray, float]]:
     """For every k the centres and the cost of the best restart.
 
     All restarts of all k move on together: an iteration is one aggregate over the points, from which every task sends a
-    few sums per centre. The start comes from SAMPLE_ROWS points in the order of a hash of their key, so neither the
-    layout of the table nor its size changes the way it works.
+    few sums per centre. The starts are drawn from all points.
     """
-    order = F.md5(F.concat_ws("|", quoted(key).cast("string"), F.lit(str(seed))))
-    sample = points.select("_point", order.alias("_h"), quoted(key).alias("_key")).orderBy("_h", "_key").limit(SAMPLE_ROWS).collect()
-    sample = np.array([r["_point"] for r in sample], dtype=float)
     tasks = [(k, i) for k in ks for i in range(n_init)]
-    centres = {t: _first_centres(sample, k, seed + i) for t, (k, i) in enumerate(tasks)}
-    cost, moving, width = {}, set(centres), sample.shape[1]
+    order = F.md5(F.concat_ws("|", quoted(key).cast("string"), F.lit(str(seed))))
+    few = points.select("_point", order.alias("_h"), quoted(key).alias("_key")).limit(FEW_POINTS + 1).collect()
+    if len(few) <= FEW_POINTS:
+        few = np.array([r["_point"] for r in sorted(few, key=lambda r: (r["_h"], r["_key"]))], dtype=float)
+        centres = {t: _few_centres(few, k, seed + i) for t, (k, i) in enumerate(tasks)}
+    else:
+        centres = _first_centres(points, key, tasks, seed)
+    cost, moving, width = {}, set(centres), centres[0].shape[1]
     schema = "task int, centre int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(width))
     for _ in range(max_iter + 1):
         now = {t: centres[t] for t in moving}

@@ -138,3 +138,15 @@ def test_segmentation_job_on_raw_rows(census):
     row = out["features"].where(F.col(KEY) == "Sales").first()
     assert row["avg_age"] == pytest.approx(round(pdf["age"].mean(), 2)) and row["sample_size"] == len(pdf)
     assert out["ranked"].count() == 4 and out["members"].count() == 4 and out["bands"].count() >= 4
+
+
+def test_starts_see_a_small_far_cluster(spark):
+    """Five points among 20,000, which a sample of 1,000 mostly lacks."""
+    i = F.col("id")
+    noise = [F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 1000.0 for s in "xy"]
+    left = F.when(i < 5, 60.0).when(i % 2 == 0, 0.0).otherwise(6.0)
+    for first in (0, 100_000, 200_000):
+        df = spark.range(20_000).select((i + first).alias("id"), (left + noise[0]).alias("x"),
+                                        (F.when(i < 5, 60.0).otherwise(0.0) + noise[1]).alias("y"))
+        labelled, inertia = cluster.kmeans(df, "id", ["x", "y"], 3, n_init=3)
+        assert sorted(r["count"] for r in labelled.groupBy("cluster").count().collect())[0] == 5 and inertia < 4000
