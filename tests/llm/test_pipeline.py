@@ -12,7 +12,7 @@ from test_tokens import packed_documents
 
 def test_registered(spark):
     assert corpus_pipeline.STAGES and "pipeline" in contract.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in contract.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in contract.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_rows_equal_brute_force(spark, folder):
