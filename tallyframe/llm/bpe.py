@@ -1,8 +1,11 @@
-"""Byte-level BPE: merges replayed over all distinct pieces of a part of the corpus at once.
+"""Byte-level BPE: merges replayed over the distinct pieces of the whole corpus.
 
-An inverted index leads from the rank of a token pair to the positions where the pair stands. The lowest rank is merged
-next, in all words that have it, and only the pairs that touch a merged position are looked up again. A word merges one
-position at a time, the leftmost of its lowest rank, which is what an encoder does that takes the word alone.
+Documents are coded chunk by chunk as numbers of the chunk's distinct words. The words of all chunks are made distinct once
+more by a grouped aggregate, so a word of the corpus is merged once, in one place, whatever its frequency; its ids go back to
+the chunks that have it. A partition of words is one corpus for the replay: an inverted index leads from the rank of a token
+pair to the positions where the pair stands, the lowest rank is merged next in all words that have it, and only the pairs that
+touch a merged position are looked up again. Within a word positions merge from the left, and no further than to the first
+one whose merge makes a pair of a lower rank, which is what an encoder does that takes the word alone.
 """
 
 import heapq
@@ -11,15 +14,22 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_batches, documents, worker_state
+from tallyframe.llm.common import bounded_batches, documents, stored, worker_state
 from tallyframe.llm.registry import query
-from tallyframe.llm.words import WordIds, byte_words, id_blocks, rank_file
+from tallyframe.llm.words import byte_words, gathered, rank_file, text_blocks
+from tallyframe.session import quoted
 
 # Positions whose pairs are looked up at a time before the first merge.
 FIRST_LOOK = 1 << 18
+# Text of a chunk, words that are merged together and their bytes, codes that are spelled at a time.
+CHUNK_BYTES = 16 << 20
+REPLAY_WORDS = 1 << 17
+REPLAY_BYTES = 4 << 20
+SPELL_CODES = 1 << 19
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -34,6 +44,11 @@ class Merges:
                  if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.pairs, self.joined = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int32)
+        # Tokens that are part of a pair of a lower rank than their own: merging such a token can open a merge that goes first.
+        least = np.full(len(tokens), len(tokens), np.int64)
+        np.minimum.at(least, pairs[:, 0] >> 32, pairs[:, 1])
+        np.minimum.at(least, pairs[:, 0] & 0xFFFFFFFF, pairs[:, 1])
+        self.opens = least < np.arange(len(tokens))
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, -1 where it makes none."""
@@ -45,6 +60,8 @@ class Merges:
         """Ids of all words one after the other, and the number of ids of each."""
         sizes = np.array([len(w) for w in words], np.int64)
         n = int(sizes.sum())
+        if not n:
+            return np.zeros(0, np.int32), sizes
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
@@ -77,15 +94,17 @@ class Merges:
         while ranks:
             r = heapq.heappop(ranks)
             at = index.pop(r)
-            at = np.unique(np.concatenate(at)) if len(at) > 1 else np.sort(at[0])
+            at = np.unique(np.concatenate(at))
             at = at[pair[at] == r]
             if not len(at):
                 continue
-            first = np.r_[True, word[at[1:]] != word[at[:-1]]]
-            if not first.all():
-                index[r] = [at[~first]]
-                heapq.heappush(ranks, r)
-                at = at[first]
+            at = at[_alternate(at, after)]
+            if self.opens[r]:
+                last = self._before_lower(r, at, ids, word, after, before, n)
+                if not last.all():
+                    index[r] = [at[~last]]
+                    heapq.heappush(ranks, r)
+                    at = at[last]
             gone = after[at]
             ids[at] = r
             there[gone] = False
@@ -94,9 +113,30 @@ class Merges:
             inside = following < n
             before[following[inside]] = at[inside]
             left = before[at]
-            look(np.concatenate([left[left >= 0], at]))
+            look(np.unique(np.concatenate([left[left >= 0], at])))
         return ids[there], np.bincount(word[there], minlength=len(words))
 
+    def _before_lower(self, r: int, at, ids, word, after, before, n: int) -> np.ndarray:
+        """Which of the positions `at` a word merges before a pair of a lower rank than r comes up, the one that makes it included."""
+        left, right = before[at], after[after[at]]
+        beside = np.r_[False, left[1:] == after[at[:-1]]]  # the position before it has been merged by then
+        new = np.full((2, len(at)), -1, np.int64)
+        here = left >= 0
+        new[0, here] = self.join(np.where(beside, r, ids[left])[here], np.full(here.sum(), r))
+        here = right < n
+        new[1, here] = self.join(np.full(here.sum(), r), ids[right[here]])
+        lower = ((new >= 0) & (new < r)).any(0)
+        first = np.r_[True, word[at[1:]] != word[at[:-1]]]
+        seen = np.cumsum(lower) - lower  # up to each position, in all words
+        return seen == seen[first][np.cumsum(first) - 1]
+
+
+def _alternate(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of the ascending positions merge if each takes its right neighbour away: every second one of a run."""
+    first = np.r_[True, at[1:] != after[at[:-1]]]
+    place = np.arange(len(at))
+    return (place - place[first][np.cumsum(first) - 1]) % 2 == 0
+
 
 class ReplayedWords:
     """Ids of distinct words: their distinct matches of the split pattern are one corpus for the replay."""
@@ -130,27 +170,105 @@ class ReplayedWords:
         return out, sizes
 
 
-def _encoder(path: str, pattern: str) -> WordIds:
-    def make():
-        return WordIds(byte_words, ReplayedWords(Merges(rank_file(path)), pattern))
-    return worker_state(("replay", path, pattern), make)
+def _joined(batches, text: int):
+    """Batches put together until they hold CHUNK_BYTES of text."""
+    waiting, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            waiting.append(b)
+            size += b.column(text).nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _coded(keys: int):
+    """Rows (keys, chunk, codes, words): the words of a text as numbers in the list `words`, which the chunk's first row has."""
+    def run(batches):
+        seq = 0
+        for table in _joined(batches, keys):
+            at = 0
+            for block in text_blocks(table.column(keys).combine_chunks(), CHUNK_BYTES):  # a very long text is a chunk of its own
+                words, whole = byte_words(block)
+                offsets, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+                names, flat = coded.dictionary, coded.indices.to_numpy()
+                if whole.any():
+                    flat = flat.copy()
+                    flat[offsets[:-1][whole]] = np.arange(len(names), len(names) + whole.sum())
+                    names = pa.concat_arrays([names.cast(pa.large_string()), block.filter(pa.array(whole))])
+                n = len(block)
+                chunk = TaskContext.get().partitionId() << 32 | seq
+                codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                first = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string()))
+                lists = pa.concat_arrays([first, pa.nulls(n - 1, first.type)])
+                own = table.slice(at, n).combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [*[own.column(i).combine_chunks() for i in range(keys)], pa.array(np.full(n, chunk)), codes, lists],
+                    names=[*own.column_names[:keys], "chunk", "codes", "words"])
+                at, seq = at + n, seq + 1
+    return run
+
+
+def _replayed(path: str, pattern: str):
+    def run(batches):
+        resolve, waiting, size = worker_state(("replay", path, pattern), lambda: ReplayedWords(Merges(rank_file(path)), pattern)), [], 0
+
+        def flush():
+            ids, lengths = resolve(pa.concat_arrays(waiting).to_pylist())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(waiting), pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(ids, pa.int32()))], names=["word", "ids"])
+
+        for b in batches:
+            if b.num_rows:
+                waiting.append(b.column(0))
+                size += b.column(0).nbytes
+            if size >= REPLAY_BYTES or sum(map(len, waiting)) >= REPLAY_WORDS:
+                yield flush()
+                waiting, size = [], 0
+        if waiting:
+            yield flush()
+    return run
+
+
+def _spelled(keys: int):
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+        place = words.column("i").to_numpy()
+        lists = words.column("ids").combine_chunks()
+        order = np.argsort(place)
+        lengths = np.diff(lists.offsets.to_numpy())
+        ids, _ = gathered(lists.flatten().to_numpy(), lengths, order, np.zeros(1, np.int64))
+        lengths, out, codes = lengths[order], [], rows.column("codes").combine_chunks()
+        at, ends = 0, codes.offsets.to_numpy()
+        while at < len(codes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SPELL_CODES, "right")) - 1)
+            found, bounds = gathered(ids, lengths, codes.slice(at, to - at).flatten().to_numpy(), ends[at:to + 1] - ends[at])
+            out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32())))
+            at = to
+        ids = pa.chunked_array(out, pa.list_(pa.int32()))
+        return pa.Table.from_arrays([*rows.columns[:keys], ids], names=[*rows.column_names[:keys], "ids"])
+    return run
 
 
 def encode(df: DataFrame, keys: list[str], text: str, path: str = RANKS,
            pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(keys, ids: array<int>) with the ids of the whole text of every row; a null or empty text has none.
 
-    Keys may be null or repeated. A task replays the merges over the distinct pieces of blocks of its texts.
+    Keys may be null or repeated; other columns are not read, whatever their names. A word without a space to cut at, however
+    long, is merged in time that grows with its length times the logarithm of it.
     """
-    def run(batches):
-        for b in batches:
-            for at, ids in id_blocks(_encoder(path, pattern), b.column(len(keys))):
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(ids)) for c in b.columns[:len(keys)]], ids],
-                                                 names=[*keys, "ids"])
-
-    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
-    return own.mapInArrow(run, f"{schema}, ids array<int>")
+    names = [f"key{i}" for i in range(len(keys))]
+    own = bounded_batches(df).select(*[quoted(k).alias(n) for k, n in zip(keys, names)], quoted(text).alias("text"))
+    kinds = "".join(f"{n} {t}, " for n, t in own.dtypes[:-1])
+    coded = stored(own.mapInArrow(_coded(len(keys)), f"{kinds}chunk long, codes array<int>, words array<string>"))
+    places = coded.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("i", "word"))
+    spelled = places.select("word").distinct().mapInArrow(_replayed(path, pattern), "word string, ids array<int>")
+    # With an alias, since both sides of the cogroup stem from one table.
+    back = places.join(spelled, "word").select(F.col("chunk").alias("chunk"), "i", "ids")
+    found = coded.select(*names, "chunk", "codes").groupBy("chunk").cogroup(back.groupBy("chunk")) \
+        .applyInArrow(_spelled(len(keys)), f"{kinds}ids array<int>")
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "ids")
 
 
 def decode(df: DataFrame, ids: str, data: str, path: str = RANKS) -> DataFrame:

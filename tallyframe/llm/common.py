@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ MAX_CELLS = 65_536
 
 
 def shared_folder(spark) -> str:
-    """A new path below spark.checkpoint.dir; sessions without that setting (tests) get a folder of their own."""
+    """A new path below spark.checkpoint.dir. Without that setting it is a temporary folder on a local master, whose one process
+    is all of Spark, and an error on a cluster, whose executors don't share such a folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/llm-{uuid.uuid4().hex}"
@@ -128,6 +132,7 @@ def forget_worker_state() -> None:
     home = sys.modules.get("_tallyframe_worker_state")
     if home is not None:
         home.kept = {}
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column) -> list[bytes]:

@@ -6,7 +6,7 @@ histogram that remains is packed best fit, largest first, many equal pieces at a
 length which ranks of its pieces go to which sequences; the pieces then find their places on the executors.
 """
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_batches, documents, numbered, stored
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, numbered, stored
 from tallyframe.llm.registry import query
 from tallyframe.llm.words import id_blocks, library_ids
+from tallyframe.session import quoted
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
@@ -25,34 +26,42 @@ ROUNDS = 300
 
 
 def pieces(df: DataFrame, keys: list[str], text: str, path: str = BYTES, end_id: int = END_ID,
-           capacity: int = CAPACITY) -> DataFrame:
+           capacity: int = CAPACITY, digests: bool = False) -> DataFrame:
     """(keys, piece, start, length, ids) of all documents: ids of the whole text and `end_id`, longer ones cut.
 
-    Ids are little-endian unsigned 32-bit integers in a binary column.
-
-    Pieces of a cut document have `capacity` ids but for the first, which takes the rest. A null text is empty, so its one
-    piece is the end id. Rows with the same keys each give their own pieces.
+    Ids are little-endian unsigned 32-bit integers in a binary column; with `digests` there is the CRC-32 of these bytes
+    instead, column ids_crc32. Pieces of a cut document have `capacity` ids but for the first, which takes the rest. A null text
+    is empty, so its one piece is the end id. Rows with the same keys each give their own pieces. Other columns are not read.
     """
+    names = [f"key{i}" for i in range(len(keys))]
+
     def run(batches):
+        forget_worker_state()
         for b in batches:
-            for at, lists in id_blocks(library_ids(path), b.column(len(keys))):
-                source, piece, start, data = [], [], [], []
-                for i, x in enumerate(lists):
-                    ids = np.append(x.values.to_numpy(), np.int32(end_id)).astype("<u4")
-                    cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                    for p, (first, end) in enumerate(zip(cuts, cuts[1:])):
-                        source.append(at + i)
-                        piece.append(p)
-                        start.append(first)
-                        data.append(ids[first:end].tobytes())
+            for at, ids, bounds in id_blocks(library_ids(path), b.column(len(keys)), end_id):
+                sizes = np.diff(bounds)
+                n = -(-sizes // capacity)
+                source = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rest = sizes - (n - 1) * capacity  # what the first piece takes
+                start = np.where(piece > 0, rest[source] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, rest[source])
+                cuts = np.r_[bounds[:-1][source] + start, bounds[-1:]] * 4
+                data = ids.astype("<u4").tobytes()
+                if digests:
+                    view, edges = memoryview(data), cuts.tolist()
+                    last = pa.array([zlib.crc32(view[a:z]) for a, z in zip(edges, edges[1:])], pa.int64())
+                else:
+                    last = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(pa.array(source, pa.int64())) for c in b.columns[:len(keys)]], pa.array(piece, pa.int32()),
-                     pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())],
-                    names=[*keys, "piece", "start", "length", "ids"])
+                    [*[c.take(pa.array(source + at)) for c in b.columns[:len(keys)]], pa.array(piece, pa.int32()),
+                     pa.array(start), pa.array(length), last],
+                    names=[*names, "piece", "start", "length", "ids_crc32" if digests else "ids"])
 
-    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
-    return own.mapInArrow(run, f"{schema}, piece int, start long, length long, ids binary")
+    own = bounded_batches(df).select(*[quoted(k).alias(n) for k, n in zip(keys, names)], quoted(text).alias("text"))
+    kinds = ", ".join(f"{n} {t}" for n, t in own.dtypes[:-1])
+    found = own.mapInArrow(run, f"{kinds}, piece int, start long, length long, " + ("ids_crc32 long" if digests else "ids binary"))
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *found.columns[len(keys):])
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
@@ -184,7 +193,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def packed_digests(docs: DataFrame) -> DataFrame:
     """Pieces of `docs` (doc_id, text) with the CRC-32 of their ids, packed."""
-    cut = pieces(docs, ["doc_id"], "text").withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, ["doc_id"], "text", digests=True)
     return pack(stored(cut), "length", ["doc_id", "piece", "ids_crc32"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -11,7 +11,6 @@ The dictionary is a table of its own beside the containers. All numbers are litt
 
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -92,9 +91,11 @@ def _serial(ids: np.ndarray, id_bytes: int) -> bytes:
     return ids.astype(f"<u{id_bytes}").tobytes()
 
 
-def _documents_ids(lists: pa.ListArray, end_id: int) -> Iterator[np.ndarray]:
-    for x in lists:
-        yield np.append(x.values.to_numpy(), np.int32(end_id))
+def _serials(path: str, texts: pa.Array, end_id: int, id_bytes: int):
+    """Per block of texts: the place of its first one, numbers of ids, and the ids of each text as bytes."""
+    for at, ids, bounds in id_blocks(library_ids(path), texts, end_id):
+        data, cuts = memoryview(_serial(ids, id_bytes)), (bounds * id_bytes).tolist()
+        yield at, np.diff(bounds), [data[a:z] for a, z in zip(cuts, cuts[1:])]
 
 
 def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS, end_id: int = END_ID,
@@ -110,18 +111,17 @@ def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS
     mark = F.xxhash64("text")
     sample = sampled(docs, train_docs).select("text").toArrow().column("text")
     sample = sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0)
-    dictionary = train_dictionary([_serial(ids, id_bytes) for _, lists in id_blocks(library_ids(path), sample)
-                                   for ids in _documents_ids(lists, end_id)])
+    dictionary = train_dictionary([bytes(d) for _, _, docs_ids in _serials(path, sample, end_id, id_bytes) for d in docs_ids])
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     cell, _ = ordered_cells(docs, "key")
 
     def compress(batches):
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_compression(dictionary), write_content_size=True).compress
         for b in batches:
-            for at, lists in id_blocks(library_ids(path), b.column(3)):
-                n, frames = zip(*[(len(ids), pack(_serial(ids, id_bytes))) for ids in _documents_ids(lists, end_id)])
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(lists)) for c in b.columns[:3]], pa.array(n, pa.int64()),
-                                                  pa.array(frames, pa.binary())], names=["cell", "key", "mark", "n", "frame"])
+            for at, n, serials in _serials(path, b.column(3), end_id, id_bytes):
+                frames = pa.array([pack(ids) for ids in serials], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(n)) for c in b.columns[:3]], pa.array(n, pa.int64()), frames],
+                                                 names=["cell", "key", "mark", "n", "frame"])
 
     def assemble(batches):
         waiting, size, at, part = [], 0, None, 0

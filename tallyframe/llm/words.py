@@ -1,6 +1,5 @@
-"""Token ids of whole texts, word by word: texts are cut where no token can cross, and every distinct word is encoded once.
-
-A worker keeps the ids of the words it has met, up to a bound; ids don't depend on what is kept.
+"""Token ids of whole texts, word by word: texts are cut where no token can cross, and every distinct word of a block of texts
+is encoded once. Nothing is kept between blocks but the vocabulary.
 """
 
 import base64
@@ -8,19 +7,19 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 from tallyframe.llm.common import worker_state
 
-KEPT_WORDS = 300_000
-KEPT_CHARS = 32 << 20
 # Text that is cut into words at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 # White space, a space, white space or the end: the run that such a space stands in can't be cut there.
 _INSIDE_RUN = r"[\s\v\x1c-\x1f\x85\pZ] (?:[\s\v\x1c-\x1f\x85\pZ]|\z)"
@@ -44,44 +43,31 @@ def space_words(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
 class WordIds:
     """Ids of texts. `cut` gives the words of an array of texts, `resolve` the ids of each of a list of words."""
 
-    def __init__(self, cut: Callable, resolve: Callable, kept_words: int = KEPT_WORDS, kept_chars: int = KEPT_CHARS):
-        self.cut, self.resolve, self.kept_words, self.kept_chars = cut, resolve, kept_words, kept_chars
-        self.clear()
-
-    def clear(self):
-        self.number, self.chars = {}, 0
-        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def __init__(self, cut: Callable, resolve: Callable):
+        self.cut, self.resolve = cut, resolve
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts (no nulls) one after the other, and where each text's ids start and the last ones end."""
-        if len(self.number) > self.kept_words or self.chars > self.kept_chars:
-            self.clear()
         words, whole = self.cut(texts)
         offsets = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
-        distinct = self._numbers(coded.dictionary.to_pylist())
-        flat = distinct[coded.indices.to_numpy()]
+        del words
+        names, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        del coded
         if whole.any():
-            flat[offsets[:-1][whole]] = self._numbers(texts.filter(pa.array(whole)).to_pylist())
-        lengths = self.lengths[flat]
-        first = np.cumsum(lengths) - lengths
-        ids = self.pool[np.arange(lengths.sum()) + np.repeat(self.starts[flat] - first, lengths)]
-        return ids, np.r_[0, np.cumsum(lengths)][offsets]
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Number of each word; those not met before are resolved together."""
-        number, fresh = self.number, []
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
-                fresh.append(w)
-        if fresh:
-            self.chars += sum(map(len, fresh))
-            found, lengths = self.resolve(fresh)
-            self.starts = np.r_[self.starts, np.cumsum(lengths) - lengths + len(self.pool)]
-            self.lengths = np.r_[self.lengths, lengths]
-            self.pool = np.r_[self.pool, found.astype(np.int32)]
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            flat = flat.copy()
+            flat[offsets[:-1][whole]] = np.arange(len(names), len(names) + whole.sum())
+            names += texts.filter(pa.array(whole)).to_pylist()
+        return gathered(*self.resolve(names), flat, offsets)
+
+
+def gathered(ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts that are the words offsets[i]..offsets[i + 1] of `flat`, from the ids of the words one after the other."""
+    starts, sizes = np.cumsum(lengths) - lengths, lengths[flat]
+    ends = np.r_[0, np.cumsum(sizes)]
+    at = np.repeat((starts[flat] - ends[:-1]).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at], ends[offsets]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -91,8 +77,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# Stands for the end of a word in the merges of vocabularies that mark it; no byte of UTF-8.
+_WORD_END = b"\xff"
+
+
 class LibraryWords:
-    """Ids of distinct words by the tokenizers library: its model runs once per distinct match of the split pattern."""
+    """Ids of distinct words as the tokenizers library gives them.
+
+    The merges run in tiktoken's core, by rank of the token that a pair makes. That gives the library's ids if every token
+    comes from one merge, tokens come in the order of their merges (checked here), and the library itself makes each token's
+    text that one token (tested for the vocabularies used). Words with other than plain characters, and vocabularies of
+    another kind, go through the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -104,33 +100,62 @@ class LibraryWords:
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         own = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
         self.pattern = regex.compile(own[0] if own else BYTE_PATTERN)
-        self.letters = _byte_letters()
         self.cut = space_words if self.lower else byte_words
-        self.parts = {}
+        self.end = _WORD_END if spec["model"]["end_of_word_suffix"] else b""
+        self.core, self.of_rank = self._core(spec["model"])
+
+    def _core(self, model: dict):
+        """tiktoken's core with ranks in the order of the merges, and the id of each rank; None if the vocabulary doesn't fit."""
+        bytes_of, suffix = {c: bytes([b]) for b, c in _byte_letters().items()}, model["end_of_word_suffix"] or ""
+
+        def raw(token):
+            ended = suffix and token.endswith(suffix)
+            return b"".join(bytes_of[c] for c in (token[:-len(suffix)] if ended else token)) + (_WORD_END if ended else b"")
+
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [a.removesuffix(suffix) + b if suffix else a + b for a, b in merges]
+        if len(set(made)) != len(made) or model["dropout"] or model["ignore_merges"] or any(a.endswith(suffix) for a, _ in merges if suffix):
+            return None, None
+        single = [c for c in bytes_of if not suffix or c != bytes_of_end(bytes_of)]
+        # The end of a word joins its last byte before anything else.
+        order = [*single, *(c + suffix for c in single if suffix), *made]
+        ranks = {raw(t): r for r, t in enumerate(order)}
+        if suffix:
+            ranks[_WORD_END] = len(ranks)
+        if len(ranks) != len(order) + bool(suffix) or any(t not in vocab for t in order):
+            return None, None
+        core = tiktoken.Encoding("words", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return core, np.array([*(vocab[t] for t in order), *([-1] if suffix else [])], np.int32)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > KEPT_WORDS:
-            self.parts.clear()
-        ids, lengths = [], []
-        for w in words:
-            before = len(ids)
-            if w.isascii() and w.isalpha():
-                ids += self._part(w.lower() if self.lower else w)
-            elif _PLAIN.fullmatch(w) is None:
-                ids += self.tokenizer.encode(w, add_special_tokens=False).ids
+        """Ids of all words one after the other, and the number of ids of each."""
+        if self.core is None:
+            found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, lengths.sum()), lengths
+        whole, piece, end, plain, foreign = self.core.encode_ordinary, self.core.encode_single_piece, self.end, _PLAIN.fullmatch, {}
+        found = []
+        for i, w in enumerate(words):
+            if w.isascii() and w[1:].isalpha() and (w[0].isalpha() or w[0] == " " and not self.lower):
+                found.append(piece((w.lower() if self.lower else w).encode() + end))
+            elif plain(w) is None:
+                foreign[i] = self.tokenizer.encode(w, add_special_tokens=False).ids
+                found.append(foreign[i])
+            elif self.lower:
+                found.append([x for part in self.pattern.findall(w.lower()) for x in piece(part.encode() + end)])
             else:
-                for part in self.pattern.findall(w.lower() if self.lower else w):
-                    ids += self._part(part)
-            lengths.append(len(ids) - before)
-        return np.array(ids, np.int32), np.array(lengths, np.int64)
+                found.append(whole(w))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, lengths.sum())
+        ids, starts = self.of_rank[np.minimum(flat, len(self.of_rank) - 1)], np.cumsum(lengths) - lengths
+        for i, own in foreign.items():  # those are ids already
+            ids[starts[i]:starts[i] + lengths[i]] = own
+        return ids, lengths
+
 
-    def _part(self, part: str) -> list[int]:
-        """Ids of one match of the split pattern."""
-        got = self.parts.get(part)
-        if got is None:
-            letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
-            self.parts[part] = got = [t.id for t in self.tokenizer.model.tokenize(letters)]
-        return got
+def bytes_of_end(bytes_of: dict[str, bytes]) -> str:
+    """The letter whose byte marks the end of a word."""
+    return next(c for c, b in bytes_of.items() if b == _WORD_END)
 
 
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -155,17 +180,28 @@ def text_blocks(texts: pa.Array, most_bytes: int = BLOCK_BYTES) -> Iterator[pa.A
         at = to
 
 
-def id_blocks(encoder: WordIds, texts: pa.Array) -> Iterator[tuple[int, pa.ListArray]]:
-    """Ids of the texts (null: none) block by block, with the place of the block's first text."""
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with `end_id` after the ids of each text."""
+    n = len(bounds) - 1
+    out, bounds = np.empty(len(ids) + n, np.int32), bounds + np.arange(n + 1)
+    ends = np.zeros(len(out), bool)
+    ends[bounds[1:] - 1] = True
+    out[ends], out[~ends] = end_id, ids
+    return out, bounds
+
+
+def id_blocks(encoder: WordIds, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ids of the texts (null: none) block by block: the place of the block's first text, all ids, and the texts' bounds in them."""
     at = 0
     for block in text_blocks(texts):
-        ids, ends = encoder.encode(block)
-        yield at, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        ids, bounds = encoder.encode(block)
+        yield at, *((ids, bounds) if end_id is None else with_end(ids, bounds, end_id))
         at += len(block)
 
 
 def id_lists(encoder: WordIds, texts: pa.Array) -> pa.ListArray:
-    return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(ids for _, ids in id_blocks(encoder, texts))])
+    return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(
+        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())) for _, ids, bounds in id_blocks(encoder, texts))])
 
 
 def rank_file(path: str) -> list[bytes]:

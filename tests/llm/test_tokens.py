@@ -1,5 +1,7 @@
+import functools
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,26 +25,102 @@ def fuzz(n):
     return [*texts, "", " ", "  ", "a" * 700, "ab" * 300, "\n \n", None]
 
 
+@functools.cache
 def library(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
     tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def by_ranks(text):
+@functools.cache
+def rank_encoding():
     ranks = {t: r for r, t in enumerate(words.rank_file(bpe.RANKS))}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def by_ranks(text):
+    return rank_encoding().encode_ordinary(text)
 
 
-@pytest.mark.parametrize("kept", [0, 1000])
+@pytest.mark.parametrize("core", [True, False])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_word_by_word_equals_the_library(name, kept):
+def test_word_by_word_equals_the_library(name, core):
     own = words.LibraryWords(public_tokenizers.path(name))
-    coder, plain = words.WordIds(own.cut, own, kept_words=kept), library(name)
+    assert own.core is not None
+    if not core:
+        own.core = None
+    coder, plain = words.WordIds(own.cut, own), library(name)
     for texts in (fuzz(1500), fuzz(300)):
         assert words.id_lists(coder, pa.array(texts)).to_pylist() == [plain(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_the_library_makes_every_token_of_its_own_text(name):
+    """What merging by rank relies on: a token's text alone becomes that token, and ranks follow the merges."""
+    own = words.LibraryWords(public_tokenizers.path(name))
+    vocab = own.tokenizer.get_vocab(with_added_tokens=False)
+    marked = {t.removesuffix("</w>") + ("</w>" if t.endswith("</w>") else "") for t in vocab}
+    assert len(marked) == len(vocab)
+    for token, i in vocab.items():
+        if own.end and not token.endswith("</w>") or token.startswith("<|"):
+            continue  # the library ends every word; such tokens stand inside words, see below
+        assert [t.id for t in own.tokenizer.model.tokenize(token.removesuffix("</w>") if own.end else token)] == [i], token
+    if own.end:  # inside a word: the token before each letter that can end one gives the token or crosses its border
+        inside = [t for t in vocab if not t.endswith("</w>") and not t.startswith("<|") and t != "ÿ"]  # no text has byte 255
+        letters = words._byte_letters()
+        back = {c: bytes([b]) for b, c in letters.items()}
+        rnd = random.Random(3)
+        for token in rnd.sample(inside, 8000):
+            for last in rnd.choices("aeinstz.!9", k=3):
+                raw = b"".join(back[c] for c in token + last) + own.end
+                ids = own.of_rank[own.core.encode_single_piece(raw)].tolist()
+                assert ids == [t.id for t in own.tokenizer.model.tokenize(token + last)], token
+
+
+def test_words_of_random_letters_equal_the_library():
+    rnd = random.Random(8)
+    made = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 30))) for _ in range(4000)]
+    made += ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzéàßÉ'.,-=_09", k=rnd.randint(1, 40))) for _ in range(4000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, plain = words.LibraryWords(public_tokenizers.path(name)), library(name)
+        ids, lengths = own(made + [f" {w}" for w in made if not own.end])
+        got = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert got == [plain(w) for w in made + [f" {w}" for w in made if not own.end]]
+
+
+@functools.cache
+def replay():
+    return bpe.ReplayedWords(bpe.Merges(words.rank_file(bpe.RANKS)), public_tokenizers.PATTERN)
+
+
+def replayed(texts):
+    ids, lengths = replay()(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+@pytest.mark.parametrize("texts", [[""], ["NULL"], [" one", " two", ""], ["null id text one two three"], ["a", "b"]])
+def test_replay_without_anything_to_merge(texts):
+    assert replayed(texts) == [by_ranks(t) for t in texts]
+
+
+@pytest.mark.parametrize("made", ["x", "ab", "abcabd", "=", "the", "aab", "é", "Ĳ", "lolol", "0", "\u2003"])
+def test_replay_of_long_words(made):
+    """Whatever repeats, the time grows in proportion; checked against the library on a length that it can take."""
+    replay()
+    start = time.perf_counter()
+    long = replayed([made * (300_000 // len(made))])[0]
+    assert time.perf_counter() - start < 8
+    assert rank_encoding().decode(long) == made * (300_000 // len(made))
+    short = [made * k for k in (1, 2, 3, 5, 64, 333, 1500)]
+    assert replayed(short) == [by_ranks(t) for t in short]
+
+
+def test_replay_of_random_long_words():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices(letters, k=3000)) for letters in ("ab", "etaoinshrdlu", "xyz", "=-", "abcdefghijklmnopqrstuvwxyzABC") for _ in range(4)]
+    assert replayed(texts) == [by_ranks(t) for t in texts]
+
+
 def test_replay_equals_one_word_at_a_time():
     coder = words.WordIds(words.byte_words, bpe.ReplayedWords(bpe.Merges(words.rank_file(bpe.RANKS)), public_tokenizers.PATTERN))
     texts = fuzz(1500)
