@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import quoted
+
 # Tables up to this many rows and bytes may be broadcast; callers measure first or have a proof.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
@@ -73,10 +75,15 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df) else df
 
 
-def sampled(df: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` rows of `df`, spread by a hash of all columns; only about as many leave the executors."""
-    share = min(1.0, 1.5 * rows / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
+def sampled(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """About `rows` rows of `df`, spread by a hash of the column `by`: rows equal in it are all taken or none."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(quoted(by), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """`df` with its columns in one struct `own`, beside the given ones: no name of the table can clash, and `own.*` gives it back."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("own"), *[c.alias(n) for n, c in columns.items()])
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, rows: int) -> DataFrame:

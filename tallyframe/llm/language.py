@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, stored, utf8
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, packed, stored, utf8
 from tallyframe.llm.registry import query
+from tallyframe.session import quoted
 
 UND = "und"
 BUCKETS = 1 << 14
@@ -163,8 +164,8 @@ def _priors(seen: DataFrame, totals: list[float]) -> DataFrame:
 
 
 def identify(df: DataFrame, text, declared=None, host=None, min_confidence: float = MIN_CONFIDENCE,
-             train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Add the struct `_language` (language, confidence, accepted) to the rows of `df`.
+             train_rows: int = TRAIN_ROWS, out: str = "_language") -> DataFrame:
+    """Add (or replace) the struct `out` (language, confidence, accepted) to the rows of `df`.
 
     `text`, `declared` and `host` are columns; null ones, and values seen nowhere, are no evidence. A host's suffix is its
     last label and its domain its last two; a host without a dot has no suffix and is its own domain. Accepted are rows
@@ -179,9 +180,9 @@ def identify(df: DataFrame, text, declared=None, host=None, min_confidence: floa
     suffix = F.when(F.size(labels) > 1, F.element_at(labels, -1))
     domain = F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host)
     evidence = {"text": F.coalesce(text, F.lit("")), "declared": declared, "host": host, "domain": domain, "suffix": suffix}
-    model = train(bounded_batches(df).select(*df.columns, *[c.alias(f"_lid_{n}") for n, c in evidence.items()]).select(
-        F.col("_lid_text").alias("text"), F.col("_lid_declared").alias("declared"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), train_rows)
+    df = packed(bounded_batches(df), **{f"_lid_{n}": c for n, c in evidence.items()})
+    evidence = {n: F.col(f"_lid_{n}") for n in evidence}
+    model = train(df.select(*[evidence[n].alias(n) for n in ("text", "declared")], F.xxhash64(*evidence.values()).alias("row")), train_rows)
     guess = df.select(*[c.alias(n) for n, c in evidence.items()]).withColumn("scores", text_scores(model, F.col("text")))
     seen = stored(guess.where("scores IS NOT NULL").withColumn("guess", _best(F.col("scores")))
                   .groupBy("host", "domain", "suffix", "declared", "guess").agg(F.count("*").alias("n")))
@@ -189,7 +190,7 @@ def identify(df: DataFrame, text, declared=None, host=None, min_confidence: floa
     totals = [counts.get(i, 0.0) for i in range(len(model.names))]
     flat = [math.log((t + 1) / (sum(totals) + len(totals))) for t in totals]
     flat[-1] = min(flat[-1], math.log(UND_PRIOR))
-    joined = df.withColumns({f"_lid_{n}": c for n, c in evidence.items() if n != "domain"})
+    joined = df.drop("_lid_domain")
     for value, table in (("declared", _lift(seen, "declared", totals)), ("suffix", _lift(seen, "suffix", totals)),
                          ("host", _priors(seen, totals))):
         key, found = table.columns
@@ -208,7 +209,8 @@ def identify(df: DataFrame, text, declared=None, host=None, min_confidence: floa
     language, confidence = F.coalesce(name, F.lit(UND)), F.coalesce(1 / mass, F.lit(0.0))
     verdict = F.struct(language.alias("language"), confidence.alias("confidence"),
                        ((language != UND) & (confidence >= min_confidence)).alias("accepted"))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != "_language"], verdict.alias("_language"))
+    fields = [n for n in df.schema["own"].dataType.names if n != out]
+    return joined.select(*[F.col("own").getField(n).alias(n) for n in fields], verdict.alias(out))
 
 
 def sized_arrays(table: DataFrame, width: int) -> DataFrame:
@@ -224,8 +226,11 @@ def _fits(table: DataFrame, width: int) -> bool:
 
 def keep_identified(df: DataFrame, text: str, declared: str | None = None, host: str | None = None) -> DataFrame:
     """Rows of accepted language, with all their columns."""
-    found = identify(df, F.col(text), declared and F.col(declared), host and F.col(host))
-    return found.where("_language.accepted").select(*[F.col(f"`{c}`") for c in df.columns])
+    verdict = "verdict"
+    while verdict in df.columns:
+        verdict += "_"
+    found = identify(df, quoted(text), declared and quoted(declared), host and quoted(host), out=verdict)
+    return found.where(F.col(verdict)["accepted"]).select(*[quoted(c) for c in df.columns])
 
 
 @query()

@@ -14,8 +14,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, stored
+from tallyframe.llm.common import documents, packed, stored
 from tallyframe.llm.registry import query
+from tallyframe.session import quoted
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -120,7 +121,7 @@ def _masked(text: Column) -> Column:
 
 def with_base(df: DataFrame, text: str) -> DataFrame:
     """Add `_text` (null: empty) and the array of base spans of every kind, `_base_<kind>`."""
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_text", F.coalesce(quoted(text), F.lit("")))
     for kind in KINDS:
         within = _masked(F.col("_text")) if kind == "card" else None
         hits = _hits(F.col("_text"), STRICT[kind], STRICT_GATE[kind], within)
@@ -245,7 +246,7 @@ def find(df: DataFrame, text: str) -> DataFrame:
     vote as often as they stand; an empty table stays empty, and columns of other names stay as they are.
     """
     wide = with_candidates(with_base(df, text))
-    votes = stored(vote_table(with_candidates(with_base(df.select(text), text))))
+    votes = stored(vote_table(with_candidates(with_base(df.select(quoted(text)), text))))
     decide = train(votes)
     for kind in KINDS:
         more = F.filter(f"_more_{kind}", _each(lambda k, h: decide.accepts(k, h["votes"]), kind))
@@ -265,9 +266,9 @@ def _listed(prefix: str) -> Column:
 def redact(df: DataFrame, text: str) -> DataFrame:
     """`df` with every span in `text` replaced by its kind, such as <EMAIL>; overlapping spans become one.
 
-    Texts without spans, null ones among them, stay as they are; all other columns do.
+    Texts without spans, null ones among them, stay as they are; all other columns do, whatever their names and types.
     """
-    found = find(df, text)
+    found = find(packed(df, text=quoted(text)), "text")
     spans = F.array_sort(F.flatten(F.array(*[
         F.transform(f"_spans_{k}", _each(lambda k, h: F.struct(
             h["start"].alias("start"), h["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("as")), k))
@@ -281,8 +282,8 @@ def redact(df: DataFrame, text: str) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_cut", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))))
-    new = F.when(F.size("_cut") > 0, clean).otherwise(F.col(text))
-    return found.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    new = F.when(F.size("_cut") > 0, clean).otherwise(F.col("text"))
+    return found.select(*[new.alias(c) if c == text else F.col("own").getField(c).alias(c) for c in df.columns])
 
 
 @query()

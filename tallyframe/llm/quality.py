@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade: the rules that reject most per unit of cost go first."""
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, sampled
 from tallyframe.llm.registry import query
+from tallyframe.session import quoted
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -86,19 +87,38 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
-def order_rules(texts: list[str | None], rules: dict[str, Callable[[Text], bool]]) -> list[str]:
-    """Names of the rules by rejections per second on `texts`, each text measured anew for each rule."""
+def weigh_rules(texts: list[str | None], rules: dict[str, Callable[[Text], bool]]) -> dict[str, tuple[int, float]]:
+    """Rejections and seconds of every rule on `texts`, each text measured anew for each rule."""
     worth = {}
     for name, rejects in rules.items():
         start = time.perf_counter()
         rejected = sum(bool(rejects(Text(t))) for t in texts)
-        worth[name] = rejected / max(time.perf_counter() - start, 1e-9)
-    return sorted(rules, key=lambda name: -worth[name])
+        worth[name] = rejected, max(time.perf_counter() - start, 1e-9)
+    return worth
+
+
+def order_rules(texts: list[str | None], rules: dict[str, Callable[[Text], bool]]) -> list[str]:
+    """Names of the rules by rejections per second on `texts`."""
+    worth = weigh_rules(texts, rules)
+    return sorted(rules, key=lambda name: -worth[name][0] / worth[name][1])
 
 
 def cascade_order(df: DataFrame, text: str, rules=None, sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    """The order of the rules, estimated on `sample_docs` rows; the order changes the cost and never the verdict."""
-    return order_rules([r[text] for r in sampled(df, sample_docs).select(text).collect()], rules or RULES)
+    """The order of the rules, estimated on about `sample_docs` rows by the executors that hold them; only sums reach the driver.
+    The order changes the cost and never the verdict."""
+    rules = rules or RULES
+    schema = pa.schema([("rule", pa.string()), ("rejected", pa.int64()), ("seconds", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            worth = weigh_rules(b.column(0).to_pylist(), rules)
+            yield pa.RecordBatch.from_pylist([{"rule": n, "rejected": r, "seconds": s} for n, (r, s) in worth.items()], schema=schema)
+
+    texts = sampled(bounded_batches(df).select(quoted(text).alias("text")), "text", sample_docs).distinct()
+    found = texts.mapInArrow(run, "rule string, rejected long, seconds double").groupBy("rule").agg(
+        F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+    worth = {r["rule"]: r["rejected"] / r["seconds"] for r in found.collect()}
+    return sorted(rules, key=lambda name: -worth.get(name, 0.0))
 
 
 def first_rejection(text: Text, order: list[str], rules=None) -> str | None:
@@ -108,19 +128,25 @@ def first_rejection(text: Text, order: list[str], rules=None) -> str | None:
 
 
 def keep_good(df: DataFrame, text: str) -> DataFrame:
-    """Rows whose text all rules keep, with all their columns. Null and empty texts fail `few_words`."""
-    order, at = cascade_order(df, text), df.columns.index(text)
+    """Rows whose text all rules keep, with all their columns, whatever their names and types. Null and empty texts fail
+    `few_words`."""
+    order = cascade_order(df, text)
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         forget_worker_state()
-        for b in batches:
-            yield b.filter(pa.array([first_rejection(Text(t.as_py()), order) is None for t in b.column(at)], pa.bool_()))
+        for texts in batches:
+            yield pa.array([first_rejection(Text(t.as_py()), order) is None for t in texts], pa.bool_())
 
-    return bounded_batches(df).mapInArrow(run, df.schema)
+    return bounded_batches(df).where(good(quoted(text)))
 
 
 def measured(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row of `df`."""
+    """(keys, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row of `df`.
+
+    The five measures are columns, so all rows pay for them; the cascade then only decides about what costs more than they do
+    (letters, capitals), for texts that no earlier rule rejects.
+    """
     order = cascade_order(df, text)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -135,12 +161,13 @@ def measured(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:len(keys)], *[pa.array(c, pa.int64()) for c in columns[:5]],
-                 *[pa.array(c, pa.bool_()) for c in columns[5:]]], names=[*keys, *names, "base_failed", "kept"])
+                 *[pa.array(c, pa.bool_()) for c in columns[5:]]], names=[*held, *names, "base_failed", "kept"])
 
-    own = bounded_batches(df).select(*keys, F.col(text).alias("_text"))
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in own.dtypes[:-1]], *[f"{c} long" for c in names],
+    held = [f"key{i}" for i in range(len(keys))]
+    own = bounded_batches(df).select(*[quoted(k).alias(n) for k, n in zip(keys, held)], quoted(text).alias("text"))
+    schema = ", ".join([*[f"{c} {t}" for c, t in own.dtypes[:-1]], *[f"{c} long" for c in names],
                         "base_failed boolean, kept boolean"])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).select(*[F.col(n).alias(k) for k, n in zip(keys, held)], *names, "base_failed", "kept")
 
 
 ORACLE = r"""

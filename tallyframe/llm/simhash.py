@@ -15,9 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, sized, stored, utf8
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, packed, sized, stored, utf8
 from tallyframe.llm.components import components
 from tallyframe.llm.registry import query
+from tallyframe.session import quoted
 
 SHINGLE = 3
 RADIUS = 3
@@ -234,24 +235,22 @@ def near_duplicates(fps: DataFrame, key: str, radius: int = RADIUS, blocks: int
 
 
 def drop_near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Keep one row of every component: the one with the least key (null last), then the least hash of its text.
+    """Keep one row of every component: the one with the least key (null last), then the least hash of key and text.
 
-    Rows keep all their columns. Rows equal in all columns count once; an empty table stays empty.
+    Rows keep all their columns, whatever their names and types. Of rows equal in key and text one is kept, whichever; an
+    empty table stays empty.
     """
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    narrow = df.select(F.col(key).alias("id"), F.col(text).alias("text"), whole.alias("row"))
-    fps = stored(fingerprints(narrow, ["id", "row"], "text", shingle))
+    rows = packed(df, id=quoted(key), text=quoted(text)).withColumn("row", F.xxhash64("id", "text"))
+    fps = stored(fingerprints(rows.select("id", "text", "row"), ["id", "row"], "text", shingle))
     grouped = stored(near_duplicates(fps.withColumn("node", F.col("fp")), "fp", radius))
     order = F.struct(F.col("id").isNull(), "id", "row")
-    kept = grouped.groupBy("component_id").agg(F.min(order).alias("k"), F.count("*").alias("n")) \
-        .select("k.id", "k.row", "n")
-    times = grouped.groupBy("id", "row").count()
-    kept = stored(kept.join(times, kept["id"].eqNullSafe(times["id"]) & (kept["row"] == times["row"]))
-                  .select(kept["row"].alias("_row"), "count"))
-    marked = df.withColumn("_row", whole)
-    once = marked.join(sized(kept.where("count = 1").select("_row")), "_row", "left_semi").drop("_row")
-    more = marked.join(sized(kept.where("count > 1").select("_row")), "_row", "left_semi").drop("_row")
-    return once.select(*df.columns).union(more.select(*df.columns).distinct())
+    kept = grouped.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"))
+    times = grouped.groupBy("row").count()
+    kept = stored(kept.join(times, "row").select(F.col("row").alias("row"), "count"))
+    rows = rows.select("own", "row")
+    once = rows.join(sized(kept.where("count = 1").select("row")), "row", "left_semi").select("own")
+    more = rows.join(sized(kept.where("count > 1").select("row")), "row", "left_semi").groupBy("row").agg(F.any_value("own").alias("own"))
+    return once.union(more.select("own")).select(*[F.col("own").getField(c).alias(c) for c in df.columns])
 
 
 @query()

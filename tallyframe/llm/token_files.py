@@ -11,6 +11,7 @@ The dictionary is a table of its own beside the containers. All numbers are litt
 
 import hashlib
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -25,8 +26,10 @@ from tallyframe.llm.words import id_blocks, library_ids
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-# The dictionary is trained on so many documents and holds so many bytes.
+# The dictionary is trained on about so many documents, of each at most so many bytes from a place that follows its hash.
 TRAIN_DOCS = 1000
+TRAIN_BYTES = 16 << 10
+# It holds so many bytes.
 DICTIONARY_BYTES = 64 << 10
 CONTAINER_BYTES = 32 << 20
 LEVEL = 3
@@ -109,9 +112,17 @@ def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS
     spark = df.sparkSession
     docs = bounded_batches(df).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     mark = F.xxhash64("text")
-    sample = sampled(docs, train_docs).select("text").toArrow().column("text")
-    sample = sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0)
-    dictionary = train_dictionary([bytes(d) for _, _, docs_ids in _serials(path, sample, end_id, id_bytes) for d in docs_ids])
+
+    def samples(batches):
+        for b in batches:
+            for _, _, serials in _serials(path, b.column(0), end_id, id_bytes):
+                starts = [zlib.crc32(d) % (len(d) // id_bytes) * id_bytes if len(d) > TRAIN_BYTES else 0 for d in serials]
+                yield pa.RecordBatch.from_arrays([pa.array(
+                    [bytes(d[min(a, max(0, len(d) - TRAIN_BYTES)):][:TRAIN_BYTES]) for a, d in zip(starts, serials)], pa.binary())], names=["ids"])
+
+    # Equal texts are sampled together, so they are made one first; the limit holds where hashes fall unevenly.
+    few = sampled(docs.select("text"), "text", train_docs).distinct().mapInArrow(samples, "ids binary").limit(2 * train_docs)
+    dictionary = train_dictionary([r["ids"] for r in few.collect()])
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     cell, _ = ordered_cells(docs, "key")
 
