@@ -1,20 +1,22 @@
-"""Exact, linearly interpolated quantiles.
+"""Exact, linearly interpolated quantiles by radix selection.
 
-Equal values are counted first, so a value that fills most of a column costs one row. The distinct values are numbered in
-order by running counts: cut into ranges where there are many, so that no task holds a column or a dominant group, and a
-wanted rank is then a comparison with the running count.
+A double becomes a 64-bit key of the same order. A pass counts the keys by their next bits, with the least and the largest key
+of every cell, in one small aggregate for all columns; the cells that hold a wanted rank are what the next pass looks into.
+A cell of one distinct value is done at once. No values are shuffled, whatever their number or their ties.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.expressions import double_text, number, numbers
-from tallyframe.session import checkpointed, quoted
+from tallyframe.session import checkpointed, is_small, quoted
 
 RANGE_ROWS = 1_000_000
 
@@ -50,68 +52,212 @@ def numbered_in_ranges(
     return joined.withColumn(out, F.col("_own") + F.col("_shift")).drop("_part", "_weight", "_own", "_shift")
 
 
-def _counted(values: DataFrame, by: list[str], range_rows: int) -> DataFrame:
-    """Distinct values `x` with their rows `cnt` and the rows up to them, `upto`."""
-    counts = checkpointed(values.where("x IS NOT NULL").groupBy(*by, "x").agg(F.count("*").alias("cnt")))
-    return numbered_in_ranges(counts, by, "x", "upto", range_rows, weight=F.col("cnt"))
+def _keys(x: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles; both zeros are one value."""
+    bits = (x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
 
-def grouped_quantiles(
-    df: DataFrame, keys: list[str], cols: list[str], probs: list[float], range_rows: int = RANGE_ROWS
-) -> DataFrame:
-    """Exact quantiles per key: one row per key, column and probability: keys, `column`, `prob`, `value`."""
+def _doubles(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ ((keys >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+
+
+def _between(low, high, share):
+    """The value at a share of the way from one value to the next: itself where they are equal."""
+    return low if low == high else low + (high - low) * share
+
+
+@F.arrow_udf(T.LongType())
+def _key(x: pa.Array) -> pa.Array:
+    return pa.array(_keys(x.fill_null(0.0).to_numpy(zero_copy_only=False)), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(T.DoubleType())
+def _value(keys: pa.Array) -> pa.Array:
+    return pa.array(_doubles(keys.to_numpy(zero_copy_only=False)))
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles per key: one row per key, column and probability: keys, `column`, `prob`, `value`.
+
+    Four passes of 16 bits at most, as aggregates per group and cell: a group has 65,536 cells at most, also one that holds
+    most rows. Rows with a null key are left out.
+    """
     names = [f"key{i}" for i in range(len(keys))]
-    values = df.select(*[quoted(k).alias(n) for k, n in zip(keys, names)], *[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)])
-    values = values.unpivot(names, [f"x{i}" for i in range(len(cols))], "column", "x")
-    by = [*names, "column"]
-    counted = _counted(values, by, range_rows)
-    totals = counted.groupBy(*by).agg(F.max("upto").alias("total"))
+    for k in keys:
+        df = df.where(quoted(k).isNotNull())
+    values = df.select(*[quoted(k).alias(n) for k, n in zip(keys, names)], *[_key(number(df, c)).alias(f"x{i}") for i, c in enumerate(cols)])
+    values = values.unpivot(names, [f"x{i}" for i in range(len(cols))], "column", "k").where("k IS NOT NULL")
+    by, stats = [*names, "column"], [F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")]
     position = lambda p: (F.col("total") - 1) * F.lit(float(p))  # noqa: E731  its floor and its ceiling are the ranks to look up
-    wanted = F.flatten(F.array(*[F.array(
-        F.struct(F.lit(float(p)).alias("prob"), F.floor(position(p)).alias("rank"), (1 - (position(p) - F.floor(position(p)))).alias("w")),
-        F.struct(F.lit(float(p)).alias("prob"), F.ceil(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")))
-        for p in probs]))
-    here = F.filter("wanted", lambda t: (t["w"] > 0) & (t["rank"] < F.col("upto")) & (t["rank"] >= F.col("upto") - F.col("cnt")))
-    # A join with one row per group; in which adaptive execution splits a dominant one.
-    hits = counted.join(totals, by).withColumn("wanted", wanted).select(*by, "x", F.explode(here).alias("t"))
+    ranks = F.flatten(F.array(*[F.array(
+        F.struct(F.lit(i).alias("i"), F.lit(0).alias("end"), F.floor(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")),
+        F.struct(F.lit(i).alias("i"), F.lit(1).alias("end"), F.ceil(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")))
+        for i, p in enumerate(probs)]))
+    active, done = None, None
+    for shift in (48, 32, 16, 0):
+        cell = F.shiftright("k", shift).alias("cell")
+        if active is None:
+            within = by
+            cells = values.groupBy(*by, cell).agg(*stats).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+            cells = cells.withColumn("wanted", ranks)
+        else:
+            within = [*by, "above"]
+            side = F.broadcast(active) if is_small(active) else active
+            cells = values.withColumn("above", F.shiftright("k", shift + 16)).join(side, within).groupBy(*within, cell) \
+                .agg(*stats, F.any_value("wanted").alias("wanted"))
+        upto = F.sum("n").over(Window.partitionBy(*within).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        before = F.col("upto") - F.col("n")
+        inside = F.transform(F.filter("wanted", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("upto"))),
+                             lambda t: t.withField("rank", t["rank"] - before))
+        hits = checkpointed(cells.withColumn("upto", upto).select(*by, F.col("cell").alias("above"), "lo", "hi", inside.alias("wanted"))
+                            .where(F.size("wanted") > 0))
+        found = hits.where("lo = hi").select(*by, F.col("lo").alias("k"), F.inline("wanted"))
+        done = found if done is None else done.unionByName(found)
+        active = hits.where("lo < hi").select(*by, "above", "wanted")
+        if active.isEmpty():
+            break
+    ends = done.select(*by, "i", "end", "w", _value("k").alias("x")).groupBy(*by, "i").agg(
+        F.max(F.when(F.col("end") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("x"))).alias("high"), F.max("w").alias("w"))
+    low, high = F.col("low"), F.col("high")
     original = F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("column", 2, 9).cast("int") + 1)
-    return hits.groupBy(*by, F.col("t.prob").alias("prob")).agg(F.sum(F.col("x") * F.col("t.w")).alias("value")).select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names)], original.alias("column"), "prob", "value")
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
+    return ends.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], original.alias("column"), prob.alias("prob"),
+                       F.when(low == high, low).otherwise(low + (high - low) * F.col("w")).alias("value"))
+
+
+# Cells of a pass over all columns together, and values that are fetched once so few are left.
+PASS_CELLS = 1 << 18
+FETCH_ROWS = 1 << 18
+
+
+class _Search:
+    """Ranks wanted of one column: cells they lie in, as key ranges of 2 ** bits, with the rows before each."""
+
+    def __init__(self):
+        self.starts, self.before, self.rows = np.zeros(1, np.uint64), np.zeros(1, np.int64), 0
+        self.wanted, self.found = None, {}
+
+    def look(self, cells: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int, step: int, ranks=None):
+        """Take the counts of a pass (cells ascending) in; cells that hold a wanted rank and several values stay."""
+        interval, digit = cells >> step, (cells & ((1 << step) - 1)).astype(np.uint64)
+        ends = np.cumsum(n)
+        first = np.r_[True, interval[1:] != interval[:-1]] if len(n) else np.zeros(0, bool)
+        base = self.before[interval] - (ends - n)[first][np.cumsum(first) - 1]  # rows before, shifted to the interval's own
+        start, end = base + ends - n, base + ends
+        if ranks is not None:
+            self.wanted = ranks(int(n.sum()))
+        at = np.searchsorted(end, self.wanted, "right")
+        one = lo[at] == hi[at]
+        self.found |= dict(zip(self.wanted[one].tolist(), lo[at][one].tolist()))
+        self.wanted, at = self.wanted[~one], np.unique(at[~one])
+        self.before, self.rows = start[at], int(n[at].sum())
+        self.starts = self.starts[interval[at]] + (digit[at] << np.uint64(bits - step))
+
+    def fetch(self, keys: np.ndarray, n: np.ndarray, bits: int):
+        """Take all keys of the remaining cells, ascending, with their counts."""
+        interval = np.searchsorted(self.starts, keys.view(np.uint64) ^ np.uint64(1 << 63), "right") - 1
+        ends = np.cumsum(n)
+        first = np.r_[True, interval[1:] != interval[:-1]]
+        end = self.before[interval] - (ends - n)[first][np.cumsum(first) - 1] + ends
+        self.found |= dict(zip(self.wanted.tolist(), keys[np.searchsorted(end, self.wanted, "right")].tolist()))
+        self.wanted = self.wanted[:0]
+
+
+def _cells_of(keys: np.ndarray, starts: np.ndarray, bits: int, step: int) -> np.ndarray:
+    """Number of the cell of every key, -1 outside all key ranges."""
+    key = keys.view(np.uint64) ^ np.uint64(1 << 63)
+    at = np.searchsorted(starts, key, "right") - 1
+    digit = (key - starts[np.maximum(at, 0)]) >> np.uint64(bits - step)
+    return np.where((at >= 0) & (digit < (1 << step)), (at << step) | digit.astype(np.int64), -1)
+
+
+def _passes(x: DataFrame, open_: dict[int, np.ndarray], bits: int, step: int) -> pd.DataFrame:
+    """(column, cell, n, lo, hi) over all columns in `open_`: one pass, added up on the executors."""
+    def count(batches):
+        sums = {}
+        for b in batches:
+            for i, starts in open_.items():
+                column = b.column(i).drop_null()
+                keys = np.sort(_keys(column.to_numpy(zero_copy_only=False)))
+                cells = _cells_of(keys, starts, bits, step)
+                keys, cells = keys[cells >= 0], cells[cells >= 0]
+                if not len(keys):
+                    continue
+                first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+                last = np.r_[first[1:], len(keys)] - 1
+                n, lo, hi = sums.setdefault(i, (np.zeros(len(starts) << step, np.int64), np.full(len(starts) << step, np.iinfo(np.int64).max),
+                                                np.full(len(starts) << step, np.iinfo(np.int64).min)))
+                at = cells[first]
+                n[at] += last - first + 1
+                lo[at], hi[at] = np.minimum(lo[at], keys[first]), np.maximum(hi[at], keys[last])
+        for i, (n, lo, hi) in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(n[at]), pa.array(lo[at]), pa.array(hi[at])],
+                                             names=["column", "cell", "n", "lo", "hi"])
+
+    parts = x.mapInArrow(count, "column int, cell long, n long, lo long, hi long")
+    return parts.groupBy("column", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")) \
+        .toArrow().to_pandas().sort_values(["column", "cell"])  # PASS_CELLS rows at most
+
+
+def _fetched(x: DataFrame, open_: dict[int, np.ndarray], bits: int) -> pd.DataFrame:
+    """(column, k, n): the distinct keys in the cells that are left, which hold FETCH_ROWS rows at most."""
+    def run(batches):
+        for b in batches:
+            for i, starts in open_.items():
+                keys = _keys(b.column(i).drop_null().to_numpy(zero_copy_only=False))
+                keys, n = np.unique(keys[_cells_of(keys, starts, bits, 0) >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(n)], names=["column", "k", "n"])
+
+    parts = x.mapInArrow(run, "column int, k long, n long").groupBy("column", "k").agg(F.sum("n").alias("n"))
+    return parts.toArrow().to_pandas().sort_values(["column", "k"])
 
 
 def quantile_values(
-    df: DataFrame, cols: list[str], probs: list[float], range_rows: int = RANGE_ROWS
+    df: DataFrame, cols: list[str], probs: list[float], pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS
 ) -> dict[str, list[float | None]]:
-    """Quantiles of every column as plain numbers, ready to be used as literals."""
+    """Quantiles of every column as plain numbers, ready to be used as literals; None for a column without values.
+
+    Every pass reads the columns once and sends counts of `pass_cells` cells at most to the driver, or of two per cell
+    still searched where there are more of these; once the searched cells hold `fetch_rows` rows or fewer, their values come.
+    """
     if not cols:
         return {}
     probs = np.array([float(p) for p in probs])
     x = numbers(df, cols)
-    counted = checkpointed(_counted(x.unpivot([], x.columns, "column", "x"), ["column"], range_rows))
-    totals = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.max("upto").alias("n")).collect()}
-    position = {c: (n - 1) * probs for c, n in totals.items()}
-    ranks = {c: np.unique(np.r_[np.floor(p), np.ceil(p)]) for c, p in position.items()}
+    searches, totals = {i: _Search() for i in range(len(cols))}, {}
+    bits, first = 64, True
+    while searches:
+        open_ = {i: s.starts for i, s in searches.items()}
+        if not first and sum(s.rows for s in searches.values()) <= fetch_rows:
+            rows = _fetched(x, open_, bits)
+            for i, part in rows.groupby("column"):
+                searches[i].fetch(part["k"].to_numpy(), part["n"].to_numpy(), bits)
+            break
+        step = max(1, min(bits, 16, (pass_cells // sum(map(len, open_.values()))).bit_length() - 1))
+        rows = _passes(x, open_, bits, step)
+        for i, part in rows.groupby("column"):
+            def ranks(n, i=i):
+                totals[i] = (n - 1) * probs
+                return np.unique(np.r_[np.floor(totals[i]), np.ceil(totals[i])]).astype(np.int64)
 
-    def look(batches):
-        for b in batches:
-            for c, part in b.groupby("column"):
-                first, last = (np.searchsorted(ranks[c], part["upto"] - part["cnt"]), np.searchsorted(ranks[c], part["upto"]))
-                n = last - first
-                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"column": c, "rank": ranks[c][at], "x": np.repeat(part["x"].to_numpy(), n)})
-
-    at_rank = {c: {} for c in totals}
-    for r in counted.select("column", "x", "cnt", "upto").mapInPandas(look, "column string, rank double, x double").collect():
-        at_rank[r["column"]][r["rank"]] = r["x"]  # at most two rows per column and probability
-
-    def value(c, p):
-        low, high = np.floor(p), np.ceil(p)
-        if low == high:
-            return at_rank[c][low]
-        return float(at_rank[c][low] * (1 - (p - low)) + at_rank[c][high] * (p - low))
-
-    return {c: [value(f"x{i}", p) for p in position[f"x{i}"]] if f"x{i}" in totals else [None] * len(probs)
-            for i, c in enumerate(cols)}
+            searches[i].look(*(part[c].to_numpy() for c in ("cell", "n", "lo", "hi")), bits, step, ranks if first else None)
+        done = {i for i, s in searches.items() if s.wanted is None or not len(s.wanted)}
+        for i in done:
+            totals[i] = totals.get(i), searches.pop(i).found
+        bits, first = bits - step, False
+    for i, s in searches.items():
+        totals[i] = totals[i], s.found
+
+    def at(i):
+        place, found = totals[i]
+        if place is None:
+            return [None] * len(probs)
+        at_rank = dict(zip(found, _doubles(np.array(list(found.values()), np.int64)).tolist()))
+        return [_between(at_rank[int(np.floor(p))], at_rank[int(np.ceil(p))], float(p - np.floor(p))) for p in place]
+
+    return {c: at(i) for i, c in enumerate(cols)}
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import groups, profile, quantiles
+from tallyframe.operators import clean, groups, profile, quantiles
 from tallyframe.operators.clean import with_target
 
 
@@ -51,18 +51,32 @@ def test_quantiles_interpolate_and_skip_missing(spark):
     assert rows(approximate) == [("x", 0.5, 51.0)]
 
 
-@pytest.mark.parametrize("range_rows", [50, 700, 10 ** 6])
-def test_quantiles_by_ranges_match_numpy(spark, range_rows):
-    values = np.concatenate([np.full(700, 3.25), np.random.default_rng(1).normal(size=1301)])
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+@pytest.mark.parametrize("cells, fetch", [(1 << 10, 0), (1 << 14, 100), (quantiles.PASS_CELLS, quantiles.FETCH_ROWS)])
+def test_quantiles_by_passes_match_numpy(spark, cells, fetch):
+    values = np.concatenate([np.full(700, 3.25), np.random.default_rng(1).normal(size=1301), [-np.inf, np.inf, -0.0, 0.0, 1e-310, -1e300]])
+    df = spark.createDataFrame([(float(v), i % 3 / 10) for i, v in enumerate(values)], "x double, few double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = quantiles.quantile_values(df, ["x"], probs, range_rows=range_rows)["x"]
-    assert np.allclose(found, np.quantile(values, probs))
-    by_ranges = quantiles.grouped_quantiles(df, [], ["x"], probs, range_rows)
-    assert np.allclose([r["value"] for r in by_ranges.orderBy("prob").collect()], np.quantile(values, probs))
-    many = np.linspace(0, 1, 101)
-    assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist(), range_rows)["x"], np.quantile(values, many))
-    assert np.allclose(quantiles.quantile_values(df, ["x"], many.tolist())["x"], np.quantile(values, many))
+    for many in (probs, np.linspace(0, 1, 101).tolist()):
+        found = quantiles.quantile_values(df, ["x", "few"], many, pass_cells=cells, fetch_rows=fetch)
+        assert np.allclose(found["x"][1:-1], np.quantile(values, many)[1:-1]) and found["x"][0] == -np.inf and found["x"][-1] == np.inf
+        assert set(found["few"]) <= {0.0, 0.1, 0.2}  # ties come out as they are
+    grouped = quantiles.grouped_quantiles(df, [], ["x", "few"], probs)
+    rows = {(r["column"], r["prob"]): r["value"] for r in grouped.collect()}
+    assert np.allclose([rows["x", p] for p in probs[1:-1]], np.quantile(values, probs)[1:-1])
+    assert {rows["few", p] for p in probs} <= {0.0, 0.1, 0.2}
+
+
+def test_tied_values_stay_on_their_side_of_a_cut(spark):
+    """0.02 and 0.07 are no sums of halves: an interpolation between equal values must give that very value."""
+    df = spark.createDataFrame([(v,) for v in [0.02] * 40 + [0.07] * 57 + [0.1] * 3], "x double")
+    found = quantiles.quantile_values(df, ["x"], [i / 10 for i in range(11)])["x"]
+    assert found == [0.02] * 4 + [found[4]] + [0.07] * 5 + [0.1] and 0.02 <= found[4] <= 0.07
+    bands = {(r["x"], r["band"]) for r in groups.quartile_bands(df, "x").collect()}
+    assert bands == {(0.02, "low"), (0.07, "high"), (0.1, "high")}
+    capped = clean.cap_extreme_with_mode(df, ["x"], 0.97)
+    assert [r["x"] for r in capped.collect()].count(0.07) == 57 + (3 if quantiles.quantile_values(df, ["x"], [0.97])["x"][0] < 0.1 else 0)
+    out = profile.iqr_outliers(df, ["x"], k=0.0).first()
+    assert (out["lower_bound"], out["upper_bound"], out["cnt"]) == (0.02, 0.07, 3)
 
 
 def test_group_median_of_a_dominant_key(spark):
@@ -70,7 +84,7 @@ def test_group_median_of_a_dominant_key(spark):
     data = [("hot", float(v)) for v in rng.normal(size=900)] + [(k, float(v)) for k in "abc" for v in rng.normal(size=7)]
     df = spark.createDataFrame([*data, (None, 1.0)], "k string, x double")
     expected = {k: np.median([v for kk, v in data if kk == k]) for k in ("hot", "a", "b", "c")}
-    found = quantiles.grouped_quantiles(df.where("k IS NOT NULL"), ["k"], ["x"], [0.5], range_rows=40)
+    found = quantiles.grouped_quantiles(df.where("k IS NOT NULL"), ["k"], ["x"], [0.5])
     assert {r["k"]: r["value"] for r in found.collect()} == pytest.approx(expected)
     table = groups.group_profile(df, "k", {"x": ["mean", "median", "count"]}, digits=None)
     assert {r["k"]: r["x_median"] for r in table.collect()} == pytest.approx(expected)
