@@ -187,7 +187,28 @@ def robust_scale_part(spark, d):
     return _scaled(spark, d, "robust")
 
 
-@query()
+def _ratio(parts, r):
+    """A quotient of two polynomials, highest power first."""
+    def power(p):
+        out = f"{p[0]!r}::DOUBLE"
+        for c in p[1:]:
+            out = f"({out} * {r} + {c!r}::DOUBLE)"
+        return out
+    return f"({power(parts[0])} / {power(parts[1])})"
+
+
+# Between the landmarks i / (n - 1) a value takes the middle of the shares from below and from above.
+@query(f"""WITH n AS (SELECT least(1000, count(*)) AS n, min(value) AS low, max(value) AS high FROM events),
+m AS (SELECT list_transform(range(0, n), lambda i: i / (n - 1)::DOUBLE) AS p, n FROM n),
+q AS (SELECT quantile_cont(value::DOUBLE, (SELECT list_transform(range(0, 1000), lambda i: least(1.0::DOUBLE, i / 999::DOUBLE)))) AS q FROM events),
+j AS (SELECT event_id, value AS x, len(list_filter(q.q, lambda y: y <= value)) AS upto, len(list_filter(q.q, lambda y: y < value)) AS below, q.q, m.n, n.low, n.high
+  FROM events, q, m, n),
+s AS (SELECT event_id, CASE WHEN x + 1e-7 > high THEN 1.0::DOUBLE WHEN x - 1e-7 < low THEN 0.0 WHEN upto > below THEN (below + upto - 1) / 2.0::DOUBLE / (n - 1)
+  ELSE (upto - 1 + (x - q[upto]) / (q[upto + 1] - q[upto])) / (n - 1) END AS p FROM j),
+z AS (SELECT event_id, p, p - 0.5 AS c, sqrt(-ln(CASE WHEN p <= 0 OR p >= 1 THEN 0.5 WHEN p < 0.5 THEN p ELSE 1 - p END)) AS r FROM s)
+SELECT event_id, round(CASE WHEN p <= 0 THEN -{features.EDGE_SCORE} WHEN p >= 1 THEN {features.EDGE_SCORE}
+  ELSE least({features.EDGE_SCORE}, greatest(-{features.EDGE_SCORE}, CASE WHEN abs(c) <= 0.425 THEN c * {_ratio(features._MIDDLE, "(0.180625 - c * c)")}
+  WHEN r <= 5 THEN sign(c) * {_ratio(features._SIDE, "(r - 1.6)")} ELSE sign(c) * {_ratio(features._TAIL, "(r - 5)")} END)) END, 6) AS value FROM z""")
 def quantile_normal_scale_events(spark, d):
     return rounded(features.scale(table(spark, d, "events").select("event_id", "value"), ["value"], "quantile"))
 

@@ -1,9 +1,11 @@
 """Metrics on a deterministic score, model training and scoring."""
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
 from tallyframe.operators import metrics, models
+from tallyframe.operators.boosting import BoostedTrees
 from tallyframe.operators.clean import with_target
 from tallyframe.operators.features import build_preprocessor, feature_names
 from tallyframe.plans.classifier import train_classifiers
@@ -92,10 +94,10 @@ def order_rows(spark, d):
 
 
 def line_rows(spark, d):
-    """Line items as training rows: returned lines are the positive class, which one feature decides."""
+    """Line items as training rows: the positive class are the dear ones, which the features tell with noise."""
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate", "l_extendedprice")
     return table(spark, d, "lineitem").select(
-        key.alias("line"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("target"),
+        key.alias("line"), F.when(F.col("l_extendedprice") > 60000, 1).otherwise(0).alias("target"),
         "l_quantity", "l_discount", "l_linestatus", "l_returnflag")
 
 
@@ -118,9 +120,34 @@ def forest_importance_lineitem(spark, d):
     return models.feature_importance(spark, model, feature_names(prep))
 
 
-@query("SELECT unnest([0, 1, 2]) AS trained, unnest(['Logistic Regression', 'Random Forest', 'Gradient Boosted Trees']) AS model, "
-       "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS roc_auc, 1.0::DOUBLE AS pr_auc")
+@query()
 def compare_models_lineitem(spark, d):
-    """The whole classifier job with its full settings: metrics of the three models."""
+    """The whole classifier job with its full settings: metrics of the three models on a target that no feature decides."""
     return rounded(train_classifiers(
         line_rows(spark, d), "line", features=["l_quantity", "l_discount", "l_linestatus", "l_returnflag"])["table"])
+
+
+def _split_sql(feature, x):
+    cuts = ", ".join(f"{i / 256}" for i in range(256))
+    return f"""SELECT '{feature}' AS feature, c AS cut, sum(0.5 - target) FILTER (x <= c) AS gl, 0.25 * count(*) FILTER (x <= c) AS hl,
+  sum(0.5 - target) AS g, 0.25 * count(*) AS h FROM (SELECT {x}::DOUBLE AS x, target FROM t),
+  (SELECT DISTINCT unnest(quantile_cont({x}::DOUBLE, [{cuts}])) AS c FROM t) WHERE c < (SELECT max({x}) FROM t) GROUP BY c"""
+
+
+@query(f"""WITH t AS (SELECT dayofyear(o_orderdate) AS day, o_totalprice AS price, (o_orderpriority = '1-URGENT' OR o_totalprice > 300000)::INT AS target
+  FROM orders), s AS ({_split_sql("day", "day")} UNION ALL {_split_sql("price", "price")}),
+g AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM s WHERE hl >= 1 AND h - hl >= 1)
+SELECT feature, round(cut, 6) AS cut, round(gain, 6) AS gain, round(-gl / (hl + 1) * 0.1, 9) AS left_weight,
+  round(-(g - gl) / (h - hl + 1) * 0.1, 9) AS right_weight FROM g ORDER BY gain DESC, feature, cut LIMIT 1""")
+def boosted_first_split_orders(spark, d):
+    """The first split of boosted trees on all orders: feature, cut, gain and the weights of its leaves."""
+    rows = table(spark, d, "orders").select(
+        F.dayofyear("o_orderdate").alias("day"), F.col("o_totalprice").alias("price"),
+        F.when((F.col("o_orderpriority") == "1-URGENT") | (F.col("o_totalprice") > 300000), 1).otherwise(0).alias("target"))
+    names = ["day", "price"]
+    x = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    (tree,) = BoostedTrees(labelCol="target", rounds=1, maxDepth=1, rowShare=1.0, featureShare=1.0).fit(x).all_trees()
+    row = (names[tree["feature"][0]], tree["cut"][0], tree["gain"][0], tree["value"][tree["left"][0]], tree["value"][tree["right"][0]])
+    found = spark.createDataFrame([row], "feature string, cut double, gain double, left_weight double, right_weight double")
+    return found.select("feature", F.round("cut", 6).alias("cut"), F.round("gain", 6).alias("gain"),
+                        F.round("left_weight", 9).alias("left_weight"), F.round("right_weight", 9).alias("right_weight"))

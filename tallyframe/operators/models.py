@@ -1,12 +1,13 @@
 """The three classifiers, scoring and feature importances."""
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import ellipsize, prediction_text
+from tallyframe.operators.boosting import BoostedTrees
 from tallyframe.session import quoted
 
 # Split points per feature that trees may choose from.
@@ -29,12 +30,9 @@ def forest(label: str = "target", num_trees: int = 200, max_depth: int = 30, see
     )
 
 
-def boosted(label: str = "target", rounds: int = 200, max_depth: int = 6, seed: int = 42, max_bins: int = MAX_BINS) -> GBTClassifier:
-    """Row and column sampling of 0.8; Spark draws the columns per node."""
-    return GBTClassifier(
-        labelCol=label, maxIter=rounds, maxDepth=max_depth, stepSize=0.1, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", lossType="logistic", seed=seed, maxBins=max_bins,
-    )
+def boosted(label: str = "target", rounds: int = 200, max_depth: int = 6, seed: int = 42, max_bins: int = MAX_BINS) -> BoostedTrees:
+    """Second-order boosting with row and column shares of 0.8 per tree."""
+    return BoostedTrees(labelCol=label, rounds=rounds, maxDepth=max_depth, seed=seed, maxBins=max_bins)
 
 
 def score(model, df: DataFrame) -> DataFrame:
