@@ -200,7 +200,7 @@ def _ratio(parts, r):
 # Between the landmarks i / (n - 1) a value takes the middle of the shares from below and from above.
 @query(f"""WITH n AS (SELECT least(1000, count(*)) AS n, min(value) AS low, max(value) AS high FROM events),
 m AS (SELECT list_transform(range(0, n), lambda i: i / (n - 1)::DOUBLE) AS p, n FROM n),
-q AS (SELECT quantile_cont(value::DOUBLE, (SELECT list_transform(range(0, 1000), lambda i: least(1.0::DOUBLE, i / 999::DOUBLE)))) AS q FROM events),
+q AS (SELECT quantile_cont(value::DOUBLE, [{", ".join(repr(i / 999) for i in range(1000))}]) AS q FROM events),
 j AS (SELECT event_id, value AS x, len(list_filter(q.q, lambda y: y <= value)) AS upto, len(list_filter(q.q, lambda y: y < value)) AS below, q.q, m.n, n.low, n.high
   FROM events, q, m, n),
 s AS (SELECT event_id, CASE WHEN x + 1e-7 > high THEN 1.0::DOUBLE WHEN x - 1e-7 < low THEN 0.0 WHEN upto > below THEN (below + upto - 1) / 2.0::DOUBLE / (n - 1)

@@ -93,7 +93,7 @@ def _erfc(z):
 
 @query(f"""WITH t AS ({CODED_SQL}), l AS ({_long_sql(FEATURES)}),
 c AS (SELECT feature, target, count(*)::DOUBLE AS n, coalesce(sum(x), 0) AS o FROM l GROUP BY ALL),
-e AS (SELECT *, n / sum(n) OVER (PARTITION BY feature) * sum(o) OVER (PARTITION BY feature) AS e FROM c)
+e AS (SELECT *, n / sum(n) OVER (PARTITION BY feature) * sum(o) OVER (PARTITION BY feature) AS e FROM c),
 s AS (SELECT feature, sum((o - e) ** 2 / e) AS x FROM e GROUP BY 1)
 SELECT feature, round(x, 6) AS chi2_score, round({_erfc("sqrt(x / 2)")}, 6) AS chi2_pval FROM s""")
 def chi2_scores_lineitem(spark, d):
@@ -103,7 +103,7 @@ def chi2_scores_lineitem(spark, d):
 
 @query(f"""WITH t AS ({CODED_SQL}), l AS ({_long_sql([c for c in FEATURES if c != 'flat'])}),
 c AS (SELECT feature, target, count(x)::DOUBLE AS n, avg(x) AS m, var_pop(x) AS v FROM l WHERE x IS NOT NULL GROUP BY ALL),
-g AS (SELECT feature, sum(n * m) / sum(n) AS gm FROM c GROUP BY 1)
+g AS (SELECT feature, sum(n * m) / sum(n) AS gm FROM c GROUP BY 1),
 s AS (SELECT feature, (sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f, sum(n) - count(*) AS nu
 FROM c JOIN g USING (feature) GROUP BY 1)
 SELECT feature, round(f, 4) AS f_score, round({_erfc("(sqrt(f) * (1 - 1 / (4 * nu)) / sqrt(1 + f / (2 * nu)) / sqrt(2.0::DOUBLE))")}, 4) AS f_pval FROM s""")

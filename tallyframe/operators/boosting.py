@@ -117,6 +117,9 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         get = self.getOrDefault
         rows = df.select(quoted(self.getLabelCol()).cast("double").alias("y"), vector_to_array(quoted(self.getFeaturesCol())).alias("x")) \
             .where("y IS NOT NULL")
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:  # every pass reads them: few large partitions would leave cores idle
+            rows = rows.repartition(cores)
         first = rows.select(F.size("x").alias("n")).first()
         width, n_bins = first["n"] if first else 0, get("maxBins")
         names = [f"x{i}" for i in range(width)]
@@ -233,15 +236,13 @@ class BoostedTreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPar
 
     @property
     def featureImportances(self) -> DenseVector:
-        """Mean gain of a feature's splits, as shares of all features'."""
-        total, times = np.zeros((2, self.getOrDefault("width")))
+        """Gains of a feature's splits in all trees, as shares of all features'."""
+        total = np.zeros(self.getOrDefault("width"))
         for t in self.all_trees():
             for f, gain in zip(t["feature"], t["gain"]):
                 if f >= 0:
                     total[f] += gain
-                    times[f] += 1
-        mean = total / np.maximum(times, 1)
-        return DenseVector(mean / mean.sum() if mean.sum() else mean)
+        return DenseVector(total / total.sum() if total.sum() else total)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         trees = [{k: np.array(v) for k, v in t.items()} for t in self.all_trees()]

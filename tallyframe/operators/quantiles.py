@@ -67,6 +67,10 @@ def _between(low, high, share):
     return low if low == high else low + (high - low) * share
 
 
+# Rows of a cell that one window may order.
+WINDOW_ROWS = 1 << 17
+
+
 @F.arrow_udf(T.LongType())
 def _key(x: pa.Array) -> pa.Array:
     return pa.array(_keys(x.fill_null(0.0).to_numpy(zero_copy_only=False)), mask=x.is_null().to_numpy(zero_copy_only=False))
@@ -77,11 +81,14 @@ def _value(keys: pa.Array) -> pa.Array:
     return pa.array(_doubles(keys.to_numpy(zero_copy_only=False)))
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+def grouped_quantiles(
+    df: DataFrame, keys: list[str], cols: list[str], probs: list[float], window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """Exact quantiles per key: one row per key, column and probability: keys, `column`, `prob`, `value`.
 
     Four passes of 16 bits at most, as aggregates per group and cell: a group has 65,536 cells at most, also one that holds
-    most rows. Rows with a null key are left out.
+    most rows. Once no searched cell has more than `window_rows` rows, a pass looks at their values as they are. Rows with a
+    null key are left out.
     """
     names = [f"key{i}" for i in range(len(keys))]
     for k in keys:
@@ -95,7 +102,8 @@ def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: li
         F.struct(F.lit(i).alias("i"), F.lit(1).alias("end"), F.ceil(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")))
         for i, p in enumerate(probs)]))
     active, done = None, None
-    for shift in (48, 32, 16, 0):
+    shift, last = 48, 64
+    while True:
         cell = F.shiftright("k", shift).alias("cell")
         if active is None:
             within = by
@@ -104,19 +112,21 @@ def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: li
         else:
             within = [*by, "above"]
             side = F.broadcast(active) if is_small(active) else active
-            cells = values.withColumn("above", F.shiftright("k", shift + 16)).join(side, within).groupBy(*within, cell) \
+            cells = values.withColumn("above", F.shiftright("k", last)).join(side, within).groupBy(*within, cell) \
                 .agg(*stats, F.any_value("wanted").alias("wanted"))
         upto = F.sum("n").over(Window.partitionBy(*within).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
         before = F.col("upto") - F.col("n")
         inside = F.transform(F.filter("wanted", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("upto"))),
                              lambda t: t.withField("rank", t["rank"] - before))
-        hits = checkpointed(cells.withColumn("upto", upto).select(*by, F.col("cell").alias("above"), "lo", "hi", inside.alias("wanted"))
+        hits = checkpointed(cells.withColumn("upto", upto).select(*by, F.col("cell").alias("above"), "lo", "hi", "n", inside.alias("wanted"))
                             .where(F.size("wanted") > 0))
         found = hits.where("lo = hi").select(*by, F.col("lo").alias("k"), F.inline("wanted"))
         done = found if done is None else done.unionByName(found)
         active = hits.where("lo < hi").select(*by, "above", "wanted")
-        if active.isEmpty():
+        most = hits.where("lo < hi").agg(F.max("n")).first()[0]
+        if most is None:
             break
+        shift, last = (0 if most <= window_rows else shift - 16), shift
     ends = done.select(*by, "i", "end", "w", _value("k").alias("x")).groupBy(*by, "i").agg(
         F.max(F.when(F.col("end") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("x"))).alias("high"), F.max("w").alias("w"))
     low, high = F.col("low"), F.col("high")

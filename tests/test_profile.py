@@ -60,7 +60,7 @@ def test_quantiles_by_passes_match_numpy(spark, cells, fetch):
         found = quantiles.quantile_values(df, ["x", "few"], many, pass_cells=cells, fetch_rows=fetch)
         assert np.allclose(found["x"][1:-1], np.quantile(values, many)[1:-1]) and found["x"][0] == -np.inf and found["x"][-1] == np.inf
         assert set(found["few"]) <= {0.0, 0.1, 0.2}  # ties come out as they are
-    grouped = quantiles.grouped_quantiles(df, [], ["x", "few"], probs)
+    grouped = quantiles.grouped_quantiles(df, [], ["x", "few"], probs, window_rows=fetch)
     rows = {(r["column"], r["prob"]): r["value"] for r in grouped.collect()}
     assert np.allclose([rows["x", p] for p in probs[1:-1]], np.quantile(values, probs)[1:-1])
     assert {rows["few", p] for p in probs} <= {0.0, 0.1, 0.2}
