@@ -1,11 +1,14 @@
-"""Byte-level BPE: merges replayed over the distinct pieces of the whole corpus.
-
-Documents are coded chunk by chunk as numbers of the chunk's distinct words. The words of all chunks are made distinct once
-more by a grouped aggregate, so a word of the corpus is merged once, in one place, whatever its frequency; its ids go back to
-the chunks that have it. A partition of words is one corpus for the replay: an inverted index leads from the rank of a token
-pair to the positions where the pair stands, the lowest rank is merged next in all words that have it, and only the pairs that
-touch a merged position are looked up again. Within a word positions merge from the left, and no further than to the first
-one whose merge makes a pair of a lower rank, which is what an encoder does that takes the word alone.
+"""Byte-level BPE: merges replayed over the distinct words of a corpus.
+
+Documents are coded chunk by chunk as numbers of the chunk's distinct words. The words are one corpus for the replay: an inverted
+index leads from the rank of a token pair to the positions where the pair stands, the lowest rank is merged next in all words
+that have it, and only the pairs that touch a merged position are looked up again. Within a word positions merge from the
+left, and no further than to the first one whose merge makes a pair of a lower rank, which is what an encoder does that
+takes the word alone.
+
+By default a chunk is such a corpus. With `corpus_wide` the words of all chunks are made distinct once more by a grouped
+aggregate, so that a word of the whole table is merged once, in one place, and its ids are joined back to the chunks; that
+writes several times the text to disk.
 """
 
 import heapq
@@ -184,36 +187,66 @@ def _joined(batches, text: int):
         yield pa.Table.from_batches(waiting)
 
 
+def _chunks(batches, text: int):
+    """Chunks: the rows, the distinct words of their texts, the texts as numbers of these, and each text's bounds in them."""
+    for table in _joined(batches, text):
+        at = 0
+        for block in text_blocks(table.column(text).combine_chunks(), CHUNK_BYTES):  # a very long text is a chunk of its own
+            words, whole = byte_words(block)
+            offsets, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+            names, flat = coded.dictionary, coded.indices.to_numpy()
+            if whole.any():
+                flat = flat.copy()
+                flat[offsets[:-1][whole]] = np.arange(len(names), len(names) + whole.sum())
+                names = pa.concat_arrays([names.cast(pa.large_string()), block.filter(pa.array(whole))])
+            yield table.slice(at, len(block)).combine_chunks(), names, flat, offsets
+            at += len(block)
+
+
 def _coded(keys: int):
     """Rows (keys, chunk, codes, words): the words of a text as numbers in the list `words`, which the chunk's first row has."""
     def run(batches):
-        seq = 0
-        for table in _joined(batches, keys):
-            at = 0
-            for block in text_blocks(table.column(keys).combine_chunks(), CHUNK_BYTES):  # a very long text is a chunk of its own
-                words, whole = byte_words(block)
-                offsets, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
-                names, flat = coded.dictionary, coded.indices.to_numpy()
-                if whole.any():
-                    flat = flat.copy()
-                    flat[offsets[:-1][whole]] = np.arange(len(names), len(names) + whole.sum())
-                    names = pa.concat_arrays([names.cast(pa.large_string()), block.filter(pa.array(whole))])
-                n = len(block)
-                chunk = TaskContext.get().partitionId() << 32 | seq
-                codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                first = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string()))
-                lists = pa.concat_arrays([first, pa.nulls(n - 1, first.type)])
-                own = table.slice(at, n).combine_chunks()
+        for seq, (own, names, flat, offsets) in enumerate(_chunks(batches, keys)):
+            n = own.num_rows
+            chunk = TaskContext.get().partitionId() << 32 | seq
+            codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            first = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string()))
+            lists = pa.concat_arrays([first, pa.nulls(n - 1, first.type)])
+            yield pa.RecordBatch.from_arrays(
+                [*[own.column(i).combine_chunks() for i in range(keys)], pa.array(np.full(n, chunk)), codes, lists],
+                names=[*own.column_names[:keys], "chunk", "codes", "words"])
+    return run
+
+
+def _slices(ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray, ends: np.ndarray):
+    """(first text, lists of ids) of texts that are the words ends[i]..ends[i + 1] of `flat`, SPELL_CODES words at a time."""
+    at = 0
+    while at + 1 < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SPELL_CODES, "right")) - 1)
+        found, bounds = gathered(ids, lengths, flat[ends[at]:ends[to]], ends[at:to + 1] - ends[at])
+        yield at, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
+        at = to
+
+
+def _encoded(keys: int, path: str, pattern: str):
+    """Rows (keys, ids), chunk by chunk."""
+    def run(batches):
+        resolve = _resolver(path, pattern)
+        for own, names, flat, offsets in _chunks(batches, keys):
+            ids, lengths = resolve(names.to_pylist())
+            for at, lists in _slices(ids, lengths, flat, offsets):
                 yield pa.RecordBatch.from_arrays(
-                    [*[own.column(i).combine_chunks() for i in range(keys)], pa.array(np.full(n, chunk)), codes, lists],
-                    names=[*own.column_names[:keys], "chunk", "codes", "words"])
-                at, seq = at + n, seq + 1
+                    [*[own.column(i).slice(at, len(lists)).combine_chunks() for i in range(keys)], lists], names=[*own.column_names[:keys], "ids"])
     return run
 
 
+def _resolver(path: str, pattern: str) -> ReplayedWords:
+    return worker_state(("replay", path, pattern), lambda: ReplayedWords(Merges(rank_file(path)), pattern))
+
+
 def _replayed(path: str, pattern: str):
     def run(batches):
-        resolve, waiting, size = worker_state(("replay", path, pattern), lambda: ReplayedWords(Merges(rank_file(path)), pattern)), [], 0
+        resolve, waiting, size = _resolver(path, pattern), [], 0
 
         def flush():
             ids, lengths = resolve(pa.concat_arrays(waiting).to_pylist())
@@ -239,20 +272,15 @@ def _spelled(keys: int):
         order = np.argsort(place)
         lengths = np.diff(lists.offsets.to_numpy())
         ids, _ = gathered(lists.flatten().to_numpy(), lengths, order, np.zeros(1, np.int64))
-        lengths, out, codes = lengths[order], [], rows.column("codes").combine_chunks()
-        at, ends = 0, codes.offsets.to_numpy()
-        while at < len(codes):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SPELL_CODES, "right")) - 1)
-            found, bounds = gathered(ids, lengths, codes.slice(at, to - at).flatten().to_numpy(), ends[at:to + 1] - ends[at])
-            out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32())))
-            at = to
+        codes = rows.column("codes").combine_chunks()
+        out = [lists for _, lists in _slices(ids, lengths[order], codes.flatten().to_numpy(), codes.offsets.to_numpy() - codes.offsets[0].as_py())]
         ids = pa.chunked_array(out, pa.list_(pa.int32()))
         return pa.Table.from_arrays([*rows.columns[:keys], ids], names=[*rows.column_names[:keys], "ids"])
     return run
 
 
 def encode(df: DataFrame, keys: list[str], text: str, path: str = RANKS,
-           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+           pattern: str = public_tokenizers.PATTERN, corpus_wide: bool = False) -> DataFrame:
     """(keys, ids: array<int>) with the ids of the whole text of every row; a null or empty text has none.
 
     Keys may be null or repeated; other columns are not read, whatever their names. A word without a space to cut at, however
@@ -261,6 +289,9 @@ def encode(df: DataFrame, keys: list[str], text: str, path: str = RANKS,
     names = [f"key{i}" for i in range(len(keys))]
     own = bounded_batches(df).select(*[quoted(k).alias(n) for k, n in zip(keys, names)], quoted(text).alias("text"))
     kinds = "".join(f"{n} {t}, " for n, t in own.dtypes[:-1])
+    if not corpus_wide:
+        found = own.mapInArrow(_encoded(len(keys), path, pattern), f"{kinds}ids array<int>")
+        return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "ids")
     coded = stored(own.mapInArrow(_coded(len(keys)), f"{kinds}chunk long, codes array<int>, words array<string>"))
     places = coded.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("i", "word"))
     spelled = places.select("word").distinct().mapInArrow(_replayed(path, pattern), "word string, ids array<int>")

@@ -150,6 +150,14 @@ def test_bpe_query(spark, folder, docs):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == expected
 
 
+def test_corpus_wide_replay_equals_the_replay_by_chunks(spark, folder, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 30_000)
+    monkeypatch.setattr(bpe, "SPELL_CODES", 500)
+    every = lambda df: Counter((r.doc_id, tuple(r.ids)) for r in df.collect())
+    docs = documents(spark, folder)
+    assert every(bpe.encode(docs, ["doc_id"], "text")) == every(bpe.encode(docs, ["doc_id"], "text", corpus_wide=True))
+
+
 def test_containers_query(spark, folder, docs):
     plain = library("word_bpe_49k.json")
     rows = sorted(token_files.op9_token_id_output(spark, folder).collect(), key=lambda r: r.start)
