@@ -146,11 +146,15 @@ class ReplayedWords:
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.pattern = merges, regex.compile(pattern)
+        self.letters_join = pattern == public_tokenizers.PATTERN  # letters, with a space before them, are one match
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number, rows = {}, []
         for w in words:
-            rows.append([number.setdefault(p, len(number)) for p in self.pattern.findall(w)])
+            if self.letters_join and w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                rows.append([number.setdefault(w, len(number))])
+            else:
+                rows.append([number.setdefault(p, len(number)) for p in self.pattern.findall(w)])
         pieces = [p.encode() for p in number]
         ids, lengths = self._pieces(pieces)
         starts = np.cumsum(lengths) - lengths
