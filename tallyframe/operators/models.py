@@ -1,13 +1,14 @@
 """The three classifiers, scoring and feature importances."""
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import ellipsize, prediction_text
 from tallyframe.operators.boosting import BoostedTrees
+from tallyframe.operators.forest import RandomForest
 from tallyframe.session import quoted
 
 # Split points per feature that trees may choose from.
@@ -22,12 +23,9 @@ def logistic(n_train: int, label: str = "target", max_iter: int = 1000) -> Logis
     )
 
 
-def forest(label: str = "target", num_trees: int = 200, max_depth: int = 30, seed: int = 42, max_bins: int = MAX_BINS) -> RandomForestClassifier:
-    """Trees grow until Spark's depth limit of 30 or pure leaves."""
-    return RandomForestClassifier(
-        labelCol=label, numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=1,
-        featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,
-    )
+def forest(label: str = "target", num_trees: int = 200, max_depth: int = 0, seed: int = 42, max_bins: int = MAX_BINS, key: str = "") -> RandomForest:
+    """Trees on bootstrap draws, by a unique key if one is named, that grow to pure leaves or to `max_depth` levels if it isn't 0."""
+    return RandomForest(labelCol=label, trees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins, keyCol=key)
 
 
 def boosted(label: str = "target", rounds: int = 200, max_depth: int = 6, seed: int = 42, max_bins: int = MAX_BINS) -> BoostedTrees:

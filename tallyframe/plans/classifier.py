@@ -38,7 +38,7 @@ def prepare(
 
 def train_classifiers(
     df: DataFrame, key: str, target: str = "target", features: list[str] = FEATURES, scaler: str = "quantile",
-    seed: int = 42, num_trees: int = 200, forest_depth: int = 30, rounds: int = 200,
+    seed: int = 42, num_trees: int = 200, forest_depth: int = 0, rounds: int = 200,
 ) -> dict:
     """Balance, split, preprocess once, train and compare the three classifiers on a prepared table.
 
@@ -53,11 +53,11 @@ def train_classifiers(
     preprocessor = build_preprocessor(roles["numeric"], roles["categorical"], scaler).fit(train)
     names = feature_names(preprocessor)
     columns = [quoted(target).cast("int").alias(target), F.col("features")]
-    train_x = preprocessor.transform(train).select(*columns).persist()
+    train_x = preprocessor.transform(train).select(*columns, quoted(key)).persist()
     test_x = preprocessor.transform(test).select(*columns).persist()
     estimators = {
         models.LOGISTIC: models.logistic(train_x.count(), target),
-        models.FOREST: models.forest(target, num_trees, forest_depth, seed),
+        models.FOREST: models.forest(target, num_trees, forest_depth, seed, key=key),
         models.BOOSTED: models.boosted(target, rounds, seed=seed),
     }
     results, fitted, reports, confusion, importance = {}, {}, {}, {}, {}
