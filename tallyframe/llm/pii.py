@@ -1,8 +1,9 @@
-"""Personal data by weak supervision, in DataFrame functions only.
+"""Personal data and credentials by weak supervision, in DataFrame functions only.
 
 Strict patterns find the base spans. Loose patterns add candidates (spelled-out addresses, numbers without a plus sign,
-15-digit cards, ...). On every candidate labelers vote yes, no or nothing: the strict pattern, gazetteers, the words before
-it, its shape and its borders. Expectation-maximisation over the table of vote patterns, whose size depends on the number
+15-digit cards, plain runs of digits, long runs of letters and digits that may be keys, ...). On every candidate labelers vote
+yes, no or nothing: the strict pattern, gazetteers, the words before it (a card or an order number, a token or a checksum), its
+shape and its borders. Expectation-maximisation over the table of vote patterns, whose size depends on the number
 of labelers alone, estimates how reliable each labeler is for each kind; a logistic classifier is then trained on the
 posteriors and decides about the candidates that no base span covers. Base spans always stay.
 """
@@ -18,7 +19,9 @@ from tallyframe.llm.common import documents, packed, stored
 from tallyframe.llm.registry import query
 from tallyframe.session import quoted
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+# A secret (key, token, password) has no strict pattern: all its spans are decided by the classifier.
+KINDS = [*BASE_KINDS, "secret"]
 
 # The strict patterns. A run that fails at its first character fails at the later ones too, so a match starts
 # at the border of a run or where the last match ended; that keeps long runs linear.
@@ -31,32 +34,50 @@ STRICT = {
 }
 # Texts without a match of the gate have no match of the pattern.
 STRICT_GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
+_RUN = "[A-Za-z0-9_+/-]"
 _LOOSE_SEPARATOR = r"(?: ?\. ?| ?[\[({]dot[\])}] ?| dot )"
 LOOSE = {
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}++(?: ?[\[({{]at[\])}}] ?{_LABEL}+(?:{_LOOSE_SEPARATOR}{_LABEL}+)+"
              rf"| at {_LABEL}+(?: dot {_LABEL}+)+)",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}|[0-9]{4}(?:[._/ -]{1,3}[0-9]{4}){3})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}|[0-9]{4}(?:[._/ -]{1,3}[0-9]{4}){3}|[0-9]{13,19})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
+    "secret": rf"(?<!{_RUN})(?={_RUN}*?[0-9])(?={_RUN}*?[A-Za-z]){_RUN}{{16,}}+={{0,2}}",
 }
-LOOSE_GATE = {"email": r"(?i)[\[({]at[\])}]| dot ", "ip": r"[0-9][\[(]\.", "card": r"[0-9]{4}", "phone": r"[0-9]{2}\)?[ .-][0-9]"}
-# Gazetteers and context words.
+LOOSE_GATE = {"email": r"(?i)[\[({]at[\])}]| dot ", "ip": r"[0-9][\[(]\.", "card": r"[0-9]{4}", "phone": r"[0-9]{2}\)?[ .-][0-9]", "secret": rf"{_RUN}{{16}}"}
+# Gazetteers and context words, also those that speak against a kind.
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot\W*)(?:com|org|net|edu|gov|mil|int|info|biz|io|eu|de|fr|es|it|nl|be|at|ch|uk|us|ca|mx|br|ar|pl|se|no|dk|fi|pt|ru|jp|cn|in|au|nz)$",
     "ip": r"^(?!0)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
     "phone": r"^\+?(?:00)?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?0|^\(?[2-9][0-9]{2}\)?[ .-]",
+    "secret": r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|sk_test_|pk_live_|rk_live_|xox[abp]-|npm_|eyJ)",
 }
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|correo|courriel|kontakt|schreib)",
     "ip": r"(?i)(?:\bip\b|address|host|server|login|adresse|dirección)",
     "card": r"(?i)(?:card|visa|master|amex|credit|payment|karte|carte|tarjeta)",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|cell|anruf|appel|llam)",
+    "secret": r"(?i)(?:token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer|contraseña|mot de passe|kennwort)",
+}
+AGAINST = {
+    "email": r"(?i)(?:meet|arriv|look|laugh|point)\w* $",
+    "ip": r"(?i)(?:version|release|section|chapter|build|\bv)[ .:]*$",
+    "card": r"(?i)(?:order|invoice|tracking|serial|isbn|barcode|commande|bestell|pedido|reference|ref)\W*(?:number|no|nr|id)?\W*$",
+    "phone": r"(?i)(?:order|invoice|tracking|serial|isbn|part|commande|bestell|pedido|reference|ref|since|from|years?|in)\W*(?:number|no|nr|id)?\W*$",
+    "secret": r"(?i)(?:commit|revision|checksum|sha-?[0-9]*|md5|digest|hash|uuid|guid|etag|file|image|path|https?:/*\S*|www\.\S*)\W*$",
 }
 LABELERS = ["strict", "gazetteer", "context", "shape", "border"]
 CONTEXT_CHARS = 40
+# A longer run of characters is data, not a key.
+SECRET_CHARS = 512
 THRESHOLD = 0.5
 EM_ROUNDS = 50
+# What EM assumes of every labeler beforehand: how often it is right, on how many candidates for each real one.
+ASSUMED_RIGHT = {"strict": 0.95, "gazetteer": 0.65, "context": 0.95, "shape": 0.75, "border": 0.6}
+ASSUMED_SHARE = 0.5
+# Chance that a base span is what it looks like.
+BASE_CHANCE = 0.99
 
 _HITS = "array<struct<start:int,end:int,s:string>>"
 
@@ -122,29 +143,36 @@ def _masked(text: Column) -> Column:
 def with_base(df: DataFrame, text: str) -> DataFrame:
     """Add `_text` (null: empty) and the array of base spans of every kind, `_base_<kind>`."""
     df = df.withColumn("_text", F.coalesce(quoted(text), F.lit("")))
-    for kind in KINDS:
+    for kind in BASE_KINDS:
         within = _masked(F.col("_text")) if kind == "card" else None
         hits = _hits(F.col("_text"), STRICT[kind], STRICT_GATE[kind], within)
         df = df.withColumn(f"_all_{kind}", hits)
         df = df.withColumn(f"_base_{kind}", F.filter(f"_all_{kind}", _each(lambda k, h: _sound(k, h["s"]), kind)))
-    return df.drop(*[f"_all_{k}" for k in KINDS])
+    return df.withColumn("_base_secret", F.array().cast(_HITS)).drop(*[f"_all_{k}" for k in BASE_KINDS])
 
 
 def _votes(kind: str, h: Column, strict: bool) -> Column:
     """Struct of the labelers' votes (1, -1, 0) and two surface features of a candidate."""
     text, s = F.col("_text"), h["s"]
     before = F.substring(text, F.greatest(h["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(h["start"], F.lit(CONTEXT_CHARS)))
-    left, right = F.substring(before, -1, 1), F.substring(text, h["end"] + 1, F.lit(1))
+    left, right = F.substring(before, -1, 1), F.substring(text, h["end"] + 1, F.lit(2))
     digits = _digits(s)
-    if kind == "email":
+    listed = F.when(s.rlike(GAZETTEER[kind]), 1).otherwise(0 if kind == "secret" else -1)
+    named = F.when(before.rlike(AGAINST[kind]), -1).when(before.rlike(CONTEXT[kind]), 1).otherwise(0)
+    joined = left.rlike("[A-Za-z0-9]") | right.rlike("^[-_/]?[A-Za-z0-9]")
+    border = F.when(joined, -1).otherwise(1)
+    if kind == "secret":
+        # Drawn characters are seldom the same, and digits and letters alternate often; words and names aren't like that.
+        turns = F.length(F.regexp_replace(s, "[0-9]+|[^0-9]+", "x"))
+        shape = F.when(F.length(s) > SECRET_CHARS, -1).when((F.size(F.array_distinct(F.split(s, ""))) >= 10) & (turns >= 5), 1).otherwise(-1)
+        border = F.when(before.rlike("[=:] ?[\"'`]?$"), 1).when(joined | left.isin("/", ".", "@", "#"), -1).otherwise(0)
+    elif kind == "email":
         shape = F.when(F.length(s) <= 120, 1).otherwise(-1)
     elif kind == "card":
         shape = F.when(F.length(digits).between(13, 19) & _luhn(digits), 1).otherwise(-1)
     else:
         shape = F.when(_sound(kind, s), 1).otherwise(-1)
-    border = F.when(left.rlike("[A-Za-z0-9]") | right.rlike("[A-Za-z0-9]"), -1).otherwise(0)
-    votes = {"strict": F.lit(1 if strict else 0), "gazetteer": F.when(s.rlike(GAZETTEER[kind]), 1).otherwise(-1),
-             "context": F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0), "shape": shape, "border": border}
+    votes = {"strict": F.lit(1 if strict else 0), "gazetteer": listed, "context": named, "shape": shape, "border": border}
     return F.struct(*[votes[n].cast("int").alias(n) for n in LABELERS], F.least(F.length(s) / 40.0, F.lit(1.0)).alias("_len"),
                     F.least(F.length(digits) / 20.0, F.lit(1.0)).alias("digits"))
 
@@ -178,25 +206,26 @@ def vote_table(df: DataFrame) -> DataFrame:
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = EM_ROUNDS) -> dict:
     """Posterior of "personal data" for every (kind, votes), by EM over votes that are independent given the truth.
 
-    Each labeler has, per kind, the chances of a yes, a no and nothing on true and on false candidates, smoothed by one
-    candidate each; the start is the share of yes among its votes.
+    Each labeler has, per kind, the chances of a yes and a no on the true and on the false candidates that it votes on,
+    beside assumed candidates, a fixed share of the real ones, on which it is right as often as assumed; silent, it says nothing. The start is the share of yes among the votes. A base
+    span (yes of the strict pattern, the first labeler) counts as true throughout and shows what the others say to true ones.
     """
     out = {}
     for kind in sorted({k for k, _, _ in patterns}):
         rows = [(v, n) for k, v, n in patterns if k == kind]
-        post = [(1 + v.count(1)) / (2 + v.count(1) + v.count(-1)) for v, _ in rows]
+        known = BASE_CHANCE if kind < len(BASE_KINDS) else None
+        post = [known if known and v[0] == 1 else (1 + v.count(1)) / (2 + v.count(1) + v.count(-1)) for v, _ in rows]
+        assumed = 1 + ASSUMED_SHARE * sum(n for _, n in rows)
         for _ in range(rounds):
-            true, false = sum(n * p for (_, n), p in zip(rows, post)) + 1, sum(n * (1 - p) for (_, n), p in zip(rows, post)) + 1
+            open_ = [(n, p) for (v, n), p in zip(rows, post) if not (known and v[0] == 1)]
+            prior = math.log(sum(n * p for n, p in open_) + assumed) - math.log(sum(n * (1 - p) for n, p in open_) + assumed)
             chance = []
-            for j in range(len(LABELERS)):
-                by = {x: (sum(n * p for (v, n), p in zip(rows, post) if v[j] == x) + (1.5 if x == 1 else 1),
-                          sum(n * (1 - p) for (v, n), p in zip(rows, post) if v[j] == x) + (1.5 if x == -1 else 1))
-                      for x in (-1, 0, 1)}
-                chance.append({x: (a / (true + 2.5), b / (false + 2.5)) for x, (a, b) in by.items()})
-            post = []
-            for v, _ in rows:
-                odds = math.log(true / false) + sum(math.log(chance[j][x][0] / chance[j][x][1]) for j, x in enumerate(v))
-                post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+            for j, right in enumerate(ASSUMED_RIGHT[name] for name in LABELERS):
+                yes, no = ([sum(n * q for (v, n), q in zip(rows, side) if v[j] == x) + assumed * (right if x == expected else 1 - right) for x in (1, -1)]
+                           for side, expected in ((post, 1), ([1 - p for p in post], -1)))
+                chance.append({x: math.log(a / sum(yes)) - math.log(b / sum(no)) for x, a, b in zip((1, -1), yes, no)})
+            post = [known if known and v[0] == 1 else 1 / (1 + math.exp(-max(-30.0, min(30.0, prior + sum(
+                chance[j][x] for j, x in enumerate(v) if x))))) for v, _ in rows]
         out |= {(kind, v): p for (v, _), p in zip(rows, post)}
     return out
 
@@ -289,5 +318,7 @@ def redact(df: DataFrame, text: str) -> DataFrame:
 @query()
 def op7_pii(spark, folder):
     found = find(documents(spark, folder).select("doc_id", "text"), "text")
-    return found.select("doc_id", *[F.size(f"_base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-                        F.sha2(_listed("_base_"), 256).alias("base_sha256"), _listed("_spans_").alias("spans"))
+    return found.select("doc_id", *[F.size(f"_base_{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+                        F.sha2(_listed("_base_"), 256).alias("base_sha256"), _listed("_spans_").alias("spans"),
+                        F.size("_spans_secret").cast("long").alias("n_secret"),
+                        sum((F.size(f"_spans_{k}") for k in KINDS), F.lit(0)).cast("long").alias("n_spans"))
