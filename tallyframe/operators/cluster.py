@@ -12,9 +12,10 @@ from tallyframe.operators.groups import best_by
 from tallyframe.session import checkpointed, quoted
 
 BLOCK_ROWS = 2_000
-# A table of no more points draws its starts on the driver, and moves them so often there.
-FEW_POINTS = 1_000
-FEW_ROUNDS = 30
+# Rounds of candidates for the starts, candidates a round for every centre of the largest k, and moves among the candidates.
+START_ROUNDS = 5
+OVERSAMPLING = 4
+START_MOVES = 30
 
 
 def _points(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -23,22 +24,31 @@ def _points(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    square = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    return square.argmin(axis=1), square.min(axis=1)
-
-
-def _few_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Centres drawn from all points of a small table with chances that grow with the squared distance, then moved."""
+    """(number of the nearest centre, the first one on ties; squared distance to it), one centre at a time."""
+    label, far = np.zeros(len(x), dtype="int64"), np.full(len(x), np.inf)
+    for j, c in enumerate(centres):
+        square = ((x - c) ** 2).sum(axis=1)
+        closer = square < far
+        label[closer], far[closer] = j, square[closer]
+    return label, far
+
+
+def _weighted_start(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres of weighted candidates: drawn with chances that grow with weight and squared distance, of 2 + ln k draws the
+    one that leaves the least distances; then moved to the weighted means."""
     rng = np.random.default_rng(seed)
-    centres = points[[rng.integers(len(points))]]
+    centres = points[[rng.choice(len(points), p=weights / weights.sum())]]
     while len(centres) < k:
-        far = _nearest(points, centres)[1]
+        far = weights * _nearest(points, centres)[1]
         total = far.sum()
-        pick = rng.choice(len(points), p=far / total) if total > 0 else rng.integers(len(points))
-        centres = np.vstack([centres, points[pick]])
-    for _ in range(FEW_ROUNDS):
+        picks = rng.choice(len(points), size=2 + int(math.log(k)), p=far / total if total > 0 else None)
+        tried = [np.vstack([centres, points[pick]]) for pick in picks]
+        centres = min(tried, key=lambda c: (weights * _nearest(points, c)[1]).sum())
+    for _ in range(START_MOVES):
         label = _nearest(points, centres)[0]
-        moved = np.array([points[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)])
+        mass = np.bincount(label, weights=weights, minlength=k)
+        sums = np.column_stack([np.bincount(label, weights=weights * column, minlength=k) for column in points.T])
+        moved = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
         if np.array_equal(moved, centres):
             break
         centres = moved
@@ -53,70 +63,67 @@ def _draws(h: np.ndarray, salt: int) -> np.ndarray:
     return -np.log(((x ^ x >> np.uint64(31)) >> np.uint64(11)) / 2.0**53 + 2.0**-54)
 
 
-def _first_centres(points: DataFrame, key: str, tasks: list[tuple[int, int]], seed: int) -> dict[int, np.ndarray]:
-    """For every task (k, restart) k of all points, drawn one after the other with chances that grow with the squared distance
-    to those before; of 2 + ln k draws the one that leaves the least distances is taken.
+def _candidates(points: DataFrame, key: str, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates for the starts, how many points are nearest to each), the same way for tables of any size.
 
-    A round is two aggregates for all tasks: the point with the least exponential draw divided by its chance is such a draw,
-    and the second one adds up the distances. Draws follow a hash of the key, the restart and the round, so every restart has its own and the table's layout doesn't matter.
+    A first point is drawn, then a fixed number of rounds adds `OVERSAMPLING * k` points each, without replacement and with
+    chances that grow with the squared distance to all candidates before: the points with the least exponential draws
+    divided by that distance. A round is one pass in which a task sends that many points at most; the last pass counts.
+    Draws follow a hash of the key, so the table's layout doesn't matter. A small table's points all become candidates.
     """
     rows = points.select("_point", F.xxhash64(quoted(key).cast("string"), F.lit(seed)).alias("_h"))
-    centres: dict[int, np.ndarray] = {}
-    for done in range(max(k for k, _ in tasks)):
-        now = {(t, trial): (k << 32 | i << 16 | done << 8 | trial, centres.get(t)) for t, (k, i) in enumerate(tasks) if k > done
-               for trial in range(2 + int(math.log(k)) if done else 1)}
-
-        def least(batches, now=now):
-            found = {}
+    first = rows.agg(F.min_by("_point", "_h").alias("p")).first()["p"]
+    if first is None:
+        raise ValueError("no rows to cluster")
+    found, many = np.array([first], dtype=float), OVERSAMPLING * k
+    for salt in range(START_ROUNDS):
+        def least(batches, found=found, salt=salt):
+            best = None
             for b in batches:
                 if len(b):
                     x, h = np.stack(b["_point"].to_numpy()), b["_h"].to_numpy()
-                    for t, (salt, before) in now.items():
-                        with np.errstate(divide="ignore"):
-                            score = _draws(h, salt) / (1.0 if before is None else _nearest(x, before)[1])
-                        i = np.lexsort((h, score))[0] if np.isinf(score).all() else score.argmin()
-                        found[t] = min(found.get(t, (math.inf, math.inf, None)), (float(score[i]), int(h[i]), x[i].tolist()),
-                                       key=lambda r: r[:2])
-            if found:
-                yield pd.DataFrame([(*t, *r) for t, r in found.items()], columns=["task", "trial", "score", "h", "point"])
-
-        drawn = rows.mapInPandas(least, "task int, trial int, score double, h long, point array<double>").groupBy("task", "trial").agg(
-            F.min_by("point", F.struct("score", "h")).alias("point")).collect()
-        drawn = {(r["task"], r["trial"]): np.array([r["point"]], dtype=float) for r in drawn}
-        if not done:
-            centres = {t: point for (t, _), point in drawn.items()}
-            continue
-        tried = {(t, trial): np.vstack([centres[t], point]) for (t, trial), point in drawn.items()}
-
-        def left(batches, tried=tried):
-            total = dict.fromkeys(tried, 0.0)
-            for b in batches:
-                if len(b):
-                    x = np.stack(b["_point"].to_numpy())
-                    for t, c in tried.items():
-                        total[t] += _nearest(x, c)[1].sum()
-            yield pd.DataFrame([(*t, s) for t, s in total.items()], columns=["task", "trial", "s"])
+                    with np.errstate(divide="ignore"):
+                        score = _draws(h, salt) / _nearest(x, found)[1]
+                    new = np.flatnonzero(np.isfinite(score))
+                    new = new[np.lexsort((h[new], score[new]))[:many]]
+                    if not len(new):
+                        continue
+                    part = pd.DataFrame({"score": score[new], "h": h[new], "point": list(x[new])})
+                    best = part if best is None else pd.concat([best, part]).sort_values(["score", "h"]).head(many)
+            if best is not None:
+                yield best
+
+        drawn = rows.mapInPandas(least, "score double, h long, point array<double>").orderBy("score", "h").limit(many).collect()
+        if not drawn:
+            break
+        found = np.vstack([found, [r["point"] for r in drawn]])
+        if len(drawn) < many:  # all distinct points are candidates
+            break
 
-        sums = rows.mapInPandas(left, "task int, trial int, s double").groupBy("task", "trial").agg(F.sum("s").alias("s")).collect()
-        for r in sorted(sums, key=lambda r: (-r["s"], -r["trial"])):
-            centres[r["task"]] = tried[r["task"], r["trial"]]
-    return centres
+    def weights(batches):
+        total = np.zeros(len(found))
+        for b in batches:
+            if len(b):
+                total += np.bincount(_nearest(np.stack(b["_point"].to_numpy()), found)[0], minlength=len(found))
+        yield pd.DataFrame({"i": np.arange(len(found)), "n": total})
+
+    counted = rows.mapInPandas(weights, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    weight = np.zeros(len(found))
+    for r in counted:
+        weight[r["i"]] = r["n"]
+    return found[weight > 0], weight[weight > 0]
 
 
 def _best_fits(points: DataFrame, key: str, ks: list[int], n_init: int, seed: int, max_iter: int) -> dict[int, tuple[np.ndarray, float]]:
     """For every k the centres and the cost of the best restart.
 
-    All restarts of all k move on together: an iteration is one aggregate over the points, from which every task sends a
-    few sums per centre. The starts are drawn from all points.
+    The starts of all restarts come from one set of weighted candidates, a fixed number of passes for any k. All restarts
+    of all k move on together: an iteration is one aggregate over the points, from which every task sends a few sums
+    per centre.
     """
     tasks = [(k, i) for k in ks for i in range(n_init)]
-    order = F.md5(F.concat_ws("|", quoted(key).cast("string"), F.lit(str(seed))))
-    few = points.select("_point", order.alias("_h"), quoted(key).alias("_key")).limit(FEW_POINTS + 1).collect()
-    if len(few) <= FEW_POINTS:
-        few = np.array([r["_point"] for r in sorted(few, key=lambda r: (r["_h"], r["_key"]))], dtype=float)
-        centres = {t: _few_centres(few, k, seed + i) for t, (k, i) in enumerate(tasks)}
-    else:
-        centres = _first_centres(points, key, tasks, seed)
+    candidates, weights = _candidates(points, key, max(ks), seed)
+    centres = {t: _weighted_start(candidates, weights, k, seed + i) for t, (k, i) in enumerate(tasks)}
     cost, moving, width = {}, set(centres), centres[0].shape[1]
     schema = "task int, centre int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(width))
     for _ in range(max_iter + 1):
@@ -177,67 +184,103 @@ def stable_cluster_numbers(df: DataFrame, key: str, cluster: str) -> DataFrame:
     return df.withColumn("cluster", number_of).drop(cluster)
 
 
+def _pack(means: list[np.ndarray], spreads: list[np.ndarray]):
+    """Function that turns the points of a block into one row: the points, and the clusters each of them has to look at.
+
+    The mean distance to a cluster is at least the distance to its centre and at most the root of that distance squared plus the
+    cluster's mean squared deviation. Clusters that are farther at least than another one is at most can't be the nearest.
+    """
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        label, cluster = int(rows["label"].iloc[0]), int(rows["cluster"].iloc[0])
+        x = np.stack(rows["x"].to_numpy()).astype(float)
+        least = np.column_stack([np.sqrt(((x - m) ** 2).sum(axis=1)) for m in means[label]])
+        most = np.sqrt(least**2 + spreads[label])
+        most[:, cluster] = np.inf
+        wanted = least <= most.min(axis=1, keepdims=True) * (1 + 1e-9)
+        wanted[:, cluster] = True
+        return pd.DataFrame({
+            "block": [rows["block"].iloc[0]], "label": [label], "cluster": [cluster], "x": [x.tobytes()],
+            "wanted": [wanted.tobytes()], "looks_at": [np.flatnonzero(wanted.any(axis=0)).tolist()]})
+
+    return pack
+
+
+def _block_distances(sizes: list[np.ndarray], width: int):
+    """Function from the one or two blocks of a pair to the shares of mean distances that each side takes from the other."""
+    def points(block):
+        return np.frombuffer(block["x"]).reshape(-1, width)
+
+    def share(of, other, sums):
+        n = sizes[of["label"]]
+        wanted = np.frombuffer(of["wanted"], dtype=bool).reshape(-1, len(n))[:, other["cluster"]]
+        own = of["cluster"] == other["cluster"]
+        return pd.DataFrame({
+            "block": of["block"], "place": np.flatnonzero(wanted), "label": of["label"], "cluster": other["cluster"], "own": own,
+            "alone": own and n[of["cluster"]] == 1, "mean": sums[wanted] / max(1, n[other["cluster"]] - own)})
+
+    def distances(pair: pd.DataFrame) -> pd.DataFrame:
+        sides = pair.sort_values("block").to_dict("records")
+        a, b = sides[0], sides[-1]
+        xa, xb = points(a), points(b)
+        square = np.zeros((len(xa), len(xb)))
+        for d in range(width):
+            square += (xa[:, d][:, None] - xb[:, d][None, :]) ** 2
+        dist = np.sqrt(square)
+        shares = [share(a, b, dist.sum(axis=1))]
+        if len(sides) == 2:
+            shares.append(share(b, a, dist.sum(axis=0)))
+        return pd.concat(shares)
+
+    return distances
+
+
 def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], block_rows: int = BLOCK_ROWS) -> dict[str, float]:
-    """Exact mean Euclidean silhouette of each label column; members of one-row clusters count 0.
+    """Exact mean Euclidean silhouette of each label column; members of one-row clusters count 0, rows without a label don't count.
 
     With a single cluster the silhouette is undefined (null).
 
-    The points are hashed into blocks of about `block_rows`. Every pair of blocks is one task that turns its
-    distances into sums per point and cluster at once, so distances are never stored and memory stays bounded.
+    Every cluster is hashed into blocks of about `block_rows` points, packed into one row each. A pair of blocks is
+    one task that turns its distances into sums for both sides, so distances are never stored and memory stays
+    bounded; pairs of which neither side can be near the other's cluster are left out.
     """
-    table = df.select(
+    table = checkpointed(df.select(
         quoted(key).alias("key"), F.array(*[number(df, c) for c in cols]).alias("x"),
-        *[quoted(label).alias(f"l{i}") for i, label in enumerate(labels)],
-    ).persist()
-    clusters = {
-        label: {r["c"]: r["n"] for r in table.groupBy(F.col(f"l{i}").alias("c")).agg(F.count("*").alias("n")).collect()}
-        for i, label in enumerate(labels)
-    }
-    blocks = max(1, math.ceil(table.count() / block_rows))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    points = table.withColumn("mine", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    left = points.select("key", "x", "mine", every_block.alias("theirs"))
-    right = points.select(
-        F.col("x").alias("other_x"), *[F.col(f"l{i}").alias(f"other_l{i}") for i in range(len(labels))],
-        F.col("mine").alias("their_block"), every_block.alias("my_block"),
-    )
-    wanted = [(f"s{i}_{j}", f"other_l{i}", c) for i, label in enumerate(labels) for j, c in enumerate(clusters[label])]
-
-    def distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": a["key"][:0], **{s: np.empty(0) for s, _, _ in wanted}})
-        xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["other_x"].to_numpy())
-        square = np.zeros((len(xa), len(xb)))
-        for d in range(xa.shape[1]):
-            square += (xa[:, d][:, None] - xb[:, d][None, :]) ** 2
-        member = np.column_stack([(b[label] == c).to_numpy(dtype="float64") for _, label, c in wanted])
-        sums = np.sqrt(square) @ member
-        return pd.DataFrame({"key": a["key"].to_numpy(), **{s: sums[:, i] for i, (s, _, _) in enumerate(wanted)}})
-
-    key_type = df.schema[key].dataType.simpleString()
-    schema = f"key {key_type}, " + ", ".join(f"{s} double" for s, _, _ in wanted)
-    sums = (
-        left.groupBy("mine", "theirs").cogroup(right.groupBy("my_block", "their_block"))
-        .applyInPandas(distance_sums, schema)
-        .groupBy("key").agg(*[F.sum(s).alias(s) for s, _, _ in wanted])
-    )
-    scored = sums.join(points.select("key", *[f"l{i}" for i in range(len(labels))]), "key")
-    means = []
-    for i, label in enumerate(labels):
-        own, size, others = [], [], []
-        for j, (c, n) in enumerate(clusters[label].items()):
-            mine = F.col(f"l{i}") == F.lit(c)
-            own.append(F.when(mine, F.col(f"s{i}_{j}")))
-            size.append(F.when(mine, F.lit(n)))
-            others.append(F.when(~mine, F.col(f"s{i}_{j}") / F.lit(n)))
-        n = F.coalesce(*size)
-        a = F.try_divide(F.coalesce(*own), n - 1)
-        b = F.array_min(F.array_compact(F.array(*others)))
-        s = F.when(n == 1, F.lit(0.0)).when(b.isNotNull(), F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-        means.append(F.avg(s).alias(f"m{i}"))
-    row = scored.agg(*means).first()
-    table.unpersist()
-    return {label: row[f"m{i}"] for i, label in enumerate(labels)}
+        F.inline(F.array(*[F.struct(F.lit(i).alias("label"), quoted(c).cast("string").alias("value")) for i, c in enumerate(labels)])),
+    ).where("value IS NOT NULL"))
+    width = len(cols)
+    found = table.groupBy("label", "value").agg(
+        F.count("*").alias("n"), F.array(*[F.avg(F.get("x", F.lit(j))) for j in range(width)]).alias("mean"),
+        sum((F.var_pop(F.get("x", F.lit(j))) for j in range(width)), F.lit(0.0)).alias("spread"),
+    ).orderBy("label", "value").collect()  # one row per cluster
+    clusters = [[r for r in found if r["label"] == i] for i in range(len(labels))]
+    sizes = [np.array([r["n"] for r in c]) for c in clusters]
+    pack = _pack([np.array([r["mean"] for r in c]) for c in clusters], [np.array([r["spread"] for r in c]) for c in clusters])
+    numbered, first = [], 0
+    for c in clusters:
+        for j, r in enumerate(c):
+            parts = math.ceil(r["n"] / block_rows)
+            numbered.append((r["label"], r["value"], j, first, parts))
+            first += parts
+    numbers_of = df.sparkSession.createDataFrame(numbered, "label int, value string, cluster int, first long, parts long")
+    block = F.col("first") + F.pmod(F.xxhash64("key", "label"), F.col("parts"))
+    blocks = checkpointed(
+        table.join(F.broadcast(numbers_of), ["label", "value"]).select("label", "cluster", block.alias("block"), "x")
+        .groupBy("block").applyInPandas(
+            pack, "block long, label int, cluster int, x binary, wanted binary, looks_at array<int>"))
+    looking = blocks.select(F.col("block").alias("a"), "label", F.explode("looks_at").alias("cluster"))
+    seen = blocks.select(F.col("block").alias("b"), "label", "cluster")
+    pairs = looking.join(seen, ["label", "cluster"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    shares = sides.join(blocks, "block").groupBy("a", "b").applyInPandas(
+        _block_distances(sizes, width), "block long, place long, label int, cluster int, own boolean, alone boolean, mean double")
+    means = shares.groupBy("label", "block", "place", "cluster", "own", "alone").agg(F.sum("mean").alias("mean"))
+    scored = means.groupBy("label", "block", "place").agg(
+        F.max("alone").alias("alone"), F.max(F.when(F.col("own"), F.col("mean"))).alias("a"),
+        F.min(F.when(~F.col("own"), F.col("mean"))).alias("b"))
+    s = F.when(F.col("alone"), F.lit(0.0)).when(
+        F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    result = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg(s).alias("m")).collect()}
+    return {label: result.get(i) for i, label in enumerate(labels)}
 
 
 def silhouette(df: DataFrame, key: str, cols: list[str], cluster: str = "cluster") -> DataFrame:

@@ -150,3 +150,33 @@ def test_starts_see_a_small_far_cluster(spark):
                                         (F.when(i < 5, 60.0).otherwise(0.0) + noise[1]).alias("y"))
         labelled, inertia = cluster.kmeans(df, "id", ["x", "y"], 3, n_init=3)
         assert sorted(r["count"] for r in labelled.groupBy("cluster").count().collect())[0] == 5 and inertia < 4000
+
+
+def test_silhouette_skips_far_clusters_and_stays_exact(spark):
+    """Separate clusters, so that most pairs of blocks are left out; also rows without a label."""
+    rng = np.random.default_rng(9)
+    lab = np.repeat(np.arange(6), 30)
+    x = rng.normal(size=(180, 2)) + np.column_stack([lab * 25.0, (lab % 2) * 8.0])
+    rows = [(i, float(p), float(q), f"c{c}") for i, ((p, q), c) in enumerate(zip(x, lab))] + [(999, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string")
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i in range(180):
+        a = dist[i, lab == lab[i]].sum() / 29
+        b = min(dist[i, lab == c].mean() for c in set(lab) - {lab[i]})
+        s.append((b - a) / max(a, b))
+    one = df.withColumn("one", F.lit(1))
+    found = cluster.silhouettes(one, "id", ["a", "b"], ["c", "one"], 8)
+    assert found["c"] == pytest.approx(np.mean(s)) and found["one"] is None
+
+
+def test_starts_take_a_fixed_number_of_passes(spark, monkeypatch):
+    """Candidates are weighted by all points, and rounds don't grow with k."""
+    df = spark.range(3000).select("id", F.array(F.pmod(F.xxhash64("id"), F.lit(977)).cast("double")).alias("_point"))
+    for k in (2, 12):
+        found, weights = cluster._candidates(df, "id", k, 1)
+        assert weights.sum() == 3000 and len(found) <= 1 + cluster.START_ROUNDS * cluster.OVERSAMPLING * k
+    few, weights = cluster._candidates(df.limit(9), "id", 6, 1)
+    assert len(few) == 9 and weights.sum() == 9
+    with pytest.raises(ValueError):
+        cluster.kmeans(spark.createDataFrame([], "id long, x double"), "id", ["x"], 2)
