@@ -181,6 +181,35 @@ def choose_k_part(spark, d):
     return segmentation.cluster_groups(features, "p_brand")[1]
 
 
+# On a line the best clusters are ranges of neighbours, so SQL can try all cuts into two and three.
+LINE_SQL = """
+WITH r AS (SELECT p_brand, round_even(avg(p_retailprice), 2) AS x, row_number() OVER (ORDER BY round_even(avg(p_retailprice), 2), p_brand) AS i,
+  count(*) OVER () AS n FROM part GROUP BY 1),
+s AS (SELECT l.i AS lo, h.i AS hi, any_value(l.n) AS n, var_pop(m.x) * count(*) AS cost
+  FROM r l JOIN r h ON l.i <= h.i JOIN r m ON m.i BETWEEN l.i AND h.i GROUP BY 1, 2),
+cuts AS (
+  SELECT 2 AS k, a.hi AS c1, a.n AS c2, a.cost + b.cost AS cost FROM s a JOIN s b ON b.lo = a.hi + 1 AND b.hi = a.n WHERE a.lo = 1
+  UNION ALL
+  SELECT 3, a.hi, b.hi, a.cost + b.cost + c.cost
+  FROM s a JOIN s b ON b.lo = a.hi + 1 JOIN s c ON c.lo = b.hi + 1 AND c.hi = c.n WHERE a.lo = 1),
+best AS (SELECT k, arg_min(c1, cost) AS c1, arg_min(c2, cost) AS c2, min(cost) AS cost FROM cuts GROUP BY 1),
+p AS (SELECT k, i, x, (i > c1)::INT + (i > c2)::INT AS c FROM r, best),
+d AS (SELECT a.k, a.i, a.c AS mine, b.c AS theirs, sum(abs(a.x - b.x)) AS total, count(*) AS n FROM p a JOIN p b USING (k) GROUP BY ALL),
+ab AS (SELECT k, i, max(CASE WHEN mine = theirs THEN n END) AS size,
+  max(CASE WHEN mine = theirs AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN mine <> theirs THEN total / n END) AS b
+  FROM d GROUP BY k, i),
+q AS (SELECT k, avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY 1)
+SELECT k, round(cost, 6) AS inertia, round(s, 6) AS silhouette, s = max(s) OVER () AS chosen FROM best JOIN q USING (k)"""
+
+
+@query(LINE_SQL)
+def choose_k_line_part(spark, d):
+    """Choice between two and three clusters of the brands on one measure, where the best clustering is known."""
+    features = checkpointed(groups.group_profile(table(spark, d, "part"), "p_brand", {"p_retailprice": ["mean"]}))
+    found, best, _ = cluster.choose_k(features, "p_brand", ["p_retailprice_mean"], ks=(2, 3), n_init=20)
+    return rounded(found).withColumn("chosen", F.col("k") == best)
+
+
 @query()
 def segment_lineitem(spark, d):
     """The whole segmentation job: every supplier with its cluster."""

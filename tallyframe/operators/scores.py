@@ -14,7 +14,10 @@ from tallyframe.operators.quantiles import numbered_in_ranges, quantile_values
 from tallyframe.session import SMALL_BYTES, SMALL_ROWS, checkpointed, quoted
 
 UNKNOWN = "Unknown"
-MAX_PAIRS_IN_ONE_AGGREGATE = 120
+# More pairs than these are added up in Arrow batches, since so many aggregates make generated code too long.
+MAX_PAIRS_IN_ONE_AGGREGATE = 12
+# Deviations below this share of the column's largest value are rounding, not variation.
+ROUNDING = 1e-14
 MAX_LITERAL_VALUES = 100
 
 
@@ -63,110 +66,118 @@ def label_encode(df: DataFrame, cols: list[str], unknown: str = UNKNOWN) -> Data
     return out.select(*[quoted(c) for c in df.columns])
 
 
-def _sums_in_spark(df: DataFrame, wanted: list[tuple[int, int]], known: list[int], rows: int) -> DataFrame:
-    """Sums per pair of centred columns in one aggregate; columns without nulls share their own sums."""
-    full = [n == rows for n in known]
-    sums = {}
-
-    def own_sums(i, j):
-        """Names of the sums of x_i and of its square over the rows where x_j is known."""
-        names = (f"s{i}", f"q{i}") if full[j] else (f"s{i}_{j}", f"q{i}_{j}")
-        only = "" if full[j] else f" FILTER (WHERE x{j} IS NOT NULL)"
-        sums[names[0]] = f"coalesce(sum(x{i}){only}, 0D)"
-        sums[names[1]] = f"coalesce(sum(x{i} * x{i}){only}, 0D)"
-        return names
-
-    pairs = []
-    for i, j in wanted:
-        (sx, sxx), (sy, syy), sxy = own_sums(i, j), own_sums(j, i), f"p{i}_{j}"
-        sums[sxy] = f"coalesce(sum(x{i} * x{j}), 0D)"
-        if full[i] or full[j]:
-            n = f"{known[j] if full[i] else known[i]}D"
-        else:
-            n = f"n{i}_{j}"
-            sums[n] = f"cast(count(x{i} + x{j}) AS double)"
-        pairs.append(f"struct({i} AS i, {j} AS j, {n} AS n, {sx} AS sx, {sy} AS sy, {sxx} AS sxx, {syy} AS syy, {sxy} AS sxy)")
-    return df.agg(*[F.expr(f"{e} AS {name}") for name, e in sums.items()]).selectExpr(f"inline(array({', '.join(pairs)}))")
-
-
-def _sums_in_arrow(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The same sums for wide tables: every task adds up the cross products of its Arrow batches."""
-    upper = np.triu_indices(len(cols), 1)
-
-    def cross_products(batches):
+def _moments_in_spark(x: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
+    """Variances and covariance of every pair over the rows where both are known, in one aggregate."""
+    pairs = [
+        f"struct({i} AS i, {j} AS j, var_pop(x{i}) FILTER (WHERE x{j} IS NOT NULL) AS vx, "
+        f"var_pop(x{j}) FILTER (WHERE x{i} IS NOT NULL) AS vy, covar_pop(x{i}, x{j}) AS cov)" for i, j in wanted]
+    largest = [f"max(abs(x{i}))" for i in sorted({i for pair in wanted for i in pair})]
+    places = {i: place for place, i in enumerate(sorted({i for pair in wanted for i in pair}))}
+    found = x.agg(F.expr(f"array({', '.join(pairs)}) AS pairs"), F.expr(f"array({', '.join(largest)}) AS largest"))
+    place = F.create_map(*[F.lit(v) for item in places.items() for v in item])
+    return found.select("largest", F.inline("pairs")).select(
+        "i", "j", "vx", "vy", "cov", F.get("largest", place[F.col("i")]).alias("ax"), F.get("largest", place[F.col("j")]).alias("ay"))
+
+
+def _batch_moments(x: np.ndarray) -> np.ndarray:
+    """Seven matrices over pairs of columns, each over the rows where both are known: n, means and squared deviations of the
+    first and second column, products of deviations; and the largest absolute value of the first column."""
+    known = ~np.isnan(x)
+    k = known.astype(float)
+    filled = np.where(known, x, 0.0)
+    centre = filled.sum(axis=0) / np.maximum(k.sum(axis=0), 1)
+    largest = np.abs(filled).max(axis=0)
+    d = np.where(known, x - centre, 0.0)
+    n = k.T @ k
+    share = 1 / np.maximum(n, 1)
+    s, q = d.T @ k, (d * d).T @ k
+    left = q - s * s * share
+    left[left <= ROUNDING * q] = 0.0
+    mean = np.where(n > 0, centre[:, None] + s * share, 0.0)
+    return np.stack([n, mean, mean.T, left, left.T, d.T @ d - s * s.T * share, np.broadcast_to(largest[:, None], n.shape)])
+
+
+def _merged_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The moments of two sets of rows together; no sums of squares that would cancel."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    dx, dy, weight = b[1] - a[1], b[2] - a[2], a[0] * share
+    dx, dy = np.where(a[0] * b[0] > 0, dx, 0.0), np.where(a[0] * b[0] > 0, dy, 0.0)
+    means = [np.where(a[0] > 0, a[i] + step * share, b[i]) for i, step in ((1, dx), (2, dy))]
+    return np.stack([n, *means, a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight,
+                     a[5] + b[5] + dx * dy * weight, np.maximum(a[6], b[6])])
+
+
+def _moments_in_arrow(x: DataFrame, width: int) -> DataFrame:
+    """The same for wide tables: tasks merge the moments of their batches, then of each other, as a stream of small matrices."""
+    def merged(parts):
         total = None
-        for batch in batches:
-            x = batch.to_numpy(dtype="float64")
-            known = ~np.isnan(x)
-            x = np.where(known, x, 0.0)
-            k = known.astype("float64")
-            part = np.stack([k.T @ k, x.T @ k, k.T @ x, (x * x).T @ k, k.T @ (x * x), x.T @ x])
-            total = part if total is None else total + part
+        for part in parts:
+            total = part if total is None else _merged_moments(total, part)
+        return total
+
+    def of_rows(batches):
+        total = merged(_batch_moments(b.to_numpy(dtype="float64")) for b in batches if len(b))
         if total is not None:
-            sums = total[:, upper[0], upper[1]]
-            yield pd.DataFrame({"i": upper[0], "j": upper[1], **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), sums))})
+            yield pd.DataFrame({"task": [int(total[0, 0, 0])], "moments": [total.tobytes()]})
 
-    return df.mapInPandas(
-        cross_products, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    def of_tasks(batches):
+        total = merged(np.frombuffer(m).reshape(7, width, width) for b in batches for m in b["moments"])
+        if total is not None:
+            yield pd.DataFrame({"task": [0], "moments": [total.tobytes()]})
 
+    def by_pair(batches):
+        total = merged(np.frombuffer(m).reshape(7, width, width) for b in batches for m in b["moments"])
+        total = np.zeros((7, width, width)) if total is None else total
+        i, j = np.triu_indices(width, 1)
+        n = np.where(total[0] > 0, total[0], np.nan)
+        vx, vy, cov = (total[m] / n for m in (3, 4, 5))
+        yield pd.DataFrame({"i": i, "j": j, "vx": vx[i, j], "vy": vy[i, j], "cov": cov[i, j], "ax": total[6][i, j], "ay": total[6][j, i]})
 
-def _centres(df: DataFrame, cols: list[str]) -> list[dict]:
-    """Per column its mean, its known rows, whether it varies, and the rows of the table."""
-    x = numbers(df, cols)
-    seen = x.agg(F.count("*").alias("rows"), *[
-        F.expr(f"struct(avg(x{i}) AS mean, count(x{i}) AS known, min(x{i}) < max(x{i}) AS varies) AS c{i}")
-        for i in range(len(cols))
-    ]).first()
-    return [{**seen[f"c{i}"].asDict(), "rows": seen["rows"]} for i in range(len(cols))]
+    tasks = x.mapInPandas(of_rows, "task long, moments binary").withColumn("task", F.spark_partition_id())
+    few = tasks.repartition("task").mapInPandas(of_tasks, "task long, moments binary")
+    return few.repartition(1).mapInPandas(by_pair, "i int, j int, vx double, vy double, cov double, ax double, ay double")
 
 
-def _pairs(
-    df: DataFrame, cols: list[str], centres: list[dict], max_pairs: int, with_last: bool = False
-) -> DataFrame:
-    """Correlations of all pairs of columns, or of every column with the last one."""
+def _pairs(df: DataFrame, cols: list[str], max_pairs: int, with_last: bool = False) -> DataFrame:
+    """Correlations of all pairs of columns, or of every column with the last one, from one scan of the table."""
     last = len(cols) - 1
     wanted = [(i, j) for i, j in combinations(range(len(cols)), 2) if j == last or not with_last]
-    centred = numbers(df, cols).select(*[
-        (F.col(f"x{i}") - F.lit(c["mean"]).cast("double")).alias(f"x{i}") for i, c in enumerate(centres)
-    ])
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "i int, j int, feature1 string, feature2 string, corr double")
+    x = numbers(df, cols)
     if len(wanted) <= max_pairs:
-        sums = _sums_in_spark(centred, wanted, [c["known"] for c in centres], centres[0]["rows"])
+        moments = _moments_in_spark(x, wanted)
     else:
-        sums = _sums_in_arrow(centred, cols)
+        moments = _moments_in_arrow(x, len(cols))
         if with_last:
-            sums = sums.where(F.col("j") == last)
-    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    noise = F.lit(1e-14) * F.col("n")  # a constant column leaves only rounding noise
-    flat = (vx <= noise * F.col("sxx")) | (vy <= noise * F.col("syy"))
-    corr = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+            moments = moments.where(F.col("j") == last)
+    varies = (F.sqrt("vx") > ROUNDING * F.col("ax")) & (F.sqrt("vy") > ROUNDING * F.col("ay"))
+    corr = F.when(varies, F.try_divide(F.col("cov"), F.sqrt("vx") * F.sqrt("vy")))
     names = F.array(*[F.lit(c) for c in cols])
-    return sums.select(
+    return moments.select(
         "i", "j", F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"),
-        corr.alias("corr"),
+        F.when(~F.isnan(corr), corr).alias("corr"),
     )
 
 
 def correlation_pairs(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
     """Pearson correlation of every pair i < j over the rows where both are known; null if one is constant.
 
-    The columns are centred on their means first, so that the products do not cancel.
+    One scan: means and deviations are merged, so that the products do not cancel.
     """
-    return _pairs(df, cols, _centres(df, cols), max_pairs)
+    return _pairs(df, cols, max_pairs)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], max_pairs: int = MAX_PAIRS_IN_ONE_AGGREGATE) -> DataFrame:
     """The full matrix in long form: `i`, `j`, `feature1`, `feature2`, `corr`."""
-    centres = _centres(df, cols)
     mirrored = F.expr(
         "inline(array(struct(i, j, feature1, feature2, corr), "
         "struct(j AS i, i AS j, feature2 AS feature1, feature1 AS feature2, corr)))")
-    diagonal = df.sparkSession.createDataFrame(
-        [(i, i, c, c, 1.0 if centres[i]["varies"] else None) for i, c in enumerate(cols)],
-        "i int, j int, feature1 string, feature2 string, corr double")
-    return _pairs(df, cols, centres, max_pairs).select(mirrored).unionByName(diagonal)
+    own = numbers(df, cols).agg(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(c).alias("feature1"), F.lit(c).alias("feature2"),
+                 F.when(F.min(f"x{i}") < F.max(f"x{i}"), 1.0).alias("corr")) for i, c in enumerate(cols)])))
+    return _pairs(df, cols, max_pairs).select(mirrored).unionByName(own)
 
 
 def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float = 0.7) -> DataFrame:
@@ -183,7 +194,7 @@ def corr_lower_triangle(df: DataFrame, cols: list[str]) -> DataFrame:
 def target_correlation(df: DataFrame, cols: list[str], target: str = "target", k: int | None = None) -> DataFrame:
     """|corr| of every column with the target, largest first: `feature`, `abs_corr`."""
     both = [*cols, target]
-    pairs = _pairs(df, both, _centres(df, both), MAX_PAIRS_IN_ONE_AGGREGATE, with_last=True)
+    pairs = _pairs(df, both, MAX_PAIRS_IN_ONE_AGGREGATE, with_last=True)
     out = pairs.select(F.col("feature1").alias("feature"), F.abs("corr").alias("abs_corr"))
     return _top(out, "abs_corr", k)
 

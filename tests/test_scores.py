@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,23 @@ def test_score_tables_are_complete(spark):
     cols = [f"c{i}" for i in range(18)]
     for table in (scores.chi2_scores, scores.f_scores, scores.mutual_info, scores.target_correlation):
         assert table(df, cols).count() == 18
+
+
+def test_correlations_of_large_values_with_small_deviations(spark):
+    """Mean 1e9 and deviation 1, constants, nulls in pairs, values that are constant where the other one is known."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=4000)
+    pdf = pd.DataFrame({"a": 1e9 + a, "b": 1e9 + 0.5 * a + rng.normal(size=4000), "flat": 0.1, "c": rng.normal(size=4000)})
+    pdf.loc[::3, "c"] = None
+    pdf["half"] = np.where(pdf["c"].isna(), rng.normal(size=4000), 7.3)
+    expected = pdf.corr()
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                               "a double, b double, flat double, c double, half double").repartition(7)
+    for max_pairs in (100, 0):
+        found = {(r["feature1"], r["feature2"]): r["corr"] for r in scores.correlation_pairs(df, list(pdf.columns), max_pairs).collect()}
+        assert len(found) == 10
+        for (f, g), corr in found.items():
+            if "flat" in (f, g) or (f, g) == ("c", "half"):
+                assert corr is None
+            else:
+                assert corr == pytest.approx(expected.loc[f, g], abs=1e-7)
