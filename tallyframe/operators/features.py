@@ -8,7 +8,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -17,10 +17,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expressions import number
+from tallyframe.functions.expressions import number, numbers
 from tallyframe.operators.clean import top_value
 from tallyframe.operators.profile import value_counts
-from tallyframe.operators.quantiles import quantile_values
+from tallyframe.operators.quantiles import interpolated, order_statistics, quantile_values, ranks_around
 from tallyframe.session import quoted
 
 SCALER_MODES = ("standard", "minmax", "robust", "quantile")
@@ -273,20 +273,112 @@ class RareOneHotModel(Model, _Columns):
         return df
 
 
+class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Imputer, scaler and encoder fitted together; the model is a pipeline of their models and fits what they would fit
+    one after the other.
+
+    One aggregate takes rows and moments, one the counts of the words (mode, rare values), and the passes of one
+    selection the medians and all quantiles: those of the filled column are values of the raw one at shifted ranks.
+    """
+
+    numeric = Param(Params._dummy(), "numeric", "numeric columns", TypeConverters.toListString)
+    categorical = Param(Params._dummy(), "categorical", "text columns", TypeConverters.toListString)
+    mode = Param(Params._dummy(), "mode", "standard, minmax, robust or quantile", TypeConverters.toString)
+    minFrequency = Param(Params._dummy(), "minFrequency", "least share of the rows", TypeConverters.toFloat)
+    nQuantiles = Param(Params._dummy(), "nQuantiles", "most landmarks per column", TypeConverters.toInt)
+
+    def __init__(self, numeric=(), categorical=(), mode="quantile", minFrequency=0.01, nQuantiles=1000):
+        super().__init__()
+        if mode.lower() not in SCALER_MODES:
+            raise ValueError(f"unknown scaler mode: {mode}")
+        if not 0 < minFrequency <= 1:
+            raise ValueError("minFrequency must lie in (0, 1]")
+        self._set(numeric=list(numeric), categorical=list(categorical), mode=mode.lower(), minFrequency=minFrequency, nQuantiles=nQuantiles)
+
+    def _fit(self, df):
+        numeric, categorical = self.getOrDefault("numeric"), self.getOrDefault("categorical")
+        x = numbers(df, numeric)
+        seen = x.agg(F.count("*").alias("rows"), *[
+            F.struct(F.avg(f"x{i}").alias("mean"), F.var_pop(f"x{i}").alias("var"), F.min(f"x{i}").alias("least"), F.max(f"x{i}").alias("most")
+                     ).alias(f"c{i}") for i in range(len(numeric))]).first()
+        stages, inputs = [], []
+        if numeric:
+            stages += self._numeric_stages(df, numeric, seen)
+            inputs += stages[-1].getOutputCols()
+        if categorical:
+            stages += self._word_stages(df, categorical, seen["rows"])
+            inputs += stages[-1].getOutputCols()
+        return PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
+
+    def _numeric_stages(self, df, cols, seen):
+        filled, scaled = [f"{c}__filled" for c in cols], [f"{c}__scaled" for c in cols]
+        mode, rows = self.getOrDefault("mode"), seen["rows"]
+        landmarks = max(1, min(self.getOrDefault("nQuantiles"), rows))
+        probs = {"robust": [0.25, 0.5, 0.75], "quantile": np.linspace(0, 1, landmarks).tolist()}.get(mode, [])
+
+        def below(n):
+            """How many of n known values stand before the nulls, which are filled with the median."""
+            return (n - 1) // 2 + 1
+
+        def ranks(_, n):
+            wanted = ranks_around(rows, probs)
+            own = np.r_[wanted[wanted < below(n)], wanted[wanted >= below(n) + rows - n] - (rows - n)]
+            return np.r_[ranks_around(n, [0.5]), own]
+
+        medians, fitted = [], []
+        for i, (n, at) in enumerate(order_statistics(df, cols, ranks)):
+            median = interpolated(n, [0.5], at.get)[0]
+
+            def value_at(rank, n=n, at=at, median=median):
+                return at[rank] if rank < below(n) else median if rank < below(n) + rows - n else at[rank - (rows - n)]
+
+            medians.append(median)
+            c = seen[f"c{i}"]
+            if n == 0:
+                fitted.append([] if mode == "quantile" else (0.0, 1.0))
+            elif mode == "standard":
+                mean = (n * c["mean"] + (rows - n) * median) / rows
+                var = (n * (c["var"] + (c["mean"] - mean) ** 2) + (rows - n) * (median - mean) ** 2) / rows
+                fitted.append((mean, var**0.5 or 1.0))
+            elif mode == "minmax":
+                fitted.append((c["least"], (c["most"] - c["least"]) or 1.0))
+            else:
+                q = interpolated(rows, probs, value_at)
+                fitted.append(q if mode == "quantile" else (q[1], (q[2] - q[0]) or 1.0))
+        imputer = ColumnImputerModel(cols, filled, json.dumps(medians))
+        if mode == "quantile":
+            return [imputer, QuantileNormalScalerModel(filled, scaled, fitted)]
+        return [imputer, LinearScalerModel(filled, scaled, [a for a, _ in fitted], [b for _, b in fitted])]
+
+    def _word_stages(self, df, cols, rows):
+        filled, hot, least = [f"{c}__filled" for c in cols], [f"{c}__onehot" for c in cols], self.getOrDefault("minFrequency")
+        if any(df.schema[c].dataType.simpleString() != "string" for c in cols):  # their fill has a type of its own
+            imputer = ColumnImputer(cols, filled, "mode").fit(df)
+            return [imputer, RareOneHot(filled, hot, least).fit(imputer.transform(df))]
+        counts = value_counts(df, cols).select("column", "value", "cnt")
+        often = F.when(F.col("cnt") >= F.lit(least * rows), F.struct("value", "cnt"))  # 1 / least words at most
+        found = {r["column"]: r for r in counts.groupBy("column").agg(
+            F.min(F.struct((-F.col("cnt")).alias("order"), "value")).alias("best"), F.sum("cnt").alias("known"),
+            F.collect_list(often).alias("often")).collect()}
+        fills, values, rare = [], [], []
+        for c in cols:
+            r = found.get(c)
+            kept = {w["value"]: w["cnt"] for w in r["often"]} if r else {}
+            if r:
+                top = -r["best"]["order"] + rows - r["known"]
+                if top >= least * rows:
+                    kept[r["best"]["value"]] = top
+            fills.append(r["best"]["value"] if r else None)
+            values.append(sorted(kept))
+            rare.append(bool(r) and sum(kept.values()) < rows)
+        return [ColumnImputerModel(cols, filled, json.dumps(fills)), RareOneHotModel(filled, hot, json.dumps(values), json.dumps(rare))]
+
+
 def build_preprocessor(
     numeric: list[str], categorical: list[str], mode: str = "quantile", min_frequency: float = 0.01
-) -> Pipeline:
+) -> Preprocessor:
     """Numeric: median, then scaler. Categorical: most frequent value, then one-hot. Result in `features`."""
-    stages, inputs = [], []
-    if numeric:
-        filled, scaled = [f"{c}__filled" for c in numeric], [f"{c}__scaled" for c in numeric]
-        stages += [ColumnImputer(numeric, filled, "median"), make_scaler(mode, filled, scaled)]
-        inputs += scaled
-    if categorical:
-        filled, hot = [f"{c}__filled" for c in categorical], [f"{c}__onehot" for c in categorical]
-        stages += [ColumnImputer(categorical, filled, "mode"), RareOneHot(filled, hot, min_frequency)]
-        inputs += hot
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
+    return Preprocessor(numeric, categorical, mode, min_frequency)
 
 
 def feature_names(preprocessor: PipelineModel) -> list[str]:

@@ -224,19 +224,19 @@ def _fetched(x: DataFrame, open_: dict[int, np.ndarray], bits: int) -> pd.DataFr
     return parts.toArrow().to_pandas().sort_values(["column", "k"])
 
 
-def quantile_values(
-    df: DataFrame, cols: list[str], probs: list[float], pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS
-) -> dict[str, list[float | None]]:
-    """Quantiles of every column as plain numbers, ready to be used as literals; None for a column without values.
+def order_statistics(
+    df: DataFrame, cols: list[str], ranks, pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS
+) -> list[tuple[int, dict[int, float]]]:
+    """Per column the number of its values and {rank: value} for the ranks from 0 that `ranks(place of the column, number of
+    values)` asks for; (0, {}) for a column without values.
 
     Every pass reads the columns once and sends counts of `pass_cells` cells at most to the driver, or of two per cell
     still searched where there are more of these; once the searched cells hold `fetch_rows` rows or fewer, their values come.
     """
     if not cols:
-        return {}
-    probs = np.array([float(p) for p in probs])
+        return []
     x = numbers(df, cols)
-    searches, totals = {i: _Search() for i in range(len(cols))}, {}
+    searches, totals, found = {i: _Search() for i in range(len(cols))}, {}, {}
     bits, first = 64, True
     while searches:
         open_ = {i: s.starts for i, s in searches.items()}
@@ -248,26 +248,36 @@ def quantile_values(
         step = max(1, min(bits, 16, (pass_cells // sum(map(len, open_.values()))).bit_length() - 1))
         rows = _passes(x, open_, bits, step)
         for i, part in rows.groupby("column"):
-            def ranks(n, i=i):
-                totals[i] = (n - 1) * probs
-                return np.unique(np.r_[np.floor(totals[i]), np.ceil(totals[i])]).astype(np.int64)
-
-            searches[i].look(*(part[c].to_numpy() for c in ("cell", "n", "lo", "hi")), bits, step, ranks if first else None)
-        done = {i for i, s in searches.items() if s.wanted is None or not len(s.wanted)}
-        for i in done:
-            totals[i] = totals.get(i), searches.pop(i).found
+            def wanted(n, i=i):
+                totals[i] = n
+                return np.unique(np.asarray(ranks(i, n), dtype=np.int64))
+
+            searches[i].look(*(part[c].to_numpy() for c in ("cell", "n", "lo", "hi")), bits, step, wanted if first else None)
+        for i in [i for i, s in searches.items() if s.wanted is None or not len(s.wanted)]:
+            found[i] = searches.pop(i).found
         bits, first = bits - step, False
-    for i, s in searches.items():
-        totals[i] = totals[i], s.found
+    found |= {i: s.found for i, s in searches.items()}
+    return [(totals.get(i, 0), dict(zip(found[i], _doubles(np.array(list(found[i].values()), np.int64)).tolist()))) for i in range(len(cols))]
+
+
+def ranks_around(n: int, probs: list[float]) -> np.ndarray:
+    """The ranks among n values between which the quantiles lie."""
+    place = (n - 1) * np.array([float(p) for p in probs])
+    return np.unique(np.r_[np.floor(place), np.ceil(place)]).astype(np.int64)
 
-    def at(i):
-        place, found = totals[i]
-        if place is None:
-            return [None] * len(probs)
-        at_rank = dict(zip(found, _doubles(np.array(list(found.values()), np.int64)).tolist()))
-        return [_between(at_rank[int(np.floor(p))], at_rank[int(np.ceil(p))], float(p - np.floor(p))) for p in place]
 
-    return {c: at(i) for i, c in enumerate(cols)}
+def interpolated(n: int, probs: list[float], value_at) -> list[float | None]:
+    """Quantiles of n values, `value_at(rank)` being the values around them; None for no values."""
+    places = ((n - 1) * float(p) for p in probs)
+    return [_between(value_at(math.floor(p)), value_at(math.ceil(p)), p - math.floor(p)) if n else None for p in places]
+
+
+def quantile_values(
+    df: DataFrame, cols: list[str], probs: list[float], pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS
+) -> dict[str, list[float | None]]:
+    """Quantiles of every column as plain numbers, ready to be used as literals; None for a column without values."""
+    found = order_statistics(df, cols, lambda _, n: ranks_around(n, probs), pass_cells, fetch_rows)
+    return {c: interpolated(n, probs, at.__getitem__) for c, (n, at) in zip(cols, found)}
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> DataFrame:

@@ -2,7 +2,8 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -75,3 +76,44 @@ def test_preprocessor_round_trip(spark, tmp_path):
     names = [x["name"] for x in prep.transform(df).schema["features"].metadata["ml_attr"]["attrs"]["numeric"]]
     assert len(names) == 3
     assert df.join(prep.transform(df), "id").where(F.size(vector_to_array("features")) != 3).count() == 0
+
+
+@pytest.mark.parametrize("mode", features.SCALER_MODES)
+def test_the_joint_fit_equals_fitting_stage_by_stage(spark, mode):
+    """Nulls (even and odd numbers of values), a column without values, ties in the mode, a mode made frequent by its nulls."""
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 3 == 0 else float(rng.integers(0, 9)) * 1.1, None if i == 4 else rng.normal(), None, 2 if i % 2 else None,
+             None if i % 4 == 0 else "abcdefgh"[i % 8], None if i % 50 else "rare", None) for i in range(101)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, none double, flat int, c string, m string, n string")
+    numeric, words = ["x", "y", "none", "flat"], ["c", "m", "n"]
+    filled, scaled = [f"{c}__filled" for c in numeric], [f"{c}__scaled" for c in numeric]
+    kept, hot = [f"{c}__filled" for c in words], [f"{c}__onehot" for c in words]
+    apart = Pipeline(stages=[
+        features.ColumnImputer(numeric, filled, "median"), features.make_scaler(mode, filled, scaled),
+        features.ColumnImputer(words, kept, "mode"), features.RareOneHot(kept, hot, 0.1),
+        VectorAssembler(inputCols=[*scaled, *hot], outputCol="features", handleInvalid="keep")]).fit(df)
+    joint = features.build_preprocessor(numeric, words, mode, 0.1).fit(df)
+    assert features.feature_names(joint) == features.feature_names(apart)
+    for a, b in zip(joint.stages[:-1], apart.stages[:-1]):
+        for p in a.params:
+            got, want = a.getOrDefault(p), b.getOrDefault(p.name)
+            if p.name in ("centres", "spreads"):
+                assert got == pytest.approx(want)
+            else:
+                assert got == want, p.name
+
+
+def test_the_joint_fit_takes_few_jobs(spark):
+    """Their number doesn't grow with the columns."""
+    def jobs(columns):
+        df = spark.range(2000).select(*[(F.xxhash64("id", F.lit(i)) / 7).alias(f"x{i}") for i in range(columns)],
+                                      *[F.pmod(F.col("id"), F.lit(9 + i)).cast("string").alias(f"w{i}") for i in range(columns)])
+        group = f"joint-{columns}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            features.build_preprocessor([f"x{i}" for i in range(columns)], [f"w{i}" for i in range(columns)]).fit(df)
+        finally:
+            spark.sparkContext.setJobGroup("rest", "rest")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert 0 < jobs(8) <= jobs(2) + 2
