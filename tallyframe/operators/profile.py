@@ -71,11 +71,15 @@ def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 def value_counts(df: DataFrame, cols: list[str], top: int | None = None) -> DataFrame:
     """Counts of the non-null values with their share of all rows: `column`, `value`, `cnt`, `pct`."""
     counts = _long_values(df, cols).groupBy("column", "value").agg(F.count("*").alias("cnt"))
+    return with_shares(counts, df.agg(F.count("*").alias("n")), top)
+
+
+def with_shares(counts: DataFrame, rows: DataFrame, top: int | None = None) -> DataFrame:
+    """The counts, or the `top` ones of every column, with their share of all rows (`rows`: one row, one number)."""
     if top is not None:
         rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("cnt"), "value"))
         counts = counts.withColumn("position", rank).where(F.col("position") <= top).drop("position")
-    rows = df.agg(F.count("*").alias("n")).scalar()
-    return counts.withColumn("pct", percentage(F.col("cnt"), rows))
+    return counts.withColumn("pct", percentage(F.col("cnt"), rows.scalar()))
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
@@ -87,7 +91,11 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
 
 def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
     """`target`, `cnt`, `pct` of all rows and the class 0 : class 1 ratio (null without class 1)."""
-    counts = df.groupBy(quoted(target).alias("target")).agg(F.count("*").alias("cnt"))
+    return balance_of(df.groupBy(quoted(target).alias("target")).agg(F.count("*").alias("cnt")))
+
+
+def balance_of(counts: DataFrame) -> DataFrame:
+    """The balance from the counts per class: `target`, `cnt`."""
     # the totals come from the same class counts, so the table is read once
     totals = counts.agg(F.expr(
         "struct(sum(cnt) AS n, sum(cnt) FILTER (WHERE target = 0) AS n0, sum(cnt) FILTER (WHERE target = 1) AS n1) AS s"
@@ -134,6 +142,11 @@ def crosstab_rate(df: DataFrame, cat: str, target: str = "target") -> DataFrame:
     """Share of each class within every category: the category and one `share_<class>` column per class of the target."""
     counts = df.where(quoted(cat).isNotNull() & quoted(target).isNotNull()).groupBy(quoted(cat).alias(cat), quoted(target).alias("_t")) \
         .agg(F.count("*").alias("_n"))
+    return class_shares(counts, cat)
+
+
+def class_shares(counts: DataFrame, cat: str) -> DataFrame:
+    """The shares from counts `_n` per category and class `_t`."""
     classes = sorted(r["_t"] for r in counts.select("_t").distinct().collect())  # they become columns
     total = F.sum("_n")
     return counts.groupBy(quoted(cat)).agg(*[

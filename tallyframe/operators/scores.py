@@ -272,7 +272,11 @@ def mutual_info(df: DataFrame, cols: list[str], target: str = "target", bins: in
     levels = [f"struct({sql_text(c)} AS feature, {level(i, c)} AS value)" for i, c in enumerate(cols)]
     long = numbers(df.where(t.isNotNull()), cols, t.alias("_class")).selectExpr(
         "_class", f"inline(array({', '.join(levels)}))").where("value IS NOT NULL")
-    joint = long.groupBy("feature", "value", "_class").agg(F.count("*").alias("n"))
+    return plug_in_information(long.groupBy("feature", "value", "_class").agg(F.count("*").alias("n")), k)
+
+
+def plug_in_information(joint: DataFrame, k: int | None = None) -> DataFrame:
+    """Mutual information from the counts `n` per `feature`, `value` and `_class`."""
     # with g(n) = n ln n:  N * I = sum g(n_value_class) - sum g(n_value) - sum g(n_class) + g(N)
 
     def term(counts, name):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import profile, scores
 from tallyframe.operators.clean import with_target
+from tallyframe.operators.cube import CountCube
 from tallyframe.functions.expressions import LOW_LABEL_PATTERN_ONE_SPACE
 from tallyframe.session import checkpointed, quoted
 
@@ -35,8 +36,12 @@ def insights(
     )
 
 
-def _mutual_info(encoded: DataFrame, text: list[str], numeric: list[str], key: str | None, bins: int | None) -> DataFrame:
+def _mutual_info(
+    encoded: DataFrame, text: list[str], numeric: list[str], key: str | None, bins: int | None, cube: CountCube | None = None,
+) -> DataFrame:
     """Plug-in scores of the coded columns, nearest-neighbour scores of the numeric ones, largest first."""
+    if not numeric and cube is not None and not bins:
+        return cube.mutual_info()
     if bins or not numeric:
         return scores.mutual_info(encoded, [c for c in encoded.columns if c in text or c in numeric], bins=bins)
     if key is None:
@@ -46,7 +51,7 @@ def _mutual_info(encoded: DataFrame, text: list[str], numeric: list[str], key: s
         encoded = checkpointed(encoded.withColumn(key, F.monotonically_increasing_id()))
     found = scores.nearest_mutual_info(encoded, numeric, key)
     if text:
-        found = found.unionByName(scores.mutual_info(encoded, text))
+        found = found.unionByName(scores.mutual_info(encoded, text) if cube is None else cube.mutual_info())
     return found.orderBy(F.desc_nulls_last("mutual_info"), "feature")
 
 
@@ -55,7 +60,7 @@ def explore(
     pattern: str = LOW_LABEL_PATTERN_ONE_SPACE, mi_bins: int | None = None, histogram_columns: list[str] | None = None,
     key: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All exploration tables of a labelled table, by name.
+    """All exploration tables of a labelled table, by name. What counts words reads one stored count cube.
 
     `key`, a unique column, is no feature; it breaks the ties of the nearest-neighbour mutual information, which numeric
     columns get unless `mi_bins` asks for quantile bins. Without a key the rows are numbered as they lie.
@@ -67,13 +72,14 @@ def explore(
     df = with_target(df, label, pattern)
     roles = profile.columns_by_role(df, (label, "target", *([key] if key else [])))
     text, numeric = roles["categorical"], roles["numeric"]
-    out["classes"] = profile.class_balance(df)
-    if text:
-        out["top_values"] = profile.value_counts(df, text, top=5)
-        out["distinct"] = profile.distinct_counts(df, text)
+    cube = CountCube(df, text) if text else None
+    out["classes"] = cube.class_balance() if cube else profile.class_balance(df)
+    if cube:
+        out["top_values"] = cube.value_counts(top=5)
+        out["distinct"] = cube.distinct_counts()
     for c in shares_by:
         if c in df.columns:
-            out[f"share_by_{c}"] = profile.crosstab_rate(df, c)
+            out[f"share_by_{c}"] = cube.crosstab_rate(c) if c in text else profile.crosstab_rate(df, c)
     if numeric:
         out["describe"] = profile.describe_numeric(df, numeric)
         out["outliers"] = profile.iqr_outliers(df, numeric)
@@ -85,6 +91,6 @@ def explore(
     out["target_correlation"] = scores.target_correlation(encoded, features)
     out["chi2"] = scores.chi2_scores(encoded, features)
     out["f"] = scores.f_scores(encoded, features)
-    out["mutual_info"] = _mutual_info(encoded, text, numeric, key, mi_bins)
+    out["mutual_info"] = _mutual_info(encoded, text, numeric, key, mi_bins, cube)
     out["insights"] = insights(df, label=label, encoded=encoded, key=key)
     return out
