@@ -1,6 +1,7 @@
 """Random forest of fully grown classification trees.
 
-A tree starts on all rows: one aggregate per level counts the classes per node, feature and bin for every tree of a pass, the
+The rows lie in packed blocks, in which equal rows are one row with the sum of their draws. A tree starts on all rows: one
+aggregate per level counts the classes per node, feature and bin for every tree of a pass, the
 best split of a node is chosen on the executors, and only the splits reach the driver. As soon as the rows of a node fit
 one task they are brought together, and `applyInArrow` grows the rest of the branch there at exact values, to pure leaves and
 without a limit on depth. The driver holds the trees, which are the model, and never a row.
@@ -18,17 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.operators.blocks import Block, blocks, distinct, packed, unpacked
 from tallyframe.operators.boosting import _param
 from tallyframe.operators.quantiles import quantile_values
-from tallyframe.session import checkpointed, quoted
+from tallyframe.session import quoted
 
 # Bytes of a node's rows that one task finishes.
 TASK_BYTES = 64 << 20
 # Copies of rows that the trees of one pass send to their tasks.
 PASS_ROWS = 1 << 31
+# Class counts of nodes that a task adds up at a time; a level with more of them takes further passes.
+PASS_CELLS = 1 << 24
 # Chances that a tree draws a row 0, 1, 2, ... times, summed up: a Poisson draw of mean 1, as for a bootstrap of many rows.
 DRAWN = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1.0, k + 1))) for k in range(12)])
-
 _NODES = "feature binary, cut binary, left binary, right binary, chance binary, gains binary"
 _KINDS = {"feature": np.int32, "cut": np.float64, "left": np.int32, "right": np.int32, "chance": np.float32}
 
@@ -117,6 +120,21 @@ def node_of(tree: dict, x: np.ndarray) -> np.ndarray:
     return at
 
 
+def rows_of(tree: dict, x: np.ndarray, wanted: dict):
+    """(node, its rows) for the wanted leaves of a tree of few nodes, from a matrix of values with a row per feature."""
+    todo = [(0, np.arange(x.shape[1]))]
+    while todo:
+        node, rows = todo.pop()
+        if not len(rows):
+            continue
+        f = tree["feature"][node]
+        if f >= 0:
+            left = x[f][rows] <= tree["cut"][node]
+            todo += [(int(tree["left"][node]), rows[left]), (int(tree["right"][node]), rows[~left])]
+        elif node in wanted:
+            yield node, rows
+
+
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, key: int, depth: int, classes: int, looks: int) -> _Nodes:
     """The tree of some rows, cut at any of their values, at most `depth` levels deep (0: any). No recursion."""
     width = x.shape[1]
@@ -183,11 +201,11 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
         number = F.xxhash64(quoted(get("keyCol"))) if get("keyCol") else F.monotonically_increasing_id()
-        source = df.select(number.alias("row"), quoted(self.getLabelCol()).cast("int").alias("y"),
+        rows = df.select(number.alias("row"), quoted(self.getLabelCol()).cast("int").alias("y"),
                            vector_to_array(quoted(self.getFeaturesCol())).alias("x")).where("y IS NOT NULL")
-        rows = checkpointed(source)
-        size = rows.agg(F.count("*").alias("n"), F.max("y").alias("last"), F.max(F.size("x")).alias("width")).first()
-        n, width, classes = size["n"], size["width"] or 0, max(2, (size["last"] or 0) + 1)
+        rows = packed(rows, np.int32)
+        size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("last").alias("last"), F.max("width").alias("width")).first()
+        n, width, classes = size["n"], size["width"] or 0, max(2, int(size["last"] or 0) + 1)
         task_rows = max(2, get("taskBytes") // (8 * width + 24))
         cuts = self._cuts(rows, width) if n > task_rows else []
         looks, seed = get("looks") or max(1, int(width ** 0.5)), get("seed")
@@ -203,27 +221,25 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
     def _cuts(self, rows: DataFrame, width: int) -> list[np.ndarray]:
         n_bins = self.getOrDefault("maxBins")
         names = [f"x{i}" for i in range(width)]
-        marks = quantile_values(rows.select(*[F.col("x")[i].alias(c) for i, c in enumerate(names)]), names,
-                                [i / n_bins for i in range(n_bins)] + [1.0])
+        marks = quantile_values(unpacked(rows, width, np.int32), names, [i / n_bins for i in range(n_bins)] + [1.0])
         return [np.array(sorted({v for v in marks[c][:-1] if v is not None and v < marks[c][-1]})[: n_bins - 1]) for c in names]
 
-    def _reader(self, tops: dict, draws: dict, wanted: dict, width: int):
-        """Function of a batch: (tree, nodes, labels, weights, values) of the rows that a tree draws and whose node is wanted."""
+    def _reader(self, tops: dict, draws: dict, wanted: dict):
+        """Function of a block: (tree, node, weights, places) of the distinct rows that a tree draws, node by wanted node."""
         bootstrap = self.getOrDefault("bootstrap")
-        arrays = {t: top.arrays() for t, top in tops.items()}
-        flags = {t: np.isin(np.arange(len(a["feature"])), list(wanted[t])) for t, a in arrays.items()}
+        arrays = {t: top.arrays() for t, top in tops.items() if wanted.get(t)}
 
-        def read(b: pa.RecordBatch):
-            number, y = b.column(0).to_numpy(), b.column(1).to_numpy()
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        def read(block: Block):
+            x = np.ascontiguousarray(block.x.T)
             for t, top in arrays.items():
-                if not flags[t].any():
-                    continue
-                weight = times_drawn(number, draws[t]) if bootstrap else np.ones(len(y), np.int64)
-                node = node_of(top, x)
-                here = np.flatnonzero((weight > 0) & flags[t][node])
-                if len(here):
-                    yield t, node[here], y[here], weight[here], x[here]
+                drawn = None
+                if len(block.y) < len(block.row):  # equal rows: one with the sum of their draws
+                    drawn = block.weights(times_drawn(block.row, draws[t]) if bootstrap else np.ones(len(block.row))).astype(np.int64)
+                for node, rows in rows_of(top, x, wanted[t]):
+                    weight = drawn[rows] if drawn is not None else times_drawn(block.row[rows], draws[t]) if bootstrap else np.ones(len(rows), np.int64)
+                    here = np.flatnonzero(weight)
+                    if len(here):
+                        yield t, node, weight[here], rows[here]
 
         return read
 
@@ -257,28 +273,38 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
 
     def _splits(self, rows, tops, draws, front, cuts, width, classes, looks, depth):
         """The best split of every node of the front, from class counts per feature and bin added up on the executors."""
-        read = self._reader(tops, draws, front, width)
-        bins_of = [len(c) + 1 for c in cuts]
-        starts = np.concatenate([[0], np.cumsum(bins_of)]).astype(np.int64)
-        cells = int(starts[-1]) * classes
+        cells = sum(len(c) + 1 for c in cuts) * classes
+        nodes = [(t, node) for t, own in front.items() for node in own]
+        a_pass = max(1, PASS_CELLS // cells)
+        found = []
+        for start in range(0, len(nodes), a_pass):
+            wanted = {}
+            for t, node in nodes[start: start + a_pass]:
+                wanted.setdefault(t, {})[node] = front[t][node]
+            found += self._node_splits(rows, tops, draws, wanted, cuts, width, classes, looks)
+        return sorted(found, key=lambda s: (s["tree"], s["node"]))
+
+    def _node_splits(self, rows, tops, draws, front, cuts, width, classes, looks):
+        read = self._reader(tops, draws, front)
+        starts = np.cumsum([0, *(len(c) + 1 for c in cuts)])
         keys = {(t, node): key for t, nodes in front.items() for node, (key, _) in nodes.items()}
 
         def count(batches):
-            for b in batches:
-                for t, node, y, weight, x in read(b):
-                    nodes, slot = np.unique(node, return_inverse=True)
-                    flat = [(slot * cells + (starts[f] + np.searchsorted(c, x[:, f], "left")) * classes + y) for f, c in enumerate(cuts)]
-                    at, place = np.unique(np.concatenate(flat), return_inverse=True)
-                    n = np.bincount(place, np.tile(weight, width)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), t)), pa.array(nodes[at // cells]), pa.array(at % cells), pa.array(n)],
-                        names=["tree", "node", "cell", "n"])
+            sums = {}
+            for _, block in blocks(batches, np.int32):
+                cell = [np.searchsorted(c, block.x[:, f], "left") * classes + block.y for f, c in enumerate(cuts)]
+                for t, node, weight, here in read(block):
+                    own, weight = sums.setdefault((t, node), np.zeros(starts[-1] * classes)), weight.astype(float)
+                    for f in range(width):
+                        part = own[starts[f] * classes: starts[f + 1] * classes]
+                        part += np.bincount(cell[f][here], weight, len(part))
+            for (t, node), own in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([node]), pa.array([own.tobytes()], pa.binary())],
+                                                 names=["tree", "node", "counts"])
 
         def choose(table: pa.Table) -> pa.Table:
             t, node = table.column(0)[0].as_py(), table.column(1)[0].as_py()
-            counts = np.zeros(cells)
-            counts[table.column(2).to_numpy()] = table.column(3).to_numpy()
-            counts = counts.reshape(-1, classes)
+            counts = sum(np.frombuffer(c.as_buffer()) for c in table.column(2)).reshape(-1, classes)
             total = counts[: starts[1]].sum(0)
 
             def best_of(f):
@@ -294,28 +320,32 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
             return pa.table({"tree": [t], "node": [node], "score": [float(score)], "feature": [f], "bin": [at],
                              "below": [left.tolist()], "total": [total.tolist()]})
 
-        counted = rows.mapInArrow(count, "tree long, node long, cell long, n long").groupBy("tree", "node", "cell").agg(F.sum("n").alias("n"))
+        counted = rows.mapInArrow(count, "tree long, node long, counts binary")
         kinds = "tree long, node long, score double, feature long, bin long, below array<double>, total array<double>"
-        return sorted(counted.groupBy("tree", "node").applyInArrow(choose, kinds).collect(), key=lambda s: (s["tree"], s["node"]))
+        return counted.groupBy("tree", "node").applyInArrow(choose, kinds).collect()
 
     def _finished(self, rows, tops, open_nodes, draws, width, classes, looks) -> list[dict]:
         """Every tree with the branches below its open nodes, each grown by the task that holds the node's rows."""
         depth = self.getOrDefault("maxDepth")
-        read = self._reader(tops, draws, open_nodes, width)
+        read = self._reader(tops, draws, open_nodes)
         keys = {(t, node): v for t, nodes in open_nodes.items() for node, v in nodes.items()}
 
         def send(batches):
-            for b in batches:
-                for t, node, y, weight, x in read(b):
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(node), pa.array(y), pa.array(weight), values],
-                                                     names=["tree", "node", "y", "n", "x"])
+            for _, block in blocks(batches, np.int32):
+                for t, node, weight, here in read(block):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t]), pa.array([node]), *(pa.array([v.tobytes()], pa.binary()) for v in (
+                            block.y[here], weight, block.x[here].T))], names=["tree", "node", "y", "n", "x"])
 
         def finish(table: pa.Table) -> pa.Table:
             t, node = table.column(0)[0].as_py(), table.column(1)[0].as_py()
-            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(4).chunks]).reshape(-1, width)
+            y, weight = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(c)]) for c, kind in ((2, np.int32), (3, np.int64)))
+            x = np.concatenate([np.frombuffer(v.as_buffer()).reshape(width, -1) for v in table.column(4)], axis=1).T
+            code, first = distinct(x, y)  # equal rows of several blocks
+            weight = np.bincount(code, weight, len(first)).astype(np.int64)
+            x, y = x[first], y[first]
             key, level = keys[t, node]
-            grown = grow(x, table.column(2).to_numpy(), table.column(3).to_numpy(), key, max(depth - level, 0), classes, looks)
+            grown = grow(x, y, weight, key, max(depth - level, 0), classes, looks)
             parts = {k: [v.tobytes()] for k, v in grown.arrays().items()}
             return pa.table({"tree": [t], "node": [node]} | parts | {"gains": [grown.gains.tobytes()]})
 
@@ -323,7 +353,7 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         if keys:
             spark = rows.sparkSession
             parts = min(len(keys), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-            branches = rows.mapInArrow(send, "tree long, node long, y int, n long, x array<double>") \
+            branches = rows.mapInArrow(send, "tree long, node long, y binary, n binary, x binary") \
                 .repartition(parts, "tree", "node").groupBy("tree", "node").applyInArrow(finish, f"tree long, node long, {_NODES}")
             pieces = {t: [] for t in trees}
             for r in sorted(branches.collect(), key=lambda r: (r["tree"], r["node"])):
