@@ -1,6 +1,7 @@
 """Second-order gradient boosting of trees for a binary class, on histograms.
 
-Every feature is cut once at its exact quantiles into bins of a byte. A tree grows level by level: one pass adds up the
+Every feature is cut once at its exact quantiles into bins of a byte, and the rows are packed into blocks, in which rows of
+equal bins and label are worked out once. A tree grows level by level: one pass adds up the
 gradients and Hessians of the logistic loss per node, feature and bin, and the driver, which sees these sums and never a
 row, takes the split of the largest regularised gain for every node. Each tree sees its own share of the rows, by a hash of their
 number, and of the features.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.operators.blocks import Block, blocks, packed
 from tallyframe.operators.quantiles import quantile_values
 from tallyframe.session import checkpointed, quoted
 
@@ -69,12 +71,10 @@ def _drawn(rows: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) < np.uint64(min(int(share * 2.0 ** 64), (1 << 64) - 1))
 
 
-def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
-
-
-def _margins(batch: pa.RecordBatch, bins: np.ndarray, trees: list[_Tree]) -> np.ndarray:
-    return batch.column(3).to_numpy() + sum((t.values(bins) for t in trees), np.zeros(len(bins)))
+def _margins(record: pa.RecordBatch, block: Block, trees: list[_Tree]) -> np.ndarray:
+    """Margins of the distinct rows: those stored with the block, if any, and the values of the trees since."""
+    known = np.frombuffer(record.column("margin")[0].as_buffer()) if "margin" in record.schema.names else np.zeros(len(block.y))
+    return known + sum((t.values(block.x) for t in trees), np.zeros(len(block.y)))
 
 
 def best_split(g: np.ndarray, h: np.ndarray, penalty: float, least_weight: float):
@@ -128,17 +128,15 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         # A bin ends at its cut; every value but the largest may be one, so that also a rare indicator can be split on.
         cuts = [np.array(sorted({v for v in marks[n][:-1] if v is not None and v < marks[n][-1]})[: n_bins - 1]) for n in names]
 
-        def code(batches):
-            for b in batches:
-                x = b.column(2).flatten().to_numpy().reshape(-1, width) if width else np.zeros((b.num_rows, 0))
-                bins = np.empty(x.shape, np.uint8)
-                for i, c in enumerate(cuts):
-                    bins[:, i] = np.searchsorted(c, x[:, i], "left")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in bins], pa.binary()),
-                                                  pa.array(np.zeros(len(bins)))], names=["row", "y", "bins", "margin"])
-
-        kinds = "row long, y double, bins binary, margin double"
-        stored = checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "y", "x").mapInArrow(code, kinds))
+        def code(x):
+            bins = np.empty(x.shape, np.uint8)
+            for i, c in enumerate(cuts):
+                bins[:, i] = np.searchsorted(c, x[:, i], "left")
+            return bins
+
+        stored = packed(rows.select(F.monotonically_increasing_id().alias("row"), "y", "x"), np.float64, code)
+        kinds = ", ".join(f"{n} {t}" for n, t in stored.dtypes) + ", margin binary"
+        fixed = stored.columns
         partitions, trees, kept = stored.rdd.getNumPartitions(), [], 0
         draw = np.random.default_rng(get("seed"))
         for t in range(get("rounds") if width else 0):
@@ -148,8 +146,9 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
                 pending, kept = trees[kept:], len(trees)
 
                 def settle(batches, pending=pending):
-                    for b in batches:
-                        yield b.set_column(3, "margin", pa.array(_margins(b, _matrix(b.column(2), width, np.uint8), pending)))
+                    for record, block in blocks(batches, np.float64, np.uint8):
+                        margin = pa.array([_margins(record, block, pending).tobytes()], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*record.columns[:len(fixed)], margin], names=[*fixed, "margin"])
 
                 stored = checkpointed(stored.mapInArrow(settle, kinds))
         told = [{"feature": t.feature, "left": t.left, "right": t.right, "value": t.value, "gain": t.gain,
@@ -183,22 +182,21 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
 
     def _sums(self, stored, pending, tree, front, t, columns, bins_of, partitions):
         """Sums of gradients and Hessians (node, feature, bin) over the rows that the tree sees."""
-        n_bins, width = max(bins_of), len(bins_of)
+        n_bins = max(bins_of)
         seed, share, shape = self.getOrDefault("seed"), self.getOrDefault("rowShare"), (len(front), len(columns), n_bins)
         slot_of = np.full(len(tree.feature), -1)
         slot_of[front] = np.arange(len(front))
 
         def add(batches):
             sums = np.zeros((2, *shape))
-            for b in batches:
-                b = b.filter(pa.array(_drawn(b.column(0).to_numpy(), seed, t, share)))
-                bins = _matrix(b.column(2), width, np.uint8)
-                slot = slot_of[tree.node_of(bins)]
-                p = 1 / (1 + np.exp(-_margins(b, bins, pending)))
-                here = np.flatnonzero(slot >= 0)
-                grads, base = ((p - b.column(1).to_numpy())[here], (p * (1 - p))[here]), slot[here] * n_bins
+            for record, block in blocks(batches, np.float64, np.uint8):
+                weight = block.weights(_drawn(block.row, seed, t, share))
+                slot = slot_of[tree.node_of(block.x)]
+                p = 1 / (1 + np.exp(-_margins(record, block, pending)))
+                here = np.flatnonzero((slot >= 0) & (weight > 0))
+                grads, base = ((weight * (p - block.y))[here], (weight * p * (1 - p))[here]), slot[here] * n_bins
                 for i, c in enumerate(columns):
-                    cell = base + bins[here, c]
+                    cell = base + block.x[here, c]
                     for k, w in enumerate(grads):
                         sums[k, :, i] += np.bincount(cell, w, shape[0] * n_bins).reshape(shape[0], n_bins)
             yield sums
