@@ -12,6 +12,9 @@ from tallyframe.operators.groups import best_by
 from tallyframe.session import checkpointed, quoted
 
 BLOCK_ROWS = 2_000
+# Pairs of blocks that a task compares, and points from which all cores are to hold some.
+TASK_PAIRS = 8
+SPREAD_ROWS = 20_000
 # Rounds of candidates for the starts, candidates a round for every centre of the largest k, and moves among the candidates.
 START_ROUNDS = 5
 OVERSAMPLING = 4
@@ -20,7 +23,11 @@ START_MOVES = 30
 
 def _points(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """All columns and `_point`, the measures as an array; stored, since every iteration reads it."""
-    return checkpointed(df.withColumn("_point", F.array(*[number(df, c) for c in cols])))
+    points = checkpointed(df.withColumn("_point", F.array(*[number(df, c) for c in cols])))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if points.rdd.getNumPartitions() < cores and points.count() > SPREAD_ROWS:
+        points = checkpointed(points.repartition(cores, quoted(key)))
+    return points
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +276,11 @@ def silhouettes(df: DataFrame, key: str, cols: list[str], labels: list[str], blo
             pack, "block long, label int, cluster int, x binary, wanted binary, looks_at array<int>"))
     looking = blocks.select(F.col("block").alias("a"), "label", F.explode("looks_at").alias("cluster"))
     seen = blocks.select(F.col("block").alias("b"), "label", "cluster")
-    pairs = looking.join(seen, ["label", "cluster"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpointed(looking.join(seen, ["label", "cluster"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Blocks are small for the work they mean: partitions made by their bytes would leave it to a few tasks.
+    parts = max(1, math.ceil(pairs.count() / TASK_PAIRS))
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    shares = sides.join(blocks, "block").groupBy("a", "b").applyInPandas(
+    shares = sides.join(blocks, "block").repartition(parts, "a", "b").groupBy("a", "b").applyInPandas(
         _block_distances(sizes, width), "block long, place long, label int, cluster int, own boolean, alone boolean, mean double")
     means = shares.groupBy("label", "block", "place", "cluster", "own", "alone").agg(F.sum("mean").alias("mean"))
     scored = means.groupBy("label", "block", "place").agg(

@@ -180,3 +180,32 @@ def test_starts_take_a_fixed_number_of_passes(spark, monkeypatch):
     assert len(few) == 9 and weights.sum() == 9
     with pytest.raises(ValueError):
         cluster.kmeans(spark.createDataFrame([], "id long, x double"), "id", ["x"], 2)
+
+
+def test_pairs_of_blocks_are_shared_out(spark, monkeypatch, tmp_path):
+    real, folder = cluster._block_distances, str(tmp_path)
+
+    def traced(sizes, width):
+        distances = real(sizes, width)
+
+        def run(pair):
+            from pyspark import TaskContext
+            open(f"{folder}/{TaskContext.get().partitionId()}", "w").close()
+            return distances(pair)
+        return run
+
+    df = spark.range(400).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("x"), (F.col("id") % 2).alias("cluster"))
+    before = cluster.silhouettes(df, "id", ["x"], ["cluster"])["cluster"]
+    monkeypatch.setattr(cluster, "_block_distances", traced)
+    after = cluster.silhouettes(df, "id", ["x"], ["cluster"], block_rows=20)["cluster"]
+    assert abs(before - after) < 1e-9
+    assert len(list(tmp_path.iterdir())) > 10  # 20 blocks, about 200 pairs
+
+
+def test_points_spread_over_the_cores_give_the_same_clusters(spark, monkeypatch):
+    df = spark.range(300).coalesce(1).select("id", (F.pmod(F.xxhash64("id"), F.lit(50)) + (F.col("id") % 3) * 200).cast("double").alias("x"))
+    whole, cost = cluster.kmeans(df, "id", ["x"], 3, n_init=2)
+    monkeypatch.setattr(cluster, "SPREAD_ROWS", 10)
+    assert cluster._points(df, "id", ["x"]).rdd.getNumPartitions() >= 8
+    spread, other = cluster.kmeans(df, "id", ["x"], 3, n_init=2)
+    assert sorted(whole.collect()) == sorted(spread.collect()) and abs(cost - other) < 1e-6 * cost
