@@ -86,21 +86,50 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact quantiles per key: one row per key, column and probability: keys, `column`, `prob`, `value`.
 
-    Four passes of 16 bits at most, as aggregates per group and cell: a group has 65,536 cells at most, also one that holds
+    Groups of `window_rows` rows at most are ordered as they are, in one pass over the columns. If one is larger, all take
+    four passes of 16 bits at most, as aggregates per group and cell: a group has 65,536 cells at most, also one that holds
     most rows. Once no searched cell has more than `window_rows` rows, a pass looks at their values as they are. Rows with a
     null key are left out.
     """
     names = [f"key{i}" for i in range(len(keys))]
     for k in keys:
         df = df.where(quoted(k).isNotNull())
-    values = df.select(*[quoted(k).alias(n) for k, n in zip(keys, names)], *[_key(number(df, c)).alias(f"x{i}") for i, c in enumerate(cols)])
-    values = values.unpivot(names, [f"x{i}" for i in range(len(cols))], "column", "k").where("k IS NOT NULL")
+    def unpivoted(value):
+        columns = [value(number(df, c)).alias(f"x{i}") for i, c in enumerate(cols)]
+        found = df.select(*[quoted(k).alias(n) for k, n in zip(keys, names)], *columns)
+        return found.unpivot(names, [f"x{i}" for i in range(len(cols))], "column", "k").where("k IS NOT NULL")
+
     by, stats = [*names, "column"], [F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")]
     position = lambda p: (F.col("total") - 1) * F.lit(float(p))  # noqa: E731  its floor and its ceiling are the ranks to look up
     ranks = F.flatten(F.array(*[F.array(
         F.struct(F.lit(i).alias("i"), F.lit(0).alias("end"), F.floor(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")),
         F.struct(F.lit(i).alias("i"), F.lit(1).alias("end"), F.ceil(position(p)).alias("rank"), (position(p) - F.floor(position(p))).alias("w")))
         for i, p in enumerate(probs)]))
+    largest = df.groupBy(*[quoted(k) for k in keys]).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
+        group = Window.partitionBy(*by)
+        counted = unpivoted(lambda x: x).repartition(*by).groupBy(*by, "k").agg(F.count("*").alias("n"))
+        counted = counted.withColumns({
+            "total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))})
+        holds = lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+        hit = F.lit(False)
+        for p in probs:
+            hit = hit | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
+        done = counted.where(hit).select(*by, F.col("k").alias("x"), F.inline(F.filter(ranks, lambda t: holds(t["rank"]))))
+    else:
+        values = unpivoted(_key)
+        done = _by_cells(values, by, stats, ranks, window_rows).withColumn("x", _value("k"))
+    ends = done.groupBy(*by, "i").agg(
+        F.max(F.when(F.col("end") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("x"))).alias("high"), F.max("w").alias("w"))
+    low, high = F.col("low"), F.col("high")
+    original = F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("column", 2, 9).cast("int") + 1)
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
+    return ends.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], original.alias("column"), prob.alias("prob"),
+                       F.when(low == high, low).otherwise(low + (high - low) * F.col("w")).alias("value"))
+
+
+def _by_cells(values: DataFrame, by: list[str], stats: list[Column], ranks: Column, window_rows: int) -> DataFrame:
+    """The wanted ranks with their keys `k`, by counts per group and cell."""
     active, done = None, None
     shift, last = 48, 64
     while True:
@@ -127,13 +156,7 @@ def grouped_quantiles(
         if most is None:
             break
         shift, last = (0 if most <= window_rows else shift - 16), shift
-    ends = done.select(*by, "i", "end", "w", _value("k").alias("x")).groupBy(*by, "i").agg(
-        F.max(F.when(F.col("end") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("x"))).alias("high"), F.max("w").alias("w"))
-    low, high = F.col("low"), F.col("high")
-    original = F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("column", 2, 9).cast("int") + 1)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    return ends.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], original.alias("column"), prob.alias("prob"),
-                       F.when(low == high, low).otherwise(low + (high - low) * F.col("w")).alias("value"))
+    return done
 
 
 # Cells of a pass over all columns together, and values that are fetched once so few are left.

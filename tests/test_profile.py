@@ -131,3 +131,15 @@ def test_infinite_quantiles(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("inf"),)], "x double")
     row = profile.iqr_outliers(df, ["x"]).first()
     assert row["upper_bound"] is None or row["upper_bound"] != row["upper_bound"] or row["upper_bound"] == float("inf")
+
+
+def test_quantiles_of_small_groups_take_one_pass_without_python(spark, capsys):
+    rows = [(i % 3 if i % 10 else None, [None, -0.0, 0.0, float("nan"), float("inf")][i % 5] if i % 4 == 0 else float(i * 7 % 31) - 15) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    found = quantiles.grouped_quantiles(df, ["g"], ["x"], probs)
+    found.explain()
+    assert "Python" not in capsys.readouterr().out
+    by_cells = quantiles.grouped_quantiles(df, ["g"], ["x"], probs, window_rows=5)
+    as_text = lambda d: sorted((r["g"], r["column"], r["prob"], repr(r["value"])) for r in d.collect())
+    assert as_text(found) == as_text(by_cells) and len(as_text(found)) == 15
