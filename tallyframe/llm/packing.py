@@ -23,6 +23,8 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 300
+# Text that is cut into words at a time: a worker's memory grows with it, beside a JVM that has reached its full heap.
+BLOCK_BYTES = 2 << 20
 
 
 def pieces(df: DataFrame, keys: list[str], text: str, path: str = BYTES, end_id: int = END_ID,
@@ -38,7 +40,7 @@ def pieces(df: DataFrame, keys: list[str], text: str, path: str = BYTES, end_id:
     def run(batches):
         forget_worker_state()
         for b in batches:
-            for at, ids, bounds in id_blocks(library_ids(path), b.column(len(keys)), end_id):
+            for at, ids, bounds in id_blocks(library_ids(path), b.column(len(keys)), end_id, BLOCK_BYTES):
                 sizes = np.diff(bounds)
                 n = -(-sizes // capacity)
                 source = np.repeat(np.arange(len(sizes)), n)

@@ -190,10 +190,10 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, bounds
 
 
-def id_blocks(encoder: WordIds, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def id_blocks(encoder: WordIds, texts: pa.Array, end_id: int | None = None, most_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Ids of the texts (null: none) block by block: the place of the block's first text, all ids, and the texts' bounds in them."""
     at = 0
-    for block in text_blocks(texts):
+    for block in text_blocks(texts, most_bytes):
         ids, bounds = encoder.encode(block)
         yield at, *((ids, bounds) if end_id is None else with_end(ids, bounds, end_id))
         at += len(block)

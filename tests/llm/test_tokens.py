@@ -264,3 +264,11 @@ def test_sequences_hold_the_ids(spark, folder):
 def test_empty(spark, empty):
     for query in (bpe.op2_byte_bpe, token_files.op9_token_id_output, packing.op10_best_fit_packing):
         assert query(spark, empty).count() == 0
+
+
+def test_smaller_blocks_of_texts_give_the_same_ids():
+    texts = pa.array(["some words here", None, "", "and a longer text of words " * 20, "end"])
+    whole = list(words.id_blocks(packing.library_ids(packing.BYTES), texts, 0))
+    cut = list(words.id_blocks(packing.library_ids(packing.BYTES), texts, 0, 30))
+    assert len(whole) == 1 and len(cut) > 2 and packing.BLOCK_BYTES < words.BLOCK_BYTES
+    assert np.concatenate([ids for _, ids, _ in cut]).tolist() == whole[0][1].tolist()
