@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_batches, documents, ordered_cells, sampled, shared_folder, sized
+from tallyframe.llm.common import bounded_batches, documents, forget_worker_state, ordered_cells, sampled, shared_folder, sized
 from tallyframe.llm.registry import query
 from tallyframe.llm.words import id_blocks, library_ids
 
@@ -33,6 +33,13 @@ TRAIN_BYTES = 16 << 10
 DICTIONARY_BYTES = 64 << 10
 CONTAINER_BYTES = 32 << 20
 LEVEL = 3
+# Ids of so many words are laid out at a time: a worker's memory grows with them, beside a JVM that has reached its full heap.
+SLICE_WORDS = 1 << 17
+# Frames are compressed, and a row is a whole container: Parquet looks at its sizes after each row instead of 100, so writers
+# and readers hold a row group of about 8 MB (a larger container is alone), whatever a file holds.
+CONTAINER_FILES = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": 8 << 20,
+                   "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+                   "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 _HEAD = "<4sHHI32s"
 _ENTRY = np.dtype([("key", "<i8"), ("keyed", "u1"), ("ids", "<u4"), ("offset", "<u8")])
 
@@ -95,8 +102,8 @@ def _serial(ids: np.ndarray, id_bytes: int) -> bytes:
 
 
 def _serials(path: str, texts: pa.Array, end_id: int, id_bytes: int):
-    """Per block of texts: the place of its first one, numbers of ids, and the ids of each text as bytes."""
-    for at, ids, bounds in id_blocks(library_ids(path), texts, end_id):
+    """Per slice of the texts: the place of its first one, numbers of ids, and the ids of each text as bytes."""
+    for at, ids, bounds in id_blocks(library_ids(path), texts, end_id, most_words=SLICE_WORDS):
         data, cuts = memoryview(_serial(ids, id_bytes)), (bounds * id_bytes).tolist()
         yield at, np.diff(bounds), [data[a:z] for a, z in zip(cuts, cuts[1:])]
 
@@ -135,6 +142,7 @@ def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS
                                                  names=["cell", "key", "mark", "n", "frame"])
 
     def assemble(batches):
+        forget_worker_state()  # workers come here from the texts
         waiting, size, at, part = [], 0, None, 0
 
         def flush():
@@ -157,7 +165,7 @@ def write_ids(df: DataFrame, key: str, text: str, folder: str, path: str = WORDS
     frames = docs.select(cell.alias("cell"), "key", mark.alias("mark"), "text") \
         .mapInArrow(compress, "cell long, key long, mark long, n long, frame binary")
     frames.repartition("cell").sortWithinPartitions("cell", "key", "mark").select("cell", "key", "n", "frame") \
-        .mapInArrow(assemble, "cell long, part long, n_ids long, data binary").write.parquet(f"{folder}/containers")
+        .mapInArrow(assemble, "cell long, part long, n_ids long, data binary").write.options(**CONTAINER_FILES).parquet(f"{folder}/containers")
 
 
 def read_ids(spark, folder: str) -> DataFrame:
@@ -173,6 +181,7 @@ def read_ids(spark, folder: str) -> DataFrame:
         .join(cells, "cell").select("cell", "part", (F.col("before") + F.col("base")).alias("first"))
 
     def run(batches):
+        forget_worker_state()  # workers may come here from the texts
         for b in batches:
             for cell, part, data in zip(*(b.column(i) for i in range(3))):
                 box = Container(data.as_buffer().to_pybytes(), dictionary)

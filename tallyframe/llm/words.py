@@ -20,6 +20,8 @@ from tallyframe.llm.common import worker_state
 
 # Text that is cut into words at a time.
 BLOCK_BYTES = 8 << 20
+# Distinct words whose ids are Python lists at a time; after that they lie in arrays.
+LISTED_WORDS = 1 << 14
 
 # White space, a space, white space or the end: the run that such a space stands in can't be cut there.
 _INSIDE_RUN = r"[\s\v\x1c-\x1f\x85\pZ] (?:[\s\v\x1c-\x1f\x85\pZ]|\z)"
@@ -46,8 +48,9 @@ class WordIds:
     def __init__(self, cut: Callable, resolve: Callable):
         self.cut, self.resolve = cut, resolve
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts (no nulls) one after the other, and where each text's ids start and the last ones end."""
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts (no nulls): ids of their distinct words one after the other, the number of ids of each, the words of all
+        texts as places in these, and where each text's words start and the last ones end. `gathered` gives the texts' ids."""
         words, whole = self.cut(texts)
         offsets = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
@@ -58,7 +61,11 @@ class WordIds:
             flat = flat.copy()
             flat[offsets[:-1][whole]] = np.arange(len(names), len(names) + whole.sum())
             names += texts.filter(pa.array(whole)).to_pylist()
-        return gathered(*self.resolve(names), flat, offsets)
+        return *self.resolve(names), flat, offsets
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts (no nulls) one after the other, and where each text's ids start and the last ones end."""
+        return gathered(*self.coded(texts))
 
 
 def gathered(ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +136,10 @@ class LibraryWords:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and the number of ids of each."""
+        parts = [self._listed(words[i:i + LISTED_WORDS]) for i in range(0, max(1, len(words)), LISTED_WORDS)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([lengths for _, lengths in parts])
+
+    def _listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.core is None:
             found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -190,12 +201,22 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, bounds
 
 
-def id_blocks(encoder: WordIds, texts: pa.Array, end_id: int | None = None, most_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Ids of the texts (null: none) block by block: the place of the block's first text, all ids, and the texts' bounds in them."""
+def id_blocks(encoder: WordIds, texts: pa.Array, end_id: int | None = None, most_bytes: int = BLOCK_BYTES,
+              most_words: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ids of the texts (null: none) block by block: the place of the block's first text, all ids, and the texts' bounds in them.
+
+    With `most_words` the ids of a block come for some texts at a time, of about so many words (a longer text is alone): the
+    block's distinct words are still encoded once, but its ids never lie in memory together.
+    """
     at = 0
     for block in text_blocks(texts, most_bytes):
-        ids, bounds = encoder.encode(block)
-        yield at, *((ids, bounds) if end_id is None else with_end(ids, bounds, end_id))
+        ids, lengths, flat, offsets = encoder.coded(block)
+        a = 0
+        while a < len(block):
+            z = len(block) if most_words is None else max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_words, "right")) - 1)
+            own, bounds = gathered(ids, lengths, flat[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
+            yield at + a, *((own, bounds) if end_id is None else with_end(own, bounds, end_id))
+            a = z
         at += len(block)
 
 

@@ -272,3 +272,55 @@ def test_smaller_blocks_of_texts_give_the_same_ids():
     cut = list(words.id_blocks(packing.library_ids(packing.BYTES), texts, 0, 30))
     assert len(whole) == 1 and len(cut) > 2 and packing.BLOCK_BYTES < words.BLOCK_BYTES
     assert np.concatenate([ids for _, ids, _ in cut]).tolist() == whole[0][1].tolist()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_slices_of_a_block_give_the_same_ids(name):
+    texts = pa.array(["some words here", None, "", "and a longer text of words " * 20, *fuzz(300), "end"])
+    coder = words.library_ids(public_tokenizers.path(name))
+    (_, ids, bounds), = words.id_blocks(coder, texts, 7)
+    parts = list(words.id_blocks(coder, texts, 7, most_words=40))
+    assert len(parts) > 5 and [at for at, _, _ in parts] == np.cumsum([0, *[len(b) - 1 for _, _, b in parts]])[:-1].tolist()
+    assert np.concatenate([i for _, i, _ in parts]).tolist() == ids.tolist()
+    assert np.concatenate([np.diff(b) for _, _, b in parts]).tolist() == np.diff(bounds).tolist()
+
+
+def test_ids_of_a_block_are_laid_out_in_slices():
+    """The 8 MB of a block give millions of ids; the worker holds those of a slice."""
+    texts = pa.array(["some words of a text " * 400] * 800)
+    sizes = [len(ids) for _, ids, _ in words.id_blocks(words.library_ids(token_files.WORDS), texts, 2)]
+    sliced = [sum(n) for _, n, _ in token_files._serials(token_files.WORDS, texts, 2, 2)]
+    assert sum(sliced) == sum(sizes) and max(sizes) > 1_000_000 and max(sliced) < 200_000
+
+
+def test_ids_of_words_are_listed_for_some_words_at_a_time(monkeypatch):
+    own = words.LibraryWords(token_files.WORDS)
+    names = [f"w{i} É"[:2 + i % 4] for i in range(500)]
+    ids, lengths = own(names)
+    seen, listed = [], own._listed
+    monkeypatch.setattr(words, "LISTED_WORDS", 64)
+    monkeypatch.setattr(own, "_listed", lambda some: seen.append(len(some)) or listed(some))
+    again = own(names)
+    assert seen == [64] * 7 + [52] and again[0].tolist() == ids.tolist() and again[1].tolist() == lengths.tolist()
+    assert [x.tolist() for x in own([])] == [[], []]
+
+
+def test_a_row_group_of_containers_is_bounded(spark, tmp_path, monkeypatch):
+    """A row is a whole container, so a file of some of them must not be one page of one row group."""
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(token_files, "CONTAINER_BYTES", 20_000)
+    monkeypatch.setitem(token_files.CONTAINER_FILES, "parquet.block.size", 100_000)
+    rnd = np.random.default_rng(1)
+    rows = [(i, " ".join(map(str, rnd.integers(0, 10 ** 9, 1000).tolist()))) for i in range(200)]
+    target = str(tmp_path / "ids")
+    token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", target)
+    groups = []
+    for f in (tmp_path / "ids" / "containers").glob("*.parquet"):
+        about = pq.ParquetFile(f).metadata
+        groups += [about.row_group(g) for g in range(about.num_row_groups)]
+    assert len(groups) > 2 and sum(g.num_rows for g in groups) > 10
+    assert all(g.num_rows == 1 or g.total_byte_size < 200_000 for g in groups)
+    assert {g.column(3).compression for g in groups} == {"UNCOMPRESSED"}
+    found = {r.key: r.ids for r in token_files.read_ids(spark, target).collect()}
+    plain = library("word_bpe_49k.json")
+    assert len(found) == len(rows) and all(found[i] == np.array(plain(t) + [2], "<u4").tobytes() for i, t in rows[::100])
