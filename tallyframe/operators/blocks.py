@@ -16,8 +16,11 @@ from tallyframe.session import checkpointed
 
 # Bytes of a block, and bytes of its distinct rows from which rows that come next are no longer looked up in it.
 BLOCK_BYTES = 16 << 20
+# Rows for which draws are made at a time, so that they stay in a core's own memory.
+DRAW_ROWS = 1 << 15
 
 _KINDS = "n long, width int, last double, row binary, place binary, y binary, x binary"
+WEIGHED_KINDS = "n long, held long, bits int, y binary, x binary, w binary"
 
 
 def distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,31 +74,127 @@ class Block:
         return pa.RecordBatch.from_arrays([*sizes, *parts], names=[f.split()[0] for f in _KINDS.split(", ")])
 
 
+class Weighed:
+    """Distinct rows without the numbers of their rows: `y`, `x` and for every tree, a row of `w`, the sums of its draws."""
+
+    def __init__(self, n: int, y: np.ndarray, x: np.ndarray, w: np.ndarray):
+        self.n, self.y, self.x, self.w = n, y, x, w
+
+    @classmethod
+    def of_block(cls, block: Block, draw: Callable, trees: list[int], most: int = 1) -> "Weighed":
+        """`draw(rows, tree)` tells how often, `most` times at most, a tree draws each of some rows, by their numbers."""
+        n, held = len(block.row), len(block.y)
+        w = np.zeros((len(trees), held), np.min_scalar_type(most * int(np.bincount(block.place).max())))
+        step = DRAW_ROWS if held <= DRAW_ROWS else n
+        for start in range(0, n, step):
+            row, place = block.row[start: start + step], block.place[start: start + step]
+            for i, t in enumerate(trees):
+                times = [draw(row[at: at + DRAW_ROWS], t) for at in range(0, len(row), DRAW_ROWS)]
+                w[i] += np.bincount(place, np.concatenate(times), held).astype(w.dtype)
+        return cls(n, block.y, block.x, w)
+
+    @classmethod
+    def merged(cls, parts: list["Weighed"]) -> "Weighed":
+        if len(parts) == 1:
+            return parts[0]
+        y, x = np.concatenate([p.y for p in parts]), np.concatenate([p.x for p in parts])
+        code, first = distinct(x, y)
+        w = np.zeros((len(parts[0].w), len(first)), np.min_scalar_type(sum(int(p.w.max(initial=0)) for p in parts)))
+        start = 0
+        for p in parts:
+            w[:, code[start: start + len(p.y)]] += p.w  # the rows of a part differ
+            start += len(p.y)
+        return cls(sum(p.n for p in parts), y[first], x[first], w)
+
+    @property
+    def nbytes(self) -> int:
+        return self.y.nbytes + self.x.nbytes + self.w.nbytes
+
+    def records(self, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+        """Records of about `block_bytes` at most; weights of 0 and 1 take a bit."""
+        step = max(1, block_bytes * len(self.y) // max(self.nbytes, 1))
+        for start in range(0, len(self.y), step):
+            y, x, w = self.y[start: start + step], self.x[start: start + step], self.w[:, start: start + step]
+            bits = 1 if w.max(initial=0) <= 1 else 8 * w.itemsize
+            w = np.packbits(w.astype(np.uint8), axis=1) if bits == 1 else w
+            sizes = [pa.array([0 if start else self.n]), pa.array([len(y)]), pa.array([bits], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*sizes, *(pa.array([v.tobytes()], pa.binary()) for v in (y, x, w))],
+                                             names=[f.split()[0] for f in WEIGHED_KINDS.split(", ")])
+
+
+def in_blocks(parts: Iterator, block_bytes: int = BLOCK_BYTES) -> Iterator:
+    """Blocks, or weighed ones, put together: equal rows become one, until the rows that differ fill about half a block."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.nbytes
+        if size >= block_bytes:
+            held = [type(part).merged(held)]
+            size = held[0].nbytes
+            if 2 * size >= block_bytes:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield type(held[0]).merged(held)
+
+
+def rows_in_blocks(batches, y_kind, code: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of Arrow batches of rows (number, label, array of doubles)."""
+    def parts():
+        for b in batches:
+            if b.num_rows:
+                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield Block.of_rows(b.column(0).to_numpy(), b.column(1).to_numpy().astype(y_kind), code(x) if code else x)
+
+    return in_blocks(parts(), block_bytes)
+
+
 def packed(rows: DataFrame, y_kind, code: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Stored blocks of rows (number, label, array of doubles); `code` makes other numbers of the matrix of values.
 
     Columns `n` (rows), `width` (values of a row), `last` (largest label) are for aggregates, the others for `blocks`.
     """
     def run(batches):
-        parts, size = [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            parts.append(Block.of_rows(b.column(0).to_numpy(), b.column(1).to_numpy().astype(y_kind), code(x) if code else x))
-            size += parts[-1].nbytes
-            if size >= block_bytes:
-                parts = [Block.merged(parts)]
-                size = parts[0].nbytes
-                if 2 * size >= block_bytes:
-                    yield parts[0].record()
-                    parts, size = [], 0
-        if parts:
-            yield Block.merged(parts).record()
+        for block in rows_in_blocks(batches, y_kind, code, block_bytes):
+            yield block.record()
 
     return checkpointed(rows.mapInArrow(run, _KINDS))
 
 
+def weighed(batches, y_kind, x_kind=np.float64) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Callable]]:
+    """(record, `y`, `x`, function from the place of a tree to its weights) of every weighed block of a task."""
+    for b in batches:
+        for i in range(b.num_rows):
+            record = b.slice(i, 1)
+            held, bits = record.column("held")[0].as_py(), record.column("bits")[0].as_py()
+            y, x, w = (np.frombuffer(record.column(k)[0].as_buffer(), kind) for k, kind in (("y", y_kind), ("x", x_kind), ("w", np.uint8)))
+            size = -(-held * bits // 8)
+
+            def weights(place, w=w, held=held, bits=bits, size=size):
+                own = w[place * size: (place + 1) * size]
+                return np.unpackbits(own, count=held) if bits == 1 else own.view(f"u{bits // 8}")
+
+            yield record, y, x.reshape(held, -1), weights
+
+
+def looked_up(x: np.ndarray, known: dict, most: int, f: Callable) -> np.ndarray:
+    """`f` of every row of a matrix, worked out once per distinct row; `known` keeps up to `most` of them from call to call."""
+    code, first = distinct(x, np.zeros(len(x)))
+    if 2 * len(first) > len(x) and not known:
+        return f(x)
+    rows = np.ascontiguousarray(x[first])
+    raw, size = rows.tobytes(), rows.shape[1] * rows.itemsize
+    keys = [raw[i * size: (i + 1) * size] for i in range(len(rows))]
+    new = [i for i, k in enumerate(keys) if k not in known]
+    own = dict(zip((keys[i] for i in new), f(rows[new]))) if new else {}
+    found = np.array([own[k] if k in own else known[k] for k in keys])
+    for k, v in own.items():
+        if len(known) >= most:
+            break
+        known[k] = v
+    return found[code]
+
+
 def blocks(batches, y_kind, x_kind=np.float64) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """The blocks of a task, each with its record."""
     for b in batches:

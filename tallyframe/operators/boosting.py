@@ -1,13 +1,14 @@
 """Second-order gradient boosting of trees for a binary class, on histograms.
 
-Every feature is cut once at its exact quantiles into bins of a byte, and the rows are packed into blocks, in which rows of
-equal bins and label are worked out once. A tree grows level by level: one pass adds up the
-gradients and Hessians of the logistic loss per node, feature and bin, and the driver, which sees these sums and never a
-row, takes the split of the largest regularised gain for every node. Each tree sees its own share of the rows, by a hash of their
-number, and of the features.
+Every feature is cut once at its exact quantiles into bins of a byte. Each tree sees its own share of the rows, by a hash of
+their number, and of the features. One pass makes all draws: rows of equal bins and label become one row that holds for every
+tree how many of them it sees. A tree grows level by level: one pass adds up the gradients and Hessians of the logistic loss
+per node, feature and bin, and the driver, which sees these sums and never a row, takes the split of the largest regularised
+gain for every node. Where few rows differ, one task holds them all and grows all trees the same way.
 """
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.blocks import Block, blocks, packed
+from tallyframe.operators.blocks import BLOCK_BYTES, WEIGHED_KINDS, Weighed, in_blocks, looked_up, rows_in_blocks, weighed
 from tallyframe.operators.quantiles import quantile_values
 from tallyframe.session import checkpointed, quoted
 
@@ -31,6 +32,10 @@ LEAST_GAIN = 1e-6
 PENDING_TREES = 10
 # Sums of all tasks that the driver adds up itself; larger ones are added up on the executors.
 DRIVER_BYTES = 64 << 20
+# Distinct rows with which one task grows all trees.
+TASK_ROWS = 1 << 17
+# Distinct rows whose chances a task that scores keeps.
+KNOWN_ROWS = 1 << 16
 
 
 def _param(name: str, doc: str, kind=TypeConverters.toFloat):
@@ -71,10 +76,10 @@ def _drawn(rows: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) < np.uint64(min(int(share * 2.0 ** 64), (1 << 64) - 1))
 
 
-def _margins(record: pa.RecordBatch, block: Block, trees: list[_Tree]) -> np.ndarray:
+def _margins(record: pa.RecordBatch, x: np.ndarray, trees: list[_Tree]) -> np.ndarray:
     """Margins of the distinct rows: those stored with the block, if any, and the values of the trees since."""
-    known = np.frombuffer(record.column("margin")[0].as_buffer()) if "margin" in record.schema.names else np.zeros(len(block.y))
-    return known + sum((t.values(block.x) for t in trees), np.zeros(len(block.y)))
+    known = np.frombuffer(record.column("margin")[0].as_buffer()) if "margin" in record.schema.names else np.zeros(len(x))
+    return known + sum((t.values(x) for t in trees), np.zeros(len(x)))
 
 
 def best_split(g: np.ndarray, h: np.ndarray, penalty: float, least_weight: float):
@@ -91,6 +96,47 @@ def best_split(g: np.ndarray, h: np.ndarray, penalty: float, least_weight: float
     return gain[f, b], int(f), int(b), left_g[f, b], left_h[f, b]
 
 
+def _level_sums(x, y, weight, margin, tree: _Tree, front: list[int], columns: np.ndarray, n_bins: int) -> np.ndarray:
+    """Sums of gradients and Hessians (2, node, feature, bin) over rows that stand for `weight` rows each."""
+    slot_of = np.full(len(tree.feature), -1)
+    slot_of[front] = np.arange(len(front))
+    sums = np.zeros((2, len(front), len(columns), n_bins))
+    slot = slot_of[tree.node_of(x)]
+    p = 1 / (1 + np.exp(-margin))
+    here = np.flatnonzero((slot >= 0) & (weight > 0))
+    grads, base = ((weight * (p - y))[here], (weight * p * (1 - p))[here]), slot[here] * n_bins
+    for i, c in enumerate(columns):
+        cell = base + x[here, c]
+        for k, w in enumerate(grads):
+            sums[k, :, i] += np.bincount(cell, w, len(front) * n_bins).reshape(len(front), n_bins)
+    return sums
+
+
+def _grown(sums, columns: np.ndarray, depth: int, penalty: float, least: float, step: float) -> _Tree:
+    """A tree, by the sums of gradients and Hessians that `sums(tree, front)` takes for the nodes of a level."""
+    tree = _Tree()
+    front = [tree.add(0.0)]
+    for level in range(depth):
+        g, h = sums(tree, front)
+        if level == 0:
+            tree.value[0] = -g[0, 0].sum() / (h[0, 0].sum() + penalty) * step
+        below = []
+        for slot, node in enumerate(front):
+            found = best_split(g[slot], h[slot], penalty, least)
+            if found is None:
+                continue
+            gain, f, b, left_g, left_h = found
+            all_g, all_h = g[slot, f].sum(), h[slot, f].sum()
+            tree.feature[node], tree.bin[node], tree.gain[node] = int(columns[f]), b, float(gain)
+            tree.left[node] = tree.add(float(-left_g / (left_h + penalty) * step))
+            tree.right[node] = tree.add(float(-(all_g - left_g) / (all_h - left_h + penalty) * step))
+            below += [n for n, w in ((tree.left[node], left_h), (tree.right[node], all_h - left_h)) if w >= 2 * least]
+        front = below
+        if not front:
+            break
+    return tree
+
+
 class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
     """Boosted trees with step size, share of rows and of features per tree, and an L2 penalty on the leaves."""
 
@@ -134,71 +180,95 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
                 bins[:, i] = np.searchsorted(c, x[:, i], "left")
             return bins
 
-        stored = packed(rows.select(F.monotonically_increasing_id().alias("row"), "y", "x"), np.float64, code)
-        kinds = ", ".join(f"{n} {t}" for n, t in stored.dtypes) + ", margin binary"
-        fixed = stored.columns
-        partitions, trees, kept = stored.rdd.getNumPartitions(), [], 0
         draw = np.random.default_rng(get("seed"))
-        for t in range(get("rounds") if width else 0):
-            columns = np.sort(draw.permutation(width)[: max(1, round(get("featureShare") * width))])
-            trees.append(self._grow(stored, trees[kept:], t, columns, [len(c) + 1 for c in cuts], partitions))
-            if len(trees) - kept >= PENDING_TREES and t + 1 < get("rounds"):
+        columns_of = [np.sort(draw.permutation(width)[: max(1, round(get("featureShare") * width))]) for _ in range(get("rounds") if width else 0)]
+        bins = max((len(c) + 1 for c in cuts), default=1)
+        seed, share, options = get("seed"), get("rowShare"), (get("maxDepth"), get("penalty"), get("leastWeight"), get("stepSize"))
+        numbers = list(range(len(columns_of)))
+
+        def weigh(batches):
+            found = (Weighed.of_block(b, lambda r, t: _drawn(r, seed, t, share), numbers) for b in rows_in_blocks(batches, np.float64, code, BLOCK_BYTES // 4))
+            for part in in_blocks(found):
+                yield from part.records()
+
+        trees = []
+        if columns_of:
+            numbered = rows.select(F.monotonically_increasing_id().alias("row"), "y", "x")
+            stored, few = self._merged(checkpointed(numbered.mapInArrow(weigh, WEIGHED_KINDS)))
+            trees = (self._in_one_task if few else self._by_passes)(stored, columns_of, bins, options)
+        told = [{"feature": t.feature, "left": t.left, "right": t.right, "value": t.value, "gain": t.gain,
+                 "cut": [float(cuts[f][b]) if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin)]} for t in trees]
+        return BoostedTreesModel(self.getFeaturesCol(), json.dumps(told), width)
+
+    def _merged(self, stored: DataFrame) -> tuple[DataFrame, bool]:
+        """The blocks, equal rows of several tasks brought together where there are many, and whether one task may hold all."""
+        def merge(batches):
+            for part in in_blocks(_parts(batches)):
+                yield from part.records()
+
+        bytes_ = F.octet_length("y") + F.octet_length("x") + F.octet_length("w")
+        sums = [F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("held"), F.col("n"), bytes_)]
+        held, n, size = stored.agg(*sums).first()
+        if held > TASK_ROWS and 2 * held <= n:
+            few = max(1, min(stored.rdd.getNumPartitions(), size // BLOCK_BYTES))
+            stored = checkpointed(stored.coalesce(few).mapInArrow(merge, WEIGHED_KINDS))
+            held = stored.agg(sums[0]).first()[0]
+        return stored, held <= TASK_ROWS
+
+    def _in_one_task(self, stored: DataFrame, columns_of: list[np.ndarray], bins: int, options: tuple) -> list[_Tree]:
+        """All trees, grown by one task that holds the distinct rows."""
+        def grow(batches):
+            parts = list(_parts(batches))
+            if not parts:
+                return
+            part = Weighed.merged(parts)
+            known, margin, trees = np.zeros(len(part.y)), np.zeros(len(part.y)), []
+            for t, columns in enumerate(columns_of):
+                if t % PENDING_TREES == 0:
+                    known, margin = known + margin, np.zeros(len(part.y))
+                now, weight = known + margin, part.w[t].astype(float)
+                trees.append(_grown(lambda tree, front: _level_sums(part.x, part.y, weight, now, tree, front, columns, bins), columns, *options))
+                margin += trees[-1].values(part.x)
+            told = json.dumps([[t.feature, t.bin, t.left, t.right, t.value, t.gain] for t in trees])
+            yield pa.RecordBatch.from_arrays([pa.array([told])], names=["trees"])
+
+        trees = []
+        for told in (r["trees"] for r in stored.coalesce(1).mapInArrow(grow, "trees string").collect()):
+            for parts in json.loads(told):
+                trees.append(_Tree())
+                trees[-1].feature, trees[-1].bin, trees[-1].left, trees[-1].right, trees[-1].value, trees[-1].gain = parts
+        return trees
+
+    def _by_passes(self, stored: DataFrame, columns_of: list[np.ndarray], bins: int, options: tuple) -> list[_Tree]:
+        """All trees, each level from sums of a pass over the blocks."""
+        cores, partitions = stored.sparkSession.sparkContext.defaultParallelism, stored.rdd.getNumPartitions()
+        if partitions < cores:
+            stored, partitions = stored.repartition(cores), cores
+        kinds, trees, kept = WEIGHED_KINDS + ", margin binary", [], 0
+        for t, columns in enumerate(columns_of):
+            pending = trees[kept:]
+            trees.append(_grown(lambda tree, front: self._sums(stored, pending, tree, front, t - kept, columns, bins, partitions), columns, *options))
+            if len(trees) - kept >= PENDING_TREES and t + 1 < len(columns_of):
                 pending, kept = trees[kept:], len(trees)
 
-                def settle(batches, pending=pending):
-                    for record, block in blocks(batches, np.float64, np.uint8):
-                        margin = pa.array([_margins(record, block, pending).tobytes()], pa.binary())
-                        yield pa.RecordBatch.from_arrays([*record.columns[:len(fixed)], margin], names=[*fixed, "margin"])
+                def settle(batches, pending=pending):  # the weights of the trees that are done go
+                    for record, _, x, _ in weighed(batches, np.float64, np.uint8):
+                        margin = pa.array([_margins(record, x, pending).tobytes()], pa.binary())
+                        size = -(-record.column("held")[0].as_py() * record.column("bits")[0].as_py() // 8)
+                        w = pa.array([memoryview(record.column("w")[0].as_buffer())[len(pending) * size:].tobytes()], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*record.columns[:5], w, margin], names=[k.split()[0] for k in kinds.split(", ")])
 
                 stored = checkpointed(stored.mapInArrow(settle, kinds))
-        told = [{"feature": t.feature, "left": t.left, "right": t.right, "value": t.value, "gain": t.gain,
-                 "cut": [float(cuts[f][b]) if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin)]} for t in trees]
-        return BoostedTreesModel(self.getFeaturesCol(), json.dumps(told), width)
+        return trees
 
-    def _grow(self, stored: DataFrame, pending: list[_Tree], t: int, columns: np.ndarray, bins_of: list[int], partitions: int) -> _Tree:
-        get = self.getOrDefault
-        penalty, least, step = get("penalty"), get("leastWeight"), get("stepSize")
-        tree = _Tree()
-        front = [tree.add(0.0)]
-        for level in range(get("maxDepth")):
-            g, h = self._sums(stored, pending, tree, front, t, columns, bins_of, partitions)
-            if level == 0:
-                tree.value[0] = -g[0, 0].sum() / (h[0, 0].sum() + penalty) * step
-            below = []
-            for slot, node in enumerate(front):
-                found = best_split(g[slot], h[slot], penalty, least)
-                if found is None:
-                    continue
-                gain, f, b, left_g, left_h = found
-                all_g, all_h = g[slot, f].sum(), h[slot, f].sum()
-                tree.feature[node], tree.bin[node], tree.gain[node] = int(columns[f]), b, float(gain)
-                tree.left[node] = tree.add(float(-left_g / (left_h + penalty) * step))
-                tree.right[node] = tree.add(float(-(all_g - left_g) / (all_h - left_h + penalty) * step))
-                below += [n for n, w in ((tree.left[node], left_h), (tree.right[node], all_h - left_h)) if w >= 2 * least]
-            front = below
-            if not front:
-                break
-        return tree
-
-    def _sums(self, stored, pending, tree, front, t, columns, bins_of, partitions):
-        """Sums of gradients and Hessians (node, feature, bin) over the rows that the tree sees."""
-        n_bins = max(bins_of)
-        seed, share, shape = self.getOrDefault("seed"), self.getOrDefault("rowShare"), (len(front), len(columns), n_bins)
-        slot_of = np.full(len(tree.feature), -1)
-        slot_of[front] = np.arange(len(front))
+    def _sums(self, stored, pending, tree, front, place, columns, n_bins, partitions):
+        """Sums of gradients and Hessians (2, node, feature, bin) over the rows that the tree sees."""
+        shape = (len(front), len(columns), n_bins)
 
         def add(batches):
             sums = np.zeros((2, *shape))
-            for record, block in blocks(batches, np.float64, np.uint8):
-                weight = block.weights(_drawn(block.row, seed, t, share))
-                slot = slot_of[tree.node_of(block.x)]
-                p = 1 / (1 + np.exp(-_margins(record, block, pending)))
-                here = np.flatnonzero((slot >= 0) & (weight > 0))
-                grads, base = ((weight * (p - block.y))[here], (weight * p * (1 - p))[here]), slot[here] * n_bins
-                for i, c in enumerate(columns):
-                    cell = base + block.x[here, c]
-                    for k, w in enumerate(grads):
-                        sums[k, :, i] += np.bincount(cell, w, shape[0] * n_bins).reshape(shape[0], n_bins)
+            for record, y, x, weights in weighed(batches, np.float64, np.uint8):
+                sums += _level_sums(x, y, weights(place).astype(float), _margins(record, x, pending), tree, front, columns, n_bins)
             yield sums
 
         if partitions * 16 * int(np.prod(shape)) <= DRIVER_BYTES:
@@ -221,6 +291,14 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         return out.reshape(2, *shape)
 
 
+def _parts(batches):
+    """The weighed blocks of a task."""
+    for record, y, x, weights in weighed(batches, np.float64, np.uint8):
+        held, bits, w = len(y), record.column("bits")[0].as_py(), record.column("w")[0].as_buffer()
+        trees = len(w) // -(-held * bits // 8)
+        yield Weighed(record.column("n")[0].as_py(), y, x, np.stack([weights(i) for i in range(trees)]) if trees else np.zeros((0, held), np.uint8))
+
+
 class BoostedTreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
     trees = _param("trees", "JSON list of trees", TypeConverters.toString)
     width = _param("width", "number of features", TypeConverters.toInt)
@@ -246,9 +324,7 @@ class BoostedTreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPar
         trees = [{k: np.array(v) for k, v in t.items()} for t in self.all_trees()]
         width = self.getOrDefault("width")
 
-        @F.arrow_udf(T.DoubleType())
-        def chance(features: pa.Array) -> pa.Array:
-            x = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(features), 0))
+        def chance_of(x: np.ndarray) -> np.ndarray:
             margin = np.zeros(len(x))
             for t in trees:
                 at = np.zeros(len(x), np.int64)
@@ -258,7 +334,14 @@ class BoostedTreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPar
                     at[inner] = np.where(x[inner, t["feature"][node]] <= t["cut"][node], t["left"][node], t["right"][node])
                     inner = inner[t["feature"][at[inner]] >= 0]
                 margin += t["value"][at]
-            return pa.array(1 / (1 + np.exp(-margin)))
+            return 1 / (1 + np.exp(-margin))
+
+        @F.arrow_udf(T.DoubleType())
+        def chance(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = {}
+            for features in parts:
+                x = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(features), 0))
+                yield pa.array(looked_up(x, known, KNOWN_ROWS, chance_of))
 
         p = chance(vector_to_array(quoted(self.getFeaturesCol())))
         return df.withColumns({"probability": array_to_vector(F.array(1 - p, p)), "prediction": (p > 0.5).cast("double")})

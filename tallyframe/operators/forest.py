@@ -3,10 +3,12 @@
 The rows lie in packed blocks, in which equal rows are one row with the sum of their draws. A tree starts on all rows: one
 aggregate per level counts the classes per node, feature and bin for every tree of a pass, the
 best split of a node is chosen on the executors, and only the splits reach the driver. As soon as the rows of a node fit
-one task they are brought together, and `applyInArrow` grows the rest of the branch there at exact values, to pure leaves and
-without a limit on depth. The driver holds the trees, which are the model, and never a row.
+one task (all rows, where few of them differ) they are brought together, and `applyInArrow` grows the rest of the branch there
+at exact values, to pure leaves and without a limit on depth. The driver holds the trees, which are the model, and never a row.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.blocks import Block, blocks, distinct, packed, unpacked
+from tallyframe.operators.blocks import Block, Weighed, blocks, distinct, in_blocks, looked_up, packed, unpacked
 from tallyframe.operators.boosting import _param
 from tallyframe.operators.quantiles import quantile_values
 from tallyframe.session import quoted
@@ -28,11 +30,14 @@ from tallyframe.session import quoted
 TASK_BYTES = 64 << 20
 # Copies of rows that the trees of one pass send to their tasks.
 PASS_ROWS = 1 << 31
+# Distinct rows whose chances a task that scores keeps.
+KNOWN_ROWS = 1 << 16
 # Class counts of nodes that a task adds up at a time; a level with more of them takes further passes.
 PASS_CELLS = 1 << 24
 # Chances that a tree draws a row 0, 1, 2, ... times, summed up: a Poisson draw of mean 1, as for a bootstrap of many rows.
 DRAWN = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1.0, k + 1))) for k in range(12)])
 _NODES = "feature binary, cut binary, left binary, right binary, chance binary, gains binary"
+_SENT = "tree long, node long, y binary, n binary, x binary"
 _KINDS = {"feature": np.int32, "cut": np.float64, "left": np.int32, "right": np.int32, "chance": np.float32}
 
 
@@ -55,8 +60,13 @@ def _key(*parts: int) -> int:
 
 def times_drawn(rows: np.ndarray, key: int) -> np.ndarray:
     """How often a tree draws every row, by the number of the row."""
-    chance = (_mixed(rows.astype(np.uint64) ^ np.uint64(key)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    return np.searchsorted(DRAWN, chance, "right")
+    chance = _mixed(rows.astype(np.uint64) ^ np.uint64(key)) >> np.uint64(11)
+    times, most = np.zeros(len(chance), np.int64), chance.max(initial=0)
+    for bound in np.ceil(DRAWN * (1 << 53)).astype(np.uint64):
+        if bound > most:
+            break
+        times += chance >= bound
+    return times
 
 
 def in_order(key: int, width: int) -> np.ndarray:
@@ -204,20 +214,34 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         rows = df.select(number.alias("row"), quoted(self.getLabelCol()).cast("int").alias("y"),
                            vector_to_array(quoted(self.getFeaturesCol())).alias("x")).where("y IS NOT NULL")
         rows = packed(rows, np.int32)
-        size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("last").alias("last"), F.max("width").alias("width")).first()
+        size = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in ((F.col("n"), "n"), (F.octet_length("y"), "own"))],
+                        F.max("last").alias("last"), F.max("width").alias("width")).first()
         n, width, classes = size["n"], size["width"] or 0, max(2, int(size["last"] or 0) + 1)
         task_rows = max(2, get("taskBytes") // (8 * width + 24))
-        cuts = self._cuts(rows, width) if n > task_rows else []
+        held = size["own"] // np.dtype(np.int32).itemsize  # distinct rows of the blocks
+        merges = 2 * held <= n
+        if merges and held > task_rows:
+            held = self._held(rows)
+        fits = n <= task_rows or (merges and held <= task_rows)
+        cuts = [] if fits else self._cuts(rows, width)
         looks, seed = get("looks") or max(1, int(width ** 0.5)), get("seed")
         draws = {t: _key(seed, t) for t in range(get("trees"))}
-        a_pass = max(1, PASS_ROWS // max(n, 1))
+        a_pass = max(1, PASS_ROWS // max(held if fits and merges else n, 1))
         done = []
         for start in range(0, get("trees") if n else 0, a_pass):
             numbers = list(range(start, min(start + a_pass, get("trees"))))
-            tops, open_nodes = self._tops(rows, numbers, draws, cuts, width, classes, looks, n, task_rows)
-            done += self._finished(rows, tops, open_nodes, draws, width, classes, looks)
+            tops, open_nodes = self._tops(rows, numbers, draws, cuts, width, classes, looks, fits, task_rows)
+            done += self._finished(rows, tops, open_nodes, draws, width, classes, looks, fits and merges)
         return RandomForestModel(self.getFeaturesCol(), width, classes, done)
 
+    def _held(self, rows: DataFrame) -> int:
+        """Distinct rows, those of a task counted together."""
+        def count(batches):
+            found = (Weighed(len(b.row), b.y, b.x, np.zeros((0, len(b.y)), np.uint8)) for _, b in blocks(batches, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(p.y) for p in in_blocks(found))])], names=["held"])
+
+        return _few_tasks(rows).mapInArrow(count, "held long").agg(F.sum("held")).first()[0]
+
     def _cuts(self, rows: DataFrame, width: int) -> list[np.ndarray]:
         n_bins = self.getOrDefault("maxBins")
         names = [f"x{i}" for i in range(width)]
@@ -243,14 +267,14 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
 
         return read
 
-    def _tops(self, rows, numbers, draws, cuts, width, classes, looks, n, task_rows):
+    def _tops(self, rows, numbers, draws, cuts, width, classes, looks, fits, task_rows):
         """Trees down to the nodes that fit a task, and per tree these nodes with their keys and levels."""
         depth = self.getOrDefault("maxDepth")
         tops = {t: _Nodes(width) for t in numbers}
         for top in tops.values():
             top.add(np.zeros(classes))
         front = {t: {0: (_key(draws[t], 0), 0)} for t in numbers}
-        if n <= task_rows:
+        if fits:
             return tops, front
         ready = {t: {} for t in numbers}
         while any(front.values()):
@@ -324,9 +348,12 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         kinds = "tree long, node long, score double, feature long, bin long, below array<double>, total array<double>"
         return counted.groupBy("tree", "node").applyInArrow(choose, kinds).collect()
 
-    def _finished(self, rows, tops, open_nodes, draws, width, classes, looks) -> list[dict]:
-        """Every tree with the branches below its open nodes, each grown by the task that holds the node's rows."""
-        depth = self.getOrDefault("maxDepth")
+    def _finished(self, rows, tops, open_nodes, draws, width, classes, looks, merges=False) -> list[dict]:
+        """Every tree with the branches below its open nodes, each grown by the task that holds the node's rows.
+
+        With `merges` all open nodes are roots, and equal rows of all blocks of a task are sent as one.
+        """
+        depth, bootstrap = self.getOrDefault("maxDepth"), self.getOrDefault("bootstrap")
         read = self._reader(tops, draws, open_nodes)
         keys = {(t, node): v for t, nodes in open_nodes.items() for node, v in nodes.items()}
 
@@ -337,6 +364,19 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
                         [pa.array([t]), pa.array([node]), *(pa.array([v.tobytes()], pa.binary()) for v in (
                             block.y[here], weight, block.x[here].T))], names=["tree", "node", "y", "n", "x"])
 
+        def send_merged(batches):
+            def times(row, t):
+                return times_drawn(row, draws[t]) if bootstrap else np.ones(len(row), np.int64)
+
+            trees = sorted(open_nodes)
+            for part in in_blocks(Weighed.of_block(block, times, trees, len(DRAWN)) for _, block in blocks(batches, np.int32)):
+                for t, w in zip(trees, part.w):
+                    here = np.flatnonzero(w)
+                    if len(here):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([t]), pa.array([0]), *(pa.array([v.tobytes()], pa.binary()) for v in (
+                                part.y[here], w[here].astype(np.int64), part.x[here].T))], names=["tree", "node", "y", "n", "x"])
+
         def finish(table: pa.Table) -> pa.Table:
             t, node = table.column(0)[0].as_py(), table.column(1)[0].as_py()
             y, weight = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(c)]) for c, kind in ((2, np.int32), (3, np.int64)))
@@ -353,7 +393,8 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         if keys:
             spark = rows.sparkSession
             parts = min(len(keys), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-            branches = rows.mapInArrow(send, "tree long, node long, y binary, n binary, x binary") \
+            sent = _few_tasks(rows).mapInArrow(send_merged, _SENT) if merges else rows.mapInArrow(send, _SENT)
+            branches = sent \
                 .repartition(parts, "tree", "node").groupBy("tree", "node").applyInArrow(finish, f"tree long, node long, {_NODES}")
             pieces = {t: [] for t in trees}
             for r in sorted(branches.collect(), key=lambda r: (r["tree"], r["node"])):
@@ -363,6 +404,11 @@ class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         return [trees[t] for t in sorted(trees)]
 
 
+def _few_tasks(rows: DataFrame) -> DataFrame:
+    """The blocks in as many tasks as there are cores, so that a task brings many of them together."""
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _joined(top: dict, pieces: list, classes: int) -> dict:
     """A tree with branches in the place of some of its leaves: a branch's root takes the leaf's place."""
     parts = {k: [top[k].copy()] for k in _KINDS}
@@ -442,14 +488,19 @@ class RandomForestModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPar
     def _transform(self, df: DataFrame) -> DataFrame:
         width, classes, trees = self.getOrDefault("width"), self.getOrDefault("classes"), self.trees
 
-        @F.arrow_udf(T.ArrayType(T.DoubleType()))
-        def chances(features: pa.Array) -> pa.Array:
-            x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1)
+        def chance_of(x: np.ndarray) -> np.ndarray:
             total = np.zeros((len(x), classes))
             for t in trees:
                 total += t["chance"][node_of(t, x)]
-            total /= max(len(trees), 1)
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * classes), pa.array(total.ravel()))
+            return total / max(len(trees), 1)
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def chances(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = {}
+            for features in parts:
+                x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1)
+                found = looked_up(x, known, KNOWN_ROWS, chance_of)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * classes), pa.array(found.ravel()))
 
         p = chances(vector_to_array(quoted(self.getFeaturesCol())))
         out = df.withColumn("probability", p)

@@ -47,8 +47,11 @@ def train_classifiers(
     """
     spark = df.sparkSession
     chosen = available(df, features)
-    balanced = checkpointed(sampling.downsample(df, target, key, seed))
-    train, test = sampling.stratified_split(balanced, target, key, 0.3, seed)
+    hashed = "_hash_of_key"
+    while hashed in df.columns:
+        hashed += "_"
+    balanced = checkpointed(sampling.downsample(df, target, key, seed, hashed))
+    train, test = (part.drop(hashed) for part in sampling.stratified_split(balanced, target, key, 0.3, seed, hashed))
     roles = columns_by_role(balanced.select(*[quoted(c) for c in chosen]))
     preprocessor = build_preprocessor(roles["numeric"], roles["categorical"], scaler).fit(train)
     names = feature_names(preprocessor)
