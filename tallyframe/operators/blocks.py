@@ -60,6 +60,12 @@ class Block:
         place = np.concatenate([code[s + p.place] for s, p in zip(starts, parts)]).astype(np.int32)
         return cls(np.concatenate([p.row for p in parts]), place, y[first], x[first])
 
+    def coded(self, code: Callable) -> "Block":
+        """The same rows with other numbers for the values, equal ones brought together."""
+        x = code(self.x)
+        own, first = distinct(x, self.y)
+        return Block(self.row, own[self.place].astype(np.int32), self.y[first], x[first])
+
     @property
     def nbytes(self) -> int:
         return self.row.nbytes + self.place.nbytes + self.y.nbytes + self.x.nbytes
@@ -138,24 +144,19 @@ def in_blocks(parts: Iterator, block_bytes: int = BLOCK_BYTES) -> Iterator:
         yield type(held[0]).merged(held)
 
 
-def rows_in_blocks(batches, y_kind, code: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of Arrow batches of rows (number, label, array of doubles)."""
-    def parts():
-        for b in batches:
-            if b.num_rows:
-                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield Block.of_rows(b.column(0).to_numpy(), b.column(1).to_numpy().astype(y_kind), code(x) if code else x)
-
-    return in_blocks(parts(), block_bytes)
-
-
 def packed(rows: DataFrame, y_kind, code: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Stored blocks of rows (number, label, array of doubles); `code` makes other numbers of the matrix of values.
 
     Columns `n` (rows), `width` (values of a row), `last` (largest label) are for aggregates, the others for `blocks`.
     """
+    def parts(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield Block.of_rows(b.column(0).to_numpy(), b.column(1).to_numpy().astype(y_kind), code(x) if code else x)
+
     def run(batches):
-        for block in rows_in_blocks(batches, y_kind, code, block_bytes):
+        for block in in_blocks(parts(batches), block_bytes):
             yield block.record()
 
     return checkpointed(rows.mapInArrow(run, _KINDS))
@@ -205,6 +206,20 @@ def blocks(batches, y_kind, x_kind=np.float64) -> Iterator[tuple[pa.RecordBatch,
             yield record, Block(row, place, y, x.reshape(len(y), -1))
 
 
+def counted(stored: DataFrame, width: int, y_kind) -> DataFrame:
+    """Columns x0, x1, ... of the distinct rows of blocks of doubles, and `n`, the number of their rows."""
+    names = [*(f"x{i}" for i in range(width)), "n"]
+
+    def run(batches):
+        for _, block in blocks(batches, y_kind):
+            n = np.bincount(block.place, minlength=len(block.y))
+            for start in range(0, len(n), 1 << 16):
+                x = block.x[start: start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in x.T), pa.array(n[start: start + (1 << 16)])], names=names)
+
+    return stored.mapInArrow(run, ", ".join([*(f"{c} double" for c in names[:-1]), "n long"]))
+
+
 def unpacked(stored: DataFrame, width: int, y_kind) -> DataFrame:
     """Columns x0, x1, ... of all rows of blocks of doubles."""
     names = [f"x{i}" for i in range(width)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.blocks import BLOCK_BYTES, WEIGHED_KINDS, Weighed, in_blocks, looked_up, rows_in_blocks, weighed
+from tallyframe.operators.blocks import BLOCK_BYTES, WEIGHED_KINDS, Weighed, blocks, counted, in_blocks, looked_up, packed, weighed
 from tallyframe.operators.quantiles import quantile_values
 from tallyframe.session import checkpointed, quoted
 
@@ -164,13 +164,13 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         rows = df.select(quoted(self.getLabelCol()).cast("double").alias("y"), vector_to_array(quoted(self.getFeaturesCol())).alias("x")) \
             .where("y IS NOT NULL")
         cores = df.sparkSession.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:  # every pass reads them: few large partitions would leave cores idle
+        if rows.rdd.getNumPartitions() < cores:  # few large partitions would leave cores idle
             rows = rows.repartition(cores)
-        first = rows.select(F.size("x").alias("n")).first()
-        width, n_bins = first["n"] if first else 0, get("maxBins")
+        blocks_ = packed(rows.select(F.monotonically_increasing_id().alias("row"), "y", "x"), np.float64)
+        width, n_bins = blocks_.agg(F.max("width")).first()[0] or 0, get("maxBins")
         names = [f"x{i}" for i in range(width)]
         probs = [i / n_bins for i in range(n_bins)] + [1.0]
-        marks = quantile_values(rows.select(*[F.col("x")[i].alias(n) for i, n in enumerate(names)]), names, probs)
+        marks = quantile_values(counted(blocks_, width, np.float64), names, probs, weight="n") if width else {}
         # A bin ends at its cut; every value but the largest may be one, so that also a rare indicator can be split on.
         cuts = [np.array(sorted({v for v in marks[n][:-1] if v is not None and v < marks[n][-1]})[: n_bins - 1]) for n in names]
 
@@ -187,14 +187,13 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable
         numbers = list(range(len(columns_of)))
 
         def weigh(batches):
-            found = (Weighed.of_block(b, lambda r, t: _drawn(r, seed, t, share), numbers) for b in rows_in_blocks(batches, np.float64, code, BLOCK_BYTES // 4))
+            found = (Weighed.of_block(b.coded(code), lambda r, t: _drawn(r, seed, t, share), numbers) for _, b in blocks(batches, np.float64))
             for part in in_blocks(found):
                 yield from part.records()
 
         trees = []
         if columns_of:
-            numbered = rows.select(F.monotonically_increasing_id().alias("row"), "y", "x")
-            stored, few = self._merged(checkpointed(numbered.mapInArrow(weigh, WEIGHED_KINDS)))
+            stored, few = self._merged(checkpointed(blocks_.mapInArrow(weigh, WEIGHED_KINDS)))
             trees = (self._in_one_task if few else self._by_passes)(stored, columns_of, bins, options)
         told = [{"feature": t.feature, "left": t.left, "right": t.right, "value": t.value, "gain": t.gain,
                  "cut": [float(cuts[f][b]) if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin)]} for t in trees]

@@ -8,6 +8,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -16,6 +17,7 @@ from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.expressions import number, numbers
 from tallyframe.operators.clean import top_value
@@ -174,17 +176,17 @@ def normal_score(landmarks: list[float]):
     marks = np.array(landmarks)
     shares = np.linspace(0, 1, len(marks))
 
-    @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        x = values.to_numpy(dtype="float64", na_value=np.nan)
-        distinct, back = np.unique(x, return_inverse=True)
+    @F.arrow_udf(T.DoubleType())
+    def score(values: pa.Array) -> pa.Array:
+        x = values.to_numpy(zero_copy_only=False)
+        back, distinct = pd.factorize(x, use_na_sentinel=False)
         # the middle of both directions: a value that fills several landmarks gets the centre of its share
         share = (np.interp(distinct, marks, shares) + 1 - np.interp(-distinct, -marks[::-1], 1 - shares[::-1])) / 2
         share = np.where(distinct + EDGE_DISTANCE > marks[-1], 1.0, share)
         share = np.where(distinct - EDGE_DISTANCE < marks[0], 0.0, share)
         z = inverse_normal(share)
         z = np.where(np.isnan(distinct), np.nan, np.clip(z, -EDGE_SCORE, EDGE_SCORE))
-        return pd.Series(z[back]).astype(object).where(~np.isnan(x), None)
+        return pa.array(z[back], mask=np.isnan(x))
 
     return score
 

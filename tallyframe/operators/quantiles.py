@@ -205,16 +205,25 @@ def _cells_of(keys: np.ndarray, starts: np.ndarray, bits: int, step: int) -> np.
     return np.where((at >= 0) & (digit < (1 << step)), (at << step) | digit.astype(np.int64), -1)
 
 
-def _passes(x: DataFrame, open_: dict[int, np.ndarray], bits: int, step: int) -> pd.DataFrame:
+def _known(b: pa.RecordBatch, i: int, weighted: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Keys of the values of a column, ascending, and the rows that each stands for, if the last column tells."""
+    column = b.column(i)
+    keys = _keys(column.drop_null().to_numpy(zero_copy_only=False))
+    if not weighted:
+        return np.sort(keys), None
+    order = np.argsort(keys)
+    return keys[order], b.column(b.num_columns - 1).filter(column.is_valid()).to_numpy(zero_copy_only=False)[order]
+
+
+def _passes(x: DataFrame, open_: dict[int, np.ndarray], bits: int, step: int, weighted: bool = False) -> pd.DataFrame:
     """(column, cell, n, lo, hi) over all columns in `open_`: one pass, added up on the executors."""
     def count(batches):
         sums = {}
         for b in batches:
             for i, starts in open_.items():
-                column = b.column(i).drop_null()
-                keys = np.sort(_keys(column.to_numpy(zero_copy_only=False)))
+                keys, weights = _known(b, i, weighted)
                 cells = _cells_of(keys, starts, bits, step)
-                keys, cells = keys[cells >= 0], cells[cells >= 0]
+                keys, weights, cells = keys[cells >= 0], weights[cells >= 0] if weighted else None, cells[cells >= 0]
                 if not len(keys):
                     continue
                 first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
@@ -222,7 +231,7 @@ def _passes(x: DataFrame, open_: dict[int, np.ndarray], bits: int, step: int) ->
                 n, lo, hi = sums.setdefault(i, (np.zeros(len(starts) << step, np.int64), np.full(len(starts) << step, np.iinfo(np.int64).max),
                                                 np.full(len(starts) << step, np.iinfo(np.int64).min)))
                 at = cells[first]
-                n[at] += last - first + 1
+                n[at] += np.add.reduceat(weights, first) if weighted else last - first + 1
                 lo[at], hi[at] = np.minimum(lo[at], keys[first]), np.maximum(hi[at], keys[last])
         for i, (n, lo, hi) in sums.items():
             at = np.flatnonzero(n)
@@ -234,13 +243,16 @@ def _passes(x: DataFrame, open_: dict[int, np.ndarray], bits: int, step: int) ->
         .toArrow().to_pandas().sort_values(["column", "cell"])  # PASS_CELLS rows at most
 
 
-def _fetched(x: DataFrame, open_: dict[int, np.ndarray], bits: int) -> pd.DataFrame:
+def _fetched(x: DataFrame, open_: dict[int, np.ndarray], bits: int, weighted: bool = False) -> pd.DataFrame:
     """(column, k, n): the distinct keys in the cells that are left, which hold FETCH_ROWS rows at most."""
     def run(batches):
         for b in batches:
             for i, starts in open_.items():
-                keys = _keys(b.column(i).drop_null().to_numpy(zero_copy_only=False))
-                keys, n = np.unique(keys[_cells_of(keys, starts, bits, 0) >= 0], return_counts=True)
+                keys, weights = _known(b, i, weighted)
+                here = _cells_of(keys, starts, bits, 0) >= 0
+                keys, first, n = np.unique(keys[here], return_index=True, return_counts=True)
+                if weighted and len(keys):
+                    n = np.add.reduceat(weights[here], first)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(n)], names=["column", "k", "n"])
 
     parts = x.mapInArrow(run, "column int, k long, n long").groupBy("column", "k").agg(F.sum("n").alias("n"))
@@ -248,28 +260,29 @@ def _fetched(x: DataFrame, open_: dict[int, np.ndarray], bits: int) -> pd.DataFr
 
 
 def order_statistics(
-    df: DataFrame, cols: list[str], ranks, pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS
+    df: DataFrame, cols: list[str], ranks, pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS, weight: str = ""
 ) -> list[tuple[int, dict[int, float]]]:
     """Per column the number of its values and {rank: value} for the ranks from 0 that `ranks(place of the column, number of
     values)` asks for; (0, {}) for a column without values.
 
     Every pass reads the columns once and sends counts of `pass_cells` cells at most to the driver, or of two per cell
     still searched where there are more of these; once the searched cells hold `fetch_rows` rows or fewer, their values come.
+    `weight` names a column of whole numbers that tell how many rows a row stands for.
     """
     if not cols:
         return []
-    x = numbers(df, cols)
+    x = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)], quoted(weight).cast("long").alias("weight")) if weight else numbers(df, cols)
     searches, totals, found = {i: _Search() for i in range(len(cols))}, {}, {}
     bits, first = 64, True
     while searches:
         open_ = {i: s.starts for i, s in searches.items()}
         if not first and sum(s.rows for s in searches.values()) <= fetch_rows:
-            rows = _fetched(x, open_, bits)
+            rows = _fetched(x, open_, bits, bool(weight))
             for i, part in rows.groupby("column"):
                 searches[i].fetch(part["k"].to_numpy(), part["n"].to_numpy(), bits)
             break
         step = max(1, min(bits, 16, (pass_cells // sum(map(len, open_.values()))).bit_length() - 1))
-        rows = _passes(x, open_, bits, step)
+        rows = _passes(x, open_, bits, step, bool(weight))
         for i, part in rows.groupby("column"):
             def wanted(n, i=i):
                 totals[i] = n
@@ -296,10 +309,10 @@ def interpolated(n: int, probs: list[float], value_at) -> list[float | None]:
 
 
 def quantile_values(
-    df: DataFrame, cols: list[str], probs: list[float], pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS
+    df: DataFrame, cols: list[str], probs: list[float], pass_cells: int = PASS_CELLS, fetch_rows: int = FETCH_ROWS, weight: str = ""
 ) -> dict[str, list[float | None]]:
     """Quantiles of every column as plain numbers, ready to be used as literals; None for a column without values."""
-    found = order_statistics(df, cols, lambda _, n: ranks_around(n, probs), pass_cells, fetch_rows)
+    found = order_statistics(df, cols, lambda _, n: ranks_around(n, probs), pass_cells, fetch_rows, weight)
     return {c: interpolated(n, probs, at.__getitem__) for c, (n, at) in zip(cols, found)}
 
 

@@ -53,7 +53,9 @@ def train_classifiers(
     balanced = checkpointed(sampling.downsample(df, target, key, seed, hashed))
     train, test = (part.drop(hashed) for part in sampling.stratified_split(balanced, target, key, 0.3, seed, hashed))
     roles = columns_by_role(balanced.select(*[quoted(c) for c in chosen]))
-    preprocessor = build_preprocessor(roles["numeric"], roles["categorical"], scaler).fit(train)
+    fitted_on = train.select(*[quoted(c) for c in chosen]).persist()  # the fit reads these several times
+    preprocessor = build_preprocessor(roles["numeric"], roles["categorical"], scaler).fit(fitted_on)
+    fitted_on.unpersist()
     names = feature_names(preprocessor)
     columns = [quoted(target).cast("int").alias(target), F.col("features")]
     train_x = preprocessor.transform(train).select(*columns, quoted(key)).persist()

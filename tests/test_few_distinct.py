@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyframe.operators import boosting, forest, sampling
 from tallyframe.operators.blocks import Block, Weighed, in_blocks, looked_up, weighed
 from tallyframe.operators.boosting import BoostedTrees
+from tallyframe.operators.features import normal_score
 from tallyframe.operators.forest import RandomForest
+from tallyframe.operators.quantiles import quantile_values
 from test_boosting import margins, noisy, plain_trees
 from test_forest import frame
 
@@ -114,3 +116,29 @@ def test_samples_are_the_same_by_range_and_by_prefix_and_with_kept_hashes(spark,
     assert found == samples("")
     monkeypatch.setattr(sampling, "NEAR_ROWS", 0)
     assert found == samples("hash") and [len(f) for f in found] == [6000, 4200, 1800]
+
+
+def test_quantiles_of_rows_that_stand_for_several(spark):
+    rng = np.random.default_rng(4)
+    values, n = rng.normal(size=3000).round(2), rng.integers(1, 9, 3000)
+    rows = [(None if i % 50 == 0 else float(v), float(i % 7), int(k)) for i, (v, k) in enumerate(zip(values, n))]
+    df = spark.createDataFrame(rows, "a double, b double, n int").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.777, 1.0]
+    for pass_cells, fetch_rows in ((1024, 0), (1 << 18, 1 << 18), (64, 2000)):
+        found = quantile_values(df, ["a", "b"], probs, pass_cells, fetch_rows, weight="n")
+        for i, c in enumerate("ab"):
+            long = np.concatenate([np.full(r[2], r[i]) for r in rows if r[i] is not None])
+            assert np.allclose(found[c], np.quantile(long, probs), rtol=1e-12, atol=1e-12)
+
+
+def test_blocks_of_other_numbers():
+    x, row = np.arange(12.0).reshape(6, 2), np.arange(6) + 10
+    block = Block.of_rows(row, np.array([0.0, 0, 0, 1, 1, 1]), x).coded(lambda v: (v >= 6).astype(np.uint8))
+    assert (block.x[block.place] == (x >= 6)).all() and block.y[block.place].tolist() == [0, 0, 0, 1, 1, 1]
+    assert len(block.y) == 2 and (block.row == row).all()
+
+
+def test_normal_scores_of_nulls_and_nan(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,), (None,), (float("nan"),)], "v double")
+    found = [r[0] for r in df.select(normal_score([1.0, 2.0, 3.0])("v")).collect()]
+    assert found[1] == found[2] == 0.0 and found[0] == -found[3] < -5 and found[4:] == [None, None]
