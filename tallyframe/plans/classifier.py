@@ -1,5 +1,6 @@
 """The classifier job: clean, balance, split, train three models, compare, keep the best."""
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,9 @@ def train_classifiers(
     fitted_on.unpersist()
     names = feature_names(preprocessor)
     columns = [quoted(target).cast("int").alias(target), F.col("features")]
-    train_x = preprocessor.transform(train).select(*columns, quoted(key)).persist()
-    test_x = preprocessor.transform(test).select(*columns).persist()
+    # Read from disk as a stream: partitions held in memory would leave too little of it to the estimators.
+    train_x = preprocessor.transform(train).select(*columns, quoted(key)).persist(StorageLevel.DISK_ONLY)
+    test_x = preprocessor.transform(test).select(*columns).persist(StorageLevel.DISK_ONLY)
     estimators = {
         models.LOGISTIC: models.logistic(train_x.count(), target),
         models.FOREST: models.forest(target, num_trees, forest_depth, seed, key=key),
